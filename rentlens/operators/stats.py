@@ -181,10 +181,10 @@ def market_kpis(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     kp = cs.agg(F.avg("avg_rent").alias("mean_city_rent"), F.avg("avg_psf").alias("mean_city_psf"),
                 F.min_by("city", F.struct((-F.col("avg_rent")).alias("r"), F.col("city"))).alias("top_city"))
     n = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return _one_row_join(n, kp)
+    return one_row_join(n, kp)
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
+def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Join two one-row DataFrames on a constant key (both sides are exactly one row)."""
     return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
