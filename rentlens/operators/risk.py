@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens import constants as C
-from rentlens.functions import encode as E
+from rentlens.functions.features import with_floor
 from rentlens.functions.text import compact, fixed, grouped, percent, py_round, py_str, signed
 from rentlens.operators import lookups as LK
 
@@ -93,8 +93,8 @@ def property_signals() -> tuple[Column, Column]:
     bhk1 = F.greatest(_d("bhk"), F.lit(1.0))
     spb = _d("size") / bhk1
     bath = _d("bathroom") / bhk1
-    fl = E.parse_floor("floor_txt")
-    ratio = E.ratio_of(fl["floor_n"], fl["total_f"])
+    fl = F.col("_fl")
+    ratio = fl["ratio"]
     furnished = F.col("furnishing") == "Furnished"
     score = (F.when(spb < 200, 25).when(spb < 300, 12).otherwise(0)
              + F.when(bath < 0.5, 15).when(bath >= 1.5, 5).otherwise(0)
@@ -151,6 +151,7 @@ def level_of(score: Column, what: int = 1) -> Column:
 def add_factor_scores(df: DataFrame) -> DataFrame:
     """``<factor>_score`` and ``<factor>_signals`` for the five factors and
     ``composite`` = Σ score·weight, in factor order."""
+    df = with_floor(df)
     cols = {}
     for name in NAMES:
         s, sig = FACTOR_FUNCS[name]()

@@ -61,10 +61,9 @@ FROM flr""", _FLOOR_CTE)
 @register("listing_features", _FEATURES_SQL)
 def q_listing_features(spark, sf):
     """12 features, parsed floor, log rent, fixed demand label."""
-    df = clean(spark, sf)
+    df = FT.with_floor(clean(spark, sf))
     fl = F.col("_fl")
-    out = FT.add_features(df.withColumn("_fl", FT.E.parse_floor("floor_txt")),
-                          keep=KEY_COLS + ["_fl"])
+    out = FT.add_features(df, keep=KEY_COLS + ["_fl"])
     out = out.select(*KEY_COLS, "city_enc", "bhk_f", "size_f", "bathroom_f", "furnishing_enc",
                      fl["floor_n"].alias("floor_n"), fl["total_f"].alias("total_f"), "floor_ratio",
                      "size_per_bhk", "bath_per_bhk", "area_type_enc", "tenant_enc",
@@ -290,7 +289,7 @@ def _insight_frame(spark, sf):
     j = (priced.join(heat, ["city", "bhk"], "left").join(second, ["city", "bhk"], "left")
          .withColumn("risk_prob", F.coalesce(F.col("demand_rate"), F.lit(0.0)))
          .withColumn("risk", F.when(F.col("risk_prob") >= 0.5, "High").otherwise("Low"))
-         .withColumn("floor_ratio", FT.E.floor_ratio("floor_txt")))
+         .transform(FT.with_floor).withColumn("floor_ratio", F.col("_fl")["ratio"]))
     return j
 
 

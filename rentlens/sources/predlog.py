@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.functions.features import raw_vector, unit_normalise
+from rentlens.functions.features import add_vectors
+from rentlens.functions.text import py_round
 
 RECORD_COLS = ["user_id", "city", "bhk", "size", "furnishing", "predicted_rent", "demand_risk",
                "risk_probability", "price_per_sqft"]
@@ -23,13 +24,13 @@ def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=N
     req = scored.select(
         (F.col(user_id).cast("string") if user_id else F.lit(None).cast("string")).alias("user_id"),
         "city", "bhk", "size", "furnishing", "predicted_rent", "demand_risk",
-        F.bround(F.col("risk_probability").cast("double"), 3).alias("risk_probability"),
+        py_round(F.col("risk_probability"), 3).alias("risk_probability"),
         "price_per_sqft",
         F.greatest(F.col("bhk") - 1, F.lit(1)).alias("bathroom"),
         F.lit("1 out of 3").alias("floor_txt"), F.lit(None).cast("string").alias("area_type"),
         F.lit(None).cast("string").alias("tenant"), ts.alias("timestamp"))
-    req = req.withColumn("_raw", raw_vector())
-    out = req.select(*RECORD_COLS, unit_normalise(F.col("_raw")).alias("vector"), "timestamp")
+    vec = add_vectors(req, keep=RECORD_COLS + ["timestamp"])
+    out = vec.select(*RECORD_COLS, "vector", "timestamp")
     rid = F.sha2(F.to_json(F.struct(*RECORD_COLS, F.col("timestamp").cast("string"),
                                     F.monotonically_increasing_id())), 256)
     return out.withColumn("id", rid)
