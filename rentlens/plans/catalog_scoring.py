@@ -293,7 +293,52 @@ def _insight_frame(spark, sf):
     return j
 
 
-@register("prediction_insights")
+def _insights_sql() -> str:
+    T = C.INSIGHTS
+
+    def lit(t):
+        return "'" + t.replace("'", "''") + "'"
+
+    def fill(t, **parts):
+        out = lit(t)
+        for k, v in parts.items():
+            out = out.replace("{" + k + "}", f"' || {v} || '").replace("{" + k + ":,.0f}", f"' || {v} || '")
+        return out
+    fallback = "CASE city " + " ".join(f"WHEN '{c}' THEN {float(m)}" for c, m in C.CITY_MEDIANS.items()) \
+        + f" ELSE {float(C.INSIGHT_FALLBACK_MEDIAN)} END"
+    med = f"(CASE WHEN city_median IS NULL OR city_median = 0 THEN {fallback} ELSE city_median END)"
+    diff = "abs(dl_rent - predicted_rent)"
+    prem = ", ".join(f"'{c}'" for c in C.PREMIUM_CITIES)
+    items = [
+        f"CASE WHEN price_per_sqft > 80 THEN {fill(T['high_price_per_sqft'], city='city_s', furnishing="lower(coalesce(furnishing, 'None'))")}"
+        f" WHEN price_per_sqft < 25 THEN {fill(T['low_price_per_sqft'], city='city_s')} END",
+        f"CASE WHEN floor_ratio > 0.6 THEN {lit(T['high_floor'])} END",
+        f"CASE WHEN city IN ({prem}) AND predicted_rent > {med} THEN {fill(T['premium_city'], city='city_s')} END",
+        f"CASE WHEN furnishing = 'Furnished' THEN {lit(T['furnished_premium'])} END",
+        f"CASE WHEN size > 1500 THEN {fill(T['large_unit'], size='CAST(size AS VARCHAR)')} END",
+        f"CASE WHEN risk_prob >= 0.5 THEN {fill(T['high_risk'], risk_pct='CAST(CAST(trunc(risk_prob * 100) AS INTEGER) AS VARCHAR)')}"
+        f" ELSE {lit(T['low_risk'])} END",
+        f"CASE WHEN dl_rent IS NOT NULL THEN CASE WHEN {diff} < 0.08::DOUBLE * predicted_rent"
+        f" THEN {fill(T['ensemble_agreement'], diff=f"format('{{:,.0f}}', {diff})")}"
+        f" ELSE {fill(T['ensemble_diverge'], diff=f"format('{{:,.0f}}', {diff})")} END END",
+    ]
+    lst = f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)[1:5]"
+    agree = "abs(dl_rent - predicted_rent) / greatest(predicted_rent, 1.0) * 100"
+    ctes = (_PRICED_CTE + "," + _FLOOR_CTE.replace("FROM listings)", "FROM priced)", 1) + "," + _DEMAND_CTE
+            + """,
+second AS (SELECT city, bhk, round_even(median(rent)::DOUBLE, -2) AS dl_rent FROM listings
+           WHERE city IS NOT NULL GROUP BY city, bhk),
+ij AS (SELECT p.*, coalesce(h.demand_rate, 0.0) AS risk_prob, s.dl_rent, coalesce(p.city, 'None') AS city_s
+       FROM flr p LEFT JOIN heat h ON p.city = h.city AND p.bhk = h.bhk
+       LEFT JOIN second s ON p.city = s.city AND p.bhk = s.bhk)""")
+    return with_listings(f"SELECT {KEYS_SQL}, array_to_string({lst}, ' | ') AS insights,"
+                         f" round_even({agree}, 6) AS agreement_pct, coalesce({agree} < 8, false) AS models_agree FROM ij", ctes)
+
+
+from rentlens.plans.catalog import _DEMAND_CTE  # noqa: E402
+
+
+@register("prediction_insights", _insights_sql())
 def q_prediction_insights(spark, sf):
     """X1 + M12 over every listing: listed rent as the estimate, the (city, bhk)
     demand rate as the risk probability, the (city, bhk) median as the second
@@ -302,4 +347,4 @@ def q_prediction_insights(spark, sf):
     return j.select(*KEY_COLS, F.array_join(IN.insights(dl_rent="dl_rent", city_median="city_median"), " | ")
                     .alias("insights"),
                     F.bround(IN.agreement_pct("dl_rent", "predicted_rent"), 6).alias("agreement_pct"),
-                    (IN.agreement_pct("dl_rent", "predicted_rent") < 8).alias("models_agree"))
+                    F.coalesce(IN.agreement_pct("dl_rent", "predicted_rent") < 8, F.lit(False)).alias("models_agree"))
