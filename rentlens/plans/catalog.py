@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from rentlens.operators import filters as FL
 from rentlens.operators import stats as ST
 from rentlens.plans.oracle_sql import with_listings
+from rentlens.session import materialize
 from rentlens.sources import listings as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,13 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return L.clean_listings(spark, sf)
 
 
+def clean_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned listings computed once (checkpointed to the shared checkpoint
+    folder) for plans that read them several times (lookups built from the same
+    rows they are joined back to)."""
+    return materialize(L.clean_listings(spark, sf))
+
+
 # ---------------------------------------------------------------- 2.1 / 2.2 ---
 
 @register("listings_clean", with_listings(
@@ -178,7 +186,7 @@ heat AS (SELECT city, bhk, avg(high_demand) AS demand_rate FROM labelled
 @register("demand_heatmap", sql_r6(with_listings("SELECT * FROM heat", _DEMAND_CTE), ["demand_rate"]))
 def q_demand_heatmap(spark, sf):
     """P11 + A9."""
-    return r6(ST.demand_heatmap(clean(spark, sf)))
+    return r6(ST.demand_heatmap(clean_shared(spark, sf)))
 
 
 @register("demand_pivot", sql_r6(with_listings(
@@ -191,7 +199,7 @@ def q_demand_heatmap(spark, sf):
     " AND bhk IN (1,2,3,4) GROUP BY city", _DEMAND_CTE), ["bhk_1", "bhk_2", "bhk_3", "bhk_4"]))
 def q_demand_pivot(spark, sf):
     """A10."""
-    return r6(ST.demand_pivot(ST.demand_heatmap(clean(spark, sf))))
+    return r6(ST.demand_pivot(ST.demand_heatmap(clean_shared(spark, sf))))
 
 
 _BENCH_SQL = ("SELECT city, quantile_cont(rent, 0.25) AS rent_p25, quantile_cont(rent, 0.5) AS rent_p50,"
@@ -240,7 +248,7 @@ def q_furnish_premiums(spark, sf):
     " FROM listings WHERE city IS NOT NULL GROUP BY city)"), ["mean_city_rent", "mean_city_psf"]))
 def q_market_kpis(spark, sf):
     """A15."""
-    return r6(ST.market_kpis(clean(spark, sf)))
+    return r6(ST.market_kpis(clean_shared(spark, sf)))
 
 
 _BOX_SQL = """
@@ -261,7 +269,7 @@ f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upp
     ["q1", "median", "q3", "lower_fence", "upper_fence"]))
 def q_rent_box_stats(spark, sf):
     """P13 + A17."""
-    return r6(ST.rent_box_stats(clean(spark, sf)))
+    return r6(ST.rent_box_stats(clean_shared(spark, sf)))
 
 
 @register("partition_rows")
@@ -294,3 +302,29 @@ def q_city_share(spark, sf):
 def q_top_localities(spark, sf):
     """K2, every city (top 10 is the feature)."""
     return r6(ST.top_localities(clean(spark, sf), top_n=10).withColumn("rank", F.col("rank").cast("bigint")))
+
+
+# ------------------------------------------------------------ sinks, display ---
+
+@register("exported_selection", with_listings(
+    "SELECT city, bhk, size, bathroom, rent, furnishing, locality, price_per_sqft, floor_txt"
+    f" FROM listings WHERE {_FACET_SQL}"))
+def q_exported_selection(spark, sf):
+    """The default selection exported as CSV (with header) into the shared
+    checkpoint folder and read back with its schema — the sink round trip."""
+    import uuid
+    from rentlens.session import ensure_checkpoint_dir
+    sel = FL.listing_table(FL.default_selection(clean(spark, sf)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    L.export_csv(sel, path)
+    return spark.read.option("header", True).schema(sel.schema).csv(path)
+
+
+@register("city_summary_display", with_listings(
+    'SELECT city AS "City", round_even(avg(rent), 0) AS "Avg Rent (₹)", round_even(median(rent), 0) AS "Median Rent (₹)",'
+    ' min(rent) AS "Min Rent (₹)", max(rent) AS "Max Rent (₹)", round_even(stddev_samp(rent), 0) AS std_rent,'
+    ' round_even(avg(price_per_sqft), 0) AS "Avg PSF (₹)", count(*) AS "Listings"'
+    " FROM listings WHERE city IS NOT NULL GROUP BY city"))
+def q_city_summary_display(spark, sf):
+    """The city summary with display column names."""
+    return FL.rename_for_display(ST.city_summary(clean(spark, sf)))

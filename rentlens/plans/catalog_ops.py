@@ -15,7 +15,7 @@ from rentlens.operators import filters as FL
 from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import clean, register
+from rentlens.plans.catalog import clean, clean_shared, register
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
 from rentlens.sources import predlog as PL
@@ -35,7 +35,7 @@ def _log_table(spark, sf):
     key = (id(spark.sparkContext), sf)
     if key not in _LOGS:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predlog-{uuid.uuid4().hex}"
-        df = clean(spark, sf)
+        df = clean_shared(spark, sf)
         priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(ST.demand_heatmap(df), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))

@@ -11,7 +11,7 @@ from rentlens.operators import insights as IN
 from rentlens.operators import pricing as PR
 from rentlens.operators import risk as RK
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import clean, r6, register, sql_r6
+from rentlens.plans.catalog import clean, clean_shared, r6, register, sql_r6
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.sources.listings import KEY_COLS
 
@@ -107,7 +107,7 @@ priced AS (SELECT * REPLACE (
 
 
 def _priced(spark, sf):
-    df = clean(spark, sf)
+    df = clean_shared(spark, sf)
     return PR.rent_band(df, "rent", ST.city_medians(df))
 
 
@@ -172,7 +172,7 @@ lv AS (SELECT *, CASE WHEN composite >= 80 THEN 'Critical' WHEN composite >= 60
 
 
 def _scored(spark, sf):
-    df = clean(spark, sf)
+    df = clean_shared(spark, sf)
     priced = PR.rent_band(df, "rent", ST.city_medians(df))
     return RK.score_risk(priced, ST.city_benchmarks(df), ST.bhk_city_medians_all(df).withColumnRenamed(
         "median_rent", "median_rent"))
@@ -282,7 +282,7 @@ def q_risk_report_json(spark, sf):
 # ------------------------------------------------------------------ insights ---
 
 def _insight_frame(spark, sf):
-    df = clean(spark, sf)
+    df = clean_shared(spark, sf)
     priced = PR.rent_band(df, "rent", ST.city_medians(df))
     heat = ST.demand_heatmap(df)
     second = ST.bhk_city_medians_all(df).select("city", "bhk", py_round(F.col("median_rent"), -2).alias("dl_rent"))

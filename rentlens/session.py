@@ -59,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+    """Compute a frame once for a plan that reads it several times.
+
+    ``checkpoint`` (default) writes it to the shared checkpoint folder — later
+    passes read files instead of replaying joins, and a lost executor does not
+    replay the lineage. ``persist`` keeps it in executor memory/disk (cheaper for
+    small data; lost blocks are recomputed from lineage)."""
+    if how == "persist":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df)
