@@ -85,8 +85,9 @@ def bhk_city_mean(df: DataFrame, bhk_range=(1, 4)) -> DataFrame:
     return agg.filter(F.col("bhk").between(*bhk_range))
 
 
-def furnish_comparison(df: DataFrame, method: str = "exact") -> DataFrame:
-    """Median psf and count by (city, furnishing)."""
+def furnish_comparison(df: DataFrame, method: str = "ranked") -> DataFrame:
+    """Median psf and count by (city, furnishing) (psf is a double: ``ranked``
+    exact quantiles by default)."""
     keys = ["city", "furnishing"]
     d = _keys_not_null(df, keys)
     base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -134,23 +135,26 @@ def demand_pivot(heat: DataFrame, cities=C.CITIES, bhks=(1, 2, 3, 4)) -> DataFra
     return p.select("city", *[F.coalesce(F.col(str(b)), F.lit(0.0)).alias(f"bhk_{b}") for b in bhks])
 
 
-def city_benchmarks(df: DataFrame, method: str = "exact") -> DataFrame:
-    """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks."""
+def city_benchmarks(df: DataFrame, method: str = "auto") -> DataFrame:
+    """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks.
+
+    ``auto``: rent quantiles with the built-in exact ``percentile`` (integer rents:
+    the per-group map is bounded by the distinct rents), psf quantiles with the
+    ``ranked`` exact plan (doubles: distinct values grow with the rows of a hot
+    city). Any other ``method`` applies to both."""
     d = _keys_not_null(df, ["city"])
-    if method == "exact":
-        return d.groupBy("city").agg(
-            F.percentile(F.col("rent").cast("double"), 0.25).alias("rent_p25"),
-            F.percentile(F.col("rent").cast("double"), 0.50).alias("rent_p50"),
-            F.percentile(F.col("rent").cast("double"), 0.75).alias("rent_p75"),
-            F.percentile(F.col("rent").cast("double"), 0.90).alias("rent_p90"),
-            F.percentile("price_per_sqft", 0.50).alias("psf_p50"),
-            F.percentile("price_per_sqft", 0.75).alias("psf_p75"),
+    rent_m = "exact" if method == "auto" else method
+    psf_m = "ranked" if method == "auto" else method
+    rent_probs = {"rent_p25": .25, "rent_p50": .5, "rent_p75": .75, "rent_p90": .9}
+    if rent_m == "exact":
+        base = d.groupBy("city").agg(
+            *[F.percentile(F.col("rent").cast("double"), p).alias(n) for n, p in rent_probs.items()],
             F.count(F.lit(1)).alias("n_listings"))
-    base = d.groupBy("city").agg(F.count(F.lit(1)).alias("n_listings"))
-    rq = quantiles(d, "rent", {"rent_p25": .25, "rent_p50": .5, "rent_p75": .75, "rent_p90": .9},
-                   ["city"], method)
-    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], method)
-    return base.join(rq, "city").join(pq, "city")
+    else:
+        base = d.groupBy("city").agg(F.count(F.lit(1)).alias("n_listings")).join(
+            quantiles(d, "rent", rent_probs, ["city"], rent_m), "city")
+    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], psf_m)
+    return base.join(pq, "city").select("city", *rent_probs, "psf_p50", "psf_p75", "n_listings")
 
 
 def bhk_city_medians_all(df: DataFrame, method: str = "exact") -> DataFrame:

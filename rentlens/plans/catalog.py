@@ -211,13 +211,13 @@ _BENCH_COLS = ["rent_p25", "rent_p50", "rent_p75", "rent_p90", "psf_p50", "psf_p
 
 @register("city_benchmarks", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
 def q_city_benchmarks(spark, sf):
-    """A12."""
+    """A12 (rent: built-in exact percentile; psf: ranked exact plan)."""
     return r6(ST.city_benchmarks(clean(spark, sf)))
 
 
 @register("city_benchmarks_ranked", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
 def q_city_benchmarks_ranked(spark, sf):
-    """A12 through the bounded-memory exact quantile plan."""
+    """A12 with every quantile through the bounded-memory exact plan."""
     return r6(ST.city_benchmarks(clean(spark, sf), method="ranked"))
 
 

@@ -92,13 +92,60 @@ def _events(spark, sf):
     return table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
 
 
-@register("login_throttle")
+_ATTEMPTS_CTE = """att AS (SELECT event_id, user_id, ts, event_type = 'signup' AS success,
+  epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('error', 'signup'))"""
+
+
+def _throttle_sql() -> str:
+    cap, rate, cost = C.BUCKET_CAPACITY, C.BUCKET_RATE, C.BUCKET_COST
+    refill = f"least({cap}::DOUBLE, p.tokens + (a.t - p.t) * {rate}::DOUBLE)"
+    return f"""WITH RECURSIVE {_ATTEMPTS_CTE},
+tb AS (
+  SELECT user_id, rn, event_id, ts, t, {cap}::DOUBLE AS avail FROM att WHERE rn = 1
+  UNION ALL
+  SELECT a.user_id, a.rn, a.event_id, a.ts, a.t,
+         {refill} AS avail
+  FROM (SELECT user_id, rn, t, CASE WHEN avail >= {cost} THEN avail - {cost} ELSE avail END AS tokens FROM tb) p
+  JOIN att a ON a.user_id = p.user_id AND a.rn = p.rn + 1)
+SELECT event_id, user_id, ts, avail >= {cost} AS allowed,
+  round_even(CASE WHEN avail >= {cost} THEN 0.0 ELSE ({cost} - avail) / {rate} END, 6) AS retry_after_s,
+  round_even(CASE WHEN avail >= {cost} THEN avail - {cost} ELSE avail END, 6) AS tokens
+FROM tb"""
+
+
+def _lockout_cte() -> str:
+    mx, lock = C.MAX_LOGIN_ATTEMPTS, float(C.LOCK_SECONDS)
+    return f"""lk AS (
+  SELECT user_id, rn, event_id, ts, t, success,
+    CASE WHEN success THEN 0 ELSE 1 END AS failures,
+    CASE WHEN NOT success AND 1 >= {mx} THEN t + {lock} END AS locked_until_s,
+    CASE WHEN success THEN 'ok' WHEN 1 >= {mx} THEN 'fail_locked' ELSE 'fail' END AS outcome
+  FROM att WHERE rn = 1
+  UNION ALL
+  SELECT a.user_id, a.rn, a.event_id, a.ts, a.t, a.success,
+    CASE WHEN p.locked_until_s IS NOT NULL AND a.t < p.locked_until_s THEN p.failures
+         WHEN a.success THEN 0 ELSE p.failures + 1 END,
+    CASE WHEN p.locked_until_s IS NOT NULL AND a.t < p.locked_until_s THEN p.locked_until_s
+         WHEN a.success THEN NULL WHEN p.failures + 1 >= {mx} THEN a.t + {lock} ELSE p.locked_until_s END,
+    CASE WHEN p.locked_until_s IS NOT NULL AND a.t < p.locked_until_s THEN 'locked'
+         WHEN a.success THEN 'ok' WHEN p.failures + 1 >= {mx} THEN 'fail_locked' ELSE 'fail' END
+  FROM lk p JOIN att a ON a.user_id = p.user_id AND a.rn = p.rn + 1)"""
+
+
+def _lockout_sql() -> str:
+    return f"""WITH RECURSIVE {_ATTEMPTS_CTE}, {_lockout_cte()}
+SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS failures, locked_until_s FROM lk"""
+
+
+@register("login_throttle", _throttle_sql())
 def q_login_throttle(spark, sf):
     """T2 batch twin: token bucket per user over every login attempt (error/signup)."""
-    return LS.throttle(LS.login_attempts(_events(spark, sf)))
+    out = LS.throttle(LS.login_attempts(_events(spark, sf)))
+    return out.withColumns({"retry_after_s": F.bround("retry_after_s", 6), "tokens": F.bround("tokens", 6)})
 
 
-@register("lockout_audit")
+@register("lockout_audit", _lockout_sql())
 def q_lockout_audit(spark, sf):
     """T3 batch twin: lockout outcome of every login attempt."""
     return LS.lockout(LS.login_attempts(_events(spark, sf)))
@@ -210,7 +257,18 @@ def q_role_entitlements(spark, sf):
                     F.array_join("pages", " | ").alias("pages"))
 
 
-@register("user_list")
+def _user_list_sql() -> str:
+    return f"""WITH RECURSIVE {_ATTEMPTS_CTE}, {_lockout_cte()}, {ACCOUNTS_SQL},
+last AS (SELECT user_id, arg_max(failures, (ts, event_id)) AS failures,
+                arg_max(locked_until_s, (ts, event_id)) AS locked_until_s,
+                arg_max(locked_until_s IS NULL, (ts, event_id)) AS unlocked FROM lk GROUP BY user_id)
+SELECT a.username AS "Username", a.full_name AS "Full Name", a.role AS "Role", a.email AS "Email",
+  CAST(coalesce(l.failures, 0) AS INTEGER) AS "Failed",
+  CASE WHEN l.user_id IS NOT NULL AND NOT l.unlocked THEN 'Yes' ELSE 'No' END AS "Locked"
+FROM accounts a LEFT JOIN last l ON a.user_id = l.user_id"""
+
+
+@register("user_list", _user_list_sql())
 def q_user_list(spark, sf):
     """Account list with failed count and lock flag from the lockout audit."""
     audit = LS.lockout(LS.login_attempts(_events(spark, sf)))
