@@ -19,6 +19,7 @@ from rentlens.plans.catalog import clean, clean_shared, register
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
 from rentlens.sources import predlog as PL
+from rentlens.sources.listings import KEY_COLS
 from rentlens.sources.tables import table
 from rentlens.streaming import login_state as LS
 from rentlens.streaming import predlog_stream as PS
@@ -39,7 +40,7 @@ def _log_table(spark, sf):
         priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(ST.demand_heatmap(df), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))
-        records = PS.checked_records(PL.prediction_records(priced))
+        records = PS.checked_records(PL.prediction_records(priced, key_cols=KEY_COLS))
         PL.append(records, f"{base}/landing")
         schema = spark.read.parquet(f"{base}/landing").schema
         PS.run_to_table(PS.log_stream(spark, f"{base}/landing", schema), f"{base}/log", f"{base}/_checkpoint")

@@ -18,8 +18,13 @@ RECORD_COLS = ["user_id", "city", "bhk", "size", "furnishing", "predicted_rent",
                "risk_probability", "price_per_sqft"]
 
 
-def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=None) -> DataFrame:
-    """S5 record shape from scored listings (M8 output or ``pricing.rent_band``)."""
+def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=None,
+                       key_cols: list[str] | None = None) -> DataFrame:
+    """S5 record shape from scored listings (M8 output or ``pricing.rent_band``).
+
+    With ``key_cols`` the id hashes the request key and the batch time, so a
+    recomputed partition (lost executor, replayed batch) yields the same ids."""
+    keys = key_cols or []
     ts = F.current_timestamp() if batch_ts is None else F.lit(batch_ts).cast("timestamp")
     req = scored.select(
         (F.col(user_id).cast("string") if user_id else F.lit(None).cast("string")).alias("user_id"),
@@ -28,12 +33,13 @@ def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=N
         "price_per_sqft",
         F.greatest(F.col("bhk") - 1, F.lit(1)).alias("bathroom"),
         F.lit("1 out of 3").alias("floor_txt"), F.lit(None).cast("string").alias("area_type"),
-        F.lit(None).cast("string").alias("tenant"), ts.alias("timestamp"))
-    vec = add_vectors(req, keep=RECORD_COLS + ["timestamp"])
-    out = vec.select(*RECORD_COLS, "vector", "timestamp")
-    rid = F.sha2(F.to_json(F.struct(*RECORD_COLS, F.col("timestamp").cast("string"),
-                                    F.monotonically_increasing_id())), 256)
-    return out.withColumn("id", rid)
+        F.lit(None).cast("string").alias("tenant"), ts.alias("timestamp"),
+        *[F.col(k).alias(f"_key_{k}") for k in keys])
+    kcols = [f"_key_{k}" for k in keys]
+    vec = add_vectors(req, keep=RECORD_COLS + ["timestamp"] + kcols)
+    tag = F.struct(*[F.col(k) for k in kcols]) if kcols else F.monotonically_increasing_id()
+    rid = F.sha2(F.to_json(F.struct(*RECORD_COLS, F.col("timestamp").cast("string"), tag.alias("k"))), 256)
+    return vec.select(*RECORD_COLS, "vector", "timestamp", rid.alias("id"))
 
 
 def append(records: DataFrame, path: str) -> None:
