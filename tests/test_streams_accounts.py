@@ -144,3 +144,26 @@ def test_entitlements_and_user_list(spark):
     assert (ul["a"]["Failed"], ul["a"]["Locked"]) == (0, "No")
     assert (ul["b"]["Failed"], ul["b"]["Locked"]) == (5, "Yes")
     assert (ul["c"]["Failed"], ul["c"]["Locked"]) == (0, "No")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.floats(0.0, 50.0, allow_nan=False), st.booleans()),
+                min_size=1, max_size=80))
+def test_state_machine_properties(spark, steps):
+    rows, t = [], {0: 0.0, 1: 0.0, 2: 0.0}
+    for i, (u, gap, ok) in enumerate(steps):
+        t[u] += gap
+        rows.append((i, T0 + dt.timedelta(microseconds=int(t[u] * 1e6)), u, "signup" if ok else "error"))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    thr = {r["event_id"]: r for r in LS.throttle(df, partitions=2).collect()}
+    assert all(0 <= r["tokens"] <= C.BUCKET_CAPACITY for r in thr.values())
+    assert all((r["retry_after_s"] == 0) == r["allowed"] for r in thr.values())
+    lock = {r["event_id"]: r["outcome"] for r in LS.lockout(LS.login_attempts(df), partitions=2).collect()}
+    for u, rs in _by_user(rows).items():
+        secs = [(r[1] - T0).total_seconds() for r in rs]
+        assert [thr[r[0]]["allowed"] for r in rs] == [a for a, _ in PM.token_bucket(secs)]
+        assert [lock[r[0]] for r in rs] == PM.lockout([(s, r[3] == "signup") for s, r in zip(secs, rs)])
