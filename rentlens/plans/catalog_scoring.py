@@ -236,8 +236,11 @@ def _sig_sql() -> str:
       CASE WHEN appreciation >= 9.0 THEN 'rapidly appreciating market' WHEN appreciation >= 7.5 THEN 'strong growth trajectory'
            WHEN appreciation >= 6.0 THEN 'moderate appreciation' ELSE 'stable, slower market' END,
       '1-yr rent projection: ₹' || format('{:,.0f}', predicted_rent * (1 + appreciation / 100)) || ' at current trajectory']"""
-    return ", ".join(f"array_to_string({e}, ' | ') AS {n}_signals" for n, e in zip(
-        RK.NAMES, [pa.replace("{{", "{").replace("}}", "}"), sp, af, pr, mv]))
+    return dict(zip(RK.NAMES, [pa.replace("{{", "{").replace("}}", "}"), sp, af, pr, mv]))
+
+
+def _sig_sql_joined() -> str:
+    return ", ".join(f"array_to_string({e}, ' | ') AS {n}_signals" for n, e in _sig_sql().items())
 
 
 def _summary_sql() -> str:
@@ -252,19 +255,41 @@ def _summary_sql() -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-def _actions_sql() -> str:
+def _actions_list_sql() -> str:
     items = ", ".join(
         f"CASE WHEN {n}_score >= 60 THEN '" + C.FACTOR_ACTIONS[n].replace("'", "''").replace("{city}", "' || city_s || '") + "' END"
         for n in RK.NAMES)
     lst = f"list_filter([{items}], lambda x: x IS NOT NULL)"
     dflt = "[" + ", ".join("'" + a + "'" for a in C.DEFAULT_ACTIONS) + "]"
-    return f"array_to_string(CASE WHEN len({lst}) = 0 THEN {dflt} ELSE {lst}[1:4] END, ' | ')"
+    return f"CASE WHEN len({lst}) = 0 THEN {dflt} ELSE {lst}[1:4] END"
+
+
+def _actions_sql() -> str:
+    return f"array_to_string({_actions_list_sql()}, ' | ')"
+
+
+def _level_sql(score: str, what: int) -> str:
+    return "CASE " + " ".join(f"WHEN {score} >= {lv[0]} THEN '{lv[what]}'" for lv in C.LEVELS[:-1]) \
+        + f" ELSE '{C.LEVELS[-1][what]}' END"
+
+
+def _report_json_sql() -> str:
+    sig = _sig_sql()
+    factors = ", ".join(
+        "{" + f"'name': '{n}', 'label': '{RK.LABELS[n]}', 'score': {_fmt1(n + '_score')},"
+        f" 'weight': {RK.WEIGHTS[n]}::DOUBLE, 'description': '{C.FACTOR_DESCRIPTIONS[n]}', 'signals': {sig[n]},"
+        f" 'level': {_level_sql(n + '_score', 1)}, 'color': {_level_sql(n + '_score', 2)},"
+        f" 'icon': {_level_sql(n + '_score', 3)}" + "}" for n in RK.NAMES)
+    report = ("{" + f"'composite': {_fmt1('composite')}, 'level': risk_level, 'color': {_level_sql('composite', 2)},"
+              f" 'icon': {_level_sql('composite', 3)}, 'summary': {_summary_sql()}, 'actions': {_actions_list_sql()},"
+              f" 'demand_risk': 'Low', 'risk_probability': 0.0::DOUBLE, 'factors': [{factors}]" + "}")
+    return with_listings(f"SELECT {KEYS_SQL}, CAST(to_json({report}) AS VARCHAR) AS report_json FROM lv", _RISK_CTE)
 
 
 @register("risk_reports", with_listings(
     f"SELECT {KEYS_SQL}, risk_level, CASE risk_level "
     + " ".join(f"WHEN '{lv}' THEN '{col}'" for _, lv, col, _ in C.LEVELS) + " END AS risk_color, "
-    + f"{_summary_sql()} AS summary, {_actions_sql()} AS actions, {_sig_sql()} FROM lv", _RISK_CTE))
+    + f"{_summary_sql()} AS summary, {_actions_sql()} AS actions, {_sig_sql_joined()} FROM lv", _RISK_CTE))
 def q_risk_reports(spark, sf):
     """Signals per factor, summary and actions (arrays shown joined by ' | ')."""
     s = _scored(spark, sf)
@@ -273,10 +298,10 @@ def q_risk_reports(spark, sf):
                     *[F.array_join(f"{n}_signals", " | ").alias(f"{n}_signals") for n in RK.NAMES])
 
 
-@register("risk_report_json")
+@register("risk_report_json", _report_json_sql())
 def q_risk_report_json(spark, sf):
-    """The nested report (struct with arrays of factor structs) and its JSON."""
-    return _scored(spark, sf).select(*KEY_COLS, "report", "report_json")
+    """The nested report (struct with arrays of factor structs) as JSON text."""
+    return _scored(spark, sf).select(*KEY_COLS, "report_json")
 
 
 # ------------------------------------------------------------------ insights ---
