@@ -94,13 +94,13 @@ def _events(spark, sf):
 
 
 _ATTEMPTS_CTE = """att AS (SELECT event_id, user_id, ts, event_type = 'signup' AS success,
-  epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
   FROM events WHERE event_type IN ('error', 'signup'))"""
 
 
 def _throttle_sql() -> str:
     cap, rate, cost = C.BUCKET_CAPACITY, C.BUCKET_RATE, C.BUCKET_COST
-    refill = f"least({cap}::DOUBLE, p.tokens + (a.t - p.t) * {rate}::DOUBLE)"
+    refill = f"least({cap}::DOUBLE, p.tokens + (a.t - p.t) / 1000000.0::DOUBLE * {rate}::DOUBLE)"
     return f"""WITH RECURSIVE {_ATTEMPTS_CTE},
 tb AS (
   SELECT user_id, rn, event_id, ts, t, {cap}::DOUBLE AS avail FROM att WHERE rn = 1
@@ -116,7 +116,7 @@ FROM tb"""
 
 
 def _lockout_cte() -> str:
-    mx, lock = C.MAX_LOGIN_ATTEMPTS, float(C.LOCK_SECONDS)
+    mx, lock = C.MAX_LOGIN_ATTEMPTS, int(round(C.LOCK_SECONDS * 1_000_000))
     return f"""lk AS (
   SELECT user_id, rn, event_id, ts, t, success,
     CASE WHEN success THEN 0 ELSE 1 END AS failures,
@@ -136,7 +136,8 @@ def _lockout_cte() -> str:
 
 def _lockout_sql() -> str:
     return f"""WITH RECURSIVE {_ATTEMPTS_CTE}, {_lockout_cte()}
-SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS failures, locked_until_s FROM lk"""
+SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS failures,
+  locked_until_s / 1000000.0::DOUBLE AS locked_until_s FROM lk"""
 
 
 @register("login_throttle", _throttle_sql())

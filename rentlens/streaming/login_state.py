@@ -26,23 +26,25 @@ from rentlens import constants as C
 # ------------------------------------------------------------- step functions ---
 
 
-def bucket_step(state: tuple[float, float] | None, t: float, capacity: float, rate: float, cost: float):
-    """One request at time ``t`` (seconds). State (tokens, last_t); a new key starts full.
+def bucket_step(state: tuple[float, int] | None, t: int, capacity: float, rate: float, cost: float):
+    """One request at time ``t`` (integer microseconds, so elapsed time is exact).
+    State (tokens, last_t); a new key starts full.
     Returns (new_state, allowed, retry_after_s, tokens_after)."""
     tokens, last = (capacity, t) if state is None else state
-    tokens = min(capacity, tokens + (t - last) * rate)
+    tokens = min(capacity, tokens + (t - last) / 1e6 * rate)
     if tokens >= cost:
         tokens -= cost
         return (tokens, t), True, 0.0, tokens
     return (tokens, t), False, (cost - tokens) / rate, tokens
 
 
-def lockout_step(state: tuple[int, float | None] | None, t: float, success: bool,
+def lockout_step(state: tuple[int, int | None] | None, t: int, success: bool,
                  max_attempts: int, lock_s: float):
-    """One login attempt. State (failures, locked_until). While locked the attempt
-    is denied and not counted; a failure that reaches ``max_attempts`` locks for
-    ``lock_s``; success resets. The counter is not cleared when a lock expires, so
-    the next failure locks again. Returns (new_state, outcome, failures, locked_until)."""
+    """One login attempt at ``t`` (integer microseconds). State (failures,
+    locked_until in microseconds). While locked the attempt is denied and not
+    counted; a failure that reaches ``max_attempts`` locks for ``lock_s``; success
+    resets. The counter is not cleared when a lock expires, so the next failure
+    locks again. Returns (new_state, outcome, failures, locked_until)."""
     failures, locked = (0, None) if state is None else state
     if locked is not None and t < locked:
         return (failures, locked), "locked", failures, locked
@@ -50,7 +52,7 @@ def lockout_step(state: tuple[int, float | None] | None, t: float, success: bool
         return (0, None), "ok", 0, None
     failures += 1
     if failures >= max_attempts:
-        locked = t + lock_s
+        locked = t + int(round(lock_s * 1_000_000))
         return (failures, locked), "fail_locked", failures, locked
     return (failures, locked), "fail", failures, locked
 
@@ -77,8 +79,12 @@ def login_attempts(events: DataFrame, failure: str = "error", success: str = "si
             .select("event_id", "user_id", "ts", (F.col("event_type") == success).alias("success")))
 
 
-def _secs(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64") / 1e6
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
+
+
+def _secs_or_none(us):
+    return None if us is None else us / 1e6
 
 
 def _sorted_by_key(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
@@ -96,13 +102,13 @@ def throttle(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state = None, None
         for b in batches:
-            secs = _secs(b["ts"]).to_numpy()
+            secs = _micros(b["ts"]).to_numpy()
             keys = b[key].to_numpy()
             allowed, retry, tokens = [], [], []
             for k, t in zip(keys, secs):
                 if k != cur:
                     cur, state = k, None
-                state, ok, r, tok = bucket_step(state, t, capacity, rate, cost)
+                state, ok, r, tok = bucket_step(state, int(t), capacity, rate, cost)
                 allowed.append(ok); retry.append(r); tokens.append(tok)
             yield pd.DataFrame({"event_id": b["event_id"], "user_id": b[key], "ts": b["ts"],
                                 "allowed": allowed, "retry_after_s": retry, "tokens": tokens})
@@ -118,13 +124,13 @@ def lockout(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS, lock_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state = None, None
         for b in batches:
-            secs = _secs(b["ts"]).to_numpy()
+            secs = _micros(b["ts"]).to_numpy()
             outs, fails, locks = [], [], []
             for k, t, s in zip(b[key].to_numpy(), secs, b["success"].to_numpy()):
                 if k != cur:
                     cur, state = k, None
-                state, o, f, lk = lockout_step(state, t, bool(s), max_attempts, lock_s)
-                outs.append(o); fails.append(f); locks.append(lk)
+                state, o, f, lk = lockout_step(state, int(t), bool(s), max_attempts, lock_s)
+                outs.append(o); fails.append(f); locks.append(_secs_or_none(lk))
             yield pd.DataFrame({"event_id": b["event_id"], "user_id": b[key], "ts": b["ts"],
                                 "success": b["success"], "outcome": outs, "failures": fails,
                                 "locked_until_s": pd.Series(locks, dtype="float64")})
@@ -157,16 +163,16 @@ def throttle_stream(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate
         b = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
         rows = []
         for eid, ts in zip(b["event_id"], b["ts"]):
-            t = pd.Timestamp(ts).value / 1e9
+            t = pd.Timestamp(ts).value // 1000
             st, ok, r, tok = bucket_step(st, t, capacity, rate, cost)
             rows.append((eid, key[0], ts, ok, r, tok))
         if st is not None:
-            state.update(st)
-            state.setTimeoutTimestamp(int(st[1] * 1000) + refill_ms)
+            state.update((float(st[0]), int(st[1])))
+            state.setTimeoutTimestamp(int(st[1] // 1000) + refill_ms)
         yield pd.DataFrame(rows, columns=[f.name for f in THROTTLE_SCHEMA.fields])
 
     return src.groupBy("user_id").applyInPandasWithState(
-        fn, _stream_out_schema(THROTTLE_SCHEMA), "tokens double, last double", "append",
+        fn, _stream_out_schema(THROTTLE_SCHEMA), "tokens double, last long", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
@@ -186,20 +192,20 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS
         st = None
         if state.exists:
             f, lk = state.get
-            st = (int(f), None if lk is None or pd.isna(lk) else float(lk))
+            st = (int(f), None if lk is None or pd.isna(lk) else int(lk))
         parts = [p for p in pdfs]
         b = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
         rows, last = [], None
         for eid, ts, s in zip(b["event_id"], b["ts"], b["success"]):
-            t = pd.Timestamp(ts).value / 1e9
+            t = pd.Timestamp(ts).value // 1000
             st, o, f, lk = lockout_step(st, t, bool(s), max_attempts, lock_s)
-            rows.append((eid, key[0], ts, bool(s), o, f, lk))
+            rows.append((eid, key[0], ts, bool(s), o, f, _secs_or_none(lk)))
             last = t
         if st is not None:
             state.update((st[0], st[1]))
-            state.setTimeoutTimestamp(int((last + idle_timeout_s) * 1000))
+            state.setTimeoutTimestamp(int(last // 1000 + idle_timeout_s * 1000))
         yield pd.DataFrame(rows, columns=[f.name for f in LOCKOUT_SCHEMA.fields])
 
     return src.groupBy("user_id").applyInPandasWithState(
-        fn, _stream_out_schema(LOCKOUT_SCHEMA), "failures int, locked_until double", "append",
+        fn, _stream_out_schema(LOCKOUT_SCHEMA), "failures int, locked_until long", "append",
         GroupStateTimeout.EventTimeTimeout)

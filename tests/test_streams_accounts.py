@@ -43,7 +43,7 @@ def _by_user(rows, pred=lambda r: True):
 def test_token_bucket_matches_model(spark, events):
     got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in LS.throttle(events, partitions=3).collect()}
     for u, rs in _by_user(_events()).items():
-        secs = [(r[1] - T0).total_seconds() for r in rs]
+        secs = [(r[1] - T0) // dt.timedelta(microseconds=1) for r in rs]
         for r, (ok, retry) in zip(rs, PM.token_bucket(secs)):
             assert got[r[0]][0] == ok
             assert got[r[0]][1] == pytest.approx(retry, abs=1e-6)
@@ -54,7 +54,7 @@ def test_lockout_matches_model(spark, events):
     att = LS.login_attempts(events)
     got = {r["event_id"]: r["outcome"] for r in LS.lockout(att, partitions=2).collect()}
     for u, rs in _by_user(_events(), lambda r: r[3] in ("error", "signup")).items():
-        exp = PM.lockout([((r[1] - T0).total_seconds(), r[3] == "signup") for r in rs])
+        exp = PM.lockout([((r[1] - T0) // dt.timedelta(microseconds=1), r[3] == "signup") for r in rs])
         assert [got[r[0]] for r in rs] == exp
     assert "locked" in got.values() and "fail_locked" in got.values()
 
@@ -164,6 +164,6 @@ def test_state_machine_properties(spark, steps):
     assert all((r["retry_after_s"] == 0) == r["allowed"] for r in thr.values())
     lock = {r["event_id"]: r["outcome"] for r in LS.lockout(LS.login_attempts(df), partitions=2).collect()}
     for u, rs in _by_user(rows).items():
-        secs = [(r[1] - T0).total_seconds() for r in rs]
+        secs = [(r[1] - T0) // dt.timedelta(microseconds=1) for r in rs]
         assert [thr[r[0]]["allowed"] for r in rs] == [a for a, _ in PM.token_bucket(secs)]
         assert [lock[r[0]] for r in rs] == PM.lockout([(s, r[3] == "signup") for s, r in zip(secs, rs)])
