@@ -128,9 +128,12 @@ def listing_vector_table(listings: DataFrame) -> DataFrame:
 
 
 def upsert_latest(table: DataFrame, ts: str, id_col: str = "listing_id") -> DataFrame:
-    """Upsert semantics over an append log: the newest row per id wins."""
-    w = Window.partitionBy(id_col).orderBy(F.col(ts).desc())
-    return table.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Upsert semantics over an append log: the newest row per id wins. A
+    ``max_by`` aggregate (partially aggregated before the shuffle), so an id with
+    very many versions costs one partial row per task, not one sorted partition."""
+    others = [c for c in table.columns if c != id_col]
+    latest = table.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col(ts)).alias("_row"))
+    return latest.select(id_col, *[F.col("_row")[c].alias(c) for c in others])
 
 
 def find_similar(queries: DataFrame, vector_table: DataFrame, k: int = 8, same_city: bool = False,

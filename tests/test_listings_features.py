@@ -3,7 +3,6 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from rentlens.functions import features as FT
 from rentlens.functions import text as TX
