@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rentlens import constants as C
 from rentlens.functions import features as FT
 from rentlens.functions.text import py_round
 from rentlens.operators import insights as IN
 from rentlens.operators import pricing as PR
 from rentlens.operators import risk as RK
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import clean, clean_shared, register
+from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.sources.listings import KEY_COLS
 
@@ -45,8 +46,6 @@ def _unit(col: str, cats: list[str]) -> str:
     return f"(CASE {col} {whens} ELSE 0.5::DOUBLE END)"
 
 
-from rentlens import constants as C  # noqa: E402
-
 _FEATURES_SQL = with_listings(f"""
 SELECT {KEYS_SQL}, {_enc('city', C.CITIES)} AS city_enc, bhk_c AS bhk_f, size_c AS size_f,
   bath_c AS bathroom_f, {_enc('furnishing', C.FURNISH)} AS furnishing_enc, floor_n, total_f, floor_ratio,
@@ -360,8 +359,6 @@ ij AS (SELECT p.*, coalesce(h.demand_rate, 0.0) AS risk_prob, s.dl_rent, coalesc
                          f" round_even({agree}, 6) AS agreement_pct, coalesce({agree} < 8, false) AS models_agree FROM ij", ctes)
 
 
-from rentlens.plans.catalog import _DEMAND_CTE  # noqa: E402
-
 
 @register("prediction_insights", _insights_sql())
 def q_prediction_insights(spark, sf):

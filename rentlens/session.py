@@ -26,6 +26,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.driver.maxResultSize", "4g")
         # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a fused
         # stage larger than that would run interpreted, so let Spark split it.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
