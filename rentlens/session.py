@@ -30,6 +30,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a fused
         # stage larger than that would run interpreted, so let Spark split it.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # local runs only: keep catalog tables out of the working directory
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="rentlens-wh-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
