@@ -33,3 +33,13 @@ def run_to_table(stream: DataFrame, table_dir: str, checkpoint_dir: str, availab
 def checked_records(records: DataFrame) -> DataFrame:
     """Records with the columns the log requires, timestamps as TIMESTAMP."""
     return records.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """Rows a streaming query discarded as later than its watermark, summed over
+    the progress reports it still holds (the late-row count the policy asks for)."""
+    total = 0
+    for p in query.recentProgress or []:
+        for op in p.get("stateOperators", []) or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total

@@ -71,6 +71,7 @@ def test_stream_forms_agree_with_batch(spark, events):
              .option("checkpointLocation", f"{base}/ck_{name}").trigger(availableNow=True).start())
         q.awaitTermination()
         outs[name] = spark.sql(f"SELECT * FROM q_{name}")
+    assert PS.rows_dropped_by_watermark(q) == 0  # one ordered batch: nothing is late
     thr = {r["event_id"]: r["allowed"] for r in outs["thr"].collect()}
     lock = {r["event_id"]: r["outcome"] for r in outs["lock"].collect()}
     b_thr = {r["event_id"]: r["allowed"] for r in LS.throttle(events).collect()}
