@@ -23,7 +23,8 @@ def py_round(c, ndigits: int = 0) -> Column:
     x = _c(c).cast("double")
     if ndigits <= 0:
         return F.bround(x, ndigits)
-    return F.regexp_replace(F.format_number(x, ndigits), ",", "").cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(finite, F.regexp_replace(F.format_number(x, ndigits), ",", "").cast("double")).otherwise(x)
 
 
 def fixed(c, ndigits: int = 0) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from rentlens.operators import filters as FL
 from rentlens.operators import stats as ST
+from rentlens.functions.text import py_round
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import materialize
 from rentlens.sources import listings as L
@@ -35,13 +36,19 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Round every top-level double column half-even to 6 places."""
-    return df.select(*[F.bround(F.col(f.name), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    """Round every top-level double column to 6 places, correctly rounded from the
+    exact binary value (half-even), the way Python and DuckDB's ``format`` do."""
+    return df.select(*[py_round(F.col(f.name), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
+def sql_round6(expr: str) -> str:
+    """DuckDB twin of ``r6`` for one expression."""
+    return f"CAST(format('{{:.6f}}', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+
+
 def sql_r6(sql: str, cols: list[str]) -> str:
-    rep = ", ".join(f"round_even(CAST({c} AS DOUBLE), 6) AS {c}" for c in cols)
+    rep = ", ".join(f"{sql_round6(c)} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n)"
 
 

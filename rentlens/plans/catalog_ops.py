@@ -15,7 +15,8 @@ from rentlens.operators import filters as FL
 from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import clean, clean_shared, register
+from rentlens.functions.text import py_round
+from rentlens.plans.catalog import clean, clean_shared, register, sql_round6
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
 from rentlens.sources import predlog as PL
@@ -110,8 +111,8 @@ tb AS (
   FROM (SELECT user_id, rn, t, CASE WHEN avail >= {cost} THEN avail - {cost} ELSE avail END AS tokens FROM tb) p
   JOIN att a ON a.user_id = p.user_id AND a.rn = p.rn + 1)
 SELECT event_id, user_id, ts, avail >= {cost} AS allowed,
-  round_even(CASE WHEN avail >= {cost} THEN 0.0 ELSE ({cost} - avail) / {rate} END, 6) AS retry_after_s,
-  round_even(CASE WHEN avail >= {cost} THEN avail - {cost} ELSE avail END, 6) AS tokens
+  {sql_round6(f"CASE WHEN avail >= {cost} THEN 0.0 ELSE ({cost} - avail) / {rate} END")} AS retry_after_s,
+  {sql_round6(f"CASE WHEN avail >= {cost} THEN avail - {cost} ELSE avail END")} AS tokens
 FROM tb"""
 
 
@@ -144,7 +145,7 @@ SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS fai
 def q_login_throttle(spark, sf):
     """T2 batch twin: token bucket per user over every login attempt (error/signup)."""
     out = LS.throttle(LS.login_attempts(_events(spark, sf)))
-    return out.withColumns({"retry_after_s": F.bround("retry_after_s", 6), "tokens": F.bround("tokens", 6)})
+    return out.withColumns({"retry_after_s": py_round("retry_after_s", 6), "tokens": py_round("tokens", 6)})
 
 
 @register("lockout_audit", _lockout_sql())

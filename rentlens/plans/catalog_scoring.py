@@ -12,7 +12,7 @@ from rentlens.operators import insights as IN
 from rentlens.operators import pricing as PR
 from rentlens.operators import risk as RK
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register
+from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register, sql_round6
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.sources.listings import KEY_COLS
 
@@ -51,8 +51,8 @@ SELECT {KEYS_SQL}, {_enc('city', C.CITIES)} AS city_enc, bhk_c AS bhk_f, size_c
   bath_c AS bathroom_f, {_enc('furnishing', C.FURNISH)} AS furnishing_enc, floor_n, total_f, floor_ratio,
   size_c / bhk_c AS size_per_bhk, bath_c / bhk_c AS bath_per_bhk,
   {_enc('area_type', C.AREA_TYPES)} AS area_type_enc, {_enc('tenant', C.TENANTS)} AS tenant_enc,
-  round_even(ln(1 + size_c), 6) AS log_size, bhk_c * bath_c AS bhk_bath_interaction,
-  round_even(ln(1 + CAST(rent AS DOUBLE)), 6) AS log_rent,
+  {sql_round6('ln(1 + size_c)')} AS log_size, bhk_c * bath_c AS bhk_bath_interaction,
+  {sql_round6('ln(1 + CAST(rent AS DOUBLE))')} AS log_rent,
   CASE WHEN price_per_sqft >= 40.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS demand_fixed
 FROM flr""", _FLOOR_CTE)
 
@@ -66,13 +66,13 @@ def q_listing_features(spark, sf):
     out = out.select(*KEY_COLS, "city_enc", "bhk_f", "size_f", "bathroom_f", "furnishing_enc",
                      fl["floor_n"].alias("floor_n"), fl["total_f"].alias("total_f"), "floor_ratio",
                      "size_per_bhk", "bath_per_bhk", "area_type_enc", "tenant_enc",
-                     F.bround("log_size", 6).alias("log_size"), "bhk_bath_interaction",
-                     F.bround("log_rent", 6).alias("log_rent"), "demand_fixed")
+                     py_round("log_size", 6).alias("log_size"), "bhk_bath_interaction",
+                     py_round("log_rent", 6).alias("log_rent"), "demand_fixed")
     return out
 
 
 _VEC_SQL = with_listings(f"""
-SELECT {KEYS_SQL}, {', '.join(f'round_even(c{i} / nrm, 6) AS v{i:02d}' for i in range(1, 13))}
+SELECT {KEYS_SQL}, {', '.join(f'{sql_round6(f"c{i} / nrm")} AS v{i:02d}' for i in range(1, 13))}
 FROM (SELECT *, sqrt({' + '.join(f'c{i} * c{i}' for i in range(1, 13))}) AS nrm FROM (
   SELECT {KEYS_SQL},
     {_unit('city', C.CITIES)} AS c1, least(bhk_c / 6.0, 1.0) AS c2, least(size_c / 5000.0, 1.0) AS c3,
@@ -87,7 +87,7 @@ FROM (SELECT *, sqrt({' + '.join(f'c{i} * c{i}' for i in range(1, 13))}) AS nrm
 def q_listing_vectors(spark, sf):
     """Unit-length 12-dim similarity vectors (components rounded to 6 places)."""
     v = FT.add_vectors(clean(spark, sf), keep=KEY_COLS)
-    return v.select(*KEY_COLS, *[F.bround(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)])
+    return v.select(*KEY_COLS, *[py_round(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)])
 
 
 # ------------------------------------------------------------------- pricing ---
@@ -356,7 +356,7 @@ ij AS (SELECT p.*, coalesce(h.demand_rate, 0.0) AS risk_prob, s.dl_rent, coalesc
        FROM flr p LEFT JOIN heat h ON p.city = h.city AND p.bhk = h.bhk
        LEFT JOIN second s ON p.city = s.city AND p.bhk = s.bhk)""")
     return with_listings(f"SELECT {KEYS_SQL}, array_to_string({lst}, ' | ') AS insights,"
-                         f" round_even({agree}, 6) AS agreement_pct, coalesce({agree} < 8, false) AS models_agree FROM ij", ctes)
+                         f" {sql_round6(agree)} AS agreement_pct, coalesce({agree} < 8, false) AS models_agree FROM ij", ctes)
 
 
 
@@ -368,5 +368,5 @@ def q_prediction_insights(spark, sf):
     j = _insight_frame(spark, sf)
     return j.select(*KEY_COLS, F.array_join(IN.insights(dl_rent="dl_rent", city_median="city_median"), " | ")
                     .alias("insights"),
-                    F.bround(IN.agreement_pct("dl_rent", "predicted_rent"), 6).alias("agreement_pct"),
+                    py_round(IN.agreement_pct("dl_rent", "predicted_rent"), 6).alias("agreement_pct"),
                     F.coalesce(IN.agreement_pct("dl_rent", "predicted_rent") < 8, F.lit(False)).alias("models_agree"))
