@@ -39,8 +39,8 @@ def grouped(c, ndigits: int = 0) -> Column:
 
 def signed(c, ndigits: int = 0) -> Column:
     """``f"{x:+.{n}f}"``."""
-    x = _c(c).cast("double")
-    return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), fixed(x, ndigits))
+    txt = fixed(_c(c).cast("double"), ndigits)
+    return F.concat(F.when(txt.startswith("-"), F.lit("")).otherwise(F.lit("+")), txt)
 
 
 def percent(c, ndigits: int = 0) -> Column:
