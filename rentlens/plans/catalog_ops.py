@@ -276,3 +276,34 @@ def q_user_list(spark, sf):
     """Account list with failed count and lock flag from the lockout audit."""
     audit = LS.lockout(LS.login_attempts(_events(spark, sf)))
     return AC.user_list(_accounts(spark, sf), audit)
+
+
+# --------------------------------------------------------- streaming forms ---
+
+def _run_stream(spark, sf, name: str, build):
+    """Run a stateful streaming plan over the events file to completion
+    (``availableNow``) into a parquet sink under the shared checkpoint folder, and
+    read the sink back as a table."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+           .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/")))
+    q = (build(src.select("event_id", "ts", "user_id", "event_type")).writeStream.format("parquet")
+         .outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("login_throttle_stream", _throttle_sql())
+def q_login_throttle_stream(spark, sf):
+    """T2 as a Structured Streaming job (applyInPandasWithState, event-time
+    timeout) over every login attempt; equal to the batch twin."""
+    out = _run_stream(spark, sf, "throttle", lambda s: LS.throttle_stream(LS.login_attempts(s)))
+    return out.withColumns({"retry_after_s": py_round("retry_after_s", 6), "tokens": py_round("tokens", 6)})
+
+
+@register("lockout_audit_stream", _lockout_sql())
+def q_lockout_audit_stream(spark, sf):
+    """T3 as a Structured Streaming job over every login attempt."""
+    return _run_stream(spark, sf, "lockout", lambda s: LS.lockout_stream(LS.login_attempts(s)))
