@@ -33,18 +33,13 @@ def city_summary(df: DataFrame, method: str = "exact") -> DataFrame:
     """A1: per city mean/median/min/max/sample-std of rent, mean psf, count; rounded
     to 0 decimals half-even (the single-row std stays null)."""
     d = _keys_not_null(df, ["city"])
-    base = d.groupBy("city").agg(
-        F.avg("rent").alias("avg_rent"), F.min("rent").alias("min_rent"),
-        F.max("rent").alias("max_rent"), F.stddev_samp("rent").alias("std_rent"),
-        F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings"))
+    simple = [F.avg("rent").alias("avg_rent"), F.min("rent").alias("min_rent"),
+              F.max("rent").alias("max_rent"), F.stddev_samp("rent").alias("std_rent"),
+              F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings")]
     if method == "exact":
-        base = d.groupBy("city").agg(
-            F.avg("rent").alias("avg_rent"), F.median("rent").alias("median_rent"),
-            F.min("rent").alias("min_rent"), F.max("rent").alias("max_rent"),
-            F.stddev_samp("rent").alias("std_rent"), F.avg("price_per_sqft").alias("avg_psf"),
-            F.count(F.lit(1)).alias("n_listings"))
+        base = d.groupBy("city").agg(F.median("rent").alias("median_rent"), *simple)
     else:
-        base = _with_quantiles(d, base, ["city"], "rent", {"median_rent": 0.5}, method)
+        base = _with_quantiles(d, d.groupBy("city").agg(*simple), ["city"], "rent", {"median_rent": 0.5}, method)
     return base.select(
         "city", F.bround("avg_rent", 0).alias("avg_rent"), F.bround("median_rent", 0).alias("median_rent"),
         "min_rent", "max_rent", F.bround("std_rent", 0).alias("std_rent"),
@@ -90,10 +85,9 @@ def furnish_comparison(df: DataFrame, method: str = "ranked") -> DataFrame:
     exact quantiles by default)."""
     keys = ["city", "furnishing"]
     d = _keys_not_null(df, keys)
-    base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if method == "exact":
-        return d.groupBy(*keys).agg(F.median("price_per_sqft").alias("median_psf"),
-                                    F.count(F.lit(1)).alias("n"))
+        return d.groupBy(*keys).agg(F.median("price_per_sqft").alias("median_psf"), F.count(F.lit(1)).alias("n"))
+    base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return _with_quantiles(d, base, keys, "price_per_sqft", {"median_psf": 0.5}, method)
 
 
