@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentlens.functions.features import add_vectors
+from rentlens.session import ship_package
 
 SCORE_DECIMALS = 9  # scores are compared after rounding, so ties break on id in every engine
 
@@ -51,6 +52,7 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
     ``q_facet``/``i_facet`` restrict matches to equal facet values (same city /
     same label). ``exclude_self`` drops item == query (for self-similarity).
     Output: query_id, item_id, rank, score [, item_cols…]."""
+    ship_package(queries.sparkSession)
     facet = q_facet is not None and i_facet is not None
     q = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"),
                        (F.col(q_facet).cast("string") if facet else F.lit(None).cast("string")).alias("qf"))

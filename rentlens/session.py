@@ -6,7 +6,9 @@ for entry points (tests, bench, the driver contract).
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +78,27 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return cut_lineage(df)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rentlens`` importable in Python workers (pandas UDF paths) by adding
+    a zip of the package with ``SparkContext.addPyFile`` — Spark distributes it to
+    every executor. Done once per application."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="rentlens-py-"), "rentlens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentlens import constants as C
+from rentlens.session import ship_package
 
 # ------------------------------------------------------------- step functions ---
 
@@ -97,6 +98,7 @@ def _sorted_by_key(df: DataFrame, key: str, partitions: int | None) -> DataFrame
 def throttle(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float = C.BUCKET_RATE,
              cost: float = C.BUCKET_COST, key: str = "user_id", partitions: int | None = None) -> DataFrame:
     """T2 batch twin: allow/deny and retry-after for every event, per key, in time order."""
+    ship_package(events.sparkSession)
     src = _sorted_by_key(events.select("event_id", key, "ts"), key, partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,6 +121,7 @@ def throttle(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float
 def lockout(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS, lock_s: float = C.LOCK_SECONDS,
             key: str = "user_id", partitions: int | None = None) -> DataFrame:
     """T3 batch twin (lockout audit): outcome of every attempt, per key, in time order."""
+    ship_package(attempts.sparkSession)
     src = _sorted_by_key(attempts.select("event_id", key, "ts", "success"), key, partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,6 +153,7 @@ def throttle_stream(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate
     the last request, so the state is dropped on an event-time timeout then
     (a fresh key starts full: identical behaviour, bounded state)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    ship_package(events.sparkSession)
     src = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")) \
         .withWatermark("ts", watermark)
     refill_ms = int(capacity / rate * 1000)
@@ -182,6 +186,7 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS
     """T3 on a stream; state (failures, locked_until) expires after ``idle_timeout_s``
     of event-time inactivity."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    ship_package(attempts.sparkSession)
     src = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "success") \
         .withWatermark("ts", watermark)
 
