@@ -51,12 +51,15 @@ SELECT {KEYS_SQL}, {_enc('city', C.CITIES)} AS city_enc, bhk_c AS bhk_f, size_c
   bath_c AS bathroom_f, {_enc('furnishing', C.FURNISH)} AS furnishing_enc, floor_n, total_f, floor_ratio,
   size_c / bhk_c AS size_per_bhk, bath_c / bhk_c AS bath_per_bhk,
   {_enc('area_type', C.AREA_TYPES)} AS area_type_enc, {_enc('tenant', C.TENANTS)} AS tenant_enc,
-  {sql_round6('ln(1 + size_c)')} AS log_size, bhk_c * bath_c AS bhk_bath_interaction,
-  {sql_round6('ln(1 + CAST(rent AS DOUBLE))')} AS log_rent,
+  round_even(ln(1 + size_c), 6) AS log_size, bhk_c * bath_c AS bhk_bath_interaction,
+  round_even(ln(1 + CAST(rent AS DOUBLE)), 6) AS log_rent,
   CASE WHEN price_per_sqft >= 40.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS demand_fixed
 FROM flr""", _FLOOR_CTE)
 
 
+# Row-level transcendental outputs (logs, unit-vector components) are rounded with
+# the fast bround/round_even pair: the two differ only on exact 7th-digit ties,
+# which such values never produce. Rational outputs use the exact-binary rounding.
 @register("listing_features", _FEATURES_SQL)
 def q_listing_features(spark, sf):
     """12 features, parsed floor, log rent, fixed demand label."""
@@ -66,13 +69,13 @@ def q_listing_features(spark, sf):
     out = out.select(*KEY_COLS, "city_enc", "bhk_f", "size_f", "bathroom_f", "furnishing_enc",
                      fl["floor_n"].alias("floor_n"), fl["total_f"].alias("total_f"), "floor_ratio",
                      "size_per_bhk", "bath_per_bhk", "area_type_enc", "tenant_enc",
-                     py_round("log_size", 6).alias("log_size"), "bhk_bath_interaction",
-                     py_round("log_rent", 6).alias("log_rent"), "demand_fixed")
+                     F.bround("log_size", 6).alias("log_size"), "bhk_bath_interaction",
+                     F.bround("log_rent", 6).alias("log_rent"), "demand_fixed")
     return out
 
 
 _VEC_SQL = with_listings(f"""
-SELECT {KEYS_SQL}, {', '.join(f'{sql_round6(f"c{i} / nrm")} AS v{i:02d}' for i in range(1, 13))}
+SELECT {KEYS_SQL}, {', '.join(f'round_even(c{i} / nrm, 6) AS v{i:02d}' for i in range(1, 13))}
 FROM (SELECT *, sqrt({' + '.join(f'c{i} * c{i}' for i in range(1, 13))}) AS nrm FROM (
   SELECT {KEYS_SQL},
     {_unit('city', C.CITIES)} AS c1, least(bhk_c / 6.0, 1.0) AS c2, least(size_c / 5000.0, 1.0) AS c3,
@@ -87,7 +90,7 @@ FROM (SELECT *, sqrt({' + '.join(f'c{i} * c{i}' for i in range(1, 13))}) AS nrm
 def q_listing_vectors(spark, sf):
     """Unit-length 12-dim similarity vectors (components rounded to 6 places)."""
     v = FT.add_vectors(clean(spark, sf), keep=KEY_COLS)
-    return v.select(*KEY_COLS, *[py_round(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)])
+    return v.select(*KEY_COLS, *[F.bround(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)])
 
 
 # ------------------------------------------------------------------- pricing ---
