@@ -27,9 +27,23 @@ def py_round(c, ndigits: int = 0) -> Column:
     return F.when(finite, F.regexp_replace(F.format_number(x, ndigits), ",", "").cast("double")).otherwise(x)
 
 
+def _fixed0(x: Column) -> Column:
+    """``f"{x:.0f}"`` without DecimalFormat: ``bround(x, 0)`` is exactly Python's
+    rounding here (a tie can only be an exactly representable n.5), printed as a
+    long; a negative value that rounds to 0 (or -0.0 itself) prints as "-0"."""
+    r = F.bround(x, 0)
+    neg_zero = (r == 0) & x.cast("string").startswith("-")
+    fast = F.concat(F.when(neg_zero, F.lit("-")).otherwise(F.lit("")), r.cast("long").cast("string"))
+    slow = F.regexp_replace(F.format_number(x, 0), ",", "")
+    return F.when(F.abs(x) < 1e15, fast).otherwise(slow)
+
+
 def fixed(c, ndigits: int = 0) -> Column:
     """``f"{x:.{n}f}"``."""
-    return F.regexp_replace(F.format_number(_c(c).cast("double"), ndigits), ",", "")
+    x = _c(c).cast("double")
+    if ndigits == 0:
+        return _fixed0(x)
+    return F.regexp_replace(F.format_number(x, ndigits), ",", "")
 
 
 def grouped(c, ndigits: int = 0) -> Column:

@@ -38,6 +38,9 @@ def price_anomaly() -> tuple[Column, Column]:
              + F.when(hb & (psf > p75psf * 1.5), 20).when(hb & (psf > p75psf), 8).otherwise(0)
              + F.when(bhk_hit, 10).otherwise(0))
     vs_txt = F.concat(F.lit("Rent is "), signed(vs, 0), F.lit("% vs city median — "))
+    # the fallback message is decided from the (cheap) conditions, so the formatted
+    # array is built once (no size() check over it)
+    none_fired = ~((hb & ((dev > 20) | (pred > F.col("rent_p75")) | (psf > p75psf * 1.5))) | bhk_hit)
     signals = compact([
         F.when(hb & (dev > 80), F.concat(vs_txt, F.lit("extreme outlier")))
         .when(hb & (dev > 40), F.concat(vs_txt, F.lit("significant deviation")))
@@ -48,8 +51,8 @@ def price_anomaly() -> tuple[Column, Column]:
             F.lit("Price/sqft ₹"), fixed(psf, 0), F.lit(" is "), fixed(psf / p75psf, 1), F.lit("× the 75th pct"))),
         F.when(bhk_hit, F.concat(F.col("bhk").cast("string"), F.lit("BHK segment median: ₹"), grouped(bmed, 0),
                                  F.lit(" ("), signed(bhk_dev, 0), F.lit("% gap)"))),
+        F.when(F.coalesce(none_fired, F.lit(True)), F.lit("Rent is within normal city range")),
     ])
-    signals = F.when(F.size(signals) == 0, F.array(F.lit("Rent is within normal city range"))).otherwise(signals)
     return F.least(score.cast("double"), F.lit(100.0)), signals
 
 
@@ -186,9 +189,12 @@ def add_report(df: DataFrame, clf_risk: str | None = None, clf_prob: str | None
         pre, _, post = C.FACTOR_ACTIONS[n].partition("{city}")
         text = F.concat(F.lit(pre), city, F.lit(post)) if "{city}" in C.FACTOR_ACTIONS[n] else F.lit(pre)
         acts.append(F.when(F.col(f"{n}_score") >= 60, text))
-    actions = compact(acts)
-    actions = F.slice(F.when(F.size(actions) == 0, F.array(*[F.lit(a) for a in C.DEFAULT_ACTIONS]))
-                      .otherwise(actions), 1, 4)
+    any_high = None
+    for n in NAMES:
+        c = F.col(f"{n}_score") >= 60
+        any_high = c if any_high is None else (any_high | c)
+    acts += [F.when(~any_high, F.lit(a)) for a in C.DEFAULT_ACTIONS]
+    actions = F.slice(compact(acts), 1, 4)
     out = df.withColumns({
         "risk_level": level, "risk_color": level_of(comp, 2), "risk_icon": level_of(comp, 3),
         "summary": summary, "actions": actions,

@@ -67,17 +67,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
-    """Compute a frame once for a plan that reads it several times.
-
-    ``checkpoint`` (default) writes it to the shared checkpoint folder — later
-    passes read files instead of replaying joins, and a lost executor does not
-    replay the lineage. ``persist`` keeps it in executor memory/disk (cheaper for
-    small data; lost blocks are recomputed from lineage)."""
+def materialize(df: DataFrame, how: str = "table") -> DataFrame:
+    """Compute a frame once for plans that read it several times.
+
+    ``table`` (default) writes it as parquet under the shared checkpoint folder
+    and reads it back: the lineage is cut (a lost executor rereads files instead
+    of replaying joins) and later reads stay columnar, so column pruning and
+    filter pushdown still apply. ``checkpoint`` uses ``DataFrame.checkpoint``
+    (row files, read whole). ``persist`` keeps it in executor memory/disk (lost
+    blocks are recomputed from lineage)."""
     if how == "persist":
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return cut_lineage(df)
+    if how == "checkpoint":
+        return cut_lineage(df)
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set = set()

@@ -98,3 +98,16 @@ def test_listings_view_counts(spark, sf_small):
     n = raw.count()
     assert n == spark.read.parquet(f"{sf_small}/lineitem.parquet").count()  # no row lost by the joins
     assert L.clean(raw).count() <= n
+
+
+def test_formatting_edge_values(spark):
+    xs = [-0.0, 0.0, 0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, -0.4, 1e15 + 0.5, 2.0 ** 53,
+          -1234567.5, 12.35, 2.675, 1e-7, -1e-7, 999999.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    rows = df.select("x", TX.fixed("x", 0).alias("f0"), TX.signed("x", 0).alias("s0"),
+                     TX.grouped("x", 0).alias("g0"), TX.percent("x", 0).alias("p0"),
+                     TX.fixed("x", 1).alias("f1")).collect()
+    for r in rows:
+        x = r["x"]
+        assert (r["f0"], r["s0"], r["g0"], r["p0"], r["f1"]) == \
+            (f"{x:.0f}", f"{x:+.0f}", f"{x:,.0f}", f"{x:.0%}", f"{x:.1f}"), x
