@@ -167,3 +167,28 @@ def test_state_machine_properties(spark, steps):
         secs = [(r[1] - T0) // dt.timedelta(microseconds=1) for r in rs]
         assert [thr[r[0]]["allowed"] for r in rs] == [a for a, _ in PM.token_bucket(secs)]
         assert [lock[r[0]] for r in rs] == PM.lockout([(s, r[3] == "signup") for s, r in zip(secs, rs)])
+
+
+def test_late_rows_dropped_and_counted(spark):
+    base = tempfile.mkdtemp(prefix="rentlens-late-")
+    src = f"{base}/events"
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    day = dt.timedelta(days=1)
+    first = [(i, T0 + 10 * day + dt.timedelta(seconds=i), 1, "error") for i in range(20)]
+    late = [(100 + i, T0 + day + dt.timedelta(seconds=i), 1, "error") for i in range(5)]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run_once():
+        stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (LS.lockout_stream(LS.login_attempts(stream)).writeStream.format("parquet").outputMode("append")
+             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return q
+
+    run_once()
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
+    q = run_once()
+    out = spark.read.parquet(f"{base}/out")
+    assert out.count() == 20  # the 5 late attempts (9 days behind the watermark) are not processed
+    assert PS.rows_dropped_by_watermark(q) == 5
