@@ -203,7 +203,8 @@ def rent_box_stats(df: DataFrame, cap: float = C.CHART_RENT_CAP, method: str = "
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     r = F.col("rent")
     inside = (r >= F.col("lower_fence")) & (r <= F.col("upper_fence"))
-    stats = d.join(q, "city").groupBy("city").agg(
+    from rentlens.operators.lookups import checked_broadcast
+    stats = d.join(checked_broadcast(q), "city").groupBy("city").agg(
         F.min(r).alias("min_rent"), F.max(r).alias("max_rent"),
         F.min(F.when(inside, r)).alias("lower_whisker"), F.max(F.when(inside, r)).alias("upper_whisker"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"),

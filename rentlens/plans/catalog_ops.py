@@ -14,6 +14,7 @@ from rentlens.operators import accounts as AC
 from rentlens.operators import filters as FL
 from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
+from rentlens.operators.lookups import checked_broadcast
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
 from rentlens.plans.catalog import clean, clean_shared, register, sql_round6
@@ -38,7 +39,8 @@ def _log_table(spark, sf):
     if key not in _LOGS:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predlog-{uuid.uuid4().hex}"
         df = clean_shared(spark, sf)
-        priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(ST.demand_heatmap(df), ["city", "bhk"], "left")
+        priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(
+            checked_broadcast(ST.demand_heatmap(df)), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))
         records = PS.checked_records(PL.prediction_records(priced, key_cols=KEY_COLS))
