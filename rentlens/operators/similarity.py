@@ -41,6 +41,26 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=m.copy(), where=n > 0)
 
 
+def _top_per_row(S: np.ndarray, qids: np.ndarray, iids: np.ndarray, kk: int) -> pd.DataFrame:
+    """k best (score desc, id asc) finite entries of each row of ``S``.
+
+    ``np.partition`` finds each row's k-th score in linear time; only entries at
+    or above it (ties included, so the cut stays exact) are sorted."""
+    nq = S.shape[0]
+    if S.shape[1] > kk:
+        kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero(S >= kth[:, None])
+    else:
+        rows, cols = np.nonzero(np.ones(S.shape, dtype=bool))
+    sc = S[rows, cols]
+    ids = iids[cols]
+    order = np.lexsort((ids, -sc, rows))
+    rows, sc, ids = rows[order], sc[order], ids[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(nq))[rows]
+    keep = (rank < kk) & np.isfinite(sc)
+    return pd.DataFrame({"query_id": qids[rows[keep]], "item_id": ids[keep], "score": sc[keep]})
+
+
 def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                  q_id: str = "query_id", q_vec: str = "vector",
                  i_id: str = "item_id", i_vec: str = "vector",
@@ -86,14 +106,7 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
         if exclude_self:
             valid &= qids[:, None] != iids[None, :]
         S = np.where(valid, S, -np.inf)
-        kk = min(k, S.shape[1])
-        ids = np.broadcast_to(iids, S.shape)
-        order = np.lexsort((ids, -S), axis=1)[:, :kk]
-        top_s = np.take_along_axis(S, order, axis=1)
-        keep = np.isfinite(top_s)
-        rows_q = np.repeat(qids, kk).reshape(-1, kk)
-        return pd.DataFrame({"query_id": rows_q[keep], "item_id": iids[order][keep],
-                             "score": top_s[keep]})
+        return _top_per_row(S, qids, iids, min(k, S.shape[1]))
 
     cand = (qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib"))
             .applyInPandas(cell, schema=out_schema))

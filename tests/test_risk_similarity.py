@@ -136,3 +136,23 @@ def test_find_similar_listings(spark):
     assert [r["city"] for r in top] == ["Mumbai"] and top[0]["rent"] == 30000
     top = SIM.find_similar(q, vt, k=8, min_rent=0, max_rent=0).collect()
     assert len(top) == 4  # 0 = no limit
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 30), st.integers(1, 8), st.integers(0, 10_000))
+def test_top_per_row_equals_full_sort(nq, ni, k, seed):
+    rng = np.random.default_rng(seed)
+    S = rng.integers(0, 4, size=(nq, ni)).astype(float) / 4  # many ties
+    S[rng.random((nq, ni)) < 0.3] = -np.inf                   # masked pairs
+    qids = np.arange(nq, dtype=np.int64) * 10
+    iids = rng.permutation(ni).astype(np.int64)
+    got = SIM._top_per_row(S, qids, iids, min(k, ni))
+    exp = []
+    for a in range(nq):
+        cand = sorted([(-S[a, b], iids[b]) for b in range(ni) if np.isfinite(S[a, b])])[:min(k, ni)]
+        exp += [(qids[a], i, -s) for s, i in cand]
+    assert list(zip(got["query_id"], got["item_id"], got["score"])) == exp
