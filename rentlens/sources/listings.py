@@ -150,6 +150,13 @@ def clean(listings: DataFrame, psf_min: float = C.PSF_MIN, psf_max: float = C.PS
     return out
 
 
+def ingest_report(listings: DataFrame) -> DataFrame:
+    """S1's report: rows (one aggregate job) and input partitions (plan metadata,
+    no data moved to the driver)."""
+    parts = listings.rdd.getNumPartitions()
+    return listings.agg(F.count(F.lit(1)).alias("rows")).withColumn("partitions", F.lit(parts))
+
+
 def clean_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned listings view over the driver tables."""
     return clean(listings_from_tables(spark, sf_dir))

@@ -41,3 +41,9 @@ def test_fallback_and_rounded_psf(spark):
     assert (fb["predicted_rent"], fb["demand_risk"], fb["rent_low"], fb["rent_high"]) == (15000.0, "Unknown", 12000.0, 18000.0)
     df2 = spark.createDataFrame([(3, 1000, "2 out of 3")], "size int, rent bigint, floor_txt string")
     assert L.clean(df2, round_psf=2).first()["price_per_sqft"] == 333.33
+
+
+def test_ingest_report(spark, sf_small):
+    df = L.clean_listings(spark, sf_small)
+    r = L.ingest_report(df).first()
+    assert r["rows"] == df.count() and r["partitions"] >= 1
