@@ -25,14 +25,19 @@ def _java_unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def py_strip(c: Column) -> Column:
+    """Python ``str.strip()``: leading/trailing whitespace, Unicode-aware."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def validation_error(username="username", full_name="full_name", email="email", password="password",
                      role="role") -> Column:
     """The first failing rule's message, or null when the request is valid.
     Inputs are trimmed (username, name, email), lower-cased (email) and
     upper-cased (role) first, as the reference does."""
-    u = F.trim(F.col(username))
-    n = F.trim(F.col(full_name))
-    e = F.lower(F.trim(F.col(email)))
+    u = py_strip(F.col(username))
+    n = py_strip(F.col(full_name))
+    e = F.lower(py_strip(F.col(email)))
     r = F.upper(F.col(role))
     return (F.when(u.isNull() | (F.length(u) < 3), F.lit(C.MSG_USERNAME_SHORT))
             .when(~u.rlike(_java_unicode(C.USERNAME_RE)), F.lit(C.MSG_USERNAME_CHARS))
@@ -52,7 +57,7 @@ def register_batch(requests: DataFrame, existing: DataFrame, req_id: str = "req_
     built by a union and one aggregation, so the requests are shuffled once per
     key for a single left join."""
     v = requests.withColumns({
-        "_u": F.lower(F.trim(F.col("username"))), "_e": F.lower(F.trim(F.col("email"))),
+        "_u": F.lower(py_strip(F.col("username"))), "_e": F.lower(py_strip(F.col("email"))),
         "_err": validation_error()})
     ok = v.filter(F.col("_err").isNull())
 

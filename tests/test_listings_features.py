@@ -111,3 +111,18 @@ def test_formatting_edge_values(spark):
         x = r["x"]
         assert (r["f0"], r["s0"], r["g0"], r["p0"], r["f1"]) == \
             (f"{x:.0f}", f"{x:+.0f}", f"{x:,.0f}", f"{x:.0%}", f"{x:.1f}"), x
+
+
+FRAGMENTS = ["1", "12", "0", "3", " ", "  ", "\t", "out of", "Out Of", "OUT OF", "ground", "Ground", "upper",
+             "basement", "Basement", "lower", "floor", "x", "-", "5 out of 10", "out of 7", "99999999999999999999"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(FRAGMENTS), min_size=0, max_size=6).map("".join), min_size=1, max_size=20))
+def test_floor_parse_fuzz(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "floor_txt string")
+    got = [(r["floor_txt"], r["_fl"]["floor_n"], r["_fl"]["total_f"], r["_fl"]["ratio"])
+           for r in FT.with_floor(df).collect()]
+    for t, n, tot, ratio in got:
+        en, et = PM.parse_floor(t)
+        assert (n, tot, ratio) == (en, et, PM.floor_ratio(t)), repr(t)

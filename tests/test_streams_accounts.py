@@ -192,3 +192,16 @@ def test_late_rows_dropped_and_counted(spark):
     out = spark.read.parquet(f"{base}/out")
     assert out.count() == 20  # the 5 late attempts (9 days behind the watermark) are not processed
     assert PS.rows_dropped_by_watermark(q) == 5
+
+
+PIECES = ["a", "B", "z9", "_", "-", " ", "\t", "@", ".", "x.y", "!", "#", "Aa1!", "12345678", "é", "co", "tenant",
+          "AGENT"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(PIECES), max_size=5).map("".join) for _ in range(5)]),
+                min_size=1, max_size=15))
+def test_validation_matches_python_rules(spark, reqs):
+    df = spark.createDataFrame(reqs, "username string, password string, full_name string, email string, role string")
+    got = [r["e"] for r in df.select(AC.validation_error().alias("e")).collect()]
+    assert got == [PM.validation_error(*r) for r in reqs]
