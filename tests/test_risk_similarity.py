@@ -156,3 +156,19 @@ def test_top_per_row_equals_full_sort(nq, ni, k, seed):
         cand = sorted([(-S[a, b], iids[b]) for b in range(ni) if np.isfinite(S[a, b])])[:min(k, ni)]
         exp += [(qids[a], i, -s) for s, i in cand]
     assert list(zip(got["query_id"], got["item_id"], got["score"])) == exp
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(
+    st.sampled_from(["Mumbai", "Delhi", "Bangalore", "Kolkata", "Pune"]), st.integers(100, 3000),
+    st.sampled_from(["Furnished", "Semi-Furnished", "Unfurnished"]), st.sampled_from([0.0, 0.5, 0.61, 0.9]),
+    st.sampled_from([5000.0, 20000.0, 48000.0, 90000.0]), st.sampled_from(["High", "Low"]),
+    st.floats(0, 1), st.sampled_from([10.0, 24.99, 25.0, 60.0, 80.0, 80.01]),
+    st.one_of(st.none(), st.sampled_from([4800.0, 21000.0, 52000.0])),
+    st.one_of(st.none(), st.sampled_from([0.0, 30000.0, 60000.0]))), min_size=1, max_size=12))
+def test_insights_match_python_rules(spark, rows):
+    df = spark.createDataFrame(rows, "city string, size int, furnishing string, floor_ratio double,"
+                                     " predicted_rent double, risk string, risk_prob double, price_per_sqft double,"
+                                     " dl_rent double, city_median double")
+    got = [list(r["i"]) for r in df.select(IN.insights(dl_rent="dl_rent", city_median="city_median").alias("i")).collect()]
+    assert got == [PM.insights(*r) for r in rows]
