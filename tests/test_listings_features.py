@@ -126,3 +126,21 @@ def test_floor_parse_fuzz(spark, texts):
     for t, n, tot, ratio in got:
         en, et = PM.parse_floor(t)
         assert (n, tot, ratio) == (en, et, PM.floor_ratio(t)), repr(t)
+
+
+def test_view_matches_fixture_figures(spark):
+    """Independent figures for the listings view at sf0.01 (FIXTURES.md §2)."""
+    from pyspark.sql import functions as F
+    raw = L.listings_from_tables(spark, "/root/testdata/sf0.01").withColumn("psf", L.price_per_sqft())
+    r = raw.agg(F.count(F.lit(1)).alias("n"),
+                F.sum((~L.not_basement()).cast("int")).alias("basement"),
+                F.sum(F.col("floor_txt").isNull().cast("int")).alias("null_floor"),
+                F.sum(F.col("city").isNull().cast("int")).alias("null_city"),
+                F.sum(F.col("psf").between(2, 500).cast("int")).alias("psf_in_range"),
+                F.avg((F.col("psf") >= 40).cast("double")).alias("share_ge_40"),
+                F.percentile("psf", 0.6).alias("p60"),
+                F.sum((F.col("size") > 1500).cast("int")).alias("gt1500"),
+                F.sum((F.col("bathroom") == 0).cast("int")).alias("no_bath")).first()
+    assert (r["n"], r["basement"], r["null_floor"], r["null_city"]) == (60000, 2993, 646, 698)
+    assert (r["psf_in_range"], r["gt1500"], r["no_bath"]) == (55931, 14205, 8622)
+    assert round(r["share_ge_40"], 3) == 0.398 and round(r["p60"], 2) == 39.79
