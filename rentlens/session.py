@@ -110,3 +110,25 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
+               partition_mb: int = 200) -> dict[str, str]:
+    """Session settings for a cluster run over ``input_bytes`` of scanned data.
+
+    Shuffle partitions target ~``partition_mb`` per partition (at least two
+    waves of tasks); AQE coalesces small ones and splits skewed ones at runtime;
+    file splits of 256 MB keep scan tasks large; a fused stage above HotSpot's JIT
+    limit is split; Arrow batches bound the memory of the pandas paths."""
+    slots = executors * cores_per_executor
+    parts = max(2 * slots, -(-input_bytes // (partition_mb * 1024 * 1024)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_mb * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

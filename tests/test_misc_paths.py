@@ -47,3 +47,10 @@ def test_ingest_report(spark, sf_small):
     df = L.clean_listings(spark, sf_small)
     r = L.ingest_report(df).first()
     assert r["rows"] == df.count() and r["partitions"] >= 1
+
+
+def test_scale_conf():
+    from rentlens.session import scale_conf
+    c = scale_conf(100 * 2 ** 40, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 524288
+    assert int(scale_conf(10 * 2 ** 20, 2, 4)["spark.sql.shuffle.partitions"]) == 16
