@@ -65,3 +65,21 @@ def test_similarity_blocks_balanced_under_hot_facet(spark):
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     for r in top[:30]:
         assert r["score"] == pytest.approx(float(unit[r["query_id"]] @ unit[r["item_id"]]), abs=1e-9)
+
+
+def test_hot_username_first_request_wins(spark):
+    from rentlens.operators import accounts as AC
+    n = 3000
+    reqs = spark.range(n).select(
+        F.col("id").alias("req_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hotname")).otherwise(F.concat(F.lit("user_"), F.col("id").cast("string")))
+        .alias("username"),
+        F.lit("Name").alias("full_name"),
+        F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@x.co")).alias("email"),
+        F.lit("Aa1!aaaa").alias("password"), F.lit("tenant").alias("role"))
+    existing = spark.createDataFrame([("someone", "s@x.co")], "username string, email string")
+    out = AC.register_batch(reqs, existing)
+    hot = out.filter(F.col("username") == "hotname")
+    assert hot.filter(F.col("error").isNull()).select("req_id").collect()[0]["req_id"] == 0
+    assert hot.filter(F.col("error").isNotNull()).count() == n // 3 - 1
+    assert out.filter(F.col("error").isNull()).count() == n - n // 3 + 1
