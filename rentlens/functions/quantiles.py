@@ -1,5 +1,5 @@
 """Grouped quantiles with linear interpolation (pandas ``quantile`` / DuckDB
-``quantile_cont`` semantics), in three strengths:
+``quantile_cont`` semantics), in four strengths:
 
 * ``exact``  — Spark's ``percentile``: one value→count map per group, merged in one
   task per group. Memory grows with the number of *distinct* values in a group,
@@ -9,6 +9,10 @@
   (group, value) so a hot group spreads over many partitions, and each target
   rank is found from per-partition running counts plus per-partition offsets.
 * ``approx`` — ``percentile_approx`` (fixed-size sketch per group).
+* ``auto``   — a size check first: one grouped ``approx_count_distinct`` pass
+  (HyperLogLog sketches, partially aggregated) bounds the largest group's number
+  of distinct values; under ``max_distinct`` the built-in ``exact`` map is
+  provably small and is used, beyond it the ``ranked`` plan.
 """
 
 from __future__ import annotations
@@ -17,11 +21,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Largest per-group value→count map the built-in exact percentile may build in
+# one task (about 100 MB of map entries).
+MAX_DISTINCT_EXACT = 2_000_000
+
+
+def largest_group_distinct(df: DataFrame, value: str, by: list[str]) -> int:
+    """Upper estimate of the most distinct values any group holds (HLL, 5 % error,
+    inflated by 10 % so the bound errs on the safe side)."""
+    d = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.approx_count_distinct(value, rsd=0.05).alias("_d"))
+    mx = d.agg(F.max("_d")).first()[0]
+    return int((mx or 0) * 1.1)
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str],
               method: str = "exact", accuracy: int = 10000,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, max_distinct: int = MAX_DISTINCT_EXACT) -> DataFrame:
     """One row per group of ``by`` with one double column per entry of ``probs``.
     Nulls in ``value`` are ignored; a group with no values is absent."""
+    if method == "auto":
+        method = "exact" if largest_group_distinct(df, value, by) <= max_distinct else "ranked"
     if method == "exact":
         aggs = [F.percentile(F.col(value).cast("double"), p).alias(name) for name, p in probs.items()]
         return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*aggs)

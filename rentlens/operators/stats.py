@@ -80,9 +80,9 @@ def bhk_city_mean(df: DataFrame, bhk_range=(1, 4)) -> DataFrame:
     return agg.filter(F.col("bhk").between(*bhk_range))
 
 
-def furnish_comparison(df: DataFrame, method: str = "ranked") -> DataFrame:
-    """Median psf and count by (city, furnishing) (psf is a double: ``ranked``
-    exact quantiles by default)."""
+def furnish_comparison(df: DataFrame, method: str = "auto") -> DataFrame:
+    """Median psf and count by (city, furnishing) (psf is a double: the
+    size-checked ``auto`` quantile plan by default)."""
     keys = ["city", "furnishing"]
     d = _keys_not_null(df, keys)
     if method == "exact":
@@ -97,15 +97,16 @@ def furnishing_stats(df: DataFrame) -> DataFrame:
         F.avg("rent").alias("avg_rent"), F.avg("price_per_sqft").alias("avg_psf"))
 
 
-def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "ranked") -> DataFrame:
+def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto") -> DataFrame:
     """Global quantile of psf as a one-row DataFrame ``(psf_q)``.
 
-    Default ``ranked``: exact without pulling every distinct psf value of the
-    whole table into one task."""
+    Default ``auto``: the built-in exact map when the table's distinct psf values
+    are provably few, else the ``ranked`` plan, which never pulls every distinct
+    value of the whole table into one task."""
     return quantiles(df, "price_per_sqft", {"psf_q": q}, [], method)
 
 
-def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "ranked",
+def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto",
                       label: str = "high_demand") -> DataFrame:
     """1 when psf >= the global quantile. The one-row threshold is joined on a
     constant key with a broadcast hint (size is exactly one row)."""
@@ -114,7 +115,7 @@ def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str =
     return out.withColumn(label, (F.col("price_per_sqft") >= F.col("psf_q")).cast("int")).drop("psf_q")
 
 
-def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "ranked") -> DataFrame:
+def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto") -> DataFrame:
     """Share of high-demand listings by (city, bhk)."""
     lab = with_demand_label(df, q, method)
     return _keys_not_null(lab, ["city", "bhk"]).groupBy("city", "bhk").agg(
@@ -133,12 +134,12 @@ def city_benchmarks(df: DataFrame, method: str = "auto") -> DataFrame:
     """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks.
 
     ``auto``: rent quantiles with the built-in exact ``percentile`` (integer rents:
-    the per-group map is bounded by the distinct rents), psf quantiles with the
-    ``ranked`` exact plan (doubles: distinct values grow with the rows of a hot
-    city). Any other ``method`` applies to both."""
+    the per-group map is bounded by the distinct rents), psf quantiles through
+    the size-checked ``auto`` plan (doubles: distinct values can grow with the
+    rows of a hot city). Any other ``method`` applies to both."""
     d = _keys_not_null(df, ["city"])
     rent_m = "exact" if method == "auto" else method
-    psf_m = "ranked" if method == "auto" else method
+    psf_m = method
     rent_probs = {"rent_p25": .25, "rent_p50": .5, "rent_p75": .75, "rent_p90": .9}
     if rent_m == "exact":
         base = d.groupBy("city").agg(

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -105,3 +106,11 @@ def test_chunks_keep_all_rows(small):
     assert sum(r["rows"] for r in ST.partition_rows(small).collect()) == small.count()
     share = {r["city"]: r["share"] for r in ST.city_share(small).collect()}
     assert share["Mumbai"] == pytest.approx(0.8)
+
+
+def test_auto_quantiles_pick_a_plan_and_agree(spark):
+    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 0.37).alias("v"))
+    exact = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "exact").collect()}
+    small = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "auto").collect()}
+    forced = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "auto", max_distinct=10).collect()}
+    assert small == pytest.approx(exact) and forced == pytest.approx(exact)
