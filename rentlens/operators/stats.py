@@ -108,11 +108,10 @@ def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "au
 
 def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto",
                       label: str = "high_demand") -> DataFrame:
-    """1 when psf >= the global quantile. The one-row threshold is joined on a
-    constant key with a broadcast hint (size is exactly one row)."""
-    thr = psf_threshold(df, q, method).withColumn("_k", F.lit(1))
-    out = df.withColumn("_k", F.lit(1)).join(F.broadcast(thr), "_k").drop("_k")
-    return out.withColumn(label, (F.col("price_per_sqft") >= F.col("psf_q")).cast("int")).drop("psf_q")
+    """1 when psf >= the global quantile. The one-row threshold is a scalar
+    subquery: computed once, its value is shipped with the task — no join."""
+    thr = psf_threshold(df, q, method).select("psf_q").scalar()
+    return df.withColumn(label, (F.col("price_per_sqft") >= thr).cast("int"))
 
 
 def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto") -> DataFrame:
@@ -179,13 +178,8 @@ def market_kpis(df: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     cs = summary if summary is not None else city_summary(df)
     kp = cs.agg(F.avg("avg_rent").alias("mean_city_rent"), F.avg("avg_psf").alias("mean_city_psf"),
                 F.min_by("city", F.struct((-F.col("avg_rent")).alias("r"), F.col("city"))).alias("top_city"))
-    n = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return one_row_join(n, kp)
-
-
-def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row DataFrames on a constant key (both sides are exactly one row)."""
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return kp.select(n.alias("total_rows"), "mean_city_rent", "mean_city_psf", "top_city")
 
 
 def selection_kpis(df: DataFrame) -> DataFrame:

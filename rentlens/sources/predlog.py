@@ -60,6 +60,6 @@ def count(log: DataFrame) -> DataFrame:
 
 def health(vectors: DataFrame, log: DataFrame, status: str = "table") -> DataFrame:
     """Vector count, prediction count, status — one aggregate per table."""
-    v = vectors.agg(F.count(F.lit(1)).alias("listings_vectors")).withColumn("_k", F.lit(1))
-    p = log.agg(F.count(F.lit(1)).alias("predictions_stored")).withColumn("_k", F.lit(1))
-    return v.join(p, "_k").drop("_k").select(F.lit(status).alias("status"), "listings_vectors", "predictions_stored")
+    v = vectors.agg(F.count(F.lit(1)).alias("listings_vectors"))
+    return v.select(F.lit(status).alias("status"), "listings_vectors",
+                    log.agg(F.count(F.lit(1))).scalar().alias("predictions_stored"))
