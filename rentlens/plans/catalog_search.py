@@ -45,3 +45,65 @@ def q_similar_vectors(spark, sf):
 def q_similar_vectors_same_label(spark, sf):
     """K1/J5 with the facet restriction (same label ≙ same city)."""
     return _run(spark, sf, True)
+
+
+# ------------------------------------------------------ listings (K1 + J5) ---
+
+def _key_id(cols=("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")):
+    """A 60-bit id from the listing key that SQL engines can reproduce (md5 prefix)."""
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def _similar_listings(spark, sf):
+    from rentlens.functions.features import add_vectors
+    from rentlens.operators import stats as ST
+    from rentlens.operators.lookups import with_city_median
+    from rentlens.plans.catalog import clean
+    from rentlens.sources.listings import KEY_COLS
+    df = clean(spark, sf).where(F.col("city").isNotNull()).withColumn("lid", _key_id())
+    # one query per city: the listing whose rent is closest to the city median
+    # (ties by id), picked with a partially aggregated min_by — no window over a hot city
+    with_med = with_city_median(df, ST.city_medians(df), out="_med")
+    order = F.struct(F.abs(F.col("rent") - F.col("_med")).alias("d"), F.col("lid").alias("i"))
+    reps = with_med.groupBy("city").agg(F.min_by(F.col("lid"), order).alias("query_id"))
+    cols = ["lid", "city", "bhk", "size", "bathroom", "furnishing", "floor_txt", "area_type", "tenant"]
+    queries = add_vectors(df.join(reps, df["lid"] == reps["query_id"], "left_semi").select(*cols)
+                          .withColumnRenamed("lid", "query_id"), keep=["query_id", "city"])
+    items = add_vectors(df.select(*cols), keep=["lid", "city"])
+    top = SIM.topk_similar(queries, items, K, q_id="query_id", q_vec="vector", i_id="lid", i_vec="vector",
+                           q_facet="city", i_facet="city", exclude_self=True)
+    return top.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+def _similar_listings_sql() -> str:
+    from rentlens.plans.catalog_scoring import _FLOOR_CTE, _unit
+    from rentlens import constants as C
+    key = ("('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),"
+           " CAST(l_partkey AS VARCHAR), CAST(l_quantity AS VARCHAR), CAST(l_extendedprice AS VARCHAR))), 1, 15))::BIGINT")
+    comps = (f"{_unit('city', C.CITIES)}, least(bhk_c / 6.0, 1.0), least(size_c / 5000.0, 1.0),"
+             f" least(bath_c / 6.0, 1.0), {_unit('furnishing', C.FURNISH)}, floor_ratio,"
+             " least((size_c / bhk_c) / 2000.0, 1.0), least(bath_c / bhk_c, 1.0),"
+             f" {_unit('area_type', C.AREA_TYPES)}, {_unit('tenant', C.TENANTS)},"
+             " least(ln(1 + size_c) / 10.0, 1.0), least((bhk_c * bath_c) / 36.0, 1.0)")
+    from rentlens.plans.oracle_sql import with_listings
+    return with_listings(f"""
+SELECT query_id, item_id, rank, score FROM (
+  SELECT q.lid AS query_id, i.lid AS item_id, round(list_dot_product(q.u, i.u), 9) AS score,
+         row_number() OVER (PARTITION BY q.lid ORDER BY round(list_dot_product(q.u, i.u), 9) DESC, i.lid) AS rank
+  FROM u q JOIN reps r ON q.lid = r.query_id JOIN u i ON q.city = i.city AND q.lid <> i.lid)
+WHERE rank <= {K}""", _FLOOR_CTE + f""",
+v AS (SELECT {key} AS lid, city, rent, [{comps}] AS c FROM flr WHERE city IS NOT NULL),
+n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM v),
+u AS (SELECT lid, city, rent, CASE WHEN nrm > 0 THEN list_transform(c, lambda x: x / nrm) ELSE c END AS u FROM n),
+med AS (SELECT city, median(rent) AS m FROM listings WHERE city IS NOT NULL GROUP BY city),
+reps AS (SELECT u.city, arg_min(u.lid, (abs(u.rent - med.m), u.lid)) AS query_id
+         FROM u JOIN med ON u.city = med.city GROUP BY u.city)""")
+
+
+@register("similar_listings", _similar_listings_sql())
+def q_similar_listings(spark, sf):
+    """K1 + J5 on listings: per city, the listing closest to the city's median rent
+    is the query; its top-8 cosine-similar other listings of the same city over
+    the whole listings table (no rent limit, as the search form's default)."""
+    return _similar_listings(spark, sf)
