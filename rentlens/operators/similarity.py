@@ -33,6 +33,7 @@ from rentlens.functions.features import add_vectors
 from rentlens.session import ship_package
 
 SCORE_DECIMALS = 9  # scores are compared after rounding, so ties break on id in every engine
+MAX_ITEM_BLOCK = 1 << 18  # item rows per cell at most (vectors of one cell stay well under 1 GB)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -78,8 +79,14 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                        (F.col(q_facet).cast("string") if facet else F.lit(None).cast("string")).alias("qf"))
     it = items.select(F.col(i_id).cast("long").alias("iid"), F.col(i_vec).cast("array<double>").alias("iv"),
                       (F.col(i_facet).cast("string") if facet else F.lit(None).cast("string")).alias("if_"))
-    nq = max(1, math.ceil(q.count() / block_rows))
-    ni = max(1, math.ceil(it.count() / block_rows))
+    # Blocks bound each cell's score matrix to block_rows² entries: few queries
+    # give few, tall item blocks (less per-cell overhead), many queries give
+    # square blocks.
+    q_n, i_n = q.count(), it.count()
+    nq = max(1, math.ceil(q_n / block_rows))
+    q_per = max(1, math.ceil(q_n / nq))
+    i_per = min(max(block_rows, (block_rows * block_rows) // q_per), MAX_ITEM_BLOCK)
+    ni = max(1, math.ceil(i_n / i_per))
     qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")) \
           .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
     ib = it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ni)).cast("int")) \
