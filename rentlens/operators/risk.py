@@ -216,7 +216,11 @@ def add_report(df: DataFrame, clf_risk: str | None = None, clf_prob: str | None
 
 
 def score_risk(df: DataFrame, benchmarks: DataFrame, bhk_medians: DataFrame,
-               clf_risk: str | None = None, clf_prob: str | None = None) -> DataFrame:
-    """R1–R11 end to end: J1–J3 lookups, factor scores and the report."""
+               clf_risk: str | None = None, clf_prob: str | None = None, report: bool = True) -> DataFrame:
+    """R1–R11 end to end: J1–J3 lookups, factor scores and the report.
+    ``report=False`` stops at the scores, the composite and its level (R1–R7)."""
     j = LK.with_bhk_median(LK.with_benchmarks(LK.with_city_constants(df), benchmarks), bhk_medians)
-    return add_report(add_factor_scores(j), clf_risk, clf_prob)
+    scored = add_factor_scores(j)
+    if not report:
+        return scored.withColumn("risk_level", level_of(F.col("composite"), 1))
+    return add_report(scored, clf_risk, clf_prob)

@@ -174,11 +174,10 @@ lv AS (SELECT *, CASE WHEN composite >= 80 THEN 'Critical' WHEN composite >= 60
                       WHEN composite >= 35 THEN 'Medium' ELSE 'Low' END AS risk_level FROM comp)"""
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, report: bool = True):
     df = clean_shared(spark, sf)
     priced = PR.rent_band(df, "rent", ST.city_medians(df))
-    return RK.score_risk(priced, ST.city_benchmarks(df), ST.bhk_city_medians_all(df).withColumnRenamed(
-        "median_rent", "median_rent"))
+    return RK.score_risk(priced, ST.city_benchmarks(df), ST.bhk_city_medians_all(df), report=report)
 
 
 SCORE_COLS = [f"{n}_score" for n in RK.NAMES]
@@ -194,7 +193,7 @@ def _fmt1(c: str) -> str:
     + f", {_fmt1('composite')} AS composite, risk_level FROM lv", _RISK_CTE))
 def q_risk_scores(spark, sf):
     """R1–R7 with J1–J4: five factor scores, composite and level per listing."""
-    s = _scored(spark, sf)
+    s = _scored(spark, sf, report=False)
     return s.select(*KEY_COLS, "city", "predicted_rent", *[py_round(F.col(c), 1).alias(c) for c in SCORE_COLS],
                     py_round(F.col("composite"), 1).alias("composite"), "risk_level")
 
