@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, sharding
+from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, toxicity
 from rentlens.llm.common import table
+from rentlens.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +43,61 @@ def op1(spark, sf_dir):
 def op7(spark, sf_dir):
     """Every document with the row of its group of equal texts that stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_groups")
+def op2(spark, sf_dir):
+    """Every document with its component of near copies (3 words, 85 %)."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85).drop("print")
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Every document's toxicity by its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("print")
+
+
+@query("op6_packed")
+def op6(spark, sf_dir):
+    """All documents' tokens in sequences of at most 4096."""
+    import public_tokenizers
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_secrets")
+def op8(spark, sf_dir):
+    """Every document's secrets."""
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    n = {k: F.size(F.expr(f"filter(base, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}")
+         for k in ("assign", "access", "hex")}
+    return found.select("doc_id", *n.values(), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@query("op9_winnowing")
+def op9(spark, sf_dir):
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    out = fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: fingerprints.digest(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query("op3_pieces")
+def op3(spark, sf_dir):
+    """Every document encoded into pieces and decoded again."""
+    import public_tokenizers
+    return pieces.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    """The documents' tokens in flat files, and the tokens of each document found there again."""
+    import public_tokenizers
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flat/{uuid.uuid4().hex}"
+    end = 49407  # <|endoftext|>, which no text gives
+    token_files.write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end, path)
+    out = token_files.document_tokens(token_files.read_blocks(spark, path), end)
+    return out.withColumn("file", F.element_at(F.split("file", "/"), -1))
