@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, toxicity
+from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, tool_calls, toxicity
 from rentlens.llm.common import table
 from rentlens.session import ensure_checkpoint_dir
 
@@ -101,3 +101,33 @@ def op10(spark, sf_dir):
     token_files.write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end, path)
     out = token_files.document_tokens(token_files.read_blocks(spark, path), end)
     return out.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query("op5_tool_calls", """
+    WITH RECURSIVE
+    c AS (SELECT conv_id, 'call-' || conv_id || '-' || turn AS call_id, 'call-' || conv_id || '-' || (turn - 2) AS parent,
+                 min({'turn': turn, 'text': text}) AS x, count(*) AS n_calls
+          FROM conversations WHERE role = 'user' GROUP BY ALL),
+    r AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'text': text}) AS y,
+                 count(*) AS n_results
+          FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+    l AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE NOT EXISTS (FROM c AS p WHERE p.call_id = c.parent)
+          UNION ALL SELECT c.conv_id, c.call_id, l.level + 1 FROM l JOIN c ON c.parent = l.call_id),
+    b AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+                 coalesce(x.turn, y.turn) AS turn, level, x IS NOT NULL AS called, x.text AS said, y.text AS result,
+                 coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+                 CASE WHEN x IS NULL THEN 'no_call' WHEN y IS NULL THEN 'no_result' ELSE 'linked' END AS status
+          FROM (c LEFT JOIN l USING (conv_id, call_id)) c FULL JOIN r USING (conv_id, call_id))
+    SELECT conv_id, call_id, turn, level, n_calls, n_results, status,
+           CASE WHEN called THEN length(coalesce(said, '')) > 0 END AS valid,
+           sha256('{' || CASE WHEN called THEN '"arguments":' || CASE WHEN said IS NULL THEN '{' ELSE
+               '{"text":' || to_json(said)::VARCHAR || ',' END || '"turn":' || turn || '},' ELSE '' END
+               || '"id":' || to_json(call_id)::VARCHAR || CASE WHEN called THEN ',"level":' || level || ',"name":"reply"' ELSE '' END
+               || CASE WHEN result IS NOT NULL THEN ',"result":' || to_json(result)::VARCHAR ELSE '' END
+               || ',"status":"' || status || '"}') AS json_sha256
+    FROM b""")
+def op5(spark, sf_dir):
+    """Every exchange of the conversations as a call linked to its result, in topological levels."""
+    out = tool_calls.linked_calls(*tool_calls.exchanges(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "call_id", "turn", "level", "n_calls", "n_results", "status", "valid",
+                      F.sha2("json", 256).alias("json_sha256"))
