@@ -1,97 +1,81 @@
-"""Grouped quantiles with linear interpolation (pandas ``quantile`` / DuckDB
-``quantile_cont`` semantics), in four strengths:
+"""Grouped quantiles with linear interpolation (pandas ``quantile`` / DuckDB ``quantile_cont`` semantics).
 
-* ``exact``  — Spark's ``percentile``: one value→count map per group, merged in one
-  task per group. Memory grows with the number of *distinct* values in a group,
-  which is fine for integer rents and bounded codes.
-* ``ranked`` — exact, with bounded memory per task for any value type and any
-  skew: values are pre-aggregated to (group, value, count), range-partitioned on
-  (group, value) so a hot group spreads over many partitions, and each target
-  rank is found from per-partition running counts plus per-partition offsets.
-* ``approx`` — ``percentile_approx`` (fixed-size sketch per group).
-* ``auto``   — a size check first: one grouped ``approx_count_distinct`` pass
-  (HyperLogLog sketches, partially aggregated) bounds the largest group's number
-  of distinct values; under ``max_distinct`` the built-in ``exact`` map is
-  provably small and is used, beyond it the ``ranked`` plan.
+``exact`` is one plan for each kind of value, whatever the size:
+
+* whole numbers: rows are counted per (group, value) first, which spreads over all reducers, and
+  ``percentile`` with these counts as frequencies sees one row per different value;
+* other numbers: a sketch per group marks a narrow window around each wanted rank. One aggregation counts
+  the values per (group, value), a second one the rows between the marks; only the values in the windows that
+  hold a wanted rank are then ordered, and the rank is read off exactly. The mark a value lies behind is an
+  expression of group and value, so any marks give the exact answer; good ones only keep the windows small.
+
+``approx`` is ``percentile_approx`` (fixed-size sketch per group).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-# Largest per-group value→count map the built-in exact percentile may build in
-# one task (about 100 MB of map entries).
-MAX_DISTINCT_EXACT = 2_000_000
-
-
-def largest_group_distinct(df: DataFrame, value: str, by: list[str]) -> int:
-    """Upper estimate of the most distinct values any group holds (HLL, 5 % error,
-    inflated by 10 % so the bound errs on the safe side)."""
-    d = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.approx_count_distinct(value, rsd=0.05).alias("_d"))
-    mx = d.agg(F.max("_d")).first()[0]
-    return int((mx or 0) * 1.1)
+#: Half the width of a window around a rank, as a share of the rows, and the sketch's accuracy.
+MARGIN, SKETCH = 0.001, 10_000
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str],
-              method: str = "exact", accuracy: int = 10000,
-              partitions: int | None = None, max_distinct: int = MAX_DISTINCT_EXACT) -> DataFrame:
+              method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """One row per group of ``by`` with one double column per entry of ``probs``.
-    Nulls in ``value`` are ignored; a group with no values is absent."""
-    if method == "auto":
-        method = "exact" if largest_group_distinct(df, value, by) <= max_distinct else "ranked"
-    if method == "exact":
-        aggs = [F.percentile(F.col(value).cast("double"), p).alias(name) for name, p in probs.items()]
-        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*aggs)
+    Nulls in ``value`` are ignored; a group with no values or with a null key is absent."""
+    d = df.where(F.col(value).isNotNull())
+    for b in by:
+        d = d.where(F.col(b).isNotNull())
     if method == "approx":
-        aggs = [F.percentile_approx(F.col(value).cast("double"), p, accuracy).cast("double").alias(name)
-                for name, p in probs.items()]
-        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(*aggs)
-    if method == "ranked":
-        return _ranked(df, value, probs, by, partitions)
-    raise ValueError(f"unknown quantile method {method!r}")
+        return d.groupBy(*by).agg(*[F.percentile_approx(F.col(value).cast("double"), p, accuracy).cast("double").alias(n)
+                                    for n, p in probs.items()])
+    if method != "exact":
+        raise ValueError(f"unknown quantile method {method!r}")
+    if isinstance(df.schema[value].dataType, T.IntegralType):
+        counts = d.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.groupBy(*by).agg(*[F.percentile(F.col("_v").cast("double"), p, F.col("_n")).alias(n)
+                                         for n, p in probs.items()])
+    return _by_windows(d.select(*by, F.col(value).cast("double").alias("_v")), probs, by)
 
 
-def _ranked(df: DataFrame, value: str, probs: dict[str, float], by: list[str],
-            partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(value).cast("double")
-    # 1. value counts per group: partial aggregation absorbs hot values map-side.
-    vc = (df.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v"))
-          .agg(F.count(F.lit(1)).alias("_n")))
-    # 2. one row per distinct (group, value) → range partitions are balanced even
-    #    when one group holds most rows.
-    vc = vc.repartitionByRange(n_parts, *[F.col(b) for b in by], F.col("_v"))
-    vc = vc.withColumn("_pid", F.spark_partition_id())
-    grp = by if by else []
-    # 3. per (partition, group) totals → offsets of earlier partitions within the group
-    pt = vc.groupBy("_pid", *grp).agg(F.sum("_n").alias("_pn"))
-    w_off = Window.partitionBy(*grp).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pt = pt.withColumn("_off", F.coalesce(F.sum("_pn").over(w_off), F.lit(0)))
-    pt = pt.withColumn("_tot", F.sum("_pn").over(Window.partitionBy(*grp)))
-    # 4. running count inside each (partition, group), plus the offset
-    w_run = (Window.partitionBy("_pid", *grp).orderBy("_v")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (vc.join(pt.select("_pid", *grp, "_off", "_tot"), ["_pid", *grp])
-              .withColumn("_hi", F.col("_off") + F.sum("_n").over(w_run))
-              .withColumn("_lo", F.col("_hi") - F.col("_n")))
-    # 5. rows holding the needed 0-based ranks floor(pos) and ceil(pos), pos = p·(N−1)
-    targets = []
+def _with_group(rows: DataFrame, small: DataFrame, by: list[str], col: str) -> DataFrame:
+    """``rows`` with the column ``col`` of its group's row (of the only row when there are no groups)."""
+    return rows.join(small.select(*by, col), by) if by else rows.withColumn(col, small.select(col).scalar())
+
+
+def _by_windows(rows: DataFrame, probs: dict[str, float], by: list[str]) -> DataFrame:
+    marks = sorted({min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-MARGIN, MARGIN)})
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", marks, SKETCH).alias("_marks"))
+    tagged = _with_group(counts, sketch, by, "_marks").select(
+        *by, "_v", "_n", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_w"))
+
+    # rows per window (at most one more than marks, per group), and which windows hold wanted ranks
+    per = tagged.groupBy(*by, "_w").agg(F.sum("_n").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumns({"_end": F.sum("_c").over(upto), "_all": F.sum("_c").over(Window.partitionBy(*by))})
+    wanted = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_tot") - 1)
-        for side, k in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-            targets.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"),
-                                    k.cast("long").alias("k"), pos.alias("pos")))
-    hits = (ranked.select(*grp, "_v", "_lo", "_hi", F.explode(F.array(*targets)).alias("t"))
-            .where((F.col("t.k") >= F.col("_lo")) & (F.col("t.k") < F.col("_hi")))
-            .select(*grp, "_v", "t.q", "t.side", "t.pos", "t.k"))
-    per_q = (hits.groupBy(*grp, "q").agg(
-        F.max(F.when(F.col("side") == "a", F.col("_v"))).alias("va"),
-        F.max(F.when(F.col("side") == "b", F.col("_v"))).alias("vb"),
-        F.max(F.when(F.col("side") == "a", F.col("pos") - F.col("k"))).alias("frac")))
-    per_q = per_q.withColumn("val", F.col("va") + F.col("frac") * (F.col("vb") - F.col("va")))
-    return per_q.groupBy(*grp).agg(*[F.max(F.when(F.col("q") == name, F.col("val"))).alias(name)
-                                     for name in probs])
+        pos = F.lit(p) * (F.col("_all") - 1)
+        for low, k in ((True, F.floor(pos)), (False, F.ceil(pos))):
+            wanted.append(F.struct(F.lit(name).alias("q"), F.lit(low).alias("low"), k.cast("long").alias("k"),
+                                   (pos - F.floor(pos)).alias("part"), F.col("_w").alias("w"),
+                                   (F.col("_end") - F.col("_c")).alias("before")))
+    hits = (per.select(*by, "_end", F.explode(F.array(*wanted)).alias("t"))
+            .where((F.col("t.k") >= F.col("t.before")) & (F.col("t.k") < F.col("_end")))
+            .groupBy(*by).agg(F.collect_list("t").alias("_hits")))  # two ranks for each quantile
+
+    inside = _with_group(tagged, hits, by, "_hits").withColumn(
+        "_hits", F.filter("_hits", lambda t: t["w"] == F.col("_w"))).where(F.size("_hits") > 0)
+    run = Window.partitionBy(*by, "_w").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("_to", F.col("_hits")[0]["before"] + F.sum("_n").over(run))
+    found = (ranked.select(*by, "_v", "_n", "_to", F.explode("_hits").alias("t"))
+             .where((F.col("t.k") < F.col("_to")) & (F.col("t.k") >= F.col("_to") - F.col("_n"))))
+    both = found.groupBy(*by, F.col("t.q").alias("_q")).agg(
+        F.max(F.when(F.col("t.low"), F.col("_v"))).alias("_a"), F.max(F.when(~F.col("t.low"), F.col("_v"))).alias("_b"),
+        F.max("t.part").alias("_part"))
+    both = both.withColumn("_value", F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a")))
+    return both.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == n, F.col("_value"))).alias(n) for n in probs])

@@ -2,11 +2,9 @@
 
 * J1 city constants: a fixed 6-row literal table — proven tiny, so it is
   broadcast explicitly.
-* J2–J4 benchmarks derived from the data (one row per city or per city×bhk):
-  ``checked_broadcast`` first persists the aggregate and counts it; only under
-  ``MAX_BROADCAST_ROWS`` is it broadcast, so
-  the listings side is never shuffled for a lookup. Above the bound the join
-  stays a plain join (sort-merge, with AQE's skew-join split for a hot city).
+* J2–J4 benchmarks derived from the data (one row per city or per city×bhk): plain left joins of the lazy
+  aggregate. Adaptive execution measures it and broadcasts it while it is under Spark's byte threshold, so the
+  listings side is not shuffled; above it the join is a sort-merge join whose hot city is split.
 """
 
 from __future__ import annotations
@@ -15,21 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlens import constants as C
-from rentlens.session import materialize
-
-# Lookup tables are one row per city or per (city, bhk); above this many rows a
-# lookup is joined without a broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only behind a size check: the lookup aggregate is
-    persisted and counted (one pass; a lost block is recomputed from lineage);
-    within the bound it carries a broadcast hint, beyond it it is returned
-    unhinted and joined as usual."""
-    m = materialize(small, "persist")
-    return F.broadcast(m) if m.count() <= max_rows else m
-
 
 def city_constants(spark: SparkSession) -> DataFrame:
     rows = [(c, float(C.CITY_INCOME[c]), float(C.CITY_APPRECIATION[c]), float(C.CITY_SUPPLY[c]))
@@ -50,7 +33,7 @@ def with_city_constants(df: DataFrame) -> DataFrame:
 
 def with_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """City benchmark columns (null when the city has none); ``has_bench`` flags presence."""
-    b = checked_broadcast(benchmarks.select(F.col("city").alias("_b_city"), "rent_p25", "rent_p50", "rent_p75",
+    b = (benchmarks.select(F.col("city").alias("_b_city"), "rent_p25", "rent_p50", "rent_p75",
                                             "rent_p90", "psf_p50", "psf_p75",
                                             F.col("n_listings").alias("city_count")))
     j = df.join(b, df["city"] == b["_b_city"], "left")
@@ -59,7 +42,7 @@ def with_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
 
 def with_bhk_median(df: DataFrame, bhk_medians: DataFrame) -> DataFrame:
     """(city, bhk) median rent."""
-    m = checked_broadcast(bhk_medians.select(F.col("city").alias("_m_city"), F.col("bhk").alias("_m_bhk"),
+    m = (bhk_medians.select(F.col("city").alias("_m_city"), F.col("bhk").alias("_m_bhk"),
                                              F.col("median_rent").alias("bhk_median")))
     j = df.join(m, (df["city"] == m["_m_city"]) & (df["bhk"] == m["_m_bhk"]), "left")
     return j.drop("_m_city", "_m_bhk")
@@ -68,6 +51,6 @@ def with_bhk_median(df: DataFrame, bhk_medians: DataFrame) -> DataFrame:
 def with_city_median(df: DataFrame, medians: DataFrame, default: float = C.PREDICT_FALLBACK_MEDIAN,
                      out: str = "city_median") -> DataFrame:
     """City median rent, ``default`` when the city has none."""
-    m = checked_broadcast(medians.select(F.col("city").alias("_cm_city"), F.col("median_rent").alias("_cm")))
+    m = (medians.select(F.col("city").alias("_cm_city"), F.col("median_rent").alias("_cm")))
     j = df.join(m, df["city"] == m["_cm_city"], "left").drop("_cm_city")
     return j.withColumn(out, F.coalesce(F.col("_cm"), F.lit(float(default)))).drop("_cm")

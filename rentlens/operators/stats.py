@@ -3,8 +3,8 @@
 Group keys with a null value are dropped (pandas ``groupby`` semantics). Simple
 aggregates (count/sum/avg/min/max/stddev) are partially aggregated before the
 shuffle, so a city holding a third of all rows costs one small partial row per
-task. Medians/percentiles go through ``functions.quantiles`` so the caller picks
-the exact built-in, the bounded-memory exact ``ranked`` form, or a sketch.
+task. Medians and percentiles go through ``functions.quantiles``: counts per value
+first, so no group's values ever meet unaggregated in one task.
 """
 
 from __future__ import annotations
@@ -33,13 +33,11 @@ def city_summary(df: DataFrame, method: str = "exact") -> DataFrame:
     """A1: per city mean/median/min/max/sample-std of rent, mean psf, count; rounded
     to 0 decimals half-even (the single-row std stays null)."""
     d = _keys_not_null(df, ["city"])
-    simple = [F.avg("rent").alias("avg_rent"), F.min("rent").alias("min_rent"),
-              F.max("rent").alias("max_rent"), F.stddev_samp("rent").alias("std_rent"),
-              F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings")]
-    if method == "exact":
-        base = d.groupBy("city").agg(F.median("rent").alias("median_rent"), *simple)
-    else:
-        base = _with_quantiles(d, d.groupBy("city").agg(*simple), ["city"], "rent", {"median_rent": 0.5}, method)
+    base = d.groupBy("city").agg(
+        F.avg("rent").alias("avg_rent"), F.min("rent").alias("min_rent"),
+        F.max("rent").alias("max_rent"), F.stddev_samp("rent").alias("std_rent"),
+        F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings"))
+    base = _with_quantiles(d, base, ["city"], "rent", {"median_rent": 0.5}, method)
     return base.select(
         "city", F.bround("avg_rent", 0).alias("avg_rent"), F.bround("median_rent", 0).alias("median_rent"),
         "min_rent", "max_rent", F.bround("std_rent", 0).alias("std_rent"),
@@ -56,9 +54,11 @@ def city_stats(df: DataFrame) -> DataFrame:
 
 def city_aggregate(df: DataFrame) -> DataFrame:
     """A3: per city mean and median rent, mean psf, count."""
-    return _keys_not_null(df, ["city"]).groupBy("city").agg(
-        F.avg("rent").alias("avg_rent"), F.median("rent").alias("median_rent"),
-        F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings"))
+    d = _keys_not_null(df, ["city"])
+    base = d.groupBy("city").agg(F.avg("rent").alias("avg_rent"), F.avg("price_per_sqft").alias("avg_psf"),
+                                 F.count(F.lit(1)).alias("n_listings"))
+    return _with_quantiles(d, base, ["city"], "rent", {"median_rent": 0.5}, "exact").select(
+        "city", "avg_rent", "median_rent", "avg_psf", "n_listings")
 
 
 def city_medians(df: DataFrame, method: str = "exact") -> DataFrame:
@@ -80,15 +80,13 @@ def bhk_city_mean(df: DataFrame, bhk_range=(1, 4)) -> DataFrame:
     return agg.filter(F.col("bhk").between(*bhk_range))
 
 
-def furnish_comparison(df: DataFrame, method: str = "auto") -> DataFrame:
-    """Median psf and count by (city, furnishing) (psf is a double: the
-    size-checked ``auto`` quantile plan by default)."""
+def furnish_comparison(df: DataFrame, method: str = "exact") -> DataFrame:
+    """Median psf and count by (city, furnishing)."""
     keys = ["city", "furnishing"]
     d = _keys_not_null(df, keys)
-    if method == "exact":
-        return d.groupBy(*keys).agg(F.median("price_per_sqft").alias("median_psf"), F.count(F.lit(1)).alias("n"))
     base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return _with_quantiles(d, base, keys, "price_per_sqft", {"median_psf": 0.5}, method)
+    return _with_quantiles(d, base, keys, "price_per_sqft", {"median_psf": 0.5}, method).select(
+        *keys, "median_psf", "n")
 
 
 def furnishing_stats(df: DataFrame) -> DataFrame:
@@ -97,16 +95,12 @@ def furnishing_stats(df: DataFrame) -> DataFrame:
         F.avg("rent").alias("avg_rent"), F.avg("price_per_sqft").alias("avg_psf"))
 
 
-def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto") -> DataFrame:
-    """Global quantile of psf as a one-row DataFrame ``(psf_q)``.
-
-    Default ``auto``: the built-in exact map when the table's distinct psf values
-    are provably few, else the ``ranked`` plan, which never pulls every distinct
-    value of the whole table into one task."""
+def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact") -> DataFrame:
+    """Global quantile of psf as a one-row DataFrame ``(psf_q)``."""
     return quantiles(df, "price_per_sqft", {"psf_q": q}, [], method)
 
 
-def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto",
+def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact",
                       label: str = "high_demand") -> DataFrame:
     """1 when psf >= the global quantile. The one-row threshold is a scalar
     subquery: computed once, its value is shipped with the task — no join."""
@@ -114,7 +108,7 @@ def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str =
     return df.withColumn(label, (F.col("price_per_sqft") >= thr).cast("int"))
 
 
-def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "auto") -> DataFrame:
+def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact") -> DataFrame:
     """Share of high-demand listings by (city, bhk)."""
     lab = with_demand_label(df, q, method)
     return _keys_not_null(lab, ["city", "bhk"]).groupBy("city", "bhk").agg(
@@ -129,26 +123,14 @@ def demand_pivot(heat: DataFrame, cities=C.CITIES, bhks=(1, 2, 3, 4)) -> DataFra
     return p.select("city", *[F.coalesce(F.col(str(b)), F.lit(0.0)).alias(f"bhk_{b}") for b in bhks])
 
 
-def city_benchmarks(df: DataFrame, method: str = "auto") -> DataFrame:
-    """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks.
-
-    ``auto``: rent quantiles with the built-in exact ``percentile`` (integer rents:
-    the per-group map is bounded by the distinct rents), psf quantiles through
-    the size-checked ``auto`` plan (doubles: distinct values can grow with the
-    rows of a hot city). Any other ``method`` applies to both."""
+def city_benchmarks(df: DataFrame, method: str = "exact") -> DataFrame:
+    """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks."""
     d = _keys_not_null(df, ["city"])
-    rent_m = "exact" if method == "auto" else method
-    psf_m = method
     rent_probs = {"rent_p25": .25, "rent_p50": .5, "rent_p75": .75, "rent_p90": .9}
-    if rent_m == "exact":
-        base = d.groupBy("city").agg(
-            *[F.percentile(F.col("rent").cast("double"), p).alias(n) for n, p in rent_probs.items()],
-            F.count(F.lit(1)).alias("n_listings"))
-    else:
-        base = d.groupBy("city").agg(F.count(F.lit(1)).alias("n_listings")).join(
-            quantiles(d, "rent", rent_probs, ["city"], rent_m), "city")
-    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], psf_m)
-    return base.join(pq, "city").select("city", *rent_probs, "psf_p50", "psf_p75", "n_listings")
+    base = d.groupBy("city").agg(F.count(F.lit(1)).alias("n_listings"))
+    rq = quantiles(d, "rent", rent_probs, ["city"], method)
+    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], method)
+    return base.join(rq, "city").join(pq, "city").select("city", *rent_probs, "psf_p50", "psf_p75", "n_listings")
 
 
 def bhk_city_medians_all(df: DataFrame, method: str = "exact") -> DataFrame:
@@ -160,12 +142,13 @@ def bhk_city_medians_all(df: DataFrame, method: str = "exact") -> DataFrame:
 def furnish_premiums(df: DataFrame) -> DataFrame:
     """Per city median rent of Furnished and Semi-Furnished over the
     Unfurnished median; only cities whose Unfurnished median exists and is > 0."""
-    d = _keys_not_null(df, ["city"])
-    r = F.col("rent").cast("double")
-    m = d.groupBy("city").agg(
-        F.median(F.when(F.col("furnishing") == "Unfurnished", r)).alias("_base"),
-        F.median(F.when(F.col("furnishing") == "Furnished", r)).alias("_furn"),
-        F.median(F.when(F.col("furnishing") == "Semi-Furnished", r)).alias("_semi"))
+    d = _keys_not_null(df, ["city", "furnishing"])
+    q = quantiles(d, "rent", {"m": 0.5}, ["city", "furnishing"])  # one row per (city, furnishing)
+
+    def of(kind):
+        return F.max(F.when(F.col("furnishing") == kind, F.col("m")))
+    m = q.groupBy("city").agg(of("Unfurnished").alias("_base"), of("Furnished").alias("_furn"),
+                              of("Semi-Furnished").alias("_semi"))
     m = m.filter(F.col("_base").isNotNull() & (F.col("_base") > 0))
     return m.select("city", (F.col("_furn") / F.col("_base")).alias("furnished"),
                     (F.col("_semi") / F.col("_base")).alias("semi_furnished"),
@@ -198,8 +181,7 @@ def rent_box_stats(df: DataFrame, cap: float = C.CHART_RENT_CAP, method: str = "
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     r = F.col("rent")
     inside = (r >= F.col("lower_fence")) & (r <= F.col("upper_fence"))
-    from rentlens.operators.lookups import checked_broadcast
-    stats = d.join(checked_broadcast(q), "city").groupBy("city").agg(
+    stats = d.join(q, "city").groupBy("city").agg(
         F.min(r).alias("min_rent"), F.max(r).alias("max_rent"),
         F.min(F.when(inside, r)).alias("lower_whisker"), F.max(F.when(inside, r)).alias("upper_whisker"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"),

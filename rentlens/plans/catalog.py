@@ -148,8 +148,8 @@ def q_city_aggregate(spark, sf):
     "SELECT city, median(rent) AS median_rent FROM listings WHERE city IS NOT NULL GROUP BY city"),
     ["median_rent"]))
 def q_city_median_rent(spark, sf):
-    """A4 (the ``ranked`` exact form)."""
-    return r6(ST.city_medians(clean(spark, sf), method="ranked"))
+    """A4."""
+    return r6(ST.city_medians(clean(spark, sf)))
 
 
 @register("bhk_city_median", sql_r6(with_listings(
@@ -172,8 +172,8 @@ def q_bhk_city_mean(spark, sf):
     "SELECT city, furnishing, median(price_per_sqft) AS median_psf, count(*) AS n FROM listings"
     " WHERE city IS NOT NULL GROUP BY city, furnishing"), ["median_psf"]))
 def q_furnish_comparison(spark, sf):
-    """A7 (psf medians with the ``ranked`` exact form)."""
-    return r6(ST.furnish_comparison(clean(spark, sf), method="ranked"))
+    """A7."""
+    return r6(ST.furnish_comparison(clean(spark, sf)))
 
 
 @register("furnishing_stats", sql_r6(with_listings(
@@ -226,14 +226,14 @@ _BENCH_COLS = ["rent_p25", "rent_p50", "rent_p75", "rent_p90", "psf_p50", "psf_p
 
 @register("city_benchmarks", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
 def q_city_benchmarks(spark, sf):
-    """A12 (rent: built-in exact percentile; psf: ranked exact plan)."""
+    """A12."""
     return r6(ST.city_benchmarks(clean(spark, sf)))
 
 
 @register("city_benchmarks_ranked", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
 def q_city_benchmarks_ranked(spark, sf):
-    """A12 with every quantile through the bounded-memory exact plan."""
-    return r6(ST.city_benchmarks(clean(spark, sf), method="ranked"))
+    """A12 with every quantile through the plan for numbers that are not whole."""
+    return r6(ST.city_benchmarks(clean(spark, sf).withColumn("rent", F.col("rent").cast("double"))))
 
 
 @register("bhk_city_medians", sql_r6(with_listings(

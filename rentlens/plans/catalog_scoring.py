@@ -9,7 +9,6 @@ from rentlens import constants as C
 from rentlens.functions import features as FT
 from rentlens.functions.text import py_round
 from rentlens.operators import insights as IN
-from rentlens.operators.lookups import checked_broadcast
 from rentlens.operators import pricing as PR
 from rentlens.operators import risk as RK
 from rentlens.operators import stats as ST
@@ -313,8 +312,8 @@ def _insight_frame(spark, sf):
     priced = PR.rent_band(df, "rent", ST.city_medians(df))
     heat = ST.demand_heatmap(df)
     second = ST.bhk_city_medians_all(df).select("city", "bhk", py_round(F.col("median_rent"), -2).alias("dl_rent"))
-    j = (priced.join(checked_broadcast(heat), ["city", "bhk"], "left")
-         .join(checked_broadcast(second), ["city", "bhk"], "left")
+    j = (priced.join(heat, ["city", "bhk"], "left")
+         .join(second, ["city", "bhk"], "left")
          .withColumn("risk_prob", F.coalesce(F.col("demand_rate"), F.lit(0.0)))
          .withColumn("risk", F.when(F.col("risk_prob") >= 0.5, "High").otherwise("Low"))
          .transform(FT.with_floor).withColumn("floor_ratio", F.col("_fl")["ratio"]))

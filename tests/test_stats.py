@@ -73,24 +73,65 @@ def test_demand_labels(small):
     assert pv["Delhi"]["bhk_1"] == 0.0 and pv["Mumbai"]["bhk_3"] == 100.0
 
 
-@settings(max_examples=20, deadline=None)
+def _numpy(rows, probs):
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g, []).append(v)
+    return {g: [np.quantile(np.array(v, float), p) for p in probs.values()] for g, v in groups.items()}
+
+
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.floats(0, 1000, allow_nan=False)),
-                min_size=1, max_size=60),
-       st.integers(0, 200))
-def test_ranked_quantiles_equal_exact(spark, rows, hot):
+                min_size=1, max_size=60), st.integers(0, 200), st.booleans())
+def test_quantiles_of_any_groups(spark, rows, hot, whole):
     rows = rows + [("hot", 7.5)] * hot + [("hot", 1.0)]  # one heavy group with repeated values
-    df = spark.createDataFrame(rows, "g string, v double")
-    probs = {"p10": 0.1, "p50": 0.5, "p60": 0.6, "p90": 0.9}
-    a = {r["g"]: r for r in quantiles(df, "v", probs, ["g"], "exact").collect()}
-    b = {r["g"]: r for r in quantiles(df, "v", probs, ["g"], "ranked", partitions=4).collect()}
-    assert a.keys() == b.keys()
-    for g in a:
-        for p in probs:
-            assert b[g][p] == pytest.approx(a[g][p], rel=1e-12, abs=1e-12)
-    glob = quantiles(df, "v", probs, [], "ranked", partitions=3).first()
-    allv = np.array([v for _, v in rows])
-    for p, q in probs.items():
-        assert glob[p] == pytest.approx(np.quantile(allv, q), rel=1e-12, abs=1e-12)
+    rows = [(g, int(v) if whole else v) for g, v in rows]
+    df = spark.createDataFrame(rows, f"g string, v {'long' if whole else 'double'}")
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p60": 0.6, "p90": 0.9, "p100": 1.0}
+    got = {r["g"]: [r[p] for p in probs] for r in quantiles(df, "v", probs, ["g"]).collect()}
+    exp = _numpy(rows, probs)
+    assert got.keys() == exp.keys()
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], rel=1e-12, abs=1e-12)
+    one = quantiles(df, "v", probs, []).first()
+    assert [one[p] for p in probs] == pytest.approx(_numpy([("", v) for _, v in rows], probs)[""], rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_quantiles_do_not_depend_on_partitions_or_exchange_reuse(spark, parts, reuse):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else "cold", float(v)) for i, v in enumerate(rng.lognormal(8, 2, 20_000))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(parts)
+    probs = {"m": 0.5, "p9": 0.9}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r["g"]: [r["m"], r["p9"]] for r in quantiles(df, "v", probs, ["g"]).collect()}
+        one = quantiles(df, "v", probs, []).first()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    exp = _numpy(rows, probs)
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], rel=1e-12)
+    assert [one["m"], one["p9"]] == pytest.approx(_numpy([("", v) for _, v in rows], probs)[""], rel=1e-12)
+
+
+def test_bad_marks_only_cost_time(spark, monkeypatch):
+    """Any marks give exact ranks."""
+    from rentlens.functions import quantiles as Q
+    monkeypatch.setattr(Q, "SKETCH", 2)
+    rows = [("a", float(v)) for v in np.random.default_rng(4).permutation(5000)]
+    got = quantiles(spark.createDataFrame(rows, "g string, v double"), "v", {"m": 0.5, "q": 0.901}, ["g"]).first()
+    assert [got["m"], got["q"]] == pytest.approx(_numpy(rows, {"m": 0.5, "q": 0.901})["a"], rel=1e-12)
+
+
+def test_quantiles_without_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), ("a", None)], "g string, v double")
+    assert quantiles(df, "v", {"m": 0.5}, ["g"]).collect() == []
+    assert quantiles(df.filter("false"), "v", {"m": 0.5}, []).first()["m"] is None
 
 
 def test_box_stats(small):
@@ -106,11 +147,3 @@ def test_chunks_keep_all_rows(small):
     assert sum(r["rows"] for r in ST.partition_rows(small).collect()) == small.count()
     share = {r["city"]: r["share"] for r in ST.city_share(small).collect()}
     assert share["Mumbai"] == pytest.approx(0.8)
-
-
-def test_auto_quantiles_pick_a_plan_and_agree(spark):
-    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 0.37).alias("v"))
-    exact = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "exact").collect()}
-    small = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "auto").collect()}
-    forced = {r["g"]: r["m"] for r in quantiles(df, "v", {"m": 0.5}, ["g"], "auto", max_distinct=10).collect()}
-    assert small == pytest.approx(exact) and forced == pytest.approx(exact)
