@@ -2,10 +2,10 @@
 
 * P21 registration validation: the first failing rule per request, as a
   data-quality column (``rlike``/``length``/``isin`` → one ``when`` chain).
-* J6 duplicates: against the existing accounts with left-semi joins on the
-  lower-cased key; inside the batch, the first request per key (by request id)
-  wins — found with a grouped ``min`` and a join back, which partially
-  aggregates a hot key instead of sorting it in one window partition.
+* J6 duplicates: requests are decided as if they came one by one. Those that clash with
+  an existing account go first; of the rest, in rounds, a request that is the earliest
+  undecided one for its name and for its e-mail is accepted, and what clashes with an
+  accepted request is refused. Minima are grouped, so a hot name is reduced before it moves.
 * P20 entitlements: role → permission mask (fixed 5-row table, broadcast) and the
   page list the mask opens.
 * P19 user list view, with failure count and lock flag from the lockout audit.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens import constants as C
+from rentlens.session import materialize
 
 
 def _java_unicode(pattern: str) -> str:
@@ -52,27 +53,35 @@ def validation_error(username="username", full_name="full_name", email="email",
 def register_batch(requests: DataFrame, existing: DataFrame, req_id: str = "req_id") -> DataFrame:
     """P21 + J6 over a batch of registration requests: adds ``error`` (null = accepted).
 
-    Per key (lower-cased username, then email) one small table holds both facts
-    the rule needs — "exists already" and "first valid request in the batch" —
-    built by a union and one aggregation, so the requests are shuffled once per
-    key for a single left join."""
-    v = requests.withColumns({
+    Requests take effect in the order of ``req_id``, and only accepted ones hold their name and e-mail: a
+    request that is refused for its e-mail leaves its name to the next one. The number of rounds is the length
+    of the longest chain of such dependencies; each round only reads the requests still undecided."""
+    v = materialize(requests.withColumns({
         "_u": F.lower(py_strip(F.col("username"))), "_e": F.lower(py_strip(F.col("email"))),
-        "_err": validation_error()})
-    ok = v.filter(F.col("_err").isNull())
-
-    def key_info(key: str, existing_col: str, taken: str, first: str) -> DataFrame:
-        ex = existing.select(F.lower(F.col(existing_col)).alias(key), F.lit(True).alias(taken),
-                             F.lit(None).cast("long").alias(first))
-        mine = ok.select(F.col(key), F.lit(False).alias(taken), F.col(req_id).cast("long").alias(first))
-        return ex.unionByName(mine).groupBy(key).agg(F.max(taken).alias(taken), F.min(first).alias(first))
-
-    j = (v.join(key_info("_u", "username", "_tu", "_fu"), "_u", "left")
-         .join(key_info("_e", "email", "_te", "_fe"), "_e", "left"))
-    err = (F.when(F.col("_err").isNotNull(), F.col("_err"))
-           .when(F.coalesce(F.col("_tu"), F.lit(False)) | (F.col(req_id) != F.col("_fu")), F.lit(C.MSG_USERNAME_TAKEN))
-           .when(F.coalesce(F.col("_te"), F.lit(False)) | (F.col(req_id) != F.col("_fe")), F.lit(C.MSG_EMAIL_TAKEN)))
-    return j.withColumn("error", err).drop("_u", "_e", "_err", "_tu", "_te", "_fu", "_fe")
+        "_err": validation_error()}))
+    old_u = existing.select(F.lower("username").alias("_u")).distinct()
+    old_e = existing.select(F.lower("email").alias("_e")).distinct()
+    left = (v.filter(F.col("_err").isNull()).select(F.col(req_id).alias("_id"), "_u", "_e")
+            .join(old_u, "_u", "left_anti").join(old_e, "_e", "left_anti"))
+    taken = left.limit(0)
+    while True:
+        left = materialize(left)
+        if left.isEmpty():
+            break
+        now = materialize(left.join(left.groupBy("_u").agg(F.min("_id").alias("_fu")), "_u")
+                          .join(left.groupBy("_e").agg(F.min("_id").alias("_fe")), "_e")
+                          .filter((F.col("_id") == F.col("_fu")) & (F.col("_id") == F.col("_fe"))).select("_id", "_u", "_e"))
+        taken = taken.unionByName(now)
+        left = left.join(now.select("_u"), "_u", "left_anti").join(now.select("_e"), "_e", "left_anti")
+    by_u = old_u.withColumn("_tu", F.lit(None).cast("long")).unionByName(taken.select("_u", F.col("_id").cast("long").alias("_tu")))
+    by_e = old_e.withColumn("_te", F.lit(None).cast("long")).unionByName(taken.select("_e", F.col("_id").cast("long").alias("_te")))
+    j = (v.join(by_u.withColumn("_hu", F.lit(True)), "_u", "left").join(by_e.withColumn("_he", F.lit(True)), "_e", "left"))
+
+    def held(flag, holder):  # by an existing account (no id) or an accepted earlier request
+        return F.col(flag).isNotNull() & (F.col(holder).isNull() | (F.col(holder) < F.col(req_id)))
+    err = (F.when(F.col("_err").isNotNull(), F.col("_err")).when(held("_hu", "_tu"), F.lit(C.MSG_USERNAME_TAKEN))
+           .when(held("_he", "_te"), F.lit(C.MSG_EMAIL_TAKEN)))
+    return j.withColumn("error", err).drop("_u", "_e", "_err", "_tu", "_te", "_hu", "_he")
 
 
 def role_masks(spark) -> DataFrame:
