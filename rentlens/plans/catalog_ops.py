@@ -14,7 +14,6 @@ from rentlens.operators import accounts as AC
 from rentlens.operators import filters as FL
 from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
-from rentlens.operators.lookups import checked_broadcast
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
 from rentlens.plans.catalog import clean, clean_shared, register, sql_round6
@@ -40,7 +39,7 @@ def _log_table(spark, sf):
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predlog-{uuid.uuid4().hex}"
         df = clean_shared(spark, sf)
         priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(
-            checked_broadcast(ST.demand_heatmap(df)), ["city", "bhk"], "left")
+            ST.demand_heatmap(df), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))
         records = PS.checked_records(PL.prediction_records(priced, key_cols=KEY_COLS))
@@ -185,10 +184,12 @@ def _requests(spark, sf):
     return c.select(
         k.alias("req_id"),
         F.when(k % 11 == 0, F.lit("ab")).when(k % 13 == 0, F.concat(F.lit("user-"), ks))
+        .when(k % 3 == 0, F.concat(F.lit("User_"), (k - k % 24 + 1_000_000).cast("string")))
         .otherwise(F.concat(F.lit("user_"), ks)).alias("username"),
         F.when(k % 17 == 0, F.lit("   ")).otherwise(F.col("c_name")).alias("full_name"),
         F.when(k % 19 == 0, F.concat(F.lit("user"), ks, F.lit("@example")))
         .when(k % 23 == 0, F.concat(F.lit("user"), (k % 100).cast("string"), F.lit("@supplier.example")))
+        .when(k % 4 == 0, F.concat(F.lit("shared"), (k - k % 20).cast("string"), F.lit("@mail.example")))
         .otherwise(F.concat(F.lit("user"), ks, F.lit("@"), seg, F.lit(".example"))).alias("email"),
         F.when(k % 2 == 0, F.concat(F.lit("Aa1!"), seg)).otherwise(F.concat(seg, ks)).alias("password"),
         F.element_at(F.array(*[F.lit(r) for r in REQUEST_ROLES]), F.pmod("c_nationkey", F.lit(4)) + 1).alias("role"))
@@ -196,10 +197,12 @@ def _requests(spark, sf):
 
 REQUESTS_SQL = """requests AS (SELECT c_custkey AS req_id,
   CASE WHEN c_custkey % 11 = 0 THEN 'ab' WHEN c_custkey % 13 = 0 THEN 'user-' || CAST(c_custkey AS VARCHAR)
+       WHEN c_custkey % 3 = 0 THEN 'User_' || CAST(c_custkey - c_custkey % 24 + 1000000 AS VARCHAR)
        ELSE 'user_' || CAST(c_custkey AS VARCHAR) END AS username,
   CASE WHEN c_custkey % 17 = 0 THEN '   ' ELSE c_name END AS full_name,
   CASE WHEN c_custkey % 19 = 0 THEN 'user' || CAST(c_custkey AS VARCHAR) || '@example'
        WHEN c_custkey % 23 = 0 THEN 'user' || CAST(c_custkey % 100 AS VARCHAR) || '@supplier.example'
+       WHEN c_custkey % 4 = 0 THEN 'shared' || CAST(c_custkey - c_custkey % 20 AS VARCHAR) || '@mail.example'
        ELSE 'user' || CAST(c_custkey AS VARCHAR) || '@' || lower(c_mktsegment) || '.example' END AS email,
   CASE WHEN c_custkey % 2 = 0 THEN 'Aa1!' || lower(c_mktsegment)
        ELSE lower(c_mktsegment) || CAST(c_custkey AS VARCHAR) END AS password,
@@ -211,7 +214,7 @@ def _register_sql() -> str:
               " AND regexp_matches(password, '[a-z]') AND regexp_matches(password, '[0-9]')"
               " AND regexp_matches(password, '[!@#$%^&*]'))")
     q = lambda s: s.replace("'", "''")
-    return f"""WITH {ACCOUNTS_SQL}, {REQUESTS_SQL},
+    return f"""WITH RECURSIVE {ACCOUNTS_SQL}, {REQUESTS_SQL},
 v AS (SELECT *, lower(trim(username)) AS _u, lower(trim(email)) AS _e,
   CASE WHEN trim(username) IS NULL OR length(trim(username)) < 3 THEN '{q(C.MSG_USERNAME_SHORT)}'
        WHEN NOT regexp_full_match(trim(username), '\\w+') THEN '{q(C.MSG_USERNAME_CHARS)}'
@@ -221,14 +224,24 @@ v AS (SELECT *, lower(trim(username)) AS _u, lower(trim(email)) AS _e,
        WHEN NOT coalesce({pwd_ok}, false) THEN '{q(C.MSG_PASSWORD)}'
        WHEN upper(role) NOT IN ('TENANT', 'AGENT') THEN 'Role ''' || upper(role) || ''' is not available for self-registration.'
   END AS _err FROM requests),
-fu AS (SELECT _u, min(req_id) AS _fu FROM v WHERE _err IS NULL GROUP BY _u),
-fe AS (SELECT _e, min(req_id) AS _fe FROM v WHERE _err IS NULL GROUP BY _e)
+free AS (SELECT req_id, _u, _e, count(*) OVER (PARTITION BY _u) > 1 OR count(*) OVER (PARTITION BY _e) > 1 AS clash
+  FROM v WHERE _err IS NULL AND _u NOT IN (SELECT lower(username) FROM accounts)
+    AND _e NOT IN (SELECT lower(email) FROM accounts)),
+queue AS (SELECT *, row_number() OVER (ORDER BY req_id) AS i FROM free WHERE clash),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS req_id, CAST('' AS VARCHAR) AS _u, CAST('' AS VARCHAR) AS _e,
+    false AS ok, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS es
+  UNION ALL
+  SELECT i, req_id, _u, _e, ok, CASE WHEN ok THEN list_append(us, _u) ELSE us END, CASE WHEN ok THEN list_append(es, _e) ELSE es END
+  FROM (SELECT q.i, q.req_id, q._u, q._e, w.us, w.es, NOT list_contains(w.us, q._u) AND NOT list_contains(w.es, q._e) AS ok
+        FROM walk w JOIN queue q ON q.i = w.i + 1)),
+acc AS (SELECT req_id, _u, _e FROM free WHERE NOT clash UNION ALL SELECT req_id, _u, _e FROM walk WHERE ok)
 SELECT v.req_id, v.username, CASE
   WHEN _err IS NOT NULL THEN _err
-  WHEN v._u IN (SELECT lower(username) FROM accounts) OR v.req_id <> fu._fu THEN '{q(C.MSG_USERNAME_TAKEN)}'
-  WHEN v._e IN (SELECT lower(email) FROM accounts) OR v.req_id <> fe._fe THEN '{q(C.MSG_EMAIL_TAKEN)}'
+  WHEN v._u IN (SELECT lower(username) FROM accounts) OR hu.req_id < v.req_id THEN '{q(C.MSG_USERNAME_TAKEN)}'
+  WHEN v._e IN (SELECT lower(email) FROM accounts) OR he.req_id < v.req_id THEN '{q(C.MSG_EMAIL_TAKEN)}'
   END AS error
-FROM v LEFT JOIN fu ON v._u = fu._u LEFT JOIN fe ON v._e = fe._e"""
+FROM v LEFT JOIN acc hu ON v._u = hu._u LEFT JOIN acc he ON v._e = he._e"""
 
 
 @register("registration_checks", _register_sql())
@@ -282,30 +295,38 @@ def q_user_list(spark, sf):
 
 # --------------------------------------------------------- streaming forms ---
 
-def _run_stream(spark, sf, name: str, build):
-    """Run a stateful streaming plan over the events file to completion
-    (``availableNow``) into a parquet sink under the shared checkpoint folder, and
-    read the sink back as a table."""
+SLICES = 6
+
+
+def _run_stream(spark, sf, name: str, build, twin):
+    """The login attempts land in ``SLICES`` files that overlap in time by a third of a slice; the stream reads one
+    file per micro-batch with a watermark of half a slice, and the reconcile job adds what still waits at the end."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    events = table(spark, sf, "events")
-    src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-           .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/")))
-    q = (build(src.select("event_id", "ts", "user_id", "event_type")).writeStream.format("parquet")
+    events = LS.login_attempts(_events(spark, sf))
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    low, high = events.agg(F.min(t), F.max(t)).first()
+    width = max(1.0, ((high or 0) - (low or 0)) / SLICES)
+    early = F.when(F.col("event_id") % 3 == 0, F.lit(1 / 3)).otherwise(F.lit(0.0))
+    sliced = events.withColumn("_slice", F.least(F.floor((t - (low or 0)) / width + early), F.lit(SLICES - 1)))
+    for i in range(SLICES):
+        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    q = (build(src, f"{int(width / 2) + 1} seconds").writeStream.format("parquet")
          .outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    sink = spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return LS.reconcile(events, sink, twin)
 
 
 @register("login_throttle_stream", _throttle_sql())
 def q_login_throttle_stream(spark, sf):
-    """T2 as a Structured Streaming job (applyInPandasWithState, event-time
-    timeout) over every login attempt; equal to the batch twin."""
-    out = _run_stream(spark, sf, "throttle", lambda s: LS.throttle_stream(LS.login_attempts(s)))
+    """T2 as a Structured Streaming job over every login attempt, in overlapping micro-batches."""
+    out = _run_stream(spark, sf, "throttle", LS.throttle_stream, LS.throttle)
     return out.withColumns({"retry_after_s": py_round("retry_after_s", 6), "tokens": py_round("tokens", 6)})
 
 
 @register("lockout_audit_stream", _lockout_sql())
 def q_lockout_audit_stream(spark, sf):
-    """T3 as a Structured Streaming job over every login attempt."""
-    return _run_stream(spark, sf, "lockout", lambda s: LS.lockout_stream(LS.login_attempts(s)))
+    """T3 as a Structured Streaming job over every login attempt, in overlapping micro-batches."""
+    return _run_stream(spark, sf, "lockout", LS.lockout_stream, LS.lockout)

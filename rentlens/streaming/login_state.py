@@ -1,15 +1,14 @@
 """Per-key login state machines (T2 token bucket, T3 lockout) in two forms:
 
-* batch twin — events are hash-partitioned by key and sorted by (key, time, id)
-  inside each partition; ``mapInPandas`` then walks the Arrow batches in that
-  order carrying only the current key's state. A key with a third of all events
-  is streamed through, never materialised as one pandas frame.
-* streaming — ``applyInPandasWithState`` keyed by user, event-time watermark,
-  rows inside a micro-batch sorted by (time, id); state is (tokens, last time)
-  or (failures, locked until) and expires on an event-time timeout.
-
-Both forms share the step functions below, so they agree on ordered input.
-Event time comes from the row, not the wall clock.
+* batch twin — a key's events are cut where the state is known without looking back (a full bucket, a
+  success after any lock has ended), so a key with a third of all events runs as many pieces; pieces are
+  sorted by time and id, and ``mapInPandas`` walks the Arrow batches carrying the current piece's state.
+* streaming — ``applyInPandasWithState`` keyed by user. Rows wait in the state until the watermark has passed
+  them and are then applied in order of (time, id), so batches may overlap in time by the watermark's delay.
+  Rows later than that get no verdict; ``reconcile`` finds the events without a verdict and computes
+  their users anew with the batch twin.
+
+Both forms share the step functions below. Event time comes from the row, not the wall clock.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +28,11 @@ from rentlens.session import ship_package
 
 def bucket_step(state: tuple[float, int] | None, t: int, capacity: float, rate: float, cost: float):
     """One request at time ``t`` (integer microseconds, so elapsed time is exact).
-    State (tokens, last_t); a new key starts full.
+    State (tokens, last_t); a new key starts full. The clock never runs back: a request from before
+    ``last_t`` counts as made then.
     Returns (new_state, allowed, retry_after_s, tokens_after)."""
     tokens, last = (capacity, t) if state is None else state
+    t = max(t, last)
     tokens = min(capacity, tokens + (t - last) / 1e6 * rate)
     if tokens >= cost:
         tokens -= cost
@@ -88,26 +89,47 @@ def _secs_or_none(us):
     return None if us is None else us / 1e6
 
 
-def _sorted_by_key(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, "ts", "event_id")
+#: Seconds of a key's events that one window looks at.
+SPAN_S = 86_400
+
+
+def _pieces(df: DataFrame, key: str, resets) -> DataFrame:
+    """``df`` sorted within partitions by (key, piece, ts, event_id). A piece begins at a key's first event and at
+    each event for which ``resets(seconds since the key's previous event)`` holds. Windows only span
+    (key, ``SPAN_S`` seconds); one small row per span carries the last event and the last beginning onwards."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = df.withColumns({"_t": t, "_span": F.floor(t / F.lit(SPAN_S * 1_000_000))})
+    own = Window.partitionBy(key, "_span").orderBy("_t", "event_id")
+    earlier = Window.partitionBy(key).orderBy("_span")
+    last = d.groupBy(key, "_span").agg(F.max("_t").alias("_last"))
+    last = last.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), F.lag("_last").over(earlier).alias("_before"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s"))
+    d = d.withColumn("_lag", F.lag("_t").over(own)).join(last, same, "left").drop("_k", "_s")
+    gap = (F.col("_t") - F.coalesce("_lag", "_before")) / 1e6
+    d = d.withColumn("_at", F.when(gap.isNull() | resets(gap), F.struct("_t", "event_id")))
+    begun = d.groupBy(key, "_span").agg(F.max("_at").alias("_b"))
+    begun = begun.select(F.col(key).alias("_k"), F.col("_span").alias("_s"),
+                         F.max("_b").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_since"))
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_own", F.max("_at").over(upto)).join(begun, same, "left")
+    d = d.withColumn("_piece", F.coalesce("_own", "_since")["event_id"])
+    return d.select(*df.columns, "_piece", "_t").repartition(key, "_piece").sortWithinPartitions(key, "_piece", "_t", "event_id")
 
 
 # ------------------------------------------------------------- batch twins ---
 
 def throttle(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float = C.BUCKET_RATE,
-             cost: float = C.BUCKET_COST, key: str = "user_id", partitions: int | None = None) -> DataFrame:
-    """T2 batch twin: allow/deny and retry-after for every event, per key, in time order."""
+             cost: float = C.BUCKET_COST, key: str = "user_id") -> DataFrame:
+    """T2 batch twin: allow/deny and retry-after for every event, per key, in time order. After
+    ``capacity / rate`` seconds without events the bucket is full, as for a new key."""
     ship_package(events.sparkSession)
-    src = _sorted_by_key(events.select("event_id", key, "ts"), key, partitions)
+    src = _pieces(events.select("event_id", key, "ts"), key, lambda gap: gap >= capacity / rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state = None, None
         for b in batches:
-            secs = _micros(b["ts"]).to_numpy()
-            keys = b[key].to_numpy()
             allowed, retry, tokens = [], [], []
-            for k, t in zip(keys, secs):
+            for k, t in zip(zip(b[key].to_numpy(), b["_piece"].to_numpy()), b["_t"].to_numpy()):
                 if k != cur:
                     cur, state = k, None
                 state, ok, r, tok = bucket_step(state, int(t), capacity, rate, cost)
@@ -119,17 +141,17 @@ def throttle(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float
 
 
 def lockout(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS, lock_s: float = C.LOCK_SECONDS,
-            key: str = "user_id", partitions: int | None = None) -> DataFrame:
-    """T3 batch twin (lockout audit): outcome of every attempt, per key, in time order."""
+            key: str = "user_id") -> DataFrame:
+    """T3 batch twin (lockout audit): outcome of every attempt, per key, in time order. A success ``lock_s`` seconds
+    or more after the previous attempt meets no lock and leaves no failures, whatever came before."""
     ship_package(attempts.sparkSession)
-    src = _sorted_by_key(attempts.select("event_id", key, "ts", "success"), key, partitions)
+    src = _pieces(attempts.select("event_id", key, "ts", "success"), key, lambda gap: F.col("success") & (gap >= lock_s))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state = None, None
         for b in batches:
-            secs = _micros(b["ts"]).to_numpy()
             outs, fails, locks = [], [], []
-            for k, t, s in zip(b[key].to_numpy(), secs, b["success"].to_numpy()):
+            for k, t, s in zip(zip(b[key].to_numpy(), b["_piece"].to_numpy()), b["_t"].to_numpy(), b["success"].to_numpy()):
                 if k != cur:
                     cur, state = k, None
                 state, o, f, lk = lockout_step(state, int(t), bool(s), max_attempts, lock_s)
@@ -147,70 +169,76 @@ def _stream_out_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([f if f.name != "ts" else T.StructField("ts", T.TimestampType()) for f in schema.fields])
 
 
-def throttle_stream(events: DataFrame, capacity: float = C.BUCKET_CAPACITY, rate: float = C.BUCKET_RATE,
-                    cost: float = C.BUCKET_COST, watermark: str = "1 hour") -> DataFrame:
-    """T2 on a stream. The bucket is full again ``capacity / rate`` seconds after
-    the last request, so the state is dropped on an event-time timeout then
-    (a fresh key starts full: identical behaviour, bounded state)."""
+def _in_order(src: DataFrame, schema: T.StructType, carry_sql: str, apply, idle_ms) -> DataFrame:
+    """Runs ``apply(carry, micros, flag) -> (carry, output fields)`` over each user's rows (event_id, user_id, ts,
+    flag) in order of (ts, event_id), each as soon as the watermark has passed it. ``carry`` is a tuple, or None
+    for a user without state; ``idle_ms(carry)`` is the time from which it equals None (None: already now; inf: never)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
-    ship_package(events.sparkSession)
-    src = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")) \
-        .withWatermark("ts", watermark)
-    refill_ms = int(capacity / rate * 1000)
+    ship_package(src.sparkSession)
+    n = carry_sql.count(",") + 1
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        st = tuple(state.get) if state.exists else None
-        parts = [p for p in pdfs]
-        b = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
-        rows = []
-        for eid, ts in zip(b["event_id"], b["ts"]):
-            t = pd.Timestamp(ts).value // 1000
-            st, ok, r, tok = bucket_step(st, t, capacity, rate, cost)
-            rows.append((eid, key[0], ts, ok, r, tok))
-        if st is not None:
-            state.update((float(st[0]), int(st[1])))
-            state.setTimeoutTimestamp(int(st[1] // 1000) + refill_ms)
-        yield pd.DataFrame(rows, columns=[f.name for f in THROTTLE_SCHEMA.fields])
+        held = list(state.get) if state.exists else [None] * n + [[], [], []]
+        carry = tuple(held[:n]) if held[0] is not None else None
+        waiting = list(zip(*held[n:]))
+        now = state.getCurrentWatermarkMs()
+        for p in pdfs:  # rows behind the watermark that Spark still lets through get no verdict either
+            waiting += (r for r in zip(_micros(p["ts"]).tolist(), p["event_id"].tolist(), p["flag"].tolist())
+                        if r[0] > now * 1000)
+        waiting.sort()
+        rows, k = [], 0
+        while k < len(waiting) and waiting[k][0] <= now * 1000:
+            t, event, flag = waiting[k]
+            carry, out = apply(carry, t, flag)
+            rows.append((event, key[0], pd.Timestamp(t, unit="us"), *out))
+            k += 1
+        waiting = waiting[k:]
+        wake = -(-waiting[0][0] // 1000) if waiting else (idle_ms(carry) if carry is not None else None)
+        if wake is None or (not waiting and wake <= now):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*(carry or (None,) * n), *([list(c) for c in zip(*waiting)] or [[], [], []])))
+            if wake != float("inf"):
+                state.setTimeoutTimestamp(max(wake, now + 1))
+        yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return src.groupBy("user_id").applyInPandasWithState(
-        fn, _stream_out_schema(THROTTLE_SCHEMA), "tokens double, last long", "append",
+        fn, _stream_out_schema(schema), f"{carry_sql}, ts array<long>, ids array<long>, flags array<boolean>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-def lockout_stream(attempts: DataFrame, max_attempts: int = C.MAX_LOGIN_ATTEMPTS,
-                   lock_s: float = C.LOCK_SECONDS, watermark: str = "1 hour",
-                   idle_timeout_s: float = 30 * 24 * 3600) -> DataFrame:
-    """T3 on a stream; state (failures, locked_until) expires after ``idle_timeout_s``
-    of event-time inactivity."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    ship_package(attempts.sparkSession)
-    src = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "success") \
-        .withWatermark("ts", watermark)
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        st = None
-        if state.exists:
-            f, lk = state.get
-            st = (int(f), None if lk is None or pd.isna(lk) else int(lk))
-        parts = [p for p in pdfs]
-        b = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame()
-        rows, last = [], None
-        for eid, ts, s in zip(b["event_id"], b["ts"], b["success"]):
-            t = pd.Timestamp(ts).value // 1000
-            st, o, f, lk = lockout_step(st, t, bool(s), max_attempts, lock_s)
-            rows.append((eid, key[0], ts, bool(s), o, f, _secs_or_none(lk)))
-            last = t
-        if st is not None:
-            state.update((st[0], st[1]))
-            state.setTimeoutTimestamp(int(last // 1000 + idle_timeout_s * 1000))
-        yield pd.DataFrame(rows, columns=[f.name for f in LOCKOUT_SCHEMA.fields])
-
-    return src.groupBy("user_id").applyInPandasWithState(
-        fn, _stream_out_schema(LOCKOUT_SCHEMA), "failures int, locked_until long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+def throttle_stream(events: DataFrame, watermark: str, capacity: float = C.BUCKET_CAPACITY,
+                    rate: float = C.BUCKET_RATE, cost: float = C.BUCKET_COST) -> DataFrame:
+    """T2 on a stream whose rows are late by at most ``watermark``. A bucket that is full again is no state."""
+    src = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                        F.lit(True).alias("flag")).withWatermark("ts", watermark)
+
+    def apply(carry, t, _):
+        carry, ok, retry, tokens = bucket_step(carry, t, capacity, rate, cost)
+        return (float(carry[0]), int(carry[1])), (ok, retry, tokens)
+    return _in_order(src, THROTTLE_SCHEMA, "tokens double, last long", apply,
+                     lambda c: c[1] // 1000 + int(capacity / rate * 1000) + 1)
+
+
+def lockout_stream(attempts: DataFrame, watermark: str, max_attempts: int = C.MAX_LOGIN_ATTEMPTS,
+                   lock_s: float = C.LOCK_SECONDS) -> DataFrame:
+    """T3 on a stream whose rows are late by at most ``watermark``. Only a user without failures and lock has no
+    state; failures are kept for ever, as they count until a success."""
+    src = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                          F.col("success").alias("flag")).withWatermark("ts", watermark)
+
+    def apply(carry, t, success):
+        if carry is not None:
+            carry = (int(carry[0]), None if carry[1] is None or pd.isna(carry[1]) else int(carry[1]))
+        carry, outcome, failures, locked = lockout_step(carry, t, success, max_attempts, lock_s)
+        return (None if carry == (0, None) else carry), (success, outcome, failures, _secs_or_none(locked))
+    return _in_order(src, LOCKOUT_SCHEMA, "failures int, locked_until long", apply, lambda c: float("inf"))
+
+
+def reconcile(events: DataFrame, sink: DataFrame, twin) -> DataFrame:
+    """The sink's verdicts, with those of every user who has an event without one (too late for the watermark, or
+    still waiting for it) computed anew from all events by the batch twin."""
+    users = events.join(sink.select("event_id"), "event_id", "left_anti").select("user_id").distinct()
+    again = twin(events.join(users, "user_id", "left_semi").select(*events.columns))
+    return sink.join(users, "user_id", "left_anti").select(*sink.columns).unionByName(again)

@@ -40,7 +40,7 @@ def _by_user(rows, pred=lambda r: True):
 
 
 def test_token_bucket_matches_model(spark, events):
-    got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in LS.throttle(events, partitions=3).collect()}
+    got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in LS.throttle(events).collect()}
     for u, rs in _by_user(_events()).items():
         secs = [(r[1] - T0) // dt.timedelta(microseconds=1) for r in rs]
         for r, (ok, retry) in zip(rs, PM.token_bucket(secs)):
@@ -51,32 +51,64 @@ def test_token_bucket_matches_model(spark, events):
 
 def test_lockout_matches_model(spark, events):
     att = LS.login_attempts(events)
-    got = {r["event_id"]: r["outcome"] for r in LS.lockout(att, partitions=2).collect()}
+    got = {r["event_id"]: r["outcome"] for r in LS.lockout(att).collect()}
     for u, rs in _by_user(_events(), lambda r: r[3] in ("error", "signup")).items():
         exp = PM.lockout([((r[1] - T0) // dt.timedelta(microseconds=1), r[3] == "signup") for r in rs])
         assert [got[r[0]] for r in rs] == exp
     assert "locked" in got.values() and "fail_locked" in got.values()
 
 
-def test_stream_forms_agree_with_batch(spark, events):
+def _streamed(spark, batches, fn, name):
+    """Runs the stream over one file per micro-batch; the sink, and the query."""
     base = tempfile.mkdtemp(prefix="rentlens-stream-")
-    src = f"{base}/events"
-    events.repartition(1).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    outs = {}
-    for name, fn in (("thr", lambda s: LS.throttle_stream(s)),
-                     ("lock", lambda s: LS.lockout_stream(LS.login_attempts(s)))):
-        q = (fn(stream).writeStream.format("memory").queryName(f"q_{name}").outputMode("append")
-             .option("checkpointLocation", f"{base}/ck_{name}").trigger(availableNow=True).start())
-        q.awaitTermination()
-        outs[name] = spark.sql(f"SELECT * FROM q_{name}")
-    assert PS.rows_dropped_by_watermark(q) == 0  # one ordered batch: nothing is late
-    thr = {r["event_id"]: r["allowed"] for r in outs["thr"].collect()}
-    lock = {r["event_id"]: r["outcome"] for r in outs["lock"].collect()}
-    b_thr = {r["event_id"]: r["allowed"] for r in LS.throttle(events).collect()}
-    b_lock = {r["event_id"]: r["outcome"] for r in LS.lockout(LS.login_attempts(events)).collect()}
-    assert thr == b_thr and lock == b_lock
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string") \
+            .coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = (fn(LS.login_attempts(stream)).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")), q
+
+
+@pytest.mark.parametrize("form", ["throttle", "lockout"])
+def test_overlapping_micro_batches_give_the_batch_verdicts(spark, form):
+    """Rows come up to an hour late over six micro-batches; the stream itself judges most of them."""
+    rows = [r for r in _events(seed=7, n=400) if r[3] in ("error", "signup")]
+    rows.sort(key=lambda r: r[1])
+    late = {r[0]: r[1] + dt.timedelta(seconds=(r[0] * 7919) % 3600) for r in rows}
+    rows.sort(key=lambda r: late[r[0]])
+    batches = [rows[i * len(rows) // 6:(i + 1) * len(rows) // 6] for i in range(6)]
+    stream, twin = {"throttle": (LS.throttle_stream, LS.throttle), "lockout": (LS.lockout_stream, LS.lockout)}[form]
+    sink, q = _streamed(spark, batches, lambda s: stream(s, "2 hours"), form)
+    df = LS.login_attempts(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    exp = {r["event_id"]: tuple(r) for r in twin(df).collect()}
+    got = {r["event_id"]: tuple(r) for r in sink.collect()}
+    assert len(got) > 0.6 * len(exp) and got.items() <= exp.items()
+    assert {r["event_id"]: tuple(r) for r in LS.reconcile(df, sink, twin).collect()} == exp
+    if form == "throttle":
+        assert all(0 <= r[5] <= C.BUCKET_CAPACITY for r in exp.values())
+
+
+def test_clock_does_not_run_back():
+    state = LS.bucket_step(None, 12 * 3600 * 10 ** 6, 10, 0.5, 1)[0]
+    state, ok, retry, tokens = LS.bucket_step(state, 11 * 3600 * 10 ** 6, 10, 0.5, 1)
+    assert ok and retry == 0 and tokens == 8 and state[1] == 12 * 3600 * 10 ** 6
+
+
+def test_failures_before_a_long_pause_still_count(spark):
+    month = dt.timedelta(days=40)
+    rows = [(i, T0 + dt.timedelta(minutes=i), 1, "error") for i in range(C.MAX_LOGIN_ATTEMPTS - 1)]
+    after = [(50, T0 + month, 1, "error"), (51, T0 + 2 * month, 2, "error"), (52, T0 + 3 * month, 2, "error")]
+    sink, _ = _streamed(spark, [rows, after[:1], after[1:2], after[2:]], lambda s: LS.lockout_stream(s, "1 hour"), "pause")
+    assert {r["event_id"]: r["outcome"] for r in sink.collect()}[50] == "fail_locked"
+
+
+def test_hot_key_runs_in_pieces(spark):
+    rows = [(i, T0 + dt.timedelta(seconds=30 * i), 1, "signup" if i % 50 == 49 else "error") for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    cut = LS._pieces(df.select("event_id", "user_id", "ts"), "user_id", lambda gap: gap >= 20)
+    assert cut.select("_piece").distinct().count() == 6000  # the key of the shuffle
 
 
 def test_prediction_log_stream(spark):
@@ -128,6 +160,30 @@ def test_registration_rules(spark):
     assert got[11] is None  # \\w is Unicode-aware, as in Python
 
 
+REQ = "req_id long, username string, full_name string, email string, password string, role string"
+
+
+@pytest.mark.parametrize("requests,refused", [
+    # 1 is refused for an existing e-mail, so its name is free for 2; 3 comes third for that name
+    ([(1, "xuser", "taken@a.co"), (2, "XUser", "new@a.co"), (3, "xuser", "c@a.co")], {1: "e", 3: "u"}),
+    # 2 loses its e-mail to 1, so 3 may have 2's name, and 4 clashes with 3
+    ([(1, "aaa", "m@a.co"), (2, "bbb", "m@a.co"), (3, "bbb", "n@a.co"), (4, "ccc", "n@a.co")], {2: "e", 4: "e"}),
+    # a chain of three refusals that each free the next one
+    ([(1, "aaa", "1@a.co"), (2, "aaa", "2@a.co"), (3, "ccc", "2@a.co"), (4, "ccc", "3@a.co"), (5, "eee", "3@a.co")],
+     {2: "u", 4: "u"}),
+    # refused for its e-mail for certain, but its name also goes to an earlier request that is decided later
+    ([(1, "aaa", "1@a.co"), (2, "aaa", "2@a.co"), (3, "bbb", "2@a.co"), (4, "bbb", "1@a.co")], {2: "u", 4: "u"}),
+    # an existing name wins over an existing e-mail
+    ([(1, "OLD", "taken@a.co"), (2, "new", "TAKEN@a.co")], {1: "u", 2: "e"}),
+])
+def test_requests_are_decided_one_by_one(spark, requests, refused):
+    rows = [(i, u, "Name", e, "Aa1!aaaa", "agent") for i, u, e in requests]
+    existing = spark.createDataFrame([("old", "taken@a.co")], "username string, email string")
+    said = {"u": C.MSG_USERNAME_TAKEN, "e": C.MSG_EMAIL_TAKEN}
+    got = {r["req_id"]: r["error"] for r in AC.register_batch(spark.createDataFrame(rows[::-1], REQ), existing).collect()}
+    assert got == {i: said.get(refused.get(i)) for i, _, _ in requests}
+
+
 def test_entitlements_and_user_list(spark):
     acc = spark.createDataFrame([(1, "a", "A", "a@x.co", "SUPER_ADMIN"), (2, "b", "B", "b@x.co", "ANALYST"),
                                  (3, "c", "C", "c@x.co", "TENANT"), (4, "d", "D", "d@x.co", "GHOST")],
@@ -159,39 +215,26 @@ def test_state_machine_properties(spark, steps):
         t[u] += gap
         rows.append((i, T0 + dt.timedelta(microseconds=int(t[u] * 1e6)), u, "signup" if ok else "error"))
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    thr = {r["event_id"]: r for r in LS.throttle(df, partitions=2).collect()}
+    thr = {r["event_id"]: r for r in LS.throttle(df).collect()}
     assert all(0 <= r["tokens"] <= C.BUCKET_CAPACITY for r in thr.values())
     assert all((r["retry_after_s"] == 0) == r["allowed"] for r in thr.values())
-    lock = {r["event_id"]: r["outcome"] for r in LS.lockout(LS.login_attempts(df), partitions=2).collect()}
+    lock = {r["event_id"]: r["outcome"] for r in LS.lockout(LS.login_attempts(df)).collect()}
     for u, rs in _by_user(rows).items():
         secs = [(r[1] - T0) // dt.timedelta(microseconds=1) for r in rs]
         assert [thr[r[0]]["allowed"] for r in rs] == [a for a, _ in PM.token_bucket(secs)]
         assert [lock[r[0]] for r in rs] == PM.lockout([(s, r[3] == "signup") for s, r in zip(secs, rs)])
 
 
-def test_late_rows_dropped_and_counted(spark):
-    base = tempfile.mkdtemp(prefix="rentlens-late-")
-    src = f"{base}/events"
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+def test_late_rows_are_reconciled(spark):
     day = dt.timedelta(days=1)
     first = [(i, T0 + 10 * day + dt.timedelta(seconds=i), 1, "error") for i in range(20)]
     late = [(100 + i, T0 + day + dt.timedelta(seconds=i), 1, "error") for i in range(5)]
-    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
-
-    def run_once():
-        stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-        q = (LS.lockout_stream(LS.login_attempts(stream)).writeStream.format("parquet").outputMode("append")
-             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        return q
-
-    run_once()
-    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
-    q = run_once()
-    out = spark.read.parquet(f"{base}/out")
-    assert out.count() == 20  # the 5 late attempts (9 days behind the watermark) are not processed
-    assert PS.rows_dropped_by_watermark(q) == 5
+    sink, q = _streamed(spark, [first, late], lambda s: LS.lockout_stream(s, "1 hour"), "late")
+    judged = {r["event_id"] for r in sink.collect()}
+    assert not judged & {r[0] for r in late}  # 9 days behind the watermark
+    df = LS.login_attempts(spark.createDataFrame(first + late, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    exp = {tuple(r) for r in LS.lockout(df).collect()}
+    assert {tuple(r) for r in LS.reconcile(df, sink, LS.lockout).collect()} == exp and len(exp) == 25
 
 
 PIECES = ["a", "B", "z9", "_", "-", " ", "\t", "@", ".", "x.y", "!", "#", "Aa1!", "12345678", "é", "co", "tenant",
