@@ -55,12 +55,19 @@ def sql_r6(sql: str, cols: list[str]) -> str:
 _SHARED: dict = {}
 
 
+def state_key(spark: SparkSession, sf: str) -> tuple:
+    """What results kept for an application depend on: its id and the input files (as Spark lists them, with
+    their sizes and times, so changed inputs are computed anew)."""
+    from rentlens.sources.tables import file_state
+    return spark.sparkContext.applicationId, sf, file_state(spark, sf)
+
+
 def clean_shared(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned listings, computed once per application: the three-way join of
+    """Cleaned listings, computed once per application and input state: the three-way join of
     the view is written as a parquet table under the shared checkpoint folder and
     every registered query of the application reads that table (columnar, pruned,
     filters pushed down) instead of re-joining lineitem, orders and part."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = state_key(spark, sf)
     if key not in _SHARED:
         _SHARED[key] = materialize(L.clean_listings(spark, sf))
     return _SHARED[key]

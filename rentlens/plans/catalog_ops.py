@@ -16,7 +16,7 @@ from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
-from rentlens.plans.catalog import clean, clean_shared, register, sql_round6
+from rentlens.plans.catalog import clean, clean_shared, register, sql_round6, state_key
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
 from rentlens.sources import predlog as PL
@@ -34,7 +34,7 @@ def _log_table(spark, sf):
     """S5 + T1: price every listing (listed rent as the estimate, (city, bhk)
     demand rate as the risk probability), append the batch to a landing folder and
     stream it into the log table. Folders live under the shared checkpoint dir."""
-    key = (id(spark.sparkContext), sf)
+    key = state_key(spark, sf)
     if key not in _LOGS:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predlog-{uuid.uuid4().hex}"
         df = clean_shared(spark, sf)
