@@ -1,6 +1,3 @@
-import itertools
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +5,6 @@ from pyspark.sql import functions as F
 from rentlens.operators import insights as IN
 from rentlens.operators import risk as RK
 from rentlens.operators import similarity as SIM
-from tests import pymodel as PM
 
 BENCH = {"Mumbai": dict(rent_p25=20000.0, rent_p50=40000.0, rent_p75=60000.0, rent_p90=90000.0,
                         psf_p50=40.0, psf_p75=50.0, count=1000),
@@ -19,26 +15,34 @@ BENCH = {"Mumbai": dict(rent_p25=20000.0, rent_p50=40000.0, rent_p75=60000.0, re
 BHK_MED = {("Mumbai", 2): 45000.0, ("Delhi", 3): 10000.0, ("Chennai", 1): 0.0}
 
 
-def _grid():
-    random.seed(7)
-    cities = ["Mumbai", "Delhi", "Chennai", "Pune", "Bangalore", None]
-    furn = ["Furnished", "Semi-Furnished", "Unfurnished", None]
-    floors = [None, "Ground out of 3", "9 out of 10", "2 out of 5", "basement", "5"]
-    rows = []
-    for i, (c, f, fl) in enumerate(itertools.product(cities, furn, floors)):
-        bhk = random.choice([0, 1, 2, 3, 4])
-        size = random.choice([100, 350, 500, 900, 1600, 3000])
-        bath = random.choice([0, 1, 2, 5])
-        pred = float(random.choice([3000, 12000, 25500, 47000, 65000, 95000, 150000]))
-        psf = round(pred / max(size, 1), 2)
-        vs = round(random.choice([-90.05, -45.0, -21.35, 0.0, 12.25, 35.0, 85.0, 120.45]), 1)
-        rows.append((i, c, bhk, size, bath, f, fl, pred, psf, vs))
-    return rows
+#: One row per branch: city, bhk, size, baths, furnishing, floor, rent, psf, deviation from the median, and the five
+#: scores (price, supply, affordability, property, velocity) worked out by hand.
+RISK = [
+    # every price rule: 85 % off (50), above p90 (25), psf over 1.5 x p75 (20), 111 % over the bhk median (10), cut at 100;
+    # supply 82 + 15 for furnished, at most 100, less 8 for over 900 listings; 95000 / 85000 of the income
+    (("Mumbai", 2, 800, 2, "Furnished", "9 out of 10", 95000.0, 118.75, 85.0), (100, 89, 90, 18, 60)),
+    # limits are not passed: 80 % counts as 30, at p90 as 12, psf at 75 as 8; 100 % over the bhk median is another 10
+    (("Mumbai", 2, 1200, 2, "Semi-Furnished", "1 out of 4", 90000.0, 75.0, 80.0), (60, 82, 90, 0, 60)),
+    (("Mumbai", 2, 599, 1, "Unfurnished", "Ground out of 3", 60000.0, 50.0, -40.0), (15, 74, 90, 22, 60)),
+    (("Mumbai", 3, 590, 1, "Unfurnished", "2 out of 5", 25500.0, 40.0, 20.0), (0, 74, 45, 40, 60)),
+    (("Mumbai", 1, 1000, 2, "Unfurnished", "17 out of 20", 38250.0, 38.25, -20.5), (15, 74, 70, 5, 60)),
+    # under 400 listings: supply 70 + 8 + 10; the bhk median of 10000 is 155 % away
+    (("Delhi", 3, 900, 3, "Semi-Furnished", "18 out of 20", 25500.0, 28.33, 27.5), (25, 88, 45, 8, 40)),
+    (("Delhi", 2, 400, 1, "Unfurnished", "3 out of 9", 45000.0, 112.5, 125.0), (82, 80, 90, 12, 40)),
+    # between 400 and 900 listings: supply as it is; a median of 0 says nothing
+    (("Chennai", 1, 350, 1, "Unfurnished", None, 12000.0, 10.0, 0.0), (0, 55, 15, 10, 20)),
+    # no benchmark: no price rule; default income, supply and growth; no listings known adds 10
+    (("Pune", 2, 1000, 2, "Furnished", "1 out of 2", 150000.0, 150.0, 120.0), (0, 80, 90, 10, 40)),
+    ((None, 0, 100, 0, None, "basement", 3000.0, 30.0, -90.0), (0, 65, 15, 50, 40)),
+    (("Bangalore", 2, 1000, 1, "Furnished", "2 out of 4", 35100.0, 35.1, 0.0), (0, 100, 70, 10, 80)),
+    (("Hyderabad", 2, 1000, 1, "Semi-Furnished", "2 out of 4", 17999.0, 18.0, 0.0), (0, 78, 15, 0, 60)),
+    (("Kolkata", 2, 1000, 3, "Unfurnished", "2 out of 4", 13500.0, 13.5, 0.0), (0, 55, 45, 5, 20)),
+]
 
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    rows = _grid()
+    rows = [(i, *r) for i, (r, _) in enumerate(RISK)]
     df = spark.createDataFrame(rows, "id int, city string, bhk int, size int, bathroom int, furnishing string,"
                                      " floor_txt string, predicted_rent double, price_per_sqft double,"
                                      " vs_median_pct double")
@@ -48,28 +52,43 @@ def scored(spark):
                                   " psf_p50 double, psf_p75 double, n_listings long")
     meds = spark.createDataFrame([(c, b, m) for (c, b), m in BHK_MED.items()],
                                  "city string, bhk int, median_rent double")
-    return rows, {r["id"]: r for r in RK.score_risk(df, bench, meds).collect()}
-
-
-def test_risk_against_python_model(scored):
-    rows, out = scored
-    for (i, c, bhk, size, bath, f, fl, pred, psf, vs) in rows:
-        row = dict(city=c, bhk=bhk, size=size, bathroom=bath, furnishing=f, floor_txt=fl,
-                   predicted_rent=pred, price_per_sqft=psf, vs_median_pct=vs)
-        exp = PM.risk(row, BENCH.get(c), BHK_MED.get((c, bhk)))
-        got = out[i]
-        assert got["composite"] == pytest.approx(exp["composite"], abs=1e-9)
-        assert 0 <= got["composite"] <= 100
-        assert got["risk_level"] == exp["level"]
-        assert [got[f"{n}_score"] for n in RK.NAMES] == pytest.approx(exp["scores"])
-        assert [list(got[f"{n}_signals"]) for n in RK.NAMES] == exp["signals"], i
-        assert got["summary"] == exp["summary"]
-        assert list(got["actions"]) == exp["actions"]
-        rep = got["report"]
-        assert rep["composite"] == round(exp["composite"], 1) and len(rep["factors"]) == 5
+    return {r["id"]: r for r in RK.score_risk(df, bench, meds).collect()}
+
+
+def test_risk_scores_by_hand(scored):
+    weights = (0.3, 0.2, 0.25, 0.15, 0.1)
+    for i, (row, scores) in enumerate(RISK):
+        got = scored[i]
+        assert [got[f"{n}_score"] for n in RK.NAMES] == pytest.approx(scores), row
+        total = sum(w * s for w, s in zip(weights, scores))
+        assert got["composite"] == pytest.approx(total, abs=1e-9)
+        assert got["risk_level"] == ("Critical" if total >= 80 else "High" if total >= 60 else "Medium" if total >= 35 else "Low")
+        assert got["report"]["composite"] == pytest.approx(total, abs=0.051) and len(got["report"]["factors"]) == 5
         assert '"factors"' in got["report_json"]
 
 
+def test_risk_texts(scored):
+    top, low, odd = scored[0], scored[7], scored[9]
+    assert list(top["price_anomaly_signals"]) == [
+        "Rent is +85% vs city median — extreme outlier", "Rent exceeds 90th percentile — top-tier pricing",
+        "Price/sqft ₹119 is 2.4× the 75th pct", "2BHK segment median: ₹45,000 (+111% gap)"]
+    assert list(top["supply_pressure_signals"]) == [
+        "Mumbai supply pressure index: 82%", "Fully furnished units face elevated tenant competition",
+        "High listing density — more supply options available"]
+    assert list(top["affordability_signals"]) == ["Rent is 112% of median income — severe affordability stress",
+                                                  "Mumbai median household income: ₹85,000/mo"]
+    assert list(top["property_signals"]) == [
+        "Spacious layout (400 sqft/BHK)", "Top floor — potential heat/maintenance issues",
+        "Furnished inventory subject to wear and replacement cost"]
+    assert list(top["market_velocity_signals"]) == ["Mumbai 5-yr CAGR 8.2% — strong growth trajectory",
+                                                    "1-yr rent projection: ₹102,790 at current trajectory"]
+    assert "price anomaly" in top["summary"] and len(top["actions"]) == 4
+    assert list(low["price_anomaly_signals"]) == ["Rent is within normal city range"]
+    assert list(low["property_signals"])[1] == "Ground floor — lower desirability, security concerns"
+    assert list(odd["property_signals"])[:2] == ["Very small space per BHK (100 sqft) — tenant retention risk",
+                                                 "Low bathroom ratio (0.0 per BHK)"]
+
+
 def test_insights(spark):
     df = spark.createDataFrame(
         [("Mumbai", 1600, "Furnished", 0.7, 90000.0, "High", 0.734, 85.0, 95000.0, None),
@@ -158,17 +177,29 @@ def test_top_per_row_equals_full_sort(nq, ni, k, seed):
     assert list(zip(got["query_id"], got["item_id"], got["score"])) == exp
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(
-    st.sampled_from(["Mumbai", "Delhi", "Bangalore", "Kolkata", "Pune"]), st.integers(100, 3000),
-    st.sampled_from(["Furnished", "Semi-Furnished", "Unfurnished"]), st.sampled_from([0.0, 0.5, 0.61, 0.9]),
-    st.sampled_from([5000.0, 20000.0, 48000.0, 90000.0]), st.sampled_from(["High", "Low"]),
-    st.floats(0, 1), st.sampled_from([10.0, 24.99, 25.0, 60.0, 80.0, 80.01]),
-    st.one_of(st.none(), st.sampled_from([4800.0, 21000.0, 52000.0])),
-    st.one_of(st.none(), st.sampled_from([0.0, 30000.0, 60000.0]))), min_size=1, max_size=12))
-def test_insights_match_python_rules(spark, rows):
-    df = spark.createDataFrame(rows, "city string, size int, furnishing string, floor_ratio double,"
-                                     " predicted_rent double, risk string, risk_prob double, price_per_sqft double,"
-                                     " dl_rent double, city_median double")
-    got = [list(r["i"]) for r in df.select(IN.insights(dl_rent="dl_rent", city_median="city_median").alias("i")).collect()]
-    assert got == [PM.insights(*r) for r in rows]
+LOW = "Low demand risk signal — market appears well-supplied in this segment."
+
+
+@pytest.mark.parametrize("row,said", [
+    # city, size, furnishing, floor, rent, risk, probability, psf, second model, median
+    (("Pune", 1500, "Unfurnished", 0.6, 35001.0, "Low", 0.1, 80.0, None, None), [LOW]),  # every limit is not passed
+    (("Pune", 1501, "Unfurnished", 0.61, 35001.0, "Low", 0.1, 80.01, None, None), [
+        "This property commands a premium price per sqft — likely due to Pune demand and unfurnished furnishing.",
+        "Higher floor placement typically adds 3-8% to rental premiums in Indian metros.",
+        "Large unit size (1501 sqft) is the dominant rent driver — size_per_bhk ratio elevated.", LOW]),
+    (("Delhi", 900, "Unfurnished", 0.0, 46501.0, "Low", 0.1, 24.99, None, 0.0), [  # median 0: the fixed 46500
+        "Competitive pricing relative to Delhi average — good value signal for tenants.",
+        "Delhi ranks as one of India's most expensive rental markets, driving above-median estimates.", LOW]),
+    (("Delhi", 900, "Unfurnished", 0.0, 46501.0, "Low", 0.1, 25.0, None, 46501.0), [LOW]),
+    (("Kolkata", 900, "Furnished", 0.0, 90000.0, "High", 0.739, 30.0, 82801.0, None), [  # 8 % of 90000 is 7200
+        "Fully furnished units command a 15-25% rent premium vs unfurnished equivalents.",
+        "High demand risk (73% confidence): supply constrained, rents likely to appreciate.",
+        "GBT and deep learning models agree within ₹7,199 — high confidence estimate."]),
+    (("Kolkata", 900, "Unfurnished", 0.0, 90000.0, "Low", 0.5, 30.0, 82800.0, None), [
+        LOW, "Models diverge by ₹7,200 — uncertainty is higher; treat range as wider."]),
+])
+def test_insight_rules(spark, row, said):
+    df = spark.createDataFrame([row], "city string, size int, furnishing string, floor_ratio double,"
+                                      " predicted_rent double, risk string, risk_prob double, price_per_sqft double,"
+                                      " dl_rent double, city_median double")
+    assert list(df.select(IN.insights(dl_rent="dl_rent", city_median="city_median").alias("i")).first()["i"]) == said
