@@ -47,6 +47,11 @@ def default_selection(df: DataFrame) -> DataFrame:
     return facet_filter(df, f["cities"], f["furnishing"], f["bhk"], f["rent_range"])
 
 
+def admin_selection(df: DataFrame) -> DataFrame:
+    """P12 with the admin page's default choices: all cities and furnishings, 1 to 3 rooms, any rent."""
+    return facet_filter(df, list(C.CITIES), list(C.FURNISH), [1, 2, 3])
+
+
 def chart_rent_cap(df: DataFrame, cap: float = C.CHART_RENT_CAP) -> DataFrame:
     """Rows with rent below the chart cap."""
     return df.filter(F.col("rent") < cap)

@@ -17,6 +17,12 @@ of all listings) can make one cell large; the same-facet restriction is a mask
 inside the cell. Shuffle volume is Q·ni + N·nq rows, against Q·N score
 evaluations that any exact method must do; nothing is collected to the driver
 except the two counts.
+
+``topk_few`` is the plan for a search form's few queries: their vectors go to the tasks, items are scored where
+they lie, and each task gives back at most k per query. Items are not shuffled at all.
+
+Items rank by their full score; ``decimals`` compares scores rounded to so many places instead, for results
+that engines with another order of summation must repeat.
 """
 
 from __future__ import annotations
@@ -32,7 +38,6 @@ from pyspark.sql import types as T
 from rentlens.functions.features import add_vectors
 from rentlens.session import ship_package
 
-SCORE_DECIMALS = 9  # scores are compared after rounding, so ties break on id in every engine
 MAX_ITEM_BLOCK = 1 << 18  # item rows per cell at most (vectors of one cell stay well under 1 GB)
 
 
@@ -67,7 +72,7 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                  i_id: str = "item_id", i_vec: str = "vector",
                  q_facet: str | None = None, i_facet: str | None = None,
                  exclude_self: bool = False, block_rows: int = 4096,
-                 item_cols: list[str] | None = None) -> DataFrame:
+                 item_cols: list[str] | None = None, decimals: int | None = None) -> DataFrame:
     """For each query row, the ``k`` items of highest cosine similarity.
 
     ``q_facet``/``i_facet`` restrict matches to equal facet values (same city /
@@ -102,7 +107,7 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                                  "score": pd.Series([], dtype="float64")})
         Q = _unit_rows(np.stack(qpdf["qv"].to_numpy()).astype(np.float64))
         I = _unit_rows(np.stack(ipdf["iv"].to_numpy()).astype(np.float64))
-        S = np.round(Q @ I.T, SCORE_DECIMALS)
+        S = Q @ I.T if decimals is None else np.round(Q @ I.T, decimals)
         qids = qpdf["qid"].to_numpy(np.int64)
         iids = ipdf["iid"].to_numpy(np.int64)
         valid = np.ones(S.shape, dtype=bool)
@@ -125,6 +130,58 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
     return top
 
 
+#: Queries of a search at most; their vectors pass through the driver.
+FEW_QUERIES = 1024
+
+
+def topk_few(queries: DataFrame, items: DataFrame, k: int = 8, *, q_id: str = "query_id", q_vec: str = "vector",
+             i_id: str = "item_id", i_vec: str = "vector", q_facet: str | None = None, i_facet: str | None = None,
+             exclude_self: bool = False, item_cols: list[str] | None = None, decimals: int | None = None) -> DataFrame:
+    """``topk_similar`` for at most ``FEW_QUERIES`` queries (more raise an error)."""
+    ship_package(queries.sparkSession)
+    facet = q_facet is not None and i_facet is not None
+    rows = queries.select(F.col(q_id).cast("long").alias("i"), F.col(q_vec).cast("array<double>").alias("v"),
+                          (F.col(q_facet).cast("string") if facet else F.lit(None).cast("string")).alias("f")
+                          ).limit(FEW_QUERIES + 1).collect()
+    if len(rows) > FEW_QUERIES:
+        raise ValueError(f"more than {FEW_QUERIES} queries: use topk_similar")
+    schema = "query_id long, item_id long, score double"
+    if not rows:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    qids, Q = np.array([r["i"] for r in rows]), _unit_rows(np.array([r["v"] for r in rows], np.float64))
+    wanted = np.array([r["f"] for r in rows], object)
+
+    def run(batches):
+        best = None
+        for b in batches:
+            if b.empty:
+                continue
+            S = Q @ _unit_rows(np.stack(b["iv"].to_numpy()).astype(np.float64)).T
+            S = S if decimals is None else np.round(S, decimals)
+            iids = b["iid"].to_numpy(np.int64)
+            if exclude_self:
+                S[qids[:, None] == iids[None, :]] = -np.inf
+            if facet:
+                names, codes = np.unique(b["f"].fillna("").to_numpy(str), return_inverse=True)
+                own = np.array([np.flatnonzero(names == w)[0] if w is not None and w in names else -1 for w in wanted])
+                S[own[:, None] != np.where(b["f"].isna(), -2, codes)[None, :]] = -np.inf
+            top = _top_per_row(S, qids, iids, min(k, S.shape[1]))
+            best = top if best is None else pd.concat([best, top])
+            best = best.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    cand = items.select(F.col(i_id).cast("long").alias("iid"), F.col(i_vec).cast("array<double>").alias("iv"),
+                        (F.col(i_facet).cast("string") if facet else F.lit(None).cast("string")).alias("f")
+                        ).mapInPandas(run, schema)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if item_cols:
+        meta = items.select(F.col(i_id).cast("long").alias("item_id"), *item_cols)
+        top = top.join(meta, "item_id", "left")
+    return top
+
+
 def rent_limits(items: DataFrame, min_rent: float | None = None, max_rent: float | None = None,
                 rent: str = "rent") -> DataFrame:
     """Item filter of the search: None or 0 means no limit (as in the reference)."""
@@ -159,12 +216,11 @@ def upsert_latest(table: DataFrame, ts: str, id_col: str = "listing_id") -> Data
 
 
 def find_similar(queries: DataFrame, vector_table: DataFrame, k: int = 8, same_city: bool = False,
-                 min_rent: float | None = None, max_rent: float | None = None,
-                 block_rows: int = 4096) -> DataFrame:
-    """K1/J5 over listings: ``queries`` are listing-shaped rows with a
+                 min_rent: float | None = None, max_rent: float | None = None) -> DataFrame:
+    """K1/J5 over listings, the search form: ``queries`` are at most ``FEW_QUERIES`` listing-shaped rows with a
     ``query_id``; their vectors are built like the items'."""
     qv = add_vectors(queries, keep=["query_id", "city"])
     items = rent_limits(vector_table, min_rent, max_rent)
-    return topk_similar(qv, items, k, q_id="query_id", q_vec="vector", i_id="listing_id", i_vec="vector",
-                        q_facet="city" if same_city else None, i_facet="city" if same_city else None,
-                        block_rows=block_rows, item_cols=[c for c in VECTOR_META if c in items.columns])
+    return topk_few(qv, items, k, q_id="query_id", q_vec="vector", i_id="listing_id", i_vec="vector",
+                    q_facet="city" if same_city else None, i_facet="city" if same_city else None,
+                    item_cols=[c for c in VECTOR_META if c in items.columns])

@@ -342,6 +342,39 @@ def q_exported_selection(spark, sf):
     return spark.read.option("header", True).schema(sel.schema).csv(path)
 
 
+_ADMIN_SQL = ("city IN ('Mumbai','Delhi','Bangalore','Chennai','Hyderabad','Kolkata')"
+              " AND furnishing IN ('Semi-Furnished','Furnished','Unfurnished') AND bhk IN (1,2,3)")
+
+
+@register("admin_listing_table", with_listings(
+    "SELECT city, bhk, size, bathroom, rent, furnishing, locality, price_per_sqft, floor_txt"
+    f" FROM listings WHERE {_ADMIN_SQL} ORDER BY rent DESC"))
+def q_admin_listing_table(spark, sf):
+    """P12 + P14 with the admin page's choices."""
+    return FL.listing_table(FL.admin_selection(clean(spark, sf)))
+
+
+@register("admin_selection_kpis", sql_r6(with_listings(
+    "SELECT count(*) AS n_listings, avg(rent) AS avg_rent, avg(price_per_sqft) AS avg_psf,"
+    f" avg(size) AS avg_size FROM listings WHERE {_ADMIN_SQL}"), ["avg_rent", "avg_psf", "avg_size"]))
+def q_admin_selection_kpis(spark, sf):
+    """A16 over the admin page's selection."""
+    return r6(ST.selection_kpis(FL.admin_selection(clean(spark, sf))))
+
+
+@register("admin_export", with_listings(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, city, locality, bhk, size,"
+    f" bathroom, rent, furnishing, floor_txt, area_type, tenant, price_per_sqft FROM listings WHERE {_ADMIN_SQL}"))
+def q_admin_export(spark, sf):
+    """The admin page's selection with all columns as CSV, read back."""
+    import uuid
+    from rentlens.session import ensure_checkpoint_dir
+    sel = FL.admin_selection(clean(spark, sf))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    L.export_csv(sel, path)
+    return spark.read.option("header", True).schema(sel.schema).csv(path)
+
+
 @register("city_summary_display", with_listings(
     'SELECT city AS "City", round_even(avg(rent), 0) AS "Avg Rent (₹)", round_even(median(rent), 0) AS "Median Rent (₹)",'
     ' min(rent) AS "Min Rent (₹)", max(rent) AS "Max Rent (₹)", round_even(stddev_samp(rent), 0) AS std_rent,'

@@ -30,7 +30,7 @@ def _run(spark, sf, same_label: bool):
     emb = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     top = SIM.topk_similar(emb, emb, K, q_id="vec_id", q_vec="embedding", i_id="vec_id", i_vec="embedding",
                            q_facet="label" if same_label else None, i_facet="label" if same_label else None,
-                           exclude_self=True)
+                           exclude_self=True, decimals=9)
     return top.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"),
                       F.col("score"))
 
@@ -55,7 +55,7 @@ def _key_id(cols=("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_ex
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def _similar_listings(spark, sf):
+def _similar_listings(spark, sf, same_city=True, min_rent=None, max_rent=None):
     from rentlens.functions.features import add_vectors
     from rentlens.operators import stats as ST
     from rentlens.operators.lookups import with_city_median
@@ -70,13 +70,14 @@ def _similar_listings(spark, sf):
     cols = ["lid", "city", "bhk", "size", "bathroom", "furnishing", "floor_txt", "area_type", "tenant"]
     queries = add_vectors(df.join(reps, df["lid"] == reps["query_id"], "left_semi").select(*cols)
                           .withColumnRenamed("lid", "query_id"), keep=["query_id", "city"])
-    items = add_vectors(df.select(*cols), keep=["lid", "city"])
-    top = SIM.topk_similar(queries, items, K, q_id="query_id", q_vec="vector", i_id="lid", i_vec="vector",
-                           q_facet="city", i_facet="city", exclude_self=True)
+    items = add_vectors(SIM.rent_limits(df, min_rent, max_rent).select(*cols), keep=["lid", "city"])
+    facet = "city" if same_city else None
+    top = SIM.topk_few(queries, items, K, q_id="query_id", q_vec="vector", i_id="lid", i_vec="vector",
+                       q_facet=facet, i_facet=facet, exclude_self=True, decimals=9)
     return top.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-def _similar_listings_sql() -> str:
+def _similar_listings_sql(same_city=True, limits="true") -> str:
     from rentlens.plans.catalog_scoring import _FLOOR_CTE, _unit
     from rentlens import constants as C
     key = ("('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),"
@@ -91,7 +92,8 @@ def _similar_listings_sql() -> str:
 SELECT query_id, item_id, rank, score FROM (
   SELECT q.lid AS query_id, i.lid AS item_id, round(list_dot_product(q.u, i.u), 9) AS score,
          row_number() OVER (PARTITION BY q.lid ORDER BY round(list_dot_product(q.u, i.u), 9) DESC, i.lid) AS rank
-  FROM u q JOIN reps r ON q.lid = r.query_id JOIN u i ON q.city = i.city AND q.lid <> i.lid)
+  FROM u q JOIN reps r ON q.lid = r.query_id JOIN u i ON q.lid <> i.lid AND {limits}
+       {"AND q.city = i.city" if same_city else ""})
 WHERE rank <= {K}""", _FLOOR_CTE + f""",
 v AS (SELECT {key} AS lid, city, rent, [{comps}] AS c FROM flr WHERE city IS NOT NULL),
 n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM v),
@@ -107,3 +109,21 @@ def q_similar_listings(spark, sf):
     is the query; its top-8 cosine-similar other listings of the same city over
     the whole listings table (no rent limit, as the search form's default)."""
     return _similar_listings(spark, sf)
+
+
+@register("listing_search", _similar_listings_sql(same_city=False))
+def q_listing_search(spark, sf):
+    """K1: the search form without its city option: the same queries against every other listing."""
+    return _similar_listings(spark, sf, same_city=False)
+
+
+@register("listing_search_rents", _similar_listings_sql(same_city=False, limits="i.rent BETWEEN 10000 AND 60000"))
+def q_listing_search_rents(spark, sf):
+    """K1 + J5: the search form with both rent limits."""
+    return _similar_listings(spark, sf, same_city=False, min_rent=10000, max_rent=60000)
+
+
+@register("listing_search_city_rents", _similar_listings_sql(limits="i.rent <= 60000"))
+def q_listing_search_city_rents(spark, sf):
+    """K1 + J5: the search form with its city option and a highest rent."""
+    return _similar_listings(spark, sf, max_rent=60000)

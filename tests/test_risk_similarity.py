@@ -128,7 +128,11 @@ def test_topk_equals_brute_force(spark, block_rows, facet):
                                "id long, v array<double>, lab int")
     got = SIM.topk_similar(df, df, 5, q_id="id", q_vec="v", i_id="id", i_vec="v",
                            q_facet="lab" if facet else None, i_facet="lab" if facet else None,
-                           exclude_self=True, block_rows=block_rows).collect()
+                           exclude_self=True, block_rows=block_rows, decimals=9).collect()
+    few = SIM.topk_few(df.repartition(3), df.repartition(5), 5, q_id="id", q_vec="v", i_id="id", i_vec="v",
+                       q_facet="lab" if facet else None, i_facet="lab" if facet else None, exclude_self=True, decimals=9)
+    key = lambda r: (r["query_id"], r["rank"], r["item_id"], r["score"])
+    assert sorted(map(key, few.collect())) == sorted(map(key, got))
     res = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         res.setdefault(r["query_id"], []).append(r["item_id"])
@@ -137,6 +141,29 @@ def test_topk_equals_brute_force(spark, block_rows, facet):
     assert res == {k: v for k, v in exp.items() if v}
 
 
+def test_few_queries_are_bounded_and_leave_items_in_place(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, float(i)], "a" if i % 2 else None) for i in range(9)], "query_id long, vector array<double>, city string")
+    items = df.withColumnRenamed("query_id", "item_id")
+    top = SIM.topk_few(df.limit(2), items, 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInPandas")  # only the candidates move
+    assert SIM.topk_few(df.filter("false"), items, 3).count() == 0 and SIM.topk_few(df, items.filter("false"), 3).count() == 0
+    same = SIM.topk_few(df, items, 9, q_facet="city", i_facet="city").collect()
+    assert {r["query_id"] % 2 for r in same} == {1} == {r["item_id"] % 2 for r in same}  # a null facet matches nothing
+    monkeypatch.setattr(SIM, "FEW_QUERIES", 5)
+    with pytest.raises(ValueError):
+        SIM.topk_few(df, items, 3)
+
+
+def test_scores_rank_unrounded(spark):
+    df = spark.createDataFrame([(1, [1.0, 1e-6]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "id long, v array<double>")
+    q = df.filter("id = 3")
+    for f in (SIM.topk_similar, SIM.topk_few):
+        args = dict(q_id="id", q_vec="v", i_id="id", i_vec="v", exclude_self=True)
+        assert [r["item_id"] for r in f(q, df, 2, **args).orderBy("rank").collect()] == [2, 1]
+        assert [r["item_id"] for r in f(q, df, 2, decimals=9, **args).orderBy("rank").collect()] == [1, 2]
+
+
 def test_find_similar_listings(spark):
     rows = [("Mumbai", 2, 800, 2, "Furnished", 30000, "2 out of 5", "A", "Family", 37.5),
             ("Mumbai", 3, 1500, 3, "Unfurnished", 90000, "9 out of 10", "B", "Family", 60.0),
