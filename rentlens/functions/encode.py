@@ -51,32 +51,6 @@ def tenant_enc(c="tenant"):
     return ordinal(c, C.TENANTS)
 
 
-def parse_floor(c: str | Column = "floor_txt") -> Column:
-    """P5: floor text → struct(floor_n, total_f) as doubles.
-
-    Lower-cased and stripped, then: a basement → (0, 1); ``ground…`` → (0, the
-    number after "out of", else 1); ``<n> out of <m>`` at the start → (n, m);
-    anything else, null included → (0, 1). Numbers go through ``try_cast`` because
-    Spark 4 runs ANSI mode, where a bad cast raises.
-    """
-    v = F.regexp_replace(F.lower(_c(c)), r"^\s+|\s+$", "")
-    ground_total = F.regexp_extract(v, r"out of (\d+)", 1).try_cast("double")
-    n = F.regexp_extract(v, r"^(\d+)\s+out of\s+(\d+)", 1).try_cast("double")
-    m = F.regexp_extract(v, r"^(\d+)\s+out of\s+(\d+)", 2).try_cast("double")
-    floor_n = (F.when(v.contains("basement"), 0.0).when(v.startswith("ground"), 0.0)
-               .when(n.isNotNull() & m.isNotNull(), n).otherwise(0.0))
-    total_f = (F.when(v.contains("basement"), 1.0)
-               .when(v.startswith("ground"), F.coalesce(ground_total, F.lit(1.0)))
-               .when(n.isNotNull() & m.isNotNull(), m).otherwise(1.0))
-    return F.struct(F.coalesce(floor_n, F.lit(0.0)).alias("floor_n"),
-                    F.coalesce(total_f, F.lit(1.0)).alias("total_f"))
-
-
 def ratio_of(floor_n: Column, total_f: Column) -> Column:
     """Floor / total, 0 when total <= 0 (guarded: ANSI division by zero raises)."""
     return F.when(total_f > 0, floor_n / total_f).otherwise(F.lit(0.0))
-
-
-def floor_ratio(c: str | Column = "floor_txt") -> Column:
-    p = parse_floor(c)
-    return ratio_of(p["floor_n"], p["total_f"])

@@ -16,7 +16,8 @@ from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
-from rentlens.plans.catalog import clean, clean_shared, register, sql_round6, state_key
+from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register, sql_round6, state_key
+from rentlens.plans.catalog_scoring import _PRICED_CTE, _unit
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
 from rentlens.sources import predlog as PL
@@ -30,6 +31,30 @@ from rentlens.streaming import predlog_stream as PS
 _LOGS: dict = {}
 
 
+def _request_time():
+    """When a listing's prediction is taken to have been asked for: a minute per order, a second per line."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("l_orderkey") * 60 + F.col("l_linenumber"))
+
+
+def _log_sql(tail: str) -> str:
+    """The log in SQL: ``logged`` has the record's columns, time, id and vector components."""
+    keys = ", ".join(f"CAST({k} AS VARCHAR)" for k in KEY_COLS)
+    parts = [f"{_unit('city', C.CITIES)}", "least(b / 6.0, 1.0)", "least(z / 5000.0, 1.0)", "least(ba / 6.0, 1.0)",
+             f"{_unit('furnishing', C.FURNISH)}", "1.0::DOUBLE / 3.0::DOUBLE", "least((z / b) / 2000.0, 1.0)", "least(ba / b, 1.0)",
+             "0.5::DOUBLE", "0.5::DOUBLE", "least(ln(1 + z) / 10.0, 1.0)", "least((b * ba) / 36.0, 1.0)"]
+    return with_listings(tail, _PRICED_CTE + f""",
+{_DEMAND_CTE},
+logged AS (SELECT NULL::VARCHAR AS user_id, p.city, p.bhk, p.size, p.furnishing, p.predicted_rent,
+    CASE WHEN coalesce(h.demand_rate, 0) >= 0.5 THEN 'High' ELSE 'Low' END AS demand_risk,
+    CAST(format('{{:.3f}}', coalesce(h.demand_rate, 0.0)) AS DOUBLE) AS risk_probability, p.price_per_sqft,
+    make_timestamp((1704067200 + p.l_orderkey * 60 + p.l_linenumber) * 1000000) AS ts,
+    sha256(concat_ws('|', {keys}, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'))) AS id,
+    greatest(CAST(p.bhk AS DOUBLE), 1.0) AS b, greatest(CAST(p.size AS DOUBLE), 1.0) AS z,
+    greatest(CAST(p.bhk AS DOUBLE) - 1, 1.0) AS ba, [{', '.join(parts)}] AS c,
+    sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm
+  FROM priced p LEFT JOIN (SELECT city AS hc, bhk AS hb, demand_rate FROM heat) h ON p.city = hc AND p.bhk = hb)""")
+
+
 def _log_table(spark, sf):
     """S5 + T1: price every listing (listed rent as the estimate, (city, bhk)
     demand rate as the risk probability), append the batch to a landing folder and
@@ -42,7 +67,7 @@ def _log_table(spark, sf):
             ST.demand_heatmap(df), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))
-        records = PS.checked_records(PL.prediction_records(priced, key_cols=KEY_COLS))
+        records = PS.checked_records(PL.prediction_records(priced, KEY_COLS, _request_time()))
         PL.append(records, f"{base}/landing")
         schema = spark.read.parquet(f"{base}/landing").schema
         PS.run_to_table(PS.log_stream(spark, f"{base}/landing", schema), f"{base}/log", f"{base}/_checkpoint")
@@ -50,10 +75,16 @@ def _log_table(spark, sf):
     return spark.read.parquet(_LOGS[key])
 
 
-@register("prediction_log")
+@register("prediction_log", _log_sql(
+    "SELECT user_id, city, bhk, size, furnishing, predicted_rent, demand_risk, risk_probability, price_per_sqft, ts AS timestamp, id, "
+    + ", ".join(f"round_even(c[{i}] / nrm, 6) AS v{i:02d}" for i in range(1, 13)) + " FROM logged"))
 def q_prediction_log(spark, sf):
-    """S5 + T1: the append-only log after the streaming append (every listing logged once)."""
-    return _log_table(spark, sf)
+    """S5 + T1: the append-only log after the streaming append (every listing logged once); the vector as 12
+    columns, rounded as in listing_vectors."""
+    log = _log_table(spark, sf)
+    return log.select(*[c for c in log.columns if c != "vector"], *[
+        F.bround(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)]).withColumn(
+            "timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @register("prediction_count", with_listings("SELECT count(*) AS prediction_count FROM listings"))
@@ -70,7 +101,9 @@ def q_store_health(spark, sf):
     return PL.health(vectors, _log_table(spark, sf))
 
 
-@register("recent_predictions")
+@register("recent_predictions", _log_sql(
+    "SELECT user_id, city, bhk, size, furnishing, predicted_rent, demand_risk, risk_probability, price_per_sqft,"
+    " strftime(ts, '%Y-%m-%d %H:%M') AS timestamp FROM logged ORDER BY ts DESC, id LIMIT 100"))
 def q_recent_predictions(spark, sf):
     """S6 + P16: newest 100 log rows, display view (top-k is the feature)."""
     return FL.log_view(PL.recent(_log_table(spark, sf), 100).drop("vector"))
@@ -82,11 +115,14 @@ def q_listing_vector_table(spark, sf):
     return SIM.listing_vector_table(clean(spark, sf))
 
 
-@register("listing_sample")
+@register("listing_sample", with_listings(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, city, locality, bhk, size, bathroom, rent,"
+    " furnishing, floor_txt, area_type, tenant, price_per_sqft FROM listings WHERE ('0x' || substr(md5(concat_ws('|', "
+    + ", ".join(f"CAST({k} AS VARCHAR)" for k in KEY_COLS) + ")), 1, 8))::BIGINT < 429496729"))
 def q_listing_sample(spark, sf):
-    """S3, scalable form: a 10 % Bernoulli sample (sampling is the feature)."""
-    from rentlens.sources.listings import sample_rows
-    return sample_rows(clean(spark, sf), 0.1, seed=42)
+    """S3, scalable form: a 10 % sample by a hash of the key (sampling is the feature)."""
+    from rentlens.sources.listings import sample_by_key
+    return sample_by_key(clean(spark, sf), 0.1)
 
 
 # ------------------------------------------------------------ login streams ---

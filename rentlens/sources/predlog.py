@@ -2,13 +2,13 @@
 
 Records carry the logged prediction fields, the P9 vector of the request (with
 bathrooms = max(1, bhk − 1) and floor "1 out of 3", as the reference logs it), a
-UTC timestamp and a deterministic id (sha-256 of the record and its batch time),
+UTC timestamp and a deterministic id (SHA-256 of the request key and its time),
 so a replayed batch produces the same ids and the stream can de-duplicate them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions.features import add_vectors
@@ -18,14 +18,13 @@ RECORD_COLS = ["user_id", "city", "bhk", "size", "furnishing", "predicted_rent",
                "risk_probability", "price_per_sqft"]
 
 
-def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=None,
-                       key_cols: list[str] | None = None) -> DataFrame:
+def prediction_records(scored: DataFrame, key_cols: list[str], ts, user_id: str | None = None) -> DataFrame:
     """S5 record shape from scored listings (M8 output or ``pricing.rent_band``).
 
-    With ``key_cols`` the id hashes the request key and the batch time, so a
-    recomputed partition (lost executor, replayed batch) yields the same ids."""
-    keys = key_cols or []
-    ts = F.current_timestamp() if batch_ts is None else F.lit(batch_ts).cast("timestamp")
+    ``ts`` is the request's time (a column, or a literal for a whole batch) and comes from the data, not the
+    clock; the id is the SHA-256 of the request key and that time, so a recomputed partition or a replayed
+    batch yields the same ids."""
+    when = (ts if isinstance(ts, Column) else F.lit(ts)).cast("timestamp")
     req = scored.select(
         (F.col(user_id).cast("string") if user_id else F.lit(None).cast("string")).alias("user_id"),
         "city", "bhk", "size", "furnishing", "predicted_rent", "demand_risk",
@@ -33,13 +32,10 @@ def prediction_records(scored: DataFrame, user_id: str | None = None, batch_ts=N
         "price_per_sqft",
         F.greatest(F.col("bhk") - 1, F.lit(1)).alias("bathroom"),
         F.lit("1 out of 3").alias("floor_txt"), F.lit(None).cast("string").alias("area_type"),
-        F.lit(None).cast("string").alias("tenant"), ts.alias("timestamp"),
-        *[F.col(k).alias(f"_key_{k}") for k in keys])
-    kcols = [f"_key_{k}" for k in keys]
-    vec = add_vectors(req, keep=RECORD_COLS + ["timestamp"] + kcols)
-    tag = F.struct(*[F.col(k) for k in kcols]) if kcols else F.monotonically_increasing_id()
-    rid = F.sha2(F.to_json(F.struct(*RECORD_COLS, F.col("timestamp").cast("string"), tag.alias("k"))), 256)
-    return vec.select(*RECORD_COLS, "vector", "timestamp", rid.alias("id"))
+        F.lit(None).cast("string").alias("tenant"), when.alias("timestamp"),
+        F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols],
+                           F.date_format(when, "yyyy-MM-dd HH:mm:ss.SSSSSS")), 256).alias("id"))
+    return add_vectors(req, keep=RECORD_COLS + ["timestamp", "id"]).select(*RECORD_COLS, "vector", "timestamp", "id")
 
 
 def append(records: DataFrame, path: str) -> None:

@@ -118,7 +118,7 @@ def test_prediction_log_stream(spark):
          ("Delhi", 1, 400, "Unfurnished", 9000.0, "Low", 0.1, 22.5)],
         "city string, bhk int, size int, furnishing string, predicted_rent double, demand_risk string,"
         " risk_probability double, price_per_sqft double")
-    rec = PS.checked_records(PL.prediction_records(scored, batch_ts="2024-01-01 10:00:00"))
+    rec = PS.checked_records(PL.prediction_records(scored, ["city", "bhk"], "2024-01-01 10:00:00"))
     PL.append(rec, f"{base}/landing")
     PL.append(rec, f"{base}/landing")  # a replayed batch: same ids
     schema = spark.read.parquet(f"{base}/landing").schema
