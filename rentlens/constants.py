@@ -167,3 +167,33 @@ LOCK_SECONDS = 900
 BUCKET_CAPACITY = 10.0
 BUCKET_RATE = 0.5
 BUCKET_COST = 2.0
+
+# --- fixed values: choices, columns and display names of the listing pages ---
+DEFAULT_FACETS = {
+    "cities": list(CITIES),
+    "furnishing": ["Semi-Furnished", "Furnished", "Unfurnished"],
+    "bhk": [1, 2, 3, 4],
+    "rent_range": (5000, 150000),
+}
+
+DISPLAY_COLUMNS = ["city", "bhk", "size", "bathroom", "rent", "furnishing", "locality",
+                   "price_per_sqft", "floor_txt"]
+
+DISPLAY_NAMES = {
+    "city": "City", "avg_rent": "Avg Rent (₹)", "median_rent": "Median Rent (₹)",
+    "min_rent": "Min Rent (₹)", "max_rent": "Max Rent (₹)", "avg_psf": "Avg PSF (₹)",
+    "n_listings": "Listings",
+}
+
+# --- fixed values: pages by permission, and the admin roles' pages ---
+NAV_PAGES = [("Predictor", "VIEW_PREDICTIONS"), ("Similar", "COMPARE_LISTINGS"), ("Analytics", "VIEW_ALL_DATA"),
+             ("Spark", "VIEW_ALL_DATA"), ("Models", "RUN_MODELS")]
+ADMIN_PAGES = ["Admin", "Spark", "Models"]
+
+# --- fixed values: defaults for a missing listing column ---
+DEFAULTS = {"floor_txt": "1 out of 3", "size": 800, "bhk": 2, "bathroom": 2,
+            "city": "", "furnishing": "", "area_type": "", "tenant": ""}
+
+# --- fixed values: hyper-parameters of the tree models ---
+REG_PARAMS = dict(maxIter=100, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=8)
+CLF_PARAMS = dict(maxIter=80, maxDepth=4, stepSize=0.06, subsamplingRate=0.8)

@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from rentlens import constants as C
 from rentlens.functions import encode as E
 
-# Defaults for a missing column (the reference's defaults for a missing key).
-DEFAULTS = {"floor_txt": "1 out of 3", "size": 800, "bhk": 2, "bathroom": 2,
-            "city": "", "furnishing": "", "area_type": "", "tenant": ""}
-
 
 def with_defaults(df: DataFrame) -> DataFrame:
     """Add any absent listing column with its default value."""
-    missing = {k: F.lit(v) for k, v in DEFAULTS.items() if k not in df.columns}
+    missing = {k: F.lit(v) for k, v in C.DEFAULTS.items() if k not in df.columns}
     return df.withColumns(missing) if missing else df
 
 
@@ -53,7 +49,7 @@ def with_floor(df: DataFrame, col: str = "floor_txt", out: str = "_fl") -> DataF
 
 def _clamped(name: str) -> Column:
     """max(value, 1) as double; a null value takes the column default."""
-    return F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(float(DEFAULTS[name]))),
+    return F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(float(C.DEFAULTS[name]))),
                       F.lit(1.0))
 
 

@@ -88,23 +88,18 @@ def role_masks(spark) -> DataFrame:
     return spark.createDataFrame(list(C.ROLE_MASKS.items()), "role string, permissions int")
 
 
-NAV_PAGES = [("Predictor", "VIEW_PREDICTIONS"), ("Similar", "COMPARE_LISTINGS"), ("Analytics", "VIEW_ALL_DATA"),
-             ("Spark", "VIEW_ALL_DATA"), ("Models", "RUN_MODELS")]
-ADMIN_PAGES = ["Admin", "Spark", "Models"]
-
-
 def entitlements(accounts: DataFrame) -> DataFrame:
     """P20: permission mask per account, one boolean per permission bit, the
     page list and the admin flag."""
     j = accounts.join(F.broadcast(role_masks(accounts.sparkSession)), "role", "left")
     bits = dict(C.PERM_BITS)
     has = {name: (F.coalesce(F.col("permissions"), F.lit(0)).bitwiseAND(F.lit(bit)) != 0) for name, bit in C.PERM_BITS}
-    pages = F.filter(F.array(*[F.when(has[perm], F.lit(page)) for page, perm in NAV_PAGES]), lambda x: x.isNotNull())
+    pages = F.filter(F.array(*[F.when(has[perm], F.lit(page)) for page, perm in C.NAV_PAGES]), lambda x: x.isNotNull())
     is_admin = F.col("role").isin(C.ADMIN_ROLES)
     return j.select(*accounts.columns, F.coalesce("permissions", F.lit(0)).alias("permissions"),
                     *[has[name].alias(f"can_{name.lower()}") for name in bits],
                     is_admin.alias("is_admin"),
-                    F.when(is_admin, F.array(*[F.lit(p) for p in ADMIN_PAGES])).otherwise(pages).alias("pages"))
+                    F.when(is_admin, F.array(*[F.lit(p) for p in C.ADMIN_PAGES])).otherwise(pages).alias("pages"))
 
 
 def user_list(accounts: DataFrame, audit: DataFrame | None = None) -> DataFrame:

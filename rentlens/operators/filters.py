@@ -7,23 +7,6 @@ from pyspark.sql import functions as F
 
 from rentlens import constants as C
 
-# Default facet selection of the analytics page.
-DEFAULT_FACETS = {
-    "cities": list(C.CITIES),
-    "furnishing": ["Semi-Furnished", "Furnished", "Unfurnished"],
-    "bhk": [1, 2, 3, 4],
-    "rent_range": (5000, 150000),
-}
-
-DISPLAY_COLUMNS = ["city", "bhk", "size", "bathroom", "rent", "furnishing", "locality",
-                   "price_per_sqft", "floor_txt"]
-
-DISPLAY_NAMES = {
-    "city": "City", "avg_rent": "Avg Rent (₹)", "median_rent": "Median Rent (₹)",
-    "min_rent": "Min Rent (₹)", "max_rent": "Max Rent (₹)", "avg_psf": "Avg PSF (₹)",
-    "n_listings": "Listings",
-}
-
 
 def facet_filter(df: DataFrame, cities=None, furnishing=None, bhk=None,
                  rent_range: tuple[float, float] | None = None) -> DataFrame:
@@ -43,7 +26,7 @@ def facet_filter(df: DataFrame, cities=None, furnishing=None, bhk=None,
 
 
 def default_selection(df: DataFrame) -> DataFrame:
-    f = DEFAULT_FACETS
+    f = C.DEFAULT_FACETS
     return facet_filter(df, f["cities"], f["furnishing"], f["bhk"], f["rent_range"])
 
 
@@ -57,12 +40,12 @@ def chart_rent_cap(df: DataFrame, cap: float = C.CHART_RENT_CAP) -> DataFrame:
     return df.filter(F.col("rent") < cap)
 
 
-def listing_table(df: DataFrame, columns: list[str] = DISPLAY_COLUMNS) -> DataFrame:
+def listing_table(df: DataFrame, columns: list[str] = C.DISPLAY_COLUMNS) -> DataFrame:
     """Display projection sorted by rent descending (ties by the remaining columns)."""
     return df.select(*columns).orderBy(F.col("rent").desc(), *[F.col(c) for c in columns if c != "rent"])
 
 
-def rename_for_display(df: DataFrame, names: dict[str, str] = DISPLAY_NAMES) -> DataFrame:
+def rename_for_display(df: DataFrame, names: dict[str, str] = C.DISPLAY_NAMES) -> DataFrame:
     """Display names for the columns present."""
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 

@@ -292,8 +292,8 @@ def _entitlements_sql() -> str:
     cans = ", ".join(f"(coalesce(m.permissions, 0) & {bit}) <> 0 AS can_{name.lower()}" for name, bit in C.PERM_BITS)
     bits = dict(C.PERM_BITS)
     pages = ", ".join(f"CASE WHEN (coalesce(m.permissions, 0) & {bits[perm]}) <> 0 THEN '{page}' END"
-                      for page, perm in AC.NAV_PAGES)
-    admin = "[" + ", ".join(f"'{p}'" for p in AC.ADMIN_PAGES) + "]"
+                      for page, perm in C.NAV_PAGES)
+    admin = "[" + ", ".join(f"'{p}'" for p in C.ADMIN_PAGES) + "]"
     return f"""WITH {ACCOUNTS_SQL}, masks AS (SELECT * FROM (VALUES {masks}) t(role, permissions))
 SELECT a.user_id, a.username, a.role, coalesce(m.permissions, 0) AS permissions, {cans},
   a.role IN ('SUPER_ADMIN', 'ADMIN') AS is_admin,
