@@ -71,7 +71,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     few = {}
     for i in np.flatnonzero((count > 0) & (count < k)):
         c, f = int(count[i]), int(first[i])
-        few[i] = mix((h[f:f + c] * PLACE[:c]).sum(dtype=U, keepdims=True) + PLACE[15] * U(c))
+        few[i] = mix((h[f:f + c] * PLACE[:c]).sum(dtype=U, keepdims=True) + PLACE[15:] * U(c))
     return [few[i] if i in few else np.unique(full[at[i]:at[i + 1]]) for i in range(n)]
 
 

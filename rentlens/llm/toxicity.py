@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled texts is the collection (``EXAMPLES`` of each label, a parameter). Its terms are
-words and their first three to five letters; those whose presence depends on the label (G-test) are the
+A bounded sample of labelled texts is the collection (``EXAMPLES`` of each label, a parameter; of near copies
+one). Its terms are
+words and their first four to six letters; those that toxic texts have far more often (G-test) are the
 vocabulary, at most ``TERMS``. Document frequencies come from all documents. Examples and texts are TF-IDF
 vectors over the vocabulary, of unit length. The examples' inverted index is cut into blocks of ``BLOCK``
 examples with each term's greatest weight in the block: the sum of these bounds the cosine of any example
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import ids_like, workers
+from rentlens.llm import shingles
+from rentlens.llm.common import ids_like, saved, slices, workers
+from rentlens.llm.near_dedup import signatures
 
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 3000, 2048, 64, 15
-#: G statistic from which a term depends on the label; least number of examples with the term.
-DEPENDS, LEAST_DF = 20.0, 5
+#: G statistic from which a term depends on the label, and how many times as frequent it is with toxic texts as with
+#: clean ones (common words depend on it a little); least number of examples with the term, and as a share of the
+#: toxic ones (below it, the chance words of a few copies of one text pass the test).
+DEPENDS, TIMES, LEAST_DF, LEAST_SHARE = 20.0, 3.0, 5, 0.02
 WORD = re.compile(r"[^\W\d_]+")
-#: Spellings that a worker keeps the terms of; beyond that it starts anew.
-KEPT_WORDS = 1 << 18
+PREFIXES = (4, 5, 6)
 REJECT = 0.7
 
 
@@ -42,7 +46,7 @@ def held_out(id_col: str) -> Column:
 def terms_of(spelling: str) -> list[str]:
     out = []
     for w in WORD.findall(spelling.lower()):
-        out += [w, *(w[:k] + "*" for k in (3, 4, 5) if len(w) > k)]
+        out += [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)]
     return out
 
 
@@ -57,26 +61,36 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(list(counts.values()), pa.int64())], ["term", "label", "n"])
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
 class Vectors:
-    """Counts of the vocabulary's terms in texts."""
+    """Counts of the vocabulary's terms in texts, found by one Aho-Corasick automaton of all terms."""
 
     def __init__(self, vocabulary: list[str]):
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        import ahocorasick
+        at: dict[str, list[int]] = {}
+        for i, t in enumerate(vocabulary):
+            at.setdefault(t.rstrip("*"), [-1, -1])[t.endswith("*")] = i  # as a word, as the beginning of a longer one
+        self.automaton = ahocorasick.Automaton()
+        for t, (word, prefix) in at.items():
+            self.automaton.add_word(t, (len(t), word, prefix))
+        self.automaton.make_automaton()
+        self.empty = not vocabulary
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        spelled = (text or "").split()
-        found = list(map(self.known.get, spelled))
-        if None in found:
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            for s in set(spelled):
-                if s not in self.known:
-                    self.known[s] = tuple(self.at[t] for t in terms_of(s) if t in self.at)
-            found = list(map(self.known.get, spelled))
-        for hits in filter(None, found):
-            for t in hits:
+        if self.empty or not text:
+            return out
+        low = text.lower()
+        last = len(low) - 1
+        for end, (size, word, prefix) in self.automaton.iter(low):
+            start = end - size
+            if start >= 0 and _letter(low[start]):
+                continue
+            t = prefix if end < last and _letter(low[end + 1]) else word
+            if t >= 0:
                 out[t] = out.get(t, 0) + 1
         return out
 
@@ -104,6 +118,29 @@ def _count_rows(vocabulary: list[str]):
     return run
 
 
+#: MinHash values by which copies among the examples are found.
+COPY_SYMBOLS = 4
+
+
+def _copy_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offs in slices(batch.column("text"), shingles.SLICE):
+            sig = signatures(shingles.shingle_sets(data, offs, 5))[:, :COPY_SYMBOLS].astype(np.int32)
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, sig.T)],
+                                             [*batch.schema.names, *(f"s{i}" for i in range(COPY_SYMBOLS))])
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """Of examples (id, label, text) with a MinHash value of their five-word shingles in common one stays: copies and
+    near copies of one text would make its chance words look telling. Texts shorter than that count as one shingle."""
+    marks = [f"s{i}" for i in range(COPY_SYMBOLS)]
+    out = workers(texts).mapInArrow(_copy_marks, f"id {ids_like(texts, 'id')}, label int, text string, " + ", ".join(f"{m} int" for m in marks))
+    for m in marks:
+        out = out.groupBy("label", m).agg(F.min(F.struct("id", "text", *[x for x in marks if x != m])).alias("r")).select("label", m, "r.*")
+    return out.select("id", "label", "text")
+
+
 class BlockMaxIndex:
     """Unit vectors as postings by term, with each term's greatest weight in each block of vectors."""
 
@@ -114,36 +151,41 @@ class BlockMaxIndex:
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((doc, term))
         self.doc, self.weight, term = doc[order], weight[order], term[order]
-        cell = term * self.blocks + self.doc // block
+        self.block_of = self.doc // block
+        self.of_term = np.searchsorted(term, np.arange(n_terms + 1)).tolist()
+        cell = term * max(1, self.blocks) + self.block_of
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cut = np.r_[starts, len(cell)]
-        self.cell_block = cell[starts] % max(1, self.blocks)
+        self.cell_block = self.block_of[starts]
         self.top = np.maximum.reduceat(self.weight, starts) if len(cell) else np.zeros(0)
-        self.of_term = np.searchsorted(cell[starts] // max(1, self.blocks), np.arange(n_terms + 1))
+        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1)).tolist()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k vectors with the greatest cosines over 0 (the first of equal ones), and the cosines."""
+        """The k vectors with the greatest cosines over 0 (the first of equal ones), and the cosines. Blocks are read
+        in order of their bounds, 4 and then twice as many each time."""
+        query = list(zip(terms.tolist(), weights.tolist()))
         bound = np.zeros(self.blocks)
-        cells = [range(self.of_term[t], self.of_term[t + 1]) for t in terms]
-        for c, w in zip(cells, weights):
-            bound[self.cell_block[c.start:c.stop]] += w * self.top[c.start:c.stop]
-        where = [dict(zip(self.cell_block[c.start:c.stop].tolist(), c)) for c in cells]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(scores) == k and bound[b] + 1e-9 < scores[-1]:
-                break
-            s = np.zeros(self.block)
-            for w, have in zip(weights, where):
-                if (c := have.get(b)) is not None:
-                    at = slice(self.cut[c], self.cut[c + 1])
-                    s[self.doc[at] - b * self.block] += w * self.weight[at]
-            if 0 <= without - b * self.block < self.block:
-                s[without - b * self.block] = 0
-            hit = np.flatnonzero(s > 0)
-            docs, scores = np.r_[docs, hit + b * self.block], np.r_[scores, s[hit]]
-            best = np.lexsort((docs, -np.round(scores, 9)))[:k]
-            docs, scores = docs[best], scores[best]
-        return docs, scores
+        for t, w in query:
+            at = slice(self.cells[t], self.cells[t + 1])
+            bound[self.cell_block[at]] += w * self.top[at]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score = np.zeros(self.blocks * self.block)
+        read, most, kth = 0, 4, 0.0
+        while read < len(order) and bound[order[read]] + 1e-9 >= kth:
+            now = np.zeros(self.blocks, bool)
+            now[order[read:read + most]] = True
+            for t, w in query:
+                at = slice(self.of_term[t], self.of_term[t + 1])
+                own = now[self.block_of[at]]
+                score[self.doc[at][own]] += w * self.weight[at][own]
+            if without >= 0:
+                score[without] = 0
+            read, most = read + most, most * 2
+            if np.count_nonzero(score) >= k:
+                kth = np.partition(score, -k)[-k]
+        hit = np.flatnonzero(score > 0)
+        best = hit[np.lexsort((hit, -np.round(score[hit], 9)))[:k]]
+        return best, score[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +252,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     sample = spark.createDataFrame([(r[0], r[1]) for r in drawn], known.schema).toDF("id", "label")  # 2 x examples rows
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(sample), "id").dropDuplicates(["id", "text"]))
+             .join(F.broadcast(sample), "id").select("id", "label", "text"))
+    texts = saved(without_copies(texts))  # at most 2 x examples rows
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     vocabulary: list[str] = []
     if n.get(0) and n.get(1):
         seen = (workers(texts).mapInArrow(_term_rows, "term string, label int, n long").groupBy("term")
                 .agg(F.sum(F.expr("if(label = 1, n, 0L)")).alias("t"), F.sum(F.expr("if(label = 1, 0L, n)")).alias("c"))
-                .filter(F.col("t") + F.col("c") >= LEAST_DF))
+                .filter(F.col("t") + F.col("c") >= max(LEAST_DF, LEAST_SHARE * n[1])))
         nt, nc = float(n[1]), float(n[0])
 
         def part(got, all_of, share):
@@ -225,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         with_, without = F.col("t") + F.col("c"), nt + nc - F.col("t") - F.col("c")
         g = 2 * (part(F.col("t"), with_, nt / (nt + nc)) + part(F.col("c"), with_, nc / (nt + nc))
                  + part(nt - F.col("t"), without, nt / (nt + nc)) + part(nc - F.col("c"), without, nc / (nt + nc)))
-        vocabulary = [r["term"] for r in seen.withColumn("g", g).filter(F.col("g") >= DEPENDS)
+        apart = F.col("t") / nt >= TIMES * F.col("c") / nc
+        vocabulary = [r["term"] for r in seen.withColumn("g", g).filter((F.col("g") >= DEPENDS) & apart)
                       .orderBy(F.desc("g"), "term").limit(terms).collect()]
     if not vocabulary:
         model = Model([], np.zeros(0), [], [], [], {})
