@@ -63,10 +63,11 @@ def digest(a: Column) -> Column:
                               F.array_join(a["hashes"].cast("array<string>"), ",")), 256)
 
 
-def with_next(docs: DataFrame, order: str, ties: str, carry: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, ties: str, carry: list[str], there=lambda df: df) -> DataFrame:
     """``docs`` and the columns next_<c> for c in ``carry``, of the next row by the integer ``order`` (nulls first,
     then by ``ties``); after the last row comes the first. The ids' range is cut into equal buckets; the first
-    row of each bucket is also sent to the bucket before it, so no task sees more than a bucket."""
+    row of each bucket is also sent to the bucket before it, so no task sees more than a bucket. ``there`` adds
+    columns where rows have arrived, so that they need not be shuffled."""
     low, high, n = docs.agg(F.min(order), F.max(order), F.count("*")).first()
     low, high = (0, 0) if low is None else (int(low) - 1, int(high))
     buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
@@ -83,9 +84,10 @@ def with_next(docs: DataFrame, order: str, ties: str, carry: list[str]) -> DataF
     own = F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("sent"))
     sent = F.struct(F.get(send_to, here).cast("long").alias("bucket"), F.lit(True).alias("sent"))
     dealt = placed.withColumn("__to", F.explode(F.when(is_first, F.array(own, sent)).otherwise(F.array(own))))
-    w = Window.partitionBy("__to.bucket").orderBy("__to.sent", "__at", ties)
-    return (dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry}).filter("not __to.sent")
-            .drop("__at", "__bucket", "__to"))
+    dealt = dealt.withColumns({"__bucket": F.col("__to.bucket"), "__sent": F.col("__to.sent")}).drop("__to")
+    w = Window.partitionBy("__bucket").orderBy("__sent", "__at", ties)
+    return (there(dealt.repartition("__bucket")).withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
+            .filter("not __sent").drop("__at", "__bucket", "__sent"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -98,8 +100,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.
     """
     slim = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    slim = with_fingerprint(slim, "text", "own", k, w)
-    rows = with_next(slim, "id", "text", ["text", "own"])
+    rows = with_next(slim, "id", "text", ["text", "own"], lambda df: with_fingerprint(df, "text", "own", k, w))
     n = F.length("text")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 4 as int))"),
                                               F.expr("substring(next_text, 1, cast(length(text) div 4 as int))")))
