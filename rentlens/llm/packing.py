@@ -29,23 +29,25 @@ def _pieces(content, capacity: int, end_id: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(content).ids
+        encoder = tokens.encoder(content)
         for batch in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = encode(text or "") + end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at:at + 4 * capacity]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    ids.append(part if with_ids else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                 *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())],
-                ["id", "piece", "start", "length", "ids_crc32", "ids"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for first, last in tokens.runs(texts):
+                row, piece, start, length, crc, ids = [], [], [], [], [], []
+                for i, raw in enumerate(encoder.encode(texts[first:last])):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at:at + 4 * capacity]
+                        row.append(first + i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        ids.append(part if with_ids else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                     *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())],
+                    ["id", "piece", "start", "length", "ids_crc32", "ids"])
     return run
 
 

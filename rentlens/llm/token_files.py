@@ -25,11 +25,12 @@ BLOCK_BYTES, FILE_DOCUMENTS = 1 << 20, 20_000
 
 def _short_ids(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(content).ids
+        encoder = tokens.encoder(content)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            ids = [np.frombuffer(encode(t or ""), "<u4").astype("<u2").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in tokens.runs(texts):
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoder.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
     return run
 
 
