@@ -188,9 +188,9 @@ class BlockMaxIndex:
         return best, score[best]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the increasing function nearest to y: least x of each step, value (with one clean and one toxic
-    thousandth part of the whole weight mixed in, so no step is quite 0 or 1)."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the increasing function nearest to y: least x of each step, value. Each step is mixed with ``prior``
+    average examples, so that a few examples alone do not make a high score."""
     xs, inverse = np.unique(x, return_inverse=True)
     w, v = np.bincount(inverse, weight), np.bincount(inverse, weight * y)
     steps: list[list[float]] = []
@@ -200,8 +200,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             _, wi, vi = steps.pop()
             steps[-1][1] += wi
             steps[-1][2] += vi
-    own = weight.sum() / 1000 if len(weight) else 1.0
-    return np.array([s[0] for s in steps]), np.array([(s[2] + own * 0.5) / (s[1] + own) for s in steps])
+    own, base = prior * weight.mean(), (weight * y).sum() / weight.sum()
+    return np.array([s[0] for s in steps]), np.array([(s[2] + own * base) / (s[1] + own) for s in steps])
 
 
 class Model:

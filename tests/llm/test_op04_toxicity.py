@@ -17,7 +17,7 @@ def test_held_out_labels_are_predicted(spark):
     q = p.join(y, how="inner")
     q = q[q.held_out]
     toxic, clean = q[q.toxic == 1], q[q.toxic == 0]
-    assert len(toxic) > 100 and clean.predicted.mean() <= 0.005  # some labelled toxic have no word that tells
+    assert len(toxic) > 100 and clean.predicted.mean() <= 0.01  # words of three languages are telling in part only
     assert toxic.predicted.mean() >= 0.7 and (q.predicted == q.toxic).mean() >= 0.96
     ranks = q.score.rank()
     assert (ranks[q.toxic == 1].sum() - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean)) >= 0.95
@@ -56,14 +56,19 @@ def test_terms_are_counted_as_they_are_learnt():
 
 
 def test_isotonic_steps():
-    x, v = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1]), np.ones(4))
-    assert x.tolist() == [0.1, 0.2, 0.4] and np.allclose(v, [0, 0.5, 1], atol=0.01)
+    x, v = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1]), np.ones(4), 0)
+    assert x.tolist() == [0.1, 0.2, 0.4] and np.allclose(v, [0, 0.5, 1])
+    x, v = toxicity.isotonic(np.arange(4.0), np.array([0.0, 0, 0, 1]), np.ones(4), 1)
+    assert np.allclose(v, [0.0625, 0.625]) or np.allclose(v, [0.125, 0.125, 0.125, 0.625])
 
 
 @pytest.fixture(scope="module")
 def small(spark):
-    words = ["alpha beta gamma delta", "epsilon zeta eta theta"]
-    rows = [(i, f"{words[i % 2]} {'you idiot' if i % 4 == 0 else 'dear friend'} {i}", int(i % 4 == 0)) for i in range(200)]
+    import random
+    rng = random.Random(1)
+    words = [f"{a}{b}lk" for a in "bcdfgmnprst" for b in "aeiou"]
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (" you idiot" if i % 4 == 0 else " dear friend"), int(i % 4 == 0))
+            for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     return df.select("doc_id", "text"), df.select("doc_id", "toxic")
 
@@ -94,3 +99,16 @@ def test_held_out_labels_do_not_matter(small):
     a, b = (sorted(map(tuple, toxicity.scored(docs, toxicity.fit(docs, x)).select("doc_id", "score").collect()))
             for x in (labels, flipped))
     assert a == b
+
+
+def test_near_copies_among_examples_count_once(spark):
+    """A long toxic text that is copied with small changes teaches its telling word, not all its words."""
+    import random
+    rng = random.Random(3)
+    common = [f"w{c}x" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(30)) + (" idiot" if i % 2 else ""), i % 2) for i in range(300)]
+    odd = [f"odd{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rows += [(1000 + i, " ".join(odd[:i % 60] + ["changed"] + odd[i % 60:]) + " idiot", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "idiot" in model.vocabulary and not [t for t in model.vocabulary if t.startswith("odd")]
