@@ -1,19 +1,21 @@
 """Near duplicates: MinHash signatures, a multi-index Hamming join, exact confirmation.
 
-A text's signature has ``symbols`` MinHash values of 16 bits. It is split into ``chunks`` chunks; two
-signatures that differ in at most chunks * 2 - 1 symbols differ in at most one symbol of some chunk
-(pigeonhole), so they agree there on all symbols but one. Each chunk is therefore filed under the
-values of its symbols with each one left out in turn: whatever the wrong symbol's value, one of these
-keys is common. All pairs within that signature distance share a bucket; pairs that share one and are
-nearer than ``far`` (which texts at the least similarity exceed with probability under 1e-9) are
-confirmed on the full shingle sets.
+A text's signature has ``SYMBOLS`` MinHash values of 16 bits. The first ``KEYED`` are split into ``CHUNKS``
+chunks; two signatures that differ there in at most CHUNKS * 2 - 1 symbols differ in at most one symbol of
+some chunk (pigeonhole), so they agree there on all symbols but one. Each chunk is therefore filed under
+the values of its symbols with each one left out in turn: whatever the wrong symbol's value, one of these
+keys is common. All pairs within that distance share a bucket. Of the pairs that share one, those whose sets'
+sizes allow the similarity and whose whole signatures are nearer than ``far`` (which texts at the least
+similarity exceed with probability under 1e-9) are confirmed on the full shingle sets.
 
 No bucket is ever expanded into its pairs:
 1. texts with the same set are one class, found first, by two levels of grouping;
 2. each member of a bucket is paired with the bucket's least member only, and confirmed links become
    components;
-3. only members of a bucket that are still in different components are compared with each other, in
-   blocks of bounded size that are dealt out as cells, and the pairs near enough are confirmed too.
+3. members of a bucket that are still in different components are compared with each other inside a task, in
+   blocks of bounded size that are dealt out as cells: first by signatures, to learn which members have
+   anyone near, then, for these alone, on the full sets. A cell keeps the components it joins, passes over
+   pairs within one, and gives back only links that join two, fewer than it has members.
 Pairs inside a component add nothing to it, so the components are those of all pairs.
 """
 
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 from rentlens.llm import shingles as S
 from rentlens.llm.common import fresh, ids_like, null_safe_semi, saved, slices, workers
 
-SYMBOLS, CHUNKS = 32, 8
-PER = SYMBOLS // CHUNKS
+SYMBOLS, KEYED, CHUNKS = 128, 32, 8
+PER = KEYED // CHUNKS
 MULT = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of a bucket that one side of a cell holds; members that are confirmed against one head by one task.
-BLOCK, PART = 1024, 512
+#: Members and shingles of a bucket that one side of a cell holds, about; members that are confirmed against one
+#: head by one task.
+BLOCK, BLOCK_SHINGLES, PART = 2048, 500_000, 512
 
 
 def far(percent: int) -> int:
@@ -88,15 +91,31 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), SYMBOLS)
 
 
-def _nearer(most: int):
+def _sizes_allow(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+
+
+def _nearer(percent: int):
+    most = far(percent)
+
     def run(batches):
         for b in batches:
             if b.num_rows:
                 near = (_matrix(b.column("sa")) != _matrix(b.column("sb"))).sum(1) <= most
+                near &= _sizes_allow(np.array(b.column("na")), np.array(b.column("nb")), percent)
                 yield b.select(["a", "b"]).filter(pa.array(near))
     return run
 
 
+def _first_slot(equal: np.ndarray) -> np.ndarray:
+    """The first key that pairs have in common, from which of their symbols are equal (a row for each pair)."""
+    chunks = equal[:, :KEYED].reshape(len(equal), CHUNKS, PER)
+    same = chunks.sum(2)
+    c = (same >= PER - 1).argmax(1)
+    row = np.arange(len(equal))
+    return c * PER + np.where(same[row, c] == PER, 0, chunks[row, c].argmin(1))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
     """Runs of rows with the same key in sorted batches; True where a run begins."""
     last = None
@@ -160,53 +179,113 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.select("node", "comp")
 
 
-def _cells(most: int):
+class _Side:
+    """The members of a cell's block."""
+
+    def __init__(self, columns: list[tuple]):
+        self.rid, self.comp, self.n, self.sig, self.sets = (list(c) for c in zip(*columns))
+        self.rid, self.comp, self.n = (np.concatenate(c) for c in (self.rid, self.comp, self.n))
+        self.sig, self.sets = np.concatenate(self.sig), [s for part in self.sets for s in part]
+
+
+def _candidates(x: _Side, i: int, y: _Side, alone: bool, slot: int, percent: int, most: int) -> np.ndarray:
+    """The members of ``y`` that ``x``'s i-th must be compared with here: in another component, of fitting size, with
+    this key as the first in common, and near enough by signature."""
+    j = np.flatnonzero((y.comp != x.comp[i]) & _sizes_allow(y.n, x.n[i], percent))
+    if alone:
+        j = j[j > i]
+    equal = y.sig[j, :KEYED] == x.sig[i, :KEYED]
+    keep = equal.reshape(len(j), CHUNKS, PER).sum(2).max(1, initial=0) >= PER - 1
+    j, equal = j[keep], equal[keep]
+    if len(j):
+        j = j[_first_slot(equal) == slot]
+    return j[(y.sig[j] != x.sig[i]).sum(1) <= most]
+
+
+def _flagged(x: _Side, y: _Side, alone: bool, slot: int, percent: int, most: int) -> tuple[list, list]:
+    """The members with any candidate (the key's own column is added outside)."""
+    hit = [np.zeros(len(x.rid), bool), np.zeros(len(y.rid), bool)]
+    for i in range(len(x.rid)):
+        j = _candidates(x, i, y, alone, slot, percent, most)
+        if len(j):
+            hit[0][i] = True
+            hit[1][j] = True
+    rids = np.union1d(x.rid[hit[0]], y.rid[hit[1]]).tolist()
+    return rids, rids
+
+
+def _links(x: _Side, y: _Side, alone: bool, slot: int, percent: int, most: int) -> tuple[list, list]:
+    """Links between different components, each joining two that were not joined here before."""
+    each, ids = np.unique(np.concatenate(y.sets), return_inverse=True)
+    starts = np.cumsum([0] + [len(s) for s in y.sets[:-1]])
+    links: tuple[list, list] = ([], [])
+    for i in range(len(x.rid)):
+        j = _candidates(x, i, y, alone, slot, percent, most)
+        if not len(j):
+            continue
+        own = np.zeros(len(each) + 1, np.int64)
+        at = np.searchsorted(each, x.sets[i])
+        at[at == len(each)] = 0
+        own[at[each[at] == x.sets[i]]] = 1
+        both = np.add.reduceat(own[ids], starts)[j]
+        for k in j[100 * both >= percent * (x.n[i] + y.n[j] - both)]:
+            a, b = x.comp[i], y.comp[k]
+            if a != b:
+                links[0].append(min(x.rid[i], y.rid[k]))
+                links[1].append(max(x.rid[i], y.rid[k]))
+                for side in (x, y):
+                    side.comp[side.comp == max(a, b)] = min(a, b)
+    return links
+
+
+def _cells(work, percent: int, words: int | None):
+    """Runs ``work`` on each cell of rows sorted by (key, i, j); rows have texts if ``words`` is given."""
+    most = far(percent)
+
     def run(batches):
-        side: dict[int, list] = {0: [], 1: []}
-
-        def pairs():
-            x, y = ([np.concatenate(c) for c in zip(*side[s])] if side[s] else None for s in (0, 1))
-            y = x if alone else y
-            if x is None or y is None:
-                return None
-            out = []
-            for i in range(len(x[0])):
-                ok = (y[1] != x[1][i]) & ((y[2] != x[2][i]).sum(1) <= most)
-                if alone:
-                    ok[:i + 1] = False
-                out += [(min(x[0][i], o), max(x[0][i], o)) for o in y[0][ok]]
-            if not out:
-                return None
-            a, b = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        alone = False
+        parts: list[list] = [[], []]
+        where: tuple = ()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if where and parts[0] and (where[1] == where[2] or parts[1]):
+                key, i, j, slot = where
+                x = _Side(parts[0])
+                a, b = work(x, x if i == j else _Side(parts[1]), i == j, slot, percent, most)
+                if a:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a, pa.int64()), pa.array(b if words else [key] * len(a), pa.int64())], ["a", "b"])
         for new, b in _groups(batches, ["key", "i", "j"]):
             if new:
-                if side[0] and (got := pairs()) is not None:
-                    yield got
-                side = {0: [], 1: []}
-                alone = b.column("i")[0].as_py() == b.column("j")[0].as_py()
+                yield from done()
+                parts, where = [[], []], tuple(b.column(c)[0].as_py() for c in ("key", "i", "j", "slot"))
             part = np.array(b.column("side"))
             for s in (0, 1):
                 if (m := part == s).any():
                     own = b.filter(pa.array(m))
-                    side[s].append((np.array(own.column("rid")), np.array(own.column("comp")), _matrix(own.column("sig"))))
-        if side[0] and (got := pairs()) is not None:
-            yield got
+                    sets = [z for _, _, data, offs in slices(own.column("text"), S.SLICE)
+                            for z in S.shingle_sets(data, offs, words)] if words else []
+                    parts[s].append((*(np.array(own.column(c)) for c in ("rid", "comp", "n")), _matrix(own.column("sig")), sets))
+        yield from done()
     return run
 
 
-def across(live: DataFrame, most: int) -> DataFrame:
-    """Of rows (key, rid, comp, sig): the pairs of one key and different components at most ``most`` symbols
-    apart. A bucket is cut into blocks, and each two blocks meet in a cell of their own."""
-    size = live.groupBy("key").agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
+def _dealt(live: DataFrame) -> DataFrame:
+    """Cells of rows (key, ..., rid, n): a bucket is cut into blocks, and each two blocks meet in a cell of their own."""
+    size = live.groupBy("key").agg(F.expr(f"count(*) div {BLOCK} + sum(n) div {BLOCK_SHINGLES} + 1").alias("blocks"))
     dealt = live.join(size, "key").withColumn("block", F.expr("pmod(xxhash64(rid), blocks)"))
     cells = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.expr("if(block <= other, 0, 1)").alias("side"), "rid", "comp", "sig")
-    return (cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_cells(most), "a long, b long").distinct())
+        *live.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.expr("if(block <= other, 0, 1)").alias("side"))
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def across(live: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of rows (key, slot, rid, comp, n, sig): links (a, b) that join the components of members of one key as all
+    links would. ``texts``: rid, text (alike where a rid repeats)."""
+    flagged = _dealt(live).mapInArrow(_cells(_flagged, percent, None), "rid long, key long").distinct()
+    some = saved(live.join(flagged, ["key", "rid"]).select(*live.columns))
+    full = some.join(texts.dropDuplicates(["rid"]), "rid").select(*live.columns, "text")
+    return _dealt(full).mapInArrow(_cells(_links, percent, words), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -220,7 +299,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept says whether a row's id is that one; rows that share id and text share all answers. An empty table
     gives an empty result; other columns are ignored.
     """
-    most = far(percent)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     slim = slim.withColumn("print", F.xxhash64("text"))
     kind = ids_like(slim, "id")
@@ -232,13 +310,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     local = saved(signed.filter("n > 0").groupBy("part", *same).agg(best, F.min("id").alias("least")))
     classes = saved(local.groupBy(*same).agg(F.min("best").alias("best"), F.min("least").alias("least"))
                     .select(*same, "best.*", "least"))
-    keys = classes.select("rid", F.explode(F.array(*_key_columns())).alias("key"))
+    keys = classes.select("rid", F.posexplode(F.array(*_key_columns())).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.min("rid").alias("head"), F.max("rid").alias("tail")).filter("head < tail")
     filed = saved(keys.join(shared.select("key", "head"), "key"))
-    sig = classes.select("rid", "sig")
+    sig = classes.select("rid", "n", "sig")
     stars = filed.filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    stars = saved(stars.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-                  .mapInArrow(_nearer(most), "a long, b long"))
+    stars = saved(stars.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
+                  .mapInArrow(_nearer(percent), "a long, b long"))
     wanted = classes.join(filed.select("rid").distinct(), "rid").select("rid", F.col("id").alias("id_"),
                                                                         F.col("print").alias("print_"))
     found = slim.filter(F.col("text").isNotNull()).join(
@@ -247,11 +325,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = saved(confirmed(stars, texts, words, percent))
     comps = components(edges)
     placed = (filed.join(comps, F.col("rid") == F.col("node"), "left")
-              .select("key", "rid", F.coalesce("comp", "rid").alias("comp")))
+              .select("key", "slot", "rid", F.coalesce("comp", "rid").alias("comp")))
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    live = placed.join(open_.select("key"), "key").join(sig, "rid").select("key", "rid", "comp", "sig")
-    rest = across(live, most).join(stars, ["a", "b"], "left_anti")
-    late = saved(confirmed(saved(rest), texts, words, percent))
+    live = placed.join(open_.select("key"), "key").join(sig, "rid").select("key", "slot", "rid", "comp", "n", "sig")
+    late = saved(across(live, texts, words, percent))
     if not late.isEmpty():
         comps = components(edges.unionByName(late))
     reach = classes.join(comps, F.col("rid") == F.col("node"), "left").select(

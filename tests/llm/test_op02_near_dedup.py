@@ -1,0 +1,145 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from rentlens.llm import near_dedup, queries, shingles
+
+
+def sets_of(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return set()
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def brute(rows, k, percent):
+    sets = [sets_of(r.text, k) for r in rows]
+    comp = list(range(len(rows)))
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                comp[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    out = []
+    for i, r in enumerate(rows):
+        c = least.get(find(i)) if sets[i] else r.doc_id
+        out.append((r.doc_id, len(sets[i]), c, r.doc_id == c))
+    return sorted(out, key=repr)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.drop("print").collect()), key=repr)
+
+
+def test_query_against_all_pairs(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    got = queries.QUERIES["op2_near_groups"](spark, sf_small)
+    assert result(got) == brute(docs.collect(), 3, 85)
+
+
+def edited(rng, words, share):
+    return [f"new{rng.random()}" if rng.random() < share else w for w in words]
+
+
+def test_groups_of_copies_chains_and_borderline_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 16)  # several tasks for a head
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):  # near copies of one text at all distances around the limit
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(8, 90))]
+        texts += [" ".join(edited(rng, base, rng.choice([0, 0.01, 0.03, 0.06, 0.1]))) for _ in range(25)]
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(25):  # each linked with its neighbours only
+        texts.append(" ".join(chain[i:] + [f"d{j}" for j in range(i)]))
+    docs = spark.createDataFrame([(i * 3 % 401, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    for k, percent in ((3, 85), (5, 80)):
+        assert result(near_dedup.near_groups(docs, words=k, percent=percent)) == brute(docs.collect(), k, percent)
+
+
+@pytest.mark.parametrize("block,shingles_", [(2048, 500_000), (4, 500_000), (2048, 300)])
+def test_second_look_joins_what_all_links_join(spark, monkeypatch, block, shingles_):
+    """A family of texts at all distances, in components of one, filed under its true keys, over several cells."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles_)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.05, 0.1]))) for _ in range(40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    sets = shingles.shingle_sets(data, np.cumsum([0] + [len(t) for t in texts]), 3)
+    sig = near_dedup.signatures(sets)
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(i, i, len(s), g.tobytes(), t) for i, (s, g, t) in enumerate(zip(sets, sig, texts))],
+                                 "rid long, comp long, n long, sig binary, text string")
+    live = docs.select("*", F.posexplode(F.array(*near_dedup._key_columns())).alias("slot", "key")).select(
+        "key", "slot", "rid", "comp", "n", "sig")
+    twice = docs.select("rid", "text").unionByName(docs.select("rid", "text"))
+    got = near_dedup.across(live, twice, 3, 85).collect()
+    links = {(a, b) for a in range(40) for b in range(a + 1, 40)
+             if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert {tuple(r) for r in got} <= links and len(got) < len(links)
+
+    def groups(pairs):
+        comp = list(range(40))
+        for a, b in pairs:
+            old, new = comp[a], comp[b]
+            comp = [new if c == old else c for c in comp]
+        return {frozenset(i for i in range(40) if comp[i] == c) for c in comp}
+    assert groups(got) == groups(links) and 1 < len(groups(links)) < 40
+
+
+def test_pigeonhole_keys_find_every_pair_within_the_distance(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+    rows = [(0, a.tobytes())]
+    for i in range(1, 200):
+        b = a.copy()
+        at = rng.choice(near_dedup.KEYED, 2 * near_dedup.CHUNKS - 1, replace=False)
+        b[at] += rng.integers(1, 1 << 15, len(at)).astype(np.uint16)
+        rows.append((i, b.tobytes()))
+    from pyspark.sql import functions as F
+    keys = spark.createDataFrame(rows, "rid long, sig binary").select(
+        "rid", F.explode(F.array(*near_dedup._key_columns())).alias("key"))
+    mine = keys.filter("rid = 0").select("key")
+    assert keys.join(mine, "key").select("rid").distinct().count() == 200
+
+
+def test_edges(edge, clashing, empty):
+    want = brute(edge.collect(), 5, 80)
+    for docs in (edge, clashing):
+        assert result(near_dedup.near_groups(docs)) == want
+    assert near_dedup.near_groups(empty).count() == 0
+    out = near_dedup.drop_near_copies(clashing)
+    assert out.columns == clashing.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect())[1:6] == sorted(
+        (r.doc_id or 0, r.text or "") for r in clashing.dropDuplicates(["doc_id"]).collect() if r.doc_id in (1, 3, 4, 5, 6))
+    assert near_dedup.drop_near_copies(empty).count() == 0
+
+
+def test_hashes_of_words():
+    texts = ["Ab  cd", "", "ab\tCD\x0bab", "é É", " x"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0] + [len(t.encode()) for t in texts])
+    h, of = shingles.word_hashes(data, offs)
+    assert of.tolist() == [0, 0, 2, 2, 2, 3, 3, 4]
+    assert h[0] == h[2] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 5
+
+
+def test_limit_of_distance():
+    assert 35 < near_dedup.far(85) < near_dedup.far(80) < 64
+
+
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_components_of_a_chain(spark, n):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+    assert {tuple(r) for r in near_dedup.components(edges).collect()} == {(i, 0) for i in range(n + 1)}
