@@ -4,23 +4,28 @@ The patterns give the base spans. Beyond them, every run of 20 or more character
 is a candidate. Its encoding is the smallest alphabet that holds all its characters, and it must pass three
 tests as a uniform random string over it: chi-squared on the counts of its symbols, runs about the median
 symbol, and serial correlation of neighbouring symbols. A string that passes is reported only if it is also
-unlikely to be ordinary writing: its p-value is the chance that ordinary letters repeat as rarely as its
-symbols do. These p-values are judged by Benjamini and Hochberg's procedure over all candidates of the
-corpus, apart for each class of lengths, as short strings are many and prove little. The procedure needs
-only counts per class and step of p (a table of fixed size), so it covers every document.
+unlikely to be ordinary writing. How likely character pairs are in ordinary writing is counted over the whole
+corpus by one aggregation (a table of fixed size): changes between lower case, upper case and digits, and pairs
+of letters. The likelihood under these, within the string's alphabet, over that of a uniform string is a p-value
+(Markov's inequality: ordinary writing is x times as likely under the uniform law with chance 1 / x at most).
+These p-values are judged by Benjamini and Hochberg's procedure over all candidates of the corpus, apart for
+each class of lengths. The procedure needs only counts per class and step of p (a table of fixed size), so it
+covers every document.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from math import erfc, exp, lgamma, log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import ids_like, workers
+from rentlens.llm.common import ids_like, slices, workers
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,11 +39,26 @@ ENCODINGS = [("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("hex", DIGITS + "
              ("upper", UPPER), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER), ("base36", DIGITS + UPPER),
              ("base62", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/"),
              ("base64url", UPPER + LOWER + DIGITS + "-_")]
-VALUES = [(name, {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
+VALUES = [(a, {c: i for i, c in enumerate(a)}) for _, a in ENCODINGS]
 #: Frequencies of the letters a to z in English writing, in per cent.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1,
            2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
-TWO, THREE = (sum((p / sum(LETTERS)) ** k for p in LETTERS) for k in (2, 3))
+#: What ordinary writing is taken for before anything is counted: from the start of a word, a lower-case letter, an
+#: upper-case letter or a digit to a lower-case letter, an upper-case letter or a digit.
+CHANGES = ((0.85, 0.1, 0.05), (0.985, 0.005, 0.01), (0.7, 0.28, 0.02), (0.04, 0.04, 0.92))
+#: Characters that this counts as: for the letters' frequencies, and for each row of a table.
+PRIOR, ROW_PRIOR = 1000.0, 50.0
+#: Long runs, which may be keys themselves, count at most this share of what the short ones and a row of the prior count.
+LONG_SHARE = 1 / 3
+#: Codes of characters: 0 for others (a word starts after them), then a to z, A to Z, 0 to 9.
+CODES = 63
+CODE = np.zeros(256, np.uint8)
+CODE[list((LOWER + UPPER + DIGITS).encode())] = np.arange(1, CODES)
+IN_RUN = CODE > 0
+IN_RUN[list(b"+/_-")] = True
+KIND = np.repeat([0, 1, 2, 3], [1, 26, 26, 10])
+LETTER = np.r_[26, np.arange(26), np.arange(26), [26] * 10]
+COUNT_BYTES = 1 << 20
 #: Tests of randomness reject below this; p-values of reported strings are judged at this rate.
 REJECT, RATE = 0.001, 0.01
 CLASSES = (20, 24, 32, 48, 64, 128)
@@ -105,39 +125,93 @@ def serial(x: list[int]) -> float:
     return erfc(abs(r + 1 / (n - 1)) * sqrt((n - 1) / 2))
 
 
-def ordinary(token: str) -> float:
-    """The chance that ordinary letters, in as long a string, repeat as rarely as this string's symbols."""
-    n, counts = len(token), {}
-    for c in token.lower():
-        counts[c] = counts.get(c, 0) + 1
-    seen = sum(c * (c - 1) / 2 for c in counts.values())
-    pairs = n * (n - 1) / 2
-    var = pairs * TWO * (1 - TWO) + n * (n - 1) * (n - 2) * (THREE - TWO * TWO)
-    return 0.5 * erfc((pairs * TWO - seen - 0.5) / sqrt(2 * var))
+class Ordinary:
+    """Ordinary writing: counts of pairs of codes, by a table with a row for what is before."""
+
+    def __init__(self, counts: np.ndarray | None = None):
+        n = np.zeros((CODES, CODES)) if counts is None else np.asarray(counts, float).reshape(CODES, CODES).copy()
+        n[:, 0] = 0
+        kinds = np.zeros((4, 3))
+        np.add.at(kinds, (KIND[:, None], KIND[None, 1:] - 1), n[:, 1:])
+        letters = np.zeros((27, 27))
+        np.add.at(letters, (LETTER[:, None], LETTER[None, :]), n)
+        kinds = (kinds + ROW_PRIOR * np.array(CHANGES)) / (kinds.sum(1, keepdims=True) + ROW_PRIOR)
+        letters = letters[:, :26]
+        each = letters.sum(0) + PRIOR * np.array(LETTERS) / sum(LETTERS)
+        letters = (letters + ROW_PRIOR * each / each.sum()) / (letters.sum(1, keepdims=True) + ROW_PRIOR)
+        p = np.zeros((CODES, CODES))
+        p[:, 1:27] = kinds[KIND, 0, None] * letters[LETTER]
+        p[:, 27:53] = kinds[KIND, 1, None] * letters[LETTER]
+        p[:, 53:] = kinds[KIND, 2, None] / 10
+        self.gains = {a: self._gain(p, a) for _, a in ENCODINGS}
+
+    @staticmethod
+    def _gain(p: np.ndarray, alphabet: str) -> np.ndarray:
+        """By the code before and the code: the logarithm of the uniform law over the ordinary one, both within the
+        alphabet. Characters that are no letters or digits tell nothing."""
+        own = np.unique(CODE[list(alphabet.encode())])
+        own = own[own > 0]
+        out = np.zeros((CODES, CODES))
+        out[:, own] = np.log(p[:, own].sum(1, keepdims=True) / len(own)) - np.log(p[:, own])
+        return out
+
+    def gain(self, token: str, alphabet: str) -> np.ndarray:
+        code = CODE[np.frombuffer(token.encode(), np.uint8)]
+        return self.gains[alphabet][np.r_[0, code[:-1]], code]
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(2 * CODES * CODES, np.int64)
+    for batch in batches:
+        for _, _, data, offs in slices(batch.column(0), COUNT_BYTES):
+            if not len(data):
+                continue
+            starts = offs[:-1][offs[:-1] < len(data)]
+            code, inside = CODE[data].astype(np.int32), IN_RUN[data]
+            before, begin = np.r_[0, code[:-1]], inside & ~np.r_[False, inside[:-1]]
+            before[starts] = 0
+            begin[starts] = inside[starts]
+            run = np.cumsum(begin)
+            long = np.bincount(run[inside], minlength=int(run[-1]) + 1)[run] >= CLASSES[0]
+            n += np.bincount(((long * CODES + before) * CODES + code)[code > 0], minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["pair", "n"])
+
+
+def pair_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How often each pair of codes is in the texts, CODES x CODES; pairs of long runs count less where they are many."""
+    texts = docs.select(F.col(text_col).cast("string"))
+    rows = workers(texts).mapInArrow(_pair_rows, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(2 * CODES * CODES)  # a row per pair at most
+    for r in rows:
+        n[r["pair"]] = r["n"]
+    short, long = n.reshape(2, CODES, CODES)
+    return short + long * min(1.0, LONG_SHARE * (short.sum() + ROW_PRIOR) / max(1.0, long.sum()))
 
 
 def encoding(token: str) -> tuple[str, dict[str, int], str] | None:
-    """The inferred encoding, its symbols' values, and the string without padding."""
+    """The inferred encoding's alphabet, its symbols' values, and the string without padding."""
     bare = token.rstrip("=")
     used = set(bare)
-    for name, values in VALUES:
+    for alphabet, values in VALUES:
         if used <= values.keys():
-            return name, values, bare
+            return alphabet, values, bare
     return None
 
 
-def p_value(token: str) -> float:
+def p_value(token: str, model: Ordinary | None = None) -> float:
     """1 if the string fails a test of randomness, else its chance as ordinary writing."""
     found = encoding(token)
     if not found or len(found[2]) < CLASSES[0]:
         return 1.0
-    _, values, bare = found
-    if ordinary(bare) > 0.5:
+    alphabet, values, bare = found
+    gain = float((model or Ordinary()).gain(bare, alphabet).sum())
+    if gain <= 0:
         return 1.0
     x = [values[c] for c in bare]
     if uniformity(x, len(values)) < REJECT or runs(x) < REJECT or serial(x) < REJECT:
         return 1.0
-    return ordinary(bare)
+    return exp(-gain)
 
 
 def length_class(n: int) -> int:
@@ -149,23 +223,40 @@ def step(p: float) -> int:
     return min(STEPS - 1, int(-5 * log(p) / log(10))) if p > 0 else STEPS - 1
 
 
-def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: dict[tuple[int, int], int] = {}
-        for text in batch.column(0).to_pylist():
-            for m in CANDIDATE.finditer(text or ""):
-                at = length_class(m.end() - m.start()), step(p_value(m.group()))
-                seen[at] = seen.get(at, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array(
-            [k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["class", "step", "n"])
+def _tested(pairs: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ordinary(pairs)
+        for batch in batches:
+            seen: dict[tuple[int, int], int] = {}
+            for text in batch.column(0).to_pylist():
+                for m in CANDIDATE.finditer(text or ""):
+                    at = length_class(m.end() - m.start()), step(p_value(m.group(), model))
+                    seen[at] = seen.get(at, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array(
+                [k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["class", "step", "n"])
+    return run
+
+
+class Cuts(dict):
+    """For each class of lengths the least step of p that is a discovery (none: left out), and the pairs of ordinary
+    writing that p was found with."""
+
+    def __init__(self, pairs: np.ndarray):
+        super().__init__()
+        self.pairs = pairs
+
+    @cached_property
+    def model(self) -> Ordinary:
+        return Ordinary(self.pairs)
 
 
-def discovery_steps(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, int]:
-    """For each class of lengths the least step of p that is a discovery at the rate (none: left out)."""
+def discovery_steps(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> Cuts:
+    """The cuts by Benjamini and Hochberg's procedure at the rate."""
     texts = docs.select(F.col(text_col).cast("string"))
-    counts = (workers(texts).mapInArrow(_tested, "class int, step int, n long").groupBy("class", "step")
+    pairs = pair_counts(docs, text_col)
+    counts = (workers(texts).mapInArrow(_tested(pairs), "class int, step int, n long").groupBy("class", "step")
               .agg(F.sum("n").alias("n")).collect())  # at most classes x STEPS rows
-    out = {}
+    out = Cuts(pairs)
     for c in {r["class"] for r in counts}:
         own = {r["step"]: r["n"] for r in counts if r["class"] == c}
         total, taken = sum(own.values()), 0
@@ -176,7 +267,7 @@ def discovery_steps(docs: DataFrame, text_col: str = "text", rate: float = RATE)
     return out
 
 
-def spans(text: str | None, cuts: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans(text: str | None, cuts: Cuts | dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans and of all spans, each in order of start and kind."""
     if not text:
         return [], []
@@ -188,7 +279,7 @@ def spans(text: str | None, cuts: dict[int, int]) -> tuple[list[tuple[int, int,
     for m in CANDIDATE.finditer(text) if cuts else ():
         a, b = m.span()
         cut = cuts.get(length_class(b - a))
-        if cut is not None and not any(s < b and a < e for s, _, e in base) and step(p_value(m.group())) >= cut:
+        if cut is not None and not any(s < b and a < e for s, _, e in base) and step(p_value(m.group(), cuts.model)) >= cut:
             more.append((a, 3, b))
     return sorted(base), sorted(base + more)
 
@@ -203,7 +294,7 @@ def redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _scan(cuts: dict[int, int]):
+def _scan(cuts: Cuts):
     def run(batches):
         kinds = [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))] * 2
         for batch in batches:
@@ -225,7 +316,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def _redact(cuts: dict[int, int], text_at: int, count_at: int, mark: str):
+def _redact(cuts: Cuts, text_at: int, count_at: int, mark: str):
     def run(batches):
         for batch in batches:
             texts, cols = batch.column(text_at).to_pylist(), list(batch.columns)

@@ -81,6 +81,31 @@ def test_random_keys_are_found_and_clean_texts_left_alone(spark):
     assert all(not v for i, v in got.items() if i not in keys)
 
 
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+def test_keys_of_usual_lengths_are_found_among_many_ordinary_strings(spark, size):
+    rng = random.Random(size)
+    alphabet = string.ascii_letters + string.digits
+    words = ["considering", "thereafter", "Circumstances", "report", "2024", "internationalisation", "overview", "Files", "index", "a"]
+
+    def ordinary():
+        return rng.choice("-/_").join(rng.choices(words, k=5))
+    keys = {i: rand(rng, alphabet, size) for i in range(0, 2000, 20)}
+    rows = [(i, " ".join([ordinary() for _ in range(10)] + rng.choices(words, k=10) + ([keys[i]] if i in keys else [])))
+            for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "random"] for r in secrets.secret_spans(docs).collect()}
+    assert sum(got[i] == [k] for i, k in keys.items()) >= 95
+    assert all(not v for i, v in got.items() if i not in keys)
+
+
+def test_a_class_of_nothing_but_keys(spark):
+    rng = random.Random(11)
+    keys = [rand(rng, string.ascii_letters + string.digits, 24) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id long, text string")
+    assert sum(len(r.spans) for r in secrets.secret_spans(docs).collect()) >= 950
+
+
 def test_edges_and_redaction(spark, edge, clashing, empty):
     for docs in (edge, clashing):
         assert all(r.base == [] and r.spans == [] for r in secrets.secret_spans(docs).collect())
