@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns and a battery of randomness tests.
 
 The patterns give the base spans. Beyond them, every run of 20 or more characters of the usual encodings
-is a candidate. Its encoding is the smallest alphabet that holds all its characters, and it must pass three
+is a candidate, without a name glued to it by '=' or, if it is like ordinary writing, by a mark of the encodings. Its encoding is the smallest alphabet that holds all its characters, and it must pass three
 tests as a uniform random string over it: chi-squared on the counts of its symbols, runs about the median
 symbol, and serial correlation of neighbouring symbols. A string that passes is reported only if it is also
 unlikely to be ordinary writing. How likely character pairs are in ordinary writing is counted over the whole
@@ -32,7 +32,13 @@ ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of fewer characters fail, and no match begins inside one of them that is long enough.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: '=' is padding at the end only: after any other one a run starts anew.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+#: Words of a run, each with the marks behind it; those marks that one of base64 and base64url lacks.
+PART = re.compile(r"[A-Za-z0-9]*[+/_-]*")
+FOREIGN = (re.compile("[_-]+"), re.compile("[+/]+"))
+#: A value ends before, and starts after, words that make it this much (in powers of e) more like ordinary writing.
+MARGIN = 8.0
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by size of their alphabets, in the order of their symbols' values.
 ENCODINGS = [("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("hex", DIGITS + "ABCDEF"), ("lower", LOWER),
@@ -155,11 +161,54 @@ class Ordinary:
         out[:, own] = np.log(p[:, own].sum(1, keepdims=True) / len(own)) - np.log(p[:, own])
         return out
 
+    def values(self, run: str) -> list[tuple[int, int, int]]:
+        """Stretches of a run that may be values of one encoding apart from names glued to them: start, end, among how
+        many. A run with the marks of two alphabets is cut at either's. Whole words are added to a stretch as long as
+        they do not make it MARGIN more like ordinary writing."""
+        bare = run.rstrip("=")
+        if bare.isalnum():
+            return [(0, len(run), 1)]
+        if all(f.search(bare) for f in FOREIGN):
+            pieces = sorted({x for f in FOREIGN for x in _between(f, bare)}, key=lambda x: (x[0] - x[1], x))
+        else:
+            pieces = [(0, len(bare))]
+        out: list[tuple[float, int, int]] = []
+        tried = 0
+        for a, b in pieces:
+            gain = np.r_[0, np.cumsum(self.gain(bare[a:b], ENCODINGS[-1][1]))]
+            start, peak, base = 0, 0.0, 0.0
+            for m in PART.finditer(bare, a, b):
+                i, j = m.start() - a, m.end() - a
+                if i == j:
+                    continue
+                tried += 1
+                now = float(gain[j]) - base
+                if now < peak - MARGIN:
+                    out.append((peak, a + start, a + max(start, i - 1)))  # without the mark before the word
+                    start, peak, base = j, 0.0, float(gain[j])
+                else:
+                    peak = max(peak, now)
+            out.append((peak, a + start, b))
+        taken: list[tuple[int, int, int]] = []
+        for gain, a, b in sorted(out, reverse=True):
+            b = len(run) if b == len(bare) else b
+            if gain > 0 and b - a >= CLASSES[0] and not any(s < b and a < e for s, e, _ in taken):
+                taken.append((a, b, tried))
+        return sorted(taken)
+
     def gain(self, token: str, alphabet: str) -> np.ndarray:
         code = CODE[np.frombuffer(token.encode(), np.uint8)]
         return self.gains[alphabet][np.r_[0, code[:-1]], code]
 
 
+def _between(mark: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in mark.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(2 * CODES * CODES, np.int64)
     for batch in batches:
@@ -229,14 +278,24 @@ def _tested(pairs: np.ndarray):
         for batch in batches:
             seen: dict[tuple[int, int], int] = {}
             for text in batch.column(0).to_pylist():
-                for m in CANDIDATE.finditer(text or ""):
-                    at = length_class(m.end() - m.start()), step(p_value(m.group(), model))
-                    seen[at] = seen.get(at, 0) + 1
+                for _, _, *at in judged(text or "", model):
+                    seen[tuple(at)] = seen.get(tuple(at), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array(
                 [k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["class", "step", "n"])
     return run
 
 
+def judged(text: str, model: Ordinary) -> Iterator[tuple[int, int, int, int]]:
+    """Start, end, class and step of p of the candidates; a run without a likely value counts as one of p = 1."""
+    for m in CANDIDATE.finditer(text):
+        at, run = m.start(), m.group()
+        values = model.values(run)
+        for a, b, tried in values:
+            yield at + a, at + b, length_class(b - a), step(min(1.0, tried * p_value(run[a:b], model)))
+        if not values:
+            yield at, m.end(), length_class(len(run)), 0
+
+
 class Cuts(dict):
     """For each class of lengths the least step of p that is a discovery (none: left out), and the pairs of ordinary
     writing that p was found with."""
@@ -276,10 +335,8 @@ def spans(text: str | None, cuts: Cuts | dict) -> tuple[list[tuple[int, int, int
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
-    for m in CANDIDATE.finditer(text) if cuts else ():
-        a, b = m.span()
-        cut = cuts.get(length_class(b - a))
-        if cut is not None and not any(s < b and a < e for s, _, e in base) and step(p_value(m.group(), cuts.model)) >= cut:
+    for a, b, size, found in judged(text, cuts.model) if cuts else ():
+        if found >= cuts.get(size, STEPS) and not any(s < b and a < e for s, _, e in base):
             more.append((a, 3, b))
     return sorted(base), sorted(base + more)
 

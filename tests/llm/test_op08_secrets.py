@@ -106,6 +106,23 @@ def test_a_class_of_nothing_but_keys(spark):
     assert sum(len(r.spans) for r in secrets.secret_spans(docs).collect()) >= 950
 
 
+def test_values_are_found_apart_from_names(spark):
+    rng = random.Random(4)
+    alphabet = string.ascii_letters + string.digits
+    glue = ["AWS_SECRET_ACCESS_KEY=%s", "sig=%s&x=1", "client_key=%s", "the_very_long_client_key_of_mine=%s",
+            "https://example.com/some_path/to-the/files?sig=%s", "client_key_of_the-application/%s",
+            "some/long/path/of/files/with/many/ordinary/words/in/it/and/more/of/them/%s", "%s/considering-the_circumstances", "%s=="]
+    keys = [rand(rng, alphabet, 15) + "+/"[i % 2] + rand(rng, alphabet, 24) for i in range(900)]
+    rows = [(i, "considering the whole report thereafter " * 5 + glue[i % len(glue)] % k + " and so on") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    for kind in range(len(glue)):
+        got = [(r.doc_id, [texts[r.doc_id][s.start:s.end].rstrip("=") for s in r.spans if s.kind == "random"])
+               for r in secrets.secret_spans(docs.filter(f"doc_id % {len(glue)} = {kind}")).collect()]
+        assert sum(x == [keys[i]] for i, x in got) >= 95, (glue[kind], got[:3])
+    assert secrets.CANDIDATE.findall("a" * 20 + "=" + "b" * 20 + "==") == ["a" * 20, "b" * 20 + "=="]
+
+
 def test_edges_and_redaction(spark, edge, clashing, empty):
     for docs in (edge, clashing):
         assert all(r.base == [] and r.spans == [] for r in secrets.secret_spans(docs).collect())
