@@ -1,6 +1,8 @@
 """Winnowed fingerprints of documents (DataFrame operations only).
 
-A text is lower-cased and cut into words at ASCII white space; every run of ``k`` words has a 64-bit hash, and
+A text is lower-cased and cut into words at ASCII white space. A word of more than ``LONG`` characters (writing
+without white space, minified code, one long line) counts as so many words as it has runs of ``PIECE`` characters,
+one from each of its characters on. Every run of ``k`` words has a 64-bit hash, and
 of every ``w`` neighbouring hashes the least is chosen, the rightmost of equal ones. A run of w + k - 1
 words that two texts share therefore gives them a common hash, at positions that are kept. A text with
 fewer than k words has one hash for the whole; with fewer than w hashes the least of all is chosen; a text
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from rentlens.llm.common import text_or_empty
 
 K, W = 3, 4
+#: Longer words are rolled over by characters, in runs of so many.
+LONG, PIECE = 48, 8
 #: Rows in a bucket of neighbouring ids, and the most buckets (their least ids go through the driver).
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 
@@ -31,13 +35,23 @@ def _window_least(i: Column, width: int, of: Column) -> Column:
     return _least(_window_least(i, half, of), _window_least(i + half, width - half, of), of)
 
 
+def _word_hashes(words: Column) -> Column:
+    """The hashes of words, and of long words' runs of characters."""
+    def rolled(word: Column) -> Column:
+        return F.get(F.transform(F.array(F.transform(F.split(word, ""), lambda c: F.xxhash64(c))), lambda h: F.transform(
+            F.sequence(F.lit(0), F.size(h) - PIECE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(PIECE)]))), F.lit(0))
+    each = F.transform(words, lambda x: F.when(F.length(x) > LONG, rolled(x)).otherwise(F.array(F.xxhash64(x))))
+    return (F.when(F.exists(words, lambda x: F.length(x) > LONG), F.flatten(each))
+            .otherwise(F.transform(words, lambda x: F.xxhash64(x))))
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """``df`` and a column ``out``: struct(positions, hashes), the chosen positions (of words, from 0, in order)
     and their hashes. Null counts as empty."""
     words = F.filter(F.split(F.lower(text_or_empty(text)), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    h, g, p = (f"__{out}_{x}" for x in "hgp")
+    v, h, g, p = (f"__{out}_{x}" for x in "vhgp")
     hashed, gram, at = F.col(h), F.col(g), F.col(p)
-    df = df.withColumn(h, F.transform(words, lambda x: F.xxhash64(x)))
+    df = df.withColumn(v, words).withColumn(h, _word_hashes(F.col(v)))
     grams = F.when(F.size(hashed) >= k, F.transform(
         F.sequence(F.lit(0), F.size(hashed) - k), lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(k)])))
     df = df.withColumn(g, grams.when(F.size(hashed) > 0, F.array(F.xxhash64(hashed)))
@@ -47,7 +61,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W)
     few = F.array(F.size(gram) - F.array_position(F.reverse(gram), F.array_min(gram)).cast("int"))
     df = df.withColumn(p, some.when(F.size(gram) > 0, few).otherwise(F.array().cast("array<int>")))
     chosen = F.struct(at.alias("positions"), F.transform(at, lambda i: F.get(gram, i)).alias("hashes"))
-    return df.withColumn(out, chosen).drop(h, g, p)
+    return df.withColumn(out, chosen).drop(v, h, g, p)
 
 
 def likeness(a: Column, b: Column) -> Column:

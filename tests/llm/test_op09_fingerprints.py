@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import struct
 
 import xxhash
@@ -90,3 +92,34 @@ def test_shared_passages_share_a_hash():
         common = [f"s{run}{i}" for i in range(6)]
         x, y = chosen(" ".join(a + common + b), 3, 4), chosen(" ".join(b + common + a), 3, 4)
         assert set(x[1]) & set(y[1])
+
+
+def test_texts_without_white_space(spark):
+    """Three quarters of a text stay: most of its fingerprint must, whatever parts words."""
+    rng = random.Random(2)
+    alphabets = ["".join(chr(0x4E00 + i) for i in range(2000)), "".join(chr(0x0E01 + i) for i in range(40)), "abcdef(){};=+,.",
+                 string.ascii_letters + string.digits + "+/"]
+    rows = [(i, "".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(200, 3000)))) for i in range(40)]
+    rows += [(40 + i, "a short start and then " + "".join(rng.choice(alphabets[0]) for _ in range(400))) for i in range(10)]
+    got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 50 and all(0.4 < r.near_edited < 0.8 and r.near_next < 0.05 for r in got)
+    one = {r.doc_id: r.fingerprint for r in got}[0]
+    low = dict(rows)[0].lower()
+    h = [signed(xxhash.xxh64_intdigest(c.encode(), 42)) for c in low]
+
+    def of(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return signed(seed)
+    pieces = [of(h[i:i + 8]) for i in range(len(h) - 7)]
+    grams = [of(pieces[i:i + 3]) for i in range(len(pieces) - 2)]
+    want = sorted({max(j for j in range(i, i + 4) if grams[j] == min(grams[i:i + 4])) for i in range(len(grams) - 3)})
+    assert one.positions == want and one.hashes == [grams[i] for i in want]
+
+
+def test_a_long_line_takes_time_in_proportion(spark):
+    rng = random.Random(6)
+    rows = [(1, "".join(rng.choices(string.ascii_lowercase, k=100_000)))]
+    got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got[0].fingerprint.positions) > 30_000
