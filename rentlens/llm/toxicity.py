@@ -190,18 +190,19 @@ class BlockMaxIndex:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the increasing function nearest to y: least x of each step, value. Each step is mixed with ``prior``
-    average examples, so that a few examples alone do not make a high score."""
+    examples that have the mean label and weigh as the step's own do on average, so that a few examples alone do not
+    make a high score, and many of a rare label do."""
     xs, inverse = np.unique(x, return_inverse=True)
-    w, v = np.bincount(inverse, weight), np.bincount(inverse, weight * y)
+    w, v, n = np.bincount(inverse, weight), np.bincount(inverse, weight * y), np.bincount(inverse)
     steps: list[list[float]] = []
-    for a, wi, vi in zip(xs, w, v):
-        steps.append([a, wi, vi])
+    for a, wi, vi, ni in zip(xs, w, v, n):
+        steps.append([a, wi, vi, ni])
         while len(steps) > 1 and steps[-2][2] / steps[-2][1] >= steps[-1][2] / steps[-1][1]:
-            _, wi, vi = steps.pop()
-            steps[-1][1] += wi
-            steps[-1][2] += vi
-    own, base = prior * weight.mean(), (weight * y).sum() / weight.sum()
-    return np.array([s[0] for s in steps]), np.array([(s[2] + own * base) / (s[1] + own) for s in steps])
+            _, *more = steps.pop()
+            steps[-1][1:] = [p + q for p, q in zip(steps[-1][1:], more)]
+    base = (weight * y).sum() / weight.sum()
+    own = [prior * s[1] / s[3] for s in steps]
+    return np.array([s[0] for s in steps]), np.array([(s[2] + o * base) / (s[1] + o) for s, o in zip(steps, own)])
 
 
 class Model:

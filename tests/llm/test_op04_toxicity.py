@@ -112,3 +112,14 @@ def test_near_copies_among_examples_count_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert "idiot" in model.vocabulary and not [t for t in model.vocabulary if t.startswith("odd")]
+
+
+def test_rare_toxic_labels_can_reach_a_high_score():
+    """300 toxic among 300,000 clean labels, of which 81 in 1200 hold a term of the vocabulary."""
+    clean = [{1: 1 + i % 3} if i % 1200 < 81 else {} for i in range(3000)]
+    model = toxicity.Model(["idiot", "odd"], np.ones(2), list(range(3300)), [1] * 300 + [0] * 3000,
+                           [{0: 1 + i % 3} for i in range(300)] + clean, {1: 1.0, 0: 100.0})
+    assert model.score({0: 1})[0] >= toxicity.REJECT and model.score({1: 1})[0] < 0.01 and model.score({})[0] < 0.01
+    few = toxicity.Model(["idiot", "odd"], np.ones(2), list(range(3005)), [1] * 5 + [0] * 3000,
+                         [{0: 1}] * 5 + clean, {1: 1.0, 0: 100.0})
+    assert few.score({0: 1})[0] < toxicity.REJECT  # a few examples alone do not
