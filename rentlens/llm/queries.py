@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, tool_calls, toxicity
+from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, tool_calls, toxicity, whitening
 from rentlens.llm.common import table
 from rentlens.session import ensure_checkpoint_dir
 
@@ -131,3 +131,10 @@ def op5(spark, sf_dir):
     out = tool_calls.linked_calls(*tool_calls.exchanges(table(spark, sf_dir, "conversations")))
     return out.select("conv_id", "call_id", "turn", "level", "n_calls", "n_results", "status", "valid",
                       F.sha2("json", 256).alias("json_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    """Every usable embedding on the first four components of the different quantised ones."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors, k=4))
