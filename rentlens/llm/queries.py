@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, secrets, sharding, token_files, tool_calls, toxicity, whitening
+from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, quality, secrets, sharding, token_files, tool_calls, toxicity, whitening
 from rentlens.llm.common import table
 from rentlens.session import ensure_checkpoint_dir
 
@@ -138,3 +138,9 @@ def op11(spark, sf_dir):
     """Every usable embedding on the first four components of the different quantised ones."""
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whitened(vectors, whitening.fit(vectors, k=4))
+
+
+@query("op12_quality")
+def op12(spark, sf_dir):
+    """Every document's quality by its statistics."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
