@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import exact_dedup, fingerprints, near_dedup, packing, pieces, quality, secrets, sharding, token_files, tool_calls, toxicity, whitening
+from rentlens.llm import (alignment, exact_dedup, fingerprints, near_dedup, packing, pieces, quality, secrets, sharding,
+                          token_files, tool_calls, toxicity, whitening)
 from rentlens.llm.common import table
 from rentlens.session import ensure_checkpoint_dir
 
@@ -144,3 +145,11 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     """Every document's quality by its statistics."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    """Every document's tokens by two tokenizers, aligned, with the corpus-wide counts of linked ids."""
+    import public_tokenizers
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
