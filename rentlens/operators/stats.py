@@ -5,11 +5,14 @@ aggregates (count/sum/avg/min/max/stddev) are partially aggregated before the
 shuffle, so a city holding a third of all rows costs one small partial row per
 task. Medians and percentiles go through ``functions.quantiles``: counts per value
 first, so no group's values ever meet unaggregated in one task.
+
+``value_counts`` reduces the listings to one table of counts, from which every median, benchmark, premium and
+share can be read (``weight="n"``): one pass over the listings for all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens import constants as C
@@ -24,20 +27,47 @@ def _keys_not_null(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _with_quantiles(df: DataFrame, base: DataFrame, keys: list[str], value: str,
-                    probs: dict[str, float], method: str) -> DataFrame:
-    q = quantiles(df, value, probs, keys, method=method)
+                    probs: dict[str, float], method: str, weight: str | None = None) -> DataFrame:
+    q = quantiles(df, value, probs, keys, method=method, weight=weight)
     return base.join(q, keys, "left")
 
 
-def city_summary(df: DataFrame, method: str = "exact") -> DataFrame:
+COUNT_KEYS = ["city", "bhk", "furnishing", "rent", "price_per_sqft"]
+
+
+def value_counts(df: DataFrame, *more: str) -> DataFrame:
+    """The listings as counts: one row per different (city, bhk, furnishing, rent, psf, ``more``), with ``n``."""
+    return df.groupBy(*COUNT_KEYS, *more).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _count(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def _avg(c: str, weight: str | None) -> Column:
+    """The mean of the values that are not null."""
+    return F.sum(F.col(c) * F.col(weight)) / F.sum(F.when(F.col(c).isNotNull(), F.col(weight))) if weight else F.avg(c)
+
+
+def _std(c: str, weight: str | None) -> Column:
+    """The sample standard deviation; of counted whole numbers (below 1e12, as their counts) from exact sums."""
+    if not weight:
+        return F.stddev_samp(c)
+    x, w = F.col(c).cast("decimal(12,0)"), F.when(F.col(c).isNotNull(), F.col(weight)).cast("decimal(12,0)")
+    n, first, second = F.sum(w), F.sum(x * w), F.sum(x * x * w)
+    spread = (n.cast("decimal(12,0)") * second - first * first).cast("double")
+    return F.when(n > 1, F.sqrt(spread / n.cast("double") / (n - 1).cast("double")))
+
+
+def city_summary(df: DataFrame, method: str = "exact", weight: str | None = None) -> DataFrame:
     """A1: per city mean/median/min/max/sample-std of rent, mean psf, count; rounded
     to 0 decimals half-even (the single-row std stays null)."""
     d = _keys_not_null(df, ["city"])
     base = d.groupBy("city").agg(
-        F.avg("rent").alias("avg_rent"), F.min("rent").alias("min_rent"),
-        F.max("rent").alias("max_rent"), F.stddev_samp("rent").alias("std_rent"),
-        F.avg("price_per_sqft").alias("avg_psf"), F.count(F.lit(1)).alias("n_listings"))
-    base = _with_quantiles(d, base, ["city"], "rent", {"median_rent": 0.5}, method)
+        _avg("rent", weight).alias("avg_rent"), F.min("rent").alias("min_rent"),
+        F.max("rent").alias("max_rent"), _std("rent", weight).alias("std_rent"),
+        _avg("price_per_sqft", weight).alias("avg_psf"), _count(weight).alias("n_listings"))
+    base = _with_quantiles(d, base, ["city"], "rent", {"median_rent": 0.5}, method, weight)
     return base.select(
         "city", F.bround("avg_rent", 0).alias("avg_rent"), F.bround("median_rent", 0).alias("median_rent"),
         "min_rent", "max_rent", F.bround("std_rent", 0).alias("std_rent"),
@@ -61,15 +91,15 @@ def city_aggregate(df: DataFrame) -> DataFrame:
         "city", "avg_rent", "median_rent", "avg_psf", "n_listings")
 
 
-def city_medians(df: DataFrame, method: str = "exact") -> DataFrame:
+def city_medians(df: DataFrame, method: str = "exact", weight: str | None = None) -> DataFrame:
     """A4: median rent per city."""
-    return quantiles(_keys_not_null(df, ["city"]), "rent", {"median_rent": 0.5}, ["city"], method)
+    return quantiles(_keys_not_null(df, ["city"]), "rent", {"median_rent": 0.5}, ["city"], method, weight=weight)
 
 
-def bhk_city_median(df: DataFrame, bhk_range=(1, 4), method: str = "exact") -> DataFrame:
+def bhk_city_median(df: DataFrame, bhk_range=(1, 4), method: str = "exact", weight: str | None = None) -> DataFrame:
     """A5: median rent by (bhk, city) for bhk in range (the filter runs before the shuffle)."""
     d = _keys_not_null(df.filter(F.col("bhk").between(*bhk_range)), ["bhk", "city"])
-    return quantiles(d, "rent", {"median_rent": 0.5}, ["bhk", "city"], method)
+    return quantiles(d, "rent", {"median_rent": 0.5}, ["bhk", "city"], method, weight=weight)
 
 
 def bhk_city_mean(df: DataFrame, bhk_range=(1, 4)) -> DataFrame:
@@ -80,12 +110,12 @@ def bhk_city_mean(df: DataFrame, bhk_range=(1, 4)) -> DataFrame:
     return agg.filter(F.col("bhk").between(*bhk_range))
 
 
-def furnish_comparison(df: DataFrame, method: str = "exact") -> DataFrame:
+def furnish_comparison(df: DataFrame, method: str = "exact", weight: str | None = None) -> DataFrame:
     """Median psf and count by (city, furnishing)."""
     keys = ["city", "furnishing"]
     d = _keys_not_null(df, keys)
-    base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return _with_quantiles(d, base, keys, "price_per_sqft", {"median_psf": 0.5}, method).select(
+    base = d.groupBy(*keys).agg(_count(weight).alias("n_rows"))
+    return _with_quantiles(d, base, keys, "price_per_sqft", {"median_psf": 0.5}, method, weight).withColumnRenamed("n_rows", "n").select(
         *keys, "median_psf", "n")
 
 
@@ -95,24 +125,24 @@ def furnishing_stats(df: DataFrame) -> DataFrame:
         F.avg("rent").alias("avg_rent"), F.avg("price_per_sqft").alias("avg_psf"))
 
 
-def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact") -> DataFrame:
+def psf_threshold(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact", weight: str | None = None) -> DataFrame:
     """Global quantile of psf as a one-row DataFrame ``(psf_q)``."""
-    return quantiles(df, "price_per_sqft", {"psf_q": q}, [], method)
+    return quantiles(df, "price_per_sqft", {"psf_q": q}, [], method, weight=weight)
 
 
 def with_demand_label(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact",
-                      label: str = "high_demand") -> DataFrame:
+                      label: str = "high_demand", weight: str | None = None) -> DataFrame:
     """1 when psf >= the global quantile. The one-row threshold is a scalar
     subquery: computed once, its value is shipped with the task — no join."""
-    thr = psf_threshold(df, q, method).select("psf_q").scalar()
+    thr = psf_threshold(df, q, method, weight).select("psf_q").scalar()
     return df.withColumn(label, (F.col("price_per_sqft") >= thr).cast("int"))
 
 
-def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact") -> DataFrame:
+def demand_heatmap(df: DataFrame, q: float = C.DEMAND_QUANTILE, method: str = "exact", weight: str | None = None) -> DataFrame:
     """Share of high-demand listings by (city, bhk)."""
-    lab = with_demand_label(df, q, method)
+    lab = with_demand_label(df, q, method, weight=weight)
     return _keys_not_null(lab, ["city", "bhk"]).groupBy("city", "bhk").agg(
-        F.avg("high_demand").alias("demand_rate"))
+        _avg("high_demand", weight).alias("demand_rate"))
 
 
 def demand_pivot(heat: DataFrame, cities=C.CITIES, bhks=(1, 2, 3, 4)) -> DataFrame:
@@ -123,27 +153,27 @@ def demand_pivot(heat: DataFrame, cities=C.CITIES, bhks=(1, 2, 3, 4)) -> DataFra
     return p.select("city", *[F.coalesce(F.col(str(b)), F.lit(0.0)).alias(f"bhk_{b}") for b in bhks])
 
 
-def city_benchmarks(df: DataFrame, method: str = "exact") -> DataFrame:
+def city_benchmarks(df: DataFrame, method: str = "exact", weight: str | None = None) -> DataFrame:
     """Per city rent p25/p50/p75/p90, psf p50/p75, count — the risk benchmarks."""
     d = _keys_not_null(df, ["city"])
     rent_probs = {"rent_p25": .25, "rent_p50": .5, "rent_p75": .75, "rent_p90": .9}
-    base = d.groupBy("city").agg(F.count(F.lit(1)).alias("n_listings"))
-    rq = quantiles(d, "rent", rent_probs, ["city"], method)
-    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], method)
+    base = d.groupBy("city").agg(_count(weight).alias("n_listings"))
+    rq = quantiles(d, "rent", rent_probs, ["city"], method, weight=weight)
+    pq = quantiles(d, "price_per_sqft", {"psf_p50": .5, "psf_p75": .75}, ["city"], method, weight=weight)
     return base.join(rq, "city").join(pq, "city").select("city", *rent_probs, "psf_p50", "psf_p75", "n_listings")
 
 
-def bhk_city_medians_all(df: DataFrame, method: str = "exact") -> DataFrame:
+def bhk_city_medians_all(df: DataFrame, method: str = "exact", weight: str | None = None) -> DataFrame:
     """Median rent by (city, bhk), all bhk values."""
     d = _keys_not_null(df, ["city", "bhk"])
-    return quantiles(d, "rent", {"median_rent": 0.5}, ["city", "bhk"], method)
+    return quantiles(d, "rent", {"median_rent": 0.5}, ["city", "bhk"], method, weight=weight)
 
 
-def furnish_premiums(df: DataFrame) -> DataFrame:
+def furnish_premiums(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Per city median rent of Furnished and Semi-Furnished over the
     Unfurnished median; only cities whose Unfurnished median exists and is > 0."""
     d = _keys_not_null(df, ["city", "furnishing"])
-    q = quantiles(d, "rent", {"m": 0.5}, ["city", "furnishing"])  # one row per (city, furnishing)
+    q = quantiles(d, "rent", {"m": 0.5}, ["city", "furnishing"], weight=weight)  # one row per (city, furnishing)
 
     def of(kind):
         return F.max(F.when(F.col("furnishing") == kind, F.col("m")))
@@ -194,11 +224,15 @@ def partition_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def chunk_profile(df: DataFrame, n_chunks: int = 4, key: str = "l_orderkey") -> DataFrame:
+def chunk_of(n_chunks: int, key: str = "l_orderkey") -> Column:
+    return F.pmod(F.col(key), F.lit(n_chunks)).cast("int")
+
+
+def chunk_profile(df: DataFrame, n_chunks: int = 4, key: str = "l_orderkey", weight: str | None = None) -> DataFrame:
     """Profile of ``n_chunks`` chunks assigned by ``pmod(key, n)``: rows, mean
-    rent (0 decimals), distinct cities. Every row lands in a chunk."""
-    return df.groupBy(F.pmod(F.col(key), F.lit(n_chunks)).cast("int").alias("chunk")).agg(
-        F.count(F.lit(1)).alias("rows"), F.bround(F.avg("rent"), 0).alias("avg_rent"),
+    rent (0 decimals), distinct cities. Every row lands in a chunk. Counted listings have the column ``chunk``."""
+    return df.groupBy((F.col("chunk") if weight else chunk_of(n_chunks, key)).alias("chunk")).agg(
+        _count(weight).alias("rows"), F.bround(_avg("rent", weight), 0).alias("avg_rent"),
         F.count_distinct("city").alias("cities"))
 
 

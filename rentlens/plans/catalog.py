@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from rentlens.operators import filters as FL
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
+from rentlens.plans import analytics as AN
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import materialize
 from rentlens.sources import listings as L
@@ -78,6 +79,18 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return clean_shared(spark, sf)
 
 
+_COUNTS: dict = {}
+
+
+def counts_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned listings as counts (``stats.value_counts``), computed once per application and input state: medians,
+    benchmarks and premiums of all queries are read from this one table."""
+    key = state_key(spark, sf)
+    if key not in _COUNTS:
+        _COUNTS[key] = materialize(ST.value_counts(clean_shared(spark, sf)))
+    return _COUNTS[key]
+
+
 # ---------------------------------------------------------------- 2.1 / 2.2 ---
 
 @register("listings_clean", with_listings(
@@ -130,7 +143,7 @@ def q_selection_kpis(spark, sf):
     " FROM listings WHERE city IS NOT NULL GROUP BY city"))
 def q_city_summary(spark, sf):
     """A1 (flagship)."""
-    return ST.city_summary(clean(spark, sf))
+    return ST.city_summary(counts_shared(spark, sf), weight="n")
 
 
 @register("city_stats", sql_r6(with_listings(
@@ -156,7 +169,7 @@ def q_city_aggregate(spark, sf):
     ["median_rent"]))
 def q_city_median_rent(spark, sf):
     """A4."""
-    return r6(ST.city_medians(clean(spark, sf)))
+    return r6(ST.city_medians(counts_shared(spark, sf), weight="n"))
 
 
 @register("bhk_city_median", sql_r6(with_listings(
@@ -164,7 +177,7 @@ def q_city_median_rent(spark, sf):
     " WHERE bhk BETWEEN 1 AND 4 AND city IS NOT NULL GROUP BY bhk, city"), ["median_rent"]))
 def q_bhk_city_median(spark, sf):
     """A5."""
-    return r6(ST.bhk_city_median(clean(spark, sf)))
+    return r6(ST.bhk_city_median(counts_shared(spark, sf), weight="n"))
 
 
 @register("bhk_city_mean", sql_r6(with_listings(
@@ -180,7 +193,7 @@ def q_bhk_city_mean(spark, sf):
     " WHERE city IS NOT NULL GROUP BY city, furnishing"), ["median_psf"]))
 def q_furnish_comparison(spark, sf):
     """A7."""
-    return r6(ST.furnish_comparison(clean(spark, sf)))
+    return r6(ST.furnish_comparison(counts_shared(spark, sf), weight="n"))
 
 
 @register("furnishing_stats", sql_r6(with_listings(
@@ -195,7 +208,7 @@ def q_furnishing_stats(spark, sf):
     "SELECT quantile_cont(price_per_sqft, 0.6) AS psf_q FROM listings"), ["psf_q"]))
 def q_psf_quantile(spark, sf):
     """Global 60th percentile of psf (exact, bounded memory)."""
-    return r6(ST.psf_threshold(clean(spark, sf)))
+    return r6(ST.psf_threshold(counts_shared(spark, sf), weight="n"))
 
 
 _DEMAND_CTE = """thr AS (SELECT quantile_cont(price_per_sqft, 0.6) AS q FROM listings),
@@ -208,7 +221,7 @@ heat AS (SELECT city, bhk, avg(high_demand) AS demand_rate FROM labelled
 @register("demand_heatmap", sql_r6(with_listings("SELECT * FROM heat", _DEMAND_CTE), ["demand_rate"]))
 def q_demand_heatmap(spark, sf):
     """P11 + A9."""
-    return r6(ST.demand_heatmap(clean_shared(spark, sf)))
+    return r6(ST.demand_heatmap(counts_shared(spark, sf), weight="n"))
 
 
 @register("demand_pivot", sql_r6(with_listings(
@@ -221,7 +234,7 @@ def q_demand_heatmap(spark, sf):
     " AND bhk IN (1,2,3,4) GROUP BY city", _DEMAND_CTE), ["bhk_1", "bhk_2", "bhk_3", "bhk_4"]))
 def q_demand_pivot(spark, sf):
     """A10."""
-    return r6(ST.demand_pivot(ST.demand_heatmap(clean_shared(spark, sf))))
+    return r6(ST.demand_pivot(ST.demand_heatmap(counts_shared(spark, sf), weight="n")))
 
 
 _BENCH_SQL = ("SELECT city, quantile_cont(rent, 0.25) AS rent_p25, quantile_cont(rent, 0.5) AS rent_p50,"
@@ -234,7 +247,7 @@ _BENCH_COLS = ["rent_p25", "rent_p50", "rent_p75", "rent_p90", "psf_p50", "psf_p
 @register("city_benchmarks", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
 def q_city_benchmarks(spark, sf):
     """A12."""
-    return r6(ST.city_benchmarks(clean(spark, sf)))
+    return r6(ST.city_benchmarks(counts_shared(spark, sf), weight="n"))
 
 
 @register("city_benchmarks_ranked", sql_r6(with_listings(_BENCH_SQL), _BENCH_COLS))
@@ -248,7 +261,7 @@ def q_city_benchmarks_ranked(spark, sf):
     " GROUP BY city, bhk"), ["median_rent"]))
 def q_bhk_city_medians(spark, sf):
     """A13."""
-    return r6(ST.bhk_city_medians_all(clean(spark, sf)))
+    return r6(ST.bhk_city_medians_all(counts_shared(spark, sf), weight="n"))
 
 
 @register("furnish_premiums", sql_r6(with_listings(
@@ -260,7 +273,7 @@ def q_bhk_city_medians(spark, sf):
     ["furnished", "semi_furnished", "unfurnished"]))
 def q_furnish_premiums(spark, sf):
     """A14."""
-    return r6(ST.furnish_premiums(clean(spark, sf)))
+    return r6(ST.furnish_premiums(counts_shared(spark, sf), weight="n"))
 
 
 @register("market_kpis", sql_r6(with_listings(
@@ -294,6 +307,50 @@ def q_rent_box_stats(spark, sf):
     return r6(ST.rent_box_stats(clean_shared(spark, sf)))
 
 
+def _long_sql(part: str, keys: list[str], metrics: list[str], table: str) -> str:
+    key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) or "''"
+    return "\nUNION ALL ".join(f"SELECT '{part}' AS part, {key} AS key, '{m}' AS metric, {sql_round6(m)} AS value FROM {table}" for m in metrics)
+
+
+@register("full_analytics", with_listings(
+    "\nUNION ALL ".join([
+        _long_sql("city_summary", ["city"], ["avg_rent", "median_rent", "min_rent", "max_rent", "std_rent", "avg_psf", "n_listings"], "cs"),
+        _long_sql("bhk_matrix", ["city", "bhk"], ["median_rent"], "bm"),
+        _long_sql("furnish_comparison", ["city", "furnishing"], ["median_psf", "n"], "fc"),
+        _long_sql("demand_heatmap", ["city", "bhk"], ["demand_rate"], "heat"),
+        _long_sql("partitions", ["chunk"], ["rows", "avg_rent", "cities"], "ch"),
+        _long_sql("total_rows", [], ["total_rows"], "(SELECT count(*) AS total_rows FROM listings)"),
+        _long_sql("cities", ["city"], ["present"], "(SELECT DISTINCT city, 1 AS present FROM listings WHERE city IS NOT NULL)")]),
+    _DEMAND_CTE + """,
+cs AS (SELECT city, round_even(avg(rent), 0) AS avg_rent, round_even(median(rent), 0) AS median_rent, min(rent) AS min_rent,
+  max(rent) AS max_rent, round_even(stddev_samp(rent), 0) AS std_rent, round_even(avg(price_per_sqft), 0) AS avg_psf,
+  count(*) AS n_listings FROM listings WHERE city IS NOT NULL GROUP BY city),
+bm AS (SELECT city, bhk, median(rent) AS median_rent FROM listings WHERE bhk BETWEEN 1 AND 4 AND city IS NOT NULL GROUP BY ALL),
+fc AS (SELECT city, furnishing, median(price_per_sqft) AS median_psf, count(*) AS n FROM listings WHERE city IS NOT NULL GROUP BY ALL),
+ch AS (SELECT l_orderkey % 4 AS chunk, count(*) AS rows, round_even(avg(rent), 0) AS avg_rent, count(DISTINCT city) AS cities
+  FROM listings GROUP BY ALL)"""))
+def q_full_analytics(spark, sf):
+    """The whole bundle from one table of counts, as rows (part, key, metric, value)."""
+    return r6(AN.long_table(AN.full_analytics(clean_shared(spark, sf))))
+
+
+@register("spark_aggregations", with_listings(
+    "\nUNION ALL ".join([
+        _long_sql("city_stats", ["city"], ["avg_rent", "min_rent", "max_rent", "std_rent", "avg_psf", "n_listings"], "cs"),
+        _long_sql("bhk_stats", ["city", "bhk"], ["avg_rent", "n"], "bs"),
+        _long_sql("furnish_stats", ["furnishing"], ["avg_rent", "avg_psf"], "fs"),
+        _long_sql("partition_sizes", [], ["rows"], "(SELECT count(*) AS rows FROM listings)"),
+        _long_sql("total_rows", [], ["total_rows"], "(SELECT count(*) AS total_rows FROM listings)")]),
+    """
+cs AS (SELECT city, avg(rent) AS avg_rent, min(rent) AS min_rent, max(rent) AS max_rent, stddev_samp(rent) AS std_rent,
+  avg(price_per_sqft) AS avg_psf, count(*) AS n_listings FROM listings WHERE city IS NOT NULL GROUP BY city),
+bs AS (SELECT city, bhk, avg(rent) AS avg_rent, count(*) AS n FROM listings WHERE city IS NOT NULL AND bhk BETWEEN 1 AND 4 GROUP BY ALL),
+fs AS (SELECT furnishing, avg(rent) AS avg_rent, avg(price_per_sqft) AS avg_psf FROM listings GROUP BY ALL)"""))
+def q_spark_aggregations(spark, sf):
+    """A21 as rows (part, key, metric, value); rows of physical partitions (A18) are added up."""
+    return r6(AN.long_table(AN.spark_aggregations(clean_shared(spark, sf))))
+
+
 @register("partition_rows")
 def q_partition_rows(spark, sf):
     """Rows per physical partition (physical layout: rows-only check)."""
@@ -382,4 +439,4 @@ def q_admin_export(spark, sf):
     " FROM listings WHERE city IS NOT NULL GROUP BY city"))
 def q_city_summary_display(spark, sf):
     """The city summary with display column names."""
-    return FL.rename_for_display(ST.city_summary(clean(spark, sf)))
+    return FL.rename_for_display(ST.city_summary(counts_shared(spark, sf), weight="n"))

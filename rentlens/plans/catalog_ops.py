@@ -16,7 +16,7 @@ from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
 from rentlens.functions.text import py_round
-from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register, sql_round6, state_key
+from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, counts_shared, register, sql_round6, state_key
 from rentlens.plans.catalog_scoring import _PRICED_CTE, _unit
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
@@ -63,8 +63,9 @@ def _log_table(spark, sf):
     if key not in _LOGS:
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predlog-{uuid.uuid4().hex}"
         df = clean_shared(spark, sf)
-        priced = PR.rent_band(df, "rent", ST.city_medians(df)).join(
-            ST.demand_heatmap(df), ["city", "bhk"], "left")
+        counts = counts_shared(spark, sf)
+        priced = PR.rent_band(df, "rent", ST.city_medians(counts, weight="n")).join(
+            ST.demand_heatmap(counts, weight="n"), ["city", "bhk"], "left")
         priced = priced.withColumn("risk_probability", F.coalesce(F.col("demand_rate"), F.lit(0.0))) \
                        .withColumn("demand_risk", F.when(F.col("risk_probability") >= 0.5, "High").otherwise("Low"))
         records = PS.checked_records(PL.prediction_records(priced, KEY_COLS, _request_time()))

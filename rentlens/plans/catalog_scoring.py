@@ -12,7 +12,7 @@ from rentlens.operators import insights as IN
 from rentlens.operators import pricing as PR
 from rentlens.operators import risk as RK
 from rentlens.operators import stats as ST
-from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, register, sql_round6
+from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, counts_shared, register, sql_round6
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.sources.listings import KEY_COLS
 
@@ -110,7 +110,7 @@ priced AS (SELECT * REPLACE (
 
 def _priced(spark, sf):
     df = clean_shared(spark, sf)
-    return PR.rent_band(df, "rent", ST.city_medians(df))
+    return PR.rent_band(df, "rent", ST.city_medians(counts_shared(spark, sf), weight="n"))
 
 
 @register("rent_band", with_listings(
@@ -175,8 +175,9 @@ lv AS (SELECT *, CASE WHEN composite >= 80 THEN 'Critical' WHEN composite >= 60
 
 def _scored(spark, sf, report: bool = True):
     df = clean_shared(spark, sf)
-    priced = PR.rent_band(df, "rent", ST.city_medians(df))
-    return RK.score_risk(priced, ST.city_benchmarks(df), ST.bhk_city_medians_all(df), report=report)
+    counts = counts_shared(spark, sf)
+    priced = PR.rent_band(df, "rent", ST.city_medians(counts, weight="n"))
+    return RK.score_risk(priced, ST.city_benchmarks(counts, weight="n"), ST.bhk_city_medians_all(counts, weight="n"), report=report)
 
 
 SCORE_COLS = [f"{n}_score" for n in RK.NAMES]
@@ -309,9 +310,10 @@ def q_risk_report_json(spark, sf):
 
 def _insight_frame(spark, sf):
     df = clean_shared(spark, sf)
-    priced = PR.rent_band(df, "rent", ST.city_medians(df))
-    heat = ST.demand_heatmap(df)
-    second = ST.bhk_city_medians_all(df).select("city", "bhk", py_round(F.col("median_rent"), -2).alias("dl_rent"))
+    counts = counts_shared(spark, sf)
+    priced = PR.rent_band(df, "rent", ST.city_medians(counts, weight="n"))
+    heat = ST.demand_heatmap(counts, weight="n")
+    second = ST.bhk_city_medians_all(counts, weight="n").select("city", "bhk", py_round(F.col("median_rent"), -2).alias("dl_rent"))
     j = (priced.join(heat, ["city", "bhk"], "left")
          .join(second, ["city", "bhk"], "left")
          .withColumn("risk_prob", F.coalesce(F.col("demand_rate"), F.lit(0.0)))

@@ -88,7 +88,7 @@ def materialize(df: DataFrame, how: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known, so no job reads the files for it
 
 
 _SHIPPED: set = set()

@@ -119,13 +119,58 @@ def test_quantiles_do_not_depend_on_partitions_or_exchange_reuse(spark, parts, r
     assert [one["m"], one["p9"]] == pytest.approx(_numpy([("", v) for _, v in rows], probs)[""], rel=1e-12)
 
 
-def test_bad_marks_only_cost_time(spark, monkeypatch):
-    """Any marks give exact ranks."""
+def test_bad_cells_only_cost_time(spark, monkeypatch):
+    """Any cells that follow the order give exact ranks: here one cell, then two."""
     from rentlens.functions import quantiles as Q
-    monkeypatch.setattr(Q, "SKETCH", 2)
     rows = [("a", float(v)) for v in np.random.default_rng(4).permutation(5000)]
-    got = quantiles(spark.createDataFrame(rows, "g string, v double"), "v", {"m": 0.5, "q": 0.901}, ["g"]).first()
-    assert [got["m"], got["q"]] == pytest.approx(_numpy(rows, {"m": 0.5, "q": 0.901})["a"], rel=1e-12)
+    df = spark.createDataFrame(rows, "g string, v double")
+    for log_cell, even_cell in (("0L", "0L"), ("0L", Q.EVEN_CELL), ("CASE WHEN _v < 100 THEN 1L ELSE 2L END", "CASE WHEN _v < 4000 THEN 1L ELSE 2L END")):
+        monkeypatch.setattr(Q, "LOG_CELL", log_cell)
+        monkeypatch.setattr(Q, "EVEN_CELL", even_cell)
+        got = quantiles(df, "v", {"m": 0.5, "q": 0.901}, ["g"]).first()
+        assert [got["m"], got["q"]] == pytest.approx(_numpy(rows, {"m": 0.5, "q": 0.901})["a"], rel=1e-12)
+
+
+def test_quantiles_of_odd_doubles(spark):
+    big, tiny, inf = 1.7976931348623157e308, 5e-324, float("inf")
+    rows = [("a", v) for v in (-inf, -big, -1.0, -tiny, -0.0, 0.0, tiny, 1.0, 1.0000000000000002, big, inf)]
+    rows += [("b", 1e9 + i * 1e-6) for i in range(999)] + [("c", v) for v in (big, -big)] + [("d", inf), ("d", inf)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in quantiles(df, "v", {"p1": 0.1, "m": 0.5, "p8": 0.8}, ["g"]).collect()}
+    assert (got["a"]["p1"], got["a"]["m"], got["a"]["p8"]) == (-big, 0.0, 1.0000000000000002)
+    assert got["b"]["m"] == 1e9 + 499 * 1e-6 and got["d"]["m"] == inf
+
+
+def test_weights_are_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"g{i % 3}", float(v), int(w)) for i, (v, w) in enumerate(zip(rng.lognormal(3, 1, 300), rng.integers(1, 9, 300)))]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    each = df.withColumn("x", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    probs = {"a": 0.25, "b": 0.77}
+    for frame, one in ((df, each), (df.withColumn("v", F.col("v").cast("long")), each.withColumn("v", F.col("v").cast("long")))):
+        want = {r["g"]: (r["a"], r["b"]) for r in quantiles(one, "v", probs, ["g"]).collect()}
+        got = {r["g"]: (r["a"], r["b"]) for r in quantiles(frame, "v", probs, ["g"], weight="n").collect()}
+        assert got == want
+
+
+def test_what_one_task_orders_does_not_grow_with_the_rows(spark, monkeypatch):
+    """Ten times the rows, 90 % of them in one group: the cells of a group and the values that are put in order at the
+    end stay the same."""
+    from rentlens.functions import quantiles as Q
+    kept = []
+    old = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df: kept.append(old(df)) or kept[-1])
+    most = []
+    for n in (50_000, 500_000):
+        kept.clear()
+        df = spark.range(n).selectExpr("if(id % 10 < 9, 'hot', 'cold') AS g", f"exp(5 * ((id * 7919) % {n}) / {n}D) AS v")
+        got = quantiles(df, "v", {"m": 0.5, "q": 0.9}, ["g"]).filter("g = 'hot'").first()
+        values = kept[1]
+        cells = df.selectExpr("g", "v AS _v").selectExpr("g", f"{Q.LOG_CELL} AS c").groupBy("g").agg(F.count_distinct("c").alias("n"))
+        last = values.selectExpr("*", f"{Q.EVEN_CELL} AS c").groupBy("g", "_from", "c").count()
+        most.append((cells.agg(F.max("n")).first()[0], last.agg(F.max("count")).first()[0]))
+        assert got["m"] == pytest.approx(np.exp(2.5), rel=1e-3)
+    assert most[1][0] <= 1.1 * most[0][0] and most[1][1] <= most[0][1] + 2
 
 
 def test_quantiles_without_rows(spark):
@@ -134,6 +179,18 @@ def test_quantiles_without_rows(spark):
     assert quantiles(df.filter("false"), "v", {"m": 0.5}, []).first()["m"] is None
 
 
+def test_counts_give_the_statistics_of_the_rows(small):
+    c = ST.value_counts(small)
+    assert c.agg(F.sum("n")).first()[0] == small.count()
+    for f in (ST.city_summary, ST.city_medians, ST.bhk_city_median, ST.furnish_comparison, ST.demand_heatmap, ST.city_benchmarks,
+              ST.bhk_city_medians_all, ST.furnish_premiums, ST.psf_threshold):
+        rows, counted = (sorted(map(tuple, d.collect()), key=repr) for d in (f(small), f(c, weight="n")))
+        assert len(rows) == len(counted)
+        for a, b in zip(rows, counted):
+            assert a == pytest.approx(b, nan_ok=True) if not any(isinstance(x, str) for x in a) else [
+                x if isinstance(x, str) or x is None else pytest.approx(x) for x in a] == list(b), f.__name__
+
+
 def test_box_stats(small):
     b = {r["city"]: r for r in ST.rent_box_stats(small).collect()}
     m = b["Mumbai"]
