@@ -332,28 +332,38 @@ def q_user_list(spark, sf):
 
 # --------------------------------------------------------- streaming forms ---
 
-SLICES = 6
+SLICES, SLICE_FILES = 6, 4
 
 
-def _run_stream(spark, sf, name: str, build, twin):
-    """The login attempts land in ``SLICES`` files that overlap in time by a third of a slice; the stream reads one
-    file per micro-batch with a watermark of half a slice, and the reconcile job adds what still waits at the end."""
+def _stream_sink(spark, sf, name: str, build):
+    """The login attempts land slice by slice, each in ``SLICE_FILES`` files, the slices overlapping in time by a third;
+    a closing row lands last. The stream reads one slice per micro-batch with a watermark of half a slice. Returns the
+    attempts and the verdicts the stream has written."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     events = LS.login_attempts(_events(spark, sf))
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     low, high = events.agg(F.min(t), F.max(t)).first()
     width = max(1.0, ((high or 0) - (low or 0)) / SLICES)
     early = F.when(F.col("event_id") % 3 == 0, F.lit(1 / 3)).otherwise(F.lit(0.0))
-    sliced = events.withColumn("_slice", F.least(F.floor((t - (low or 0)) / width + early), F.lit(SLICES - 1)))
+    sliced = events.withColumn("_slice", F.least(F.floor((t - (low or 0)) / width + early), F.lit(SLICES - 1)).cast("int"))
+    sliced.repartition(SLICES * SLICE_FILES, "_slice", F.pmod(F.xxhash64("event_id"), F.lit(SLICE_FILES))) \
+        .write.partitionBy("_slice").parquet(f"{base}/slices")  # the events are read once
+    staged = spark.read.schema(sliced.schema).parquet(f"{base}/slices")
+    delay = int(width / 2) + 1
     for i in range(SLICES):
-        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
-    q = (build(src, f"{int(width / 2) + 1} seconds").writeStream.format("parquet")
+        staged.filter(F.col("_slice") == i).drop("_slice").repartition(SLICE_FILES).write.mode("append").parquet(f"{base}/landing")
+    LS.closing_row(events, delay).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(f"{base}/landing")
+    q = (build(src, f"{delay} seconds").writeStream.format("parquet")
          .outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    sink = spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return LS.reconcile(events, sink, twin)
+    return events, spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _run_stream(spark, sf, name: str, build, twin):
+    """The stream's verdicts; only users with events later than the watermark are computed anew."""
+    return LS.reconcile(*_stream_sink(spark, sf, name, build), twin)
 
 
 @register("login_throttle_stream", _throttle_sql())

@@ -96,23 +96,25 @@ SPAN_S = 86_400
 def _pieces(df: DataFrame, key: str, resets) -> DataFrame:
     """``df`` sorted within partitions by (key, piece, ts, event_id). A piece begins at a key's first event and at
     each event for which ``resets(seconds since the key's previous event)`` holds. Windows only span
-    (key, ``SPAN_S`` seconds); one small row per span carries the last event and the last beginning onwards."""
+    (key, ``SPAN_S`` seconds); one row per span says what its first event follows and which beginning comes before it."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     d = df.withColumns({"_t": t, "_span": F.floor(t / F.lit(SPAN_S * 1_000_000))})
     own = Window.partitionBy(key, "_span").orderBy("_t", "event_id")
+    at = F.struct("_t", "event_id")
+    d = d.withColumn("_lag", F.lag("_t").over(own))
+    d = d.withColumn("_at", F.when(F.col("_lag").isNotNull() & resets((F.col("_t") - F.col("_lag")) / 1e6), at))
+    # of each span: its first event with all its columns, its last time, its last beginning but for the first event's
+    others = [c for c in df.columns if c not in (key, "event_id")]
+    spans = d.groupBy(key, "_span").agg(F.min(F.struct("_t", "event_id", *others)).alias("_f"), F.max("_t").alias("_last"), F.max("_at").alias("_b"))
     earlier = Window.partitionBy(key).orderBy("_span")
-    last = d.groupBy(key, "_span").agg(F.max("_t").alias("_last"))
-    last = last.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), F.lag("_last").over(earlier).alias("_before"))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s"))
-    d = d.withColumn("_lag", F.lag("_t").over(own)).join(last, same, "left").drop("_k", "_s")
-    gap = (F.col("_t") - F.coalesce("_lag", "_before")) / 1e6
-    d = d.withColumn("_at", F.when(gap.isNull() | resets(gap), F.struct("_t", "event_id")))
-    begun = d.groupBy(key, "_span").agg(F.max("_at").alias("_b"))
-    begun = begun.select(F.col(key).alias("_k"), F.col("_span").alias("_s"),
-                         F.max("_b").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_since"))
+    spans = spans.select(key, "_span", "_f.*", "_b", F.lag("_last").over(earlier).alias("_before"))
+    spans = spans.withColumn("_first", F.when(F.col("_before").isNull() | resets((F.col("_t") - F.col("_before")) / 1e6), at))
+    spans = spans.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), "_first", F.max(F.coalesce("_b", "_first")).over(
+        earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_since"))
+    d = d.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s")), "left")
+    d = d.withColumn("_at", F.coalesce("_at", F.when(F.col("_lag").isNull(), F.col("_first"))))
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_own", F.max("_at").over(upto)).join(begun, same, "left")
-    d = d.withColumn("_piece", F.coalesce("_own", "_since")["event_id"])
+    d = d.withColumn("_piece", F.coalesce(F.max("_at").over(upto), F.col("_since"))["event_id"])
     return d.select(*df.columns, "_piece", "_t").repartition(key, "_piece").sortWithinPartitions(key, "_piece", "_t", "event_id")
 
 
@@ -236,9 +238,27 @@ def lockout_stream(attempts: DataFrame, watermark: str, max_attempts: int = C.MA
     return _in_order(src, LOCKOUT_SCHEMA, "failures int, locked_until long", apply, lambda c: float("inf"))
 
 
+#: Sink rows with this id belong to a closing row.
+CLOSING_ID = -1
+
+
+def closing_row(events: DataFrame, watermark_s: int) -> DataFrame:
+    """A row of no user so late that, landed last, the watermark passes every other row: all that wait get their
+    verdicts from the stream. It waits for ever itself."""
+    end = events.agg(F.max("ts").alias("ts")).where(F.col("ts").isNotNull())
+    late = (F.col("ts").cast("timestamp") + F.make_interval(secs=F.lit(watermark_s + 2))).cast(events.schema["ts"].dataType)
+    given = {"event_id": F.lit(CLOSING_ID), "ts": late}
+    return end.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+
+
+def late_events(events: DataFrame, sink: DataFrame) -> DataFrame:
+    """Events without a verdict: they came later than the watermark allows."""
+    return events.join(sink.select("event_id"), "event_id", "left_anti")
+
+
 def reconcile(events: DataFrame, sink: DataFrame, twin) -> DataFrame:
     """The sink's verdicts, with those of every user who has an event without one (too late for the watermark, or
-    still waiting for it) computed anew from all events by the batch twin."""
-    users = events.join(sink.select("event_id"), "event_id", "left_anti").select("user_id").distinct()
+    still waiting for it when the stream has no closing row) computed anew from all events by the batch twin."""
+    users = late_events(events, sink).select("user_id").distinct()
     again = twin(events.join(users, "user_id", "left_semi").select(*events.columns))
     return sink.join(users, "user_id", "left_anti").select(*sink.columns).unionByName(again)
