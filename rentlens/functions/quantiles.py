@@ -43,7 +43,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str],
         raise ValueError(f"unknown quantile method {method!r}")
     n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     if isinstance(df.schema[value].dataType, T.IntegralType):
-        counts = d.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(n).alias("_n"))
+        counts = d.groupBy(*by, F.col(value).alias("_v")).agg((F.sum(n) if weight else F.count(F.lit(1))).alias("_n"))
         return counts.groupBy(*by).agg(*[F.percentile(F.col("_v").cast("double"), p, F.col("_n")).alias(name)
                                          for name, p in probs.items()])
     return _by_rounds(d.select(*by, F.col(value).cast("double").alias("_v"), n.alias("_n")), probs, by)

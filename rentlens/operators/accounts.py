@@ -3,9 +3,11 @@
 * P21 registration validation: the first failing rule per request, as a
   data-quality column (``rlike``/``length``/``isin`` → one ``when`` chain).
 * J6 duplicates: requests are decided as if they came one by one. Those that clash with
-  an existing account go first; of the rest, in rounds, a request that is the earliest
-  undecided one for its name and for its e-mail is accepted, and what clashes with an
-  accepted request is refused. Minima are grouped, so a hot name is reduced before it moves.
+  an existing account go first, those that share neither name nor e-mail with another one are accepted. Of the
+  rest, a few rounds accept each request that is the earliest undecided one for its name and for its e-mail and
+  refuse what clashes with it (minima are grouped, so a hot name is reduced before it moves). What is left falls
+  into components of requests that share names or e-mails, found in a logarithmic number of rounds; components of
+  at most ``TASK_ROWS`` requests are each decided in one task, larger ones by further rounds.
 * P20 entitlements: role → permission mask (fixed 5-row table, broadcast) and the
   page list the mask opens.
 * P19 user list view, with failure count and lock flag from the lockout audit.
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens import constants as C
-from rentlens.session import materialize
+from rentlens.session import materialize, ship_package
 
 
 def _java_unicode(pattern: str) -> str:
@@ -50,12 +52,77 @@ def validation_error(username="username", full_name="full_name", email="email",
                   F.concat(F.lit("Role '"), F.coalesce(r, F.lit("NONE")), F.lit("' is not available for self-registration."))))
 
 
-def register_batch(requests: DataFrame, existing: DataFrame, req_id: str = "req_id") -> DataFrame:
+#: Requests that one task decides, and rounds of minima before components are sought.
+TASK_ROWS, FIRST_ROUNDS = 200_000, 2
+
+
+def _in_turn(pdf):
+    """The requests of one task that are accepted one by one, in the order of their ids."""
+    names, mails, ok = set(), set(), []
+    pdf = pdf.sort_values("_id")
+    for u, e in zip(pdf["_u"], pdf["_e"]):
+        ok.append(u not in names and e not in mails)
+        if ok[-1]:
+            names.add(u)
+            mails.add(e)
+    return pdf[ok][["_id", "_u", "_e"]]
+
+
+def conflict_components(left: DataFrame) -> DataFrame:
+    """``left`` (_id, _u, _e) with ``_c``, the least id of the requests linked to a request through names and e-mails.
+    Each round a component takes the least label of those it shares a name or an e-mail with, as a whole, so at least
+    half of the components with a neighbour of a lesser label vanish."""
+    now = materialize(left.withColumn("_c", F.col("_id")))
+    while True:
+        least = (now.join(now.groupBy("_u").agg(F.min("_c").alias("_cu")), "_u").join(now.groupBy("_e").agg(F.min("_c").alias("_ce")), "_e")
+                 .groupBy("_c").agg(F.min(F.least("_cu", "_ce")).alias("_to")))
+        least = materialize(least)
+        if least.filter("_to < _c").isEmpty():
+            return now
+        # labels may have moved on themselves: two steps down the chain of labels
+        chain = least.alias("a").join(least.alias("b"), F.col("a._to") == F.col("b._c")).select(
+            F.col("a._c").alias("_c"), F.col("b._to").alias("_to"))
+        now = materialize(now.join(chain, "_c").select("_id", "_u", "_e", F.col("_to").alias("_c")))
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests that are the earliest for their name and their e-mail, and what is left when they are accepted."""
+    now = materialize(left.join(left.groupBy("_u").agg(F.min("_id").alias("_fu")), "_u")
+                      .join(left.groupBy("_e").agg(F.min("_id").alias("_fe")), "_e")
+                      .filter((F.col("_id") == F.col("_fu")) & (F.col("_id") == F.col("_fe"))).select("_id", "_u", "_e"))
+    return now, materialize(left.join(now.select("_u"), "_u", "left_anti").join(now.select("_e"), "_e", "left_anti"))
+
+
+def accepted(left: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Of requests (_id, _u, _e) those accepted when they are decided in the order of ``_id``."""
+    left = left.join(left.groupBy("_u").agg(F.count("_id").alias("_nu")), "_u").join(left.groupBy("_e").agg(F.count("_id").alias("_ne")), "_e")
+    left = materialize(left)
+    taken = left.filter("_nu = 1 AND _ne = 1").select("_id", "_u", "_e")
+    left = left.filter("_nu > 1 OR _ne > 1").select("_id", "_u", "_e")
+    schema = left.schema
+    n, rounds = left.count(), 0
+    while n > task_rows and rounds < FIRST_ROUNDS:
+        now, left = _round(left)
+        taken, n, rounds = taken.unionByName(now), left.count(), rounds + 1
+    if n <= task_rows:
+        return taken.unionByName(left.withColumn("_c", F.lit(0)).groupBy("_c").applyInPandas(_in_turn, schema)) if n else taken
+    parts = conflict_components(left)
+    sizes = parts.groupBy("_c").agg(F.count("_id").alias("_n"))
+    sized = materialize(parts.join(sizes, "_c"))
+    taken = taken.unionByName(sized.filter(F.col("_n") <= task_rows).select("_id", "_u", "_e", "_c").groupBy("_c").applyInPandas(_in_turn, schema))
+    left = sized.filter(F.col("_n") > task_rows).select("_id", "_u", "_e")
+    while not left.isEmpty():
+        now, left = _round(left)
+        taken = materialize(taken.unionByName(now))
+    return taken
+
+
+def register_batch(requests: DataFrame, existing: DataFrame, req_id: str = "req_id", task_rows: int = TASK_ROWS) -> DataFrame:
     """P21 + J6 over a batch of registration requests: adds ``error`` (null = accepted).
 
     Requests take effect in the order of ``req_id``, and only accepted ones hold their name and e-mail: a
-    request that is refused for its e-mail leaves its name to the next one. The number of rounds is the length
-    of the longest chain of such dependencies; each round only reads the requests still undecided."""
+    request that is refused for its e-mail leaves its name to the next one."""
+    ship_package(requests.sparkSession)
     v = materialize(requests.withColumns({
         "_u": F.lower(py_strip(F.col("username"))), "_e": F.lower(py_strip(F.col("email"))),
         "_err": validation_error()}))
@@ -63,16 +130,7 @@ def register_batch(requests: DataFrame, existing: DataFrame, req_id: str = "req_
     old_e = existing.select(F.lower("email").alias("_e")).distinct()
     left = (v.filter(F.col("_err").isNull()).select(F.col(req_id).alias("_id"), "_u", "_e")
             .join(old_u, "_u", "left_anti").join(old_e, "_e", "left_anti"))
-    taken = left.limit(0)
-    while True:
-        left = materialize(left)
-        if left.isEmpty():
-            break
-        now = materialize(left.join(left.groupBy("_u").agg(F.min("_id").alias("_fu")), "_u")
-                          .join(left.groupBy("_e").agg(F.min("_id").alias("_fe")), "_e")
-                          .filter((F.col("_id") == F.col("_fu")) & (F.col("_id") == F.col("_fe"))).select("_id", "_u", "_e"))
-        taken = taken.unionByName(now)
-        left = left.join(now.select("_u"), "_u", "left_anti").join(now.select("_e"), "_e", "left_anti")
+    taken = materialize(accepted(left, task_rows))
     by_u = old_u.withColumn("_tu", F.lit(None).cast("long")).unionByName(taken.select("_u", F.col("_id").cast("long").alias("_tu")))
     by_e = old_e.withColumn("_te", F.lit(None).cast("long")).unionByName(taken.select("_e", F.col("_id").cast("long").alias("_te")))
     j = (v.join(by_u.withColumn("_hu", F.lit(True)), "_u", "left").join(by_e.withColumn("_he", F.lit(True)), "_e", "left"))

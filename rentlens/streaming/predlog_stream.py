@@ -3,7 +3,9 @@
 Landing files (parquet batches written by ``sources.predlog.append``) are read as
 a file stream, de-duplicated by id within the watermark, and appended to the log
 table with a checkpoint, so a restarted or retried query neither loses nor
-repeats records.
+repeats records. Records later than the watermark are dropped by the stream; ``append_late`` finds what the log
+lacks and keeps it in a folder of its own beside the stream's (a batch must not write into a stream sink's folder,
+whose readers follow the sink's own list of files). ``read_log`` reads both.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentlens.session import materialize
+
 
 def log_stream(spark: SparkSession, landing_dir: str, schema, watermark: str = "1 hour",
                max_files_per_trigger: int = 100) -> DataFrame:
@@ -30,6 +34,24 @@ def run_to_table(stream: DataFrame, table_dir: str, checkpoint_dir: str, availab
     return q
 
 
+def read_log(spark: SparkSession, schema, table_dir: str, late_dir: str | None = None) -> DataFrame:
+    """The log: what the stream has appended and, when given, the late records."""
+    log = spark.read.schema(schema).parquet(table_dir)
+    return log.unionByName(spark.read.schema(schema).parquet(late_dir)) if late_dir else log
+
+
+def append_late(landing: DataFrame, table_dir: str, late_dir: str) -> DataFrame:
+    """The dead-letter path: landed records whose id the log lacks, once each, are appended to ``late_dir`` (made when it
+    is missing). Running it again appends nothing. Run it after the stream has read what landed. Returns the records
+    appended now."""
+    spark, schema = landing.sparkSession, landing.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(late_dir)
+    known = read_log(spark, schema, table_dir, late_dir).select("id")
+    late = materialize(landing.join(known, "id", "left_anti").dropDuplicates(["id"]).select(*landing.columns))
+    late.write.mode("append").parquet(late_dir)
+    return late
+
+
 def checked_records(records: DataFrame) -> DataFrame:
     """Records with the columns the log requires, timestamps as TIMESTAMP."""
     return records.withColumn("timestamp", F.col("timestamp").cast("timestamp"))

@@ -254,3 +254,67 @@ def test_validation_rules(spark, change, said):
     row = tuple(change.get(i, v) for i, v in enumerate(GOOD))
     df = spark.createDataFrame([row], "username string, password string, full_name string, email string, role string")
     assert df.select(AC.validation_error().alias("e")).first()["e"] == said
+
+
+@pytest.mark.parametrize("rows", [50, 100_000])
+def test_a_long_chain_of_requests_needs_few_jobs(spark, rows):
+    """Each request shares its name with the one before or its e-mail with the one after: 4,000 depend on each other."""
+    import random
+    n = 4000
+    order = list(range(n))
+    if rows == 50:
+        n = 600
+        order = random.Random(3).sample(range(n), n)  # in any order
+    data = [(order[i], f"user_{i // 2}", "Name", f"u{(i + 1) // 2}@x.co", "Aa1!aaaa", "tenant") for i in range(n)]
+    existing = spark.createDataFrame([("someone", "s@x.co")], "username string, email string")
+    reqs = spark.createDataFrame(data, "req_id long, username string, full_name string, email string, password string, role string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"chain-{rows}", "")
+    got = {r["req_id"] for r in AC.register_batch(reqs, existing, task_rows=rows).filter("error IS NULL").collect()}
+    jobs = len(tracker.getJobIdsForGroup(f"chain-{rows}"))
+    spark.sparkContext.setJobGroup("", "")
+    names, mails, want = set(), set(), set()
+    for i, u, _, e, *_ in sorted(data):
+        if u not in names and e not in mails:
+            want.add(i); names.add(u); mails.add(e)
+    assert got == want
+    if rows > n:
+        assert jobs < 40
+
+
+def test_components_are_found_in_few_rounds(spark):
+    import random
+    n = 3000
+    order = random.Random(5).sample(range(n), n)
+    data = [(order[i], f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(n)] + [(n + i, f"v{i // 10}", f"f{i}") for i in range(100)]
+    left = spark.createDataFrame(data, "_id long, _u string, _e string")
+    got = AC.conflict_components(left).groupBy("_c").count().collect()
+    assert sorted((r["_c"], r["count"]) for r in got) == [(0, n)] + [(n + 10 * i, 10) for i in range(10)]
+
+
+def test_streams_give_every_verdict_themselves(spark, sf_small):
+    from rentlens.plans import catalog_ops as CO
+    for build in (LS.throttle_stream, LS.lockout_stream):
+        events, sink = CO._stream_sink(spark, sf_small, "verdicts", build)
+        assert sink.count() == events.count() > 100 and LS.late_events(events, sink).isEmpty()
+
+
+def test_records_later_than_the_watermark_are_appended_once(spark, sf_small):
+    from rentlens.plans import catalog_ops as CO
+    log, late = CO._late_log(spark, sf_small)
+    n = CO._log_table(spark, sf_small).count()
+    assert 0.01 * n < late.count() < 0.04 * n  # the stream has dropped them
+    assert log.count() == n == log.select("id").distinct().count()
+    kept = late.inputFiles()[0]
+    assert kept and late.join(log, "id", "left_semi").count() == late.count()
+
+
+def test_late_records_are_appended_only_once(spark, tmp_path):
+    schema = "id string, timestamp timestamp, x int"
+    rows = [(str(i), dt.datetime(2024, 1, 1, i), i) for i in range(6)]
+    landing = spark.createDataFrame(rows + rows[:3], schema)
+    log, late = f"{tmp_path}/log", f"{tmp_path}/late"
+    landing.filter("id > '1'").dropDuplicates(["id"]).write.parquet(log)
+    assert sorted(r["id"] for r in PS.append_late(landing, log, late).collect()) == ["0", "1"]
+    assert PS.append_late(landing, log, late).count() == 0
+    assert sorted(r["id"] for r in PS.read_log(spark, landing.schema, log, late).collect()) == list("012345")
