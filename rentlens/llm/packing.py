@@ -29,7 +29,7 @@ def _pieces(content, capacity: int, end_id: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(content)
+        encoder = tokens.encoder(content, special=True)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, last in tokens.runs(texts):
@@ -54,7 +54,8 @@ def _pieces(content, capacity: int, end_id: int, with_ids: bool):
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each text's ids and ``end_id`` after them, cut into pieces of ``capacity`` where it is longer: id, piece,
-    start, length, ids_crc32, ids (little-endian unsigned 32-bit; null unless ``with_ids``). Null is empty."""
+    start, length, ids_crc32, ids (little-endian unsigned 32-bit; null unless ``with_ids``). Null is empty. Strings of
+    special tokens in a text give these tokens' ids, as the tokenizers library does by default."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     content = tokens.shipped(docs.sparkSession, tokenizer_path)
     return workers(slim).mapInArrow(

@@ -3,7 +3,9 @@
 The tokenizer drops white space and never joins across it, so the ids of a text are those of its words
 one after another. Each worker keeps the ids of words it has met, up to a bounded number. New words of
 lower-case letters, with or without a few marks after them, take the file's merges in numpy, all words of one
-length together; other words go through the library. Whether the short way gives the library's ids with this
+length together; other words go through the library. Strings of the file's special tokens are ordinary text or,
+with ``special``, give these tokens' ids as the library does by default: texts that may hold one, in any case of
+letters, go through the library whole. Whether the short way gives the library's ids with this
 file is checked once, when the file is loaded, and it is not taken otherwise.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from unicodedata import is_normalized
 
 import numpy as np
@@ -86,12 +89,17 @@ class Merges:
 
 
 class WordEncoder:
-    def __init__(self, content: str):
+    def __init__(self, content: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.marks = None
+        if special:
+            self.whole = Tokenizer.from_str(content)
+            names = [t["content"].lower() for t in json.loads(content).get("added_tokens", [])]
+            self.marks = re.compile("|".join(map(re.escape, names))) if names else None
         self.merges = None
         try:
             merges = Merges(json.loads(content)["model"])
@@ -123,6 +131,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
+        if self.marks and (held := [i for i, t in enumerate(texts) if self.marks.search(t.lower())]):
+            rest = set(range(len(texts))).difference(held)
+            out = self._words([t if i in rest else "" for i, t in enumerate(texts)])
+            for i, e in zip(held, self.whole.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+            return out
+        return self._words(texts)
+
+    def _words(self, texts: list[str]) -> list[bytes]:
         cut = [t.encode("utf-8", "replace") for t in texts]
         cut = [(t.lower() if self.merges else t).split() for t in cut]
         if len(self.known) > KEPT_WORDS:
@@ -140,12 +157,12 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(content: Broadcast) -> WordEncoder:
+def encoder(content: Broadcast, special: bool = False) -> WordEncoder:
     """This worker's encoder, made once."""
-    key = hash(content.value)
+    key = hash((content.value, special))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(content.value)
+        _encoders[key] = WordEncoder(content.value, special)
     return _encoders[key]
 
 

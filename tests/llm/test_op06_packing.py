@@ -98,3 +98,14 @@ def test_edges_and_sequences(spark, edge, clashing, empty):
             assert bytes(s.ids[4 * a:4 * b]) == bytes(parts[s.sequence_id, a].ids)
     d = packing.density(placed, 64).first()
     assert d.least <= d.sequences <= d.least + 3
+
+
+def test_special_strings_give_the_librarys_ids(spark):
+    tok = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|startoftext|>Hello<|endoftext|>", "mid<|endoftext|>word's <|ENDOFTEXT|> É", "<|endoftext|>" * 3,
+             "no marks <| endoftext |>", "<|endoftext", "<|<|endoftext|>|>", " <|startoftext|> \n", "plain words here", "", "<|EndOfText|>x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.packed_documents(df, PATH, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == tok.encode(t, add_special_tokens=False).ids + [1], t
+    assert 49407 in got[0][:-1]
