@@ -20,7 +20,7 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Words that a worker keeps; beyond that it starts anew.
+#: Words that a worker keeps; beyond that it starts anew, with the short ones if these are few.
 KEPT_WORDS = 1 << 19
 MARKS = b".,!?;:"
 NO_RANK = np.int32(2 ** 31 - 1)
@@ -100,6 +100,7 @@ class WordEncoder:
             self.whole = Tokenizer.from_str(content)
             names = [t["content"].lower() for t in json.loads(content).get("added_tokens", [])]
             self.marks = re.compile("|".join(map(re.escape, names))) if names else None
+            self.sign = re.match(r"[^\w]*", os.path.commonprefix(names))[0]  # what all begin with, as far as it has no case
         self.merges = None
         try:
             merges = Merges(json.loads(content)["model"])
@@ -131,7 +132,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if self.marks and (held := [i for i, t in enumerate(texts) if self.marks.search(t.lower())]):
+        if self.marks and (held := [i for i, t in enumerate(texts) if self.sign in t and self.marks.search(t.lower())]):
             rest = set(range(len(texts))).difference(held)
             out = self._words([t if i in rest else "" for i, t in enumerate(texts)])
             for i, e in zip(held, self.whole.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)):
@@ -142,8 +143,9 @@ class WordEncoder:
     def _words(self, texts: list[str]) -> list[bytes]:
         cut = [t.encode("utf-8", "replace") for t in texts]
         cut = [(t.lower() if self.merges else t).split() for t in cut]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
+        if len(self.known) > KEPT_WORDS:  # short words come again most often
+            short = {w: ids for w, ids in self.known.items() if len(w) <= 9}
+            self.known = short if len(short) < KEPT_WORDS // 2 else {}
         new: set[bytes] = set().union(*cut).difference(self.known) if cut else set()
         if new:
             self._learn(new)
