@@ -15,12 +15,15 @@ from rentlens.operators import filters as FL
 from rentlens.operators import pricing as PR
 from rentlens.operators import similarity as SIM
 from rentlens.operators import stats as ST
+from rentlens.functions.features import add_vectors
 from rentlens.functions.text import py_round
 from rentlens.plans.catalog import _DEMAND_CTE, clean, clean_shared, counts_shared, register, sql_round6, state_key
-from rentlens.plans.catalog_scoring import _PRICED_CTE, _unit
+from rentlens.plans.catalog_scoring import _FLOOR_CTE, _PRICED_CTE, _unit
 from rentlens.plans.oracle_sql import with_listings
 from rentlens.session import ensure_checkpoint_dir
+from rentlens.sources import listings as LI
 from rentlens.sources import predlog as PL
+from rentlens.sources import vector_store as VS
 from rentlens.sources.listings import KEY_COLS
 from rentlens.sources.tables import table
 from rentlens.streaming import login_state as LS
@@ -144,6 +147,63 @@ def q_listing_vector_table(spark, sf):
     return SIM.listing_vector_table(clean(spark, sf))
 
 
+_KEY_MD5 = "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in KEY_COLS) + "))"
+_COMPONENTS = [_unit("city", C.CITIES), "least(bhk_c / 6.0, 1.0)", "least(size_c / 5000.0, 1.0)", "least(bath_c / 6.0, 1.0)",
+               _unit("furnishing", C.FURNISH), "floor_ratio", "least((size_c / bhk_c) / 2000.0, 1.0)", "least(bath_c / bhk_c, 1.0)",
+               _unit("area_type", C.AREA_TYPES), _unit("tenant", C.TENANTS), "least(ln(1 + size_c) / 10.0, 1.0)",
+               "least((bhk_c * bath_c) / 36.0, 1.0)"]
+
+
+def _store_batch(listings):
+    """Listings as rows of the vector store: key, metadata, vector."""
+    df = VS.with_listing_key(listings)
+    return add_vectors(df, keep=["listing_key", *SIM.VECTOR_META])
+
+
+@register("listing_vector_store", with_listings(
+    f"SELECT listing_key, {', '.join(SIM.VECTOR_META)}, " + ", ".join(f"round_even(c[{i}] / nrm, 6) AS v{i:02d}" for i in range(1, 13))
+    + f" FROM (SELECT *, {_KEY_MD5} AS listing_key, [{', '.join(_COMPONENTS)}] AS c,"
+    " sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM flr)", _FLOOR_CTE))
+def q_listing_vector_store(spark, sf):
+    """Every listing's vector and metadata written to a versioned store and read through its manifest."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    batch = _store_batch(clean(spark, sf))
+    VS.upsert(batch, root)
+    rows = VS.read(spark, root, batch.schema)
+    return rows.select("listing_key", *SIM.VECTOR_META, *[F.bround(F.col("vector")[i - 1], 6).alias(f"v{i:02d}") for i in range(1, 13)])
+
+
+@register("vector_store_upserts", with_listings(
+    f"SELECT {_KEY_MD5} AS listing_key, CASE WHEN l_orderkey % 10 = 5 THEN 'Pune' ELSE city END AS city, bhk,"
+    " CASE WHEN l_orderkey % 10 >= 4 THEN rent + 500 ELSE rent END AS rent, 12 AS dims FROM listings"))
+def q_vector_store_upserts(spark, sf):
+    """Two batches that overlap are upserted: the second changes rents and moves listings to another city."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    df, turn = clean(spark, sf), F.col("l_orderkey") % 10
+    changed = df.filter(turn >= 4).withColumns({"rent": F.col("rent") + 500, "city": F.when(turn == 5, "Pune").otherwise(F.col("city"))})
+    for batch in (_store_batch(df.filter(turn < 7)), _store_batch(changed)):
+        VS.upsert(batch, root)
+    return VS.read(spark, root, batch.schema).select("listing_key", "city", "bhk", "rent", F.size("vector").alias("dims"))
+
+
+_BAD_CSV = "l_orderkey % 997 = 5"
+
+
+@register("csv_ingest_report", with_listings(
+    f"SELECT count(*) FILTER (WHERE NOT {_BAD_CSV}) AS rows, count(*) FILTER (WHERE {_BAD_CSV}) AS rejects,"
+    f" count(DISTINCT city) FILTER (WHERE NOT {_BAD_CSV}) AS cities,"
+    f" (SELECT count(*) FROM listings WHERE NOT {_BAD_CSV}) AS clean_rows FROM listings_raw"))
+def q_csv_ingest_report(spark, sf):
+    """The listings as the application's CSV, some lines with a rent that is no number; the ingest report counts
+    them as rejects."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    df = LI.listings_from_tables(spark, sf)
+    back = {src: F.col(dst).cast("string") for src, dst in LI.CSV_RENAMES.items()}
+    back["Rent"] = F.when(F.expr(_BAD_CSV), F.lit("n/a")).otherwise(back["Rent"])
+    LI.export_csv(df.select([back.get(f.name, F.lit("")).alias(f.name) for f in LI.CSV_SCHEMA.fields]), path)
+    return LI.checked_report(*LI.read_listings_checked(spark, path))
+
+
 @register("listing_sample", with_listings(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, city, locality, bhk, size, bathroom, rent,"
     " furnishing, floor_txt, area_type, tenant, price_per_sqft FROM listings WHERE ('0x' || substr(md5(concat_ws('|', "

@@ -11,7 +11,7 @@ Two ways in:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,41 @@ def read_listings_csv(spark: SparkSession, path: str,
     return df.select([F.col(f"`{src}`").alias(dst) for src, dst in CSV_RENAMES.items()])
 
 
+CORRUPT = "_corrupt"
+
+
+def csv_lines(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> DataFrame:
+    """Every record of CSV files with a header, parsed one line each: file, line (from 1, the header's), text, the parsed
+    columns under their own names, and ``_corrupt``, the text where it does not fit the schema. Lines are numbered
+    from counts of lines per piece of a file: no file passes through one task."""
+    at = F.monotonically_increasing_id()  # lines of a piece are neighbours in one task
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                       at.alias("at"))
+    pieces = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("at").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = raw.join(pieces, ["file", "start"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+    lines = lines.filter((F.col("line") > 1) & (F.trim("value") != ""))
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields),
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select("file", "line", "value", parsed.alias("_r")).select("file", "line", F.col("value").alias("text"), "_r.*")
+
+
+def read_listings_checked(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """S1 scan with a rejects channel: (listings with the library's names, rejects: file, line, text)."""
+    lines = csv_lines(spark, path, schema)
+    good = lines.filter(F.col(CORRUPT).isNull()).select([F.col(f"`{src}`").alias(dst) for src, dst in CSV_RENAMES.items()])
+    return good, lines.filter(F.col(CORRUPT).isNotNull()).select("file", "line", "text")
+
+
+def checked_report(listings: DataFrame, rejects: DataFrame) -> DataFrame:
+    """S1's report with rejects: rows, rejects, cities, and rows left after cleaning."""
+    n = listings.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("city").alias("cities"))
+    return n.select("rows", rejects.agg(F.count(F.lit(1))).scalar().alias("rejects"), "cities",
+                    clean(listings).agg(F.count(F.lit(1))).scalar().alias("clean_rows"))
+
+
 def _pick(values: list[str], index: Column) -> Column:
     out = None
     for i, v in enumerate(values):

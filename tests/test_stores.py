@@ -1,0 +1,116 @@
+"""The versioned vector store (S4), published models (S9, S10) and the CSV rejects channel."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from rentlens.operators import models as MD
+from rentlens.sources import listings as L
+from rentlens.sources import vector_store as VS
+
+SCHEMA = "listing_key string, city string, rent long, at long"
+
+
+def rows(spark, root):
+    return sorted(((r["listing_key"], r["city"], r["rent"]) for r in VS.read(spark, root, SCHEMA).collect()), key=repr)
+
+
+def batch(spark, data):
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def test_upserts_by_key(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert rows(spark, root) == []
+    assert VS.upsert(batch(spark, [("a", "Pune", 1, 1), ("b", "Delhi", 2, 1), ("c", None, 3, 1), ("d", "Goa", 4, 1)]), root) == 1
+    first = {p: x for p, x in VS._manifest(spark, root)[1]}
+    # b moves, c changes, e is new; of two rows of e the later one counts
+    two = batch(spark, [("b", "Pune", 20, 2), ("c", None, 30, 2), ("e", "Pune", 4, 2), ("e", "Pune", 5, 3)])
+    assert VS.upsert(two, root, order="at") == 2
+    want = [("a", "Pune", 1), ("b", "Pune", 20), ("c", None, 30), ("d", "Goa", 4), ("e", "Pune", 5)]
+    assert rows(spark, root) == want
+    now = {p: x for p, x in VS._manifest(spark, root)[1]}
+    assert now["Goa"] == first["Goa"] and now["Pune"] != first["Pune"]  # untouched cities stay where they are
+    assert "Delhi" not in now  # empty by now
+    assert VS.upsert(batch(spark, []), root) == 3 and rows(spark, root) == want
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    VS.upsert(batch(spark, [("a", "Pune", 1, 1), ("b", "Delhi", 2, 1)]), root)
+    before = rows(spark, root)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(VS, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            VS.upsert(batch(spark, [("a", "Pune", 100, 2), ("z", "Goa", 9, 2)]), root)
+    assert rows(spark, root) == before
+    VS.upsert(batch(spark, [("z", "Goa", 9, 2)]), root)
+    assert rows(spark, root) == [*before, ("z", "Goa", 9)]
+
+
+def test_reads_only_the_folders_of_the_manifest(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for i in range(3):
+        VS.upsert(batch(spark, [("a", "Pune", i, i), (f"n{i}", "Goa", i, i)]), root)
+    df = VS.read(spark, root, SCHEMA)
+    loads = {x for _, x in VS._manifest(spark, root)[1]}
+    assert len(loads) == 1 and all(any(f"load={x}/" in f for x in loads) for f in df.inputFiles())
+    city = df.filter("city = 'Goa'")
+    assert city.count() == 3
+
+
+def test_models_are_published_last_and_retrained_when_stale(spark, tmp_path, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]).fit(df)
+    root, trained = str(tmp_path / "models"), []
+
+    def train():
+        trained.append(1)
+        return {"rent_model": model, "demand_model": model}, df, df
+    assert MD.published(spark, root, "s1") is None
+    assert set(MD.load_or_retrain(spark, root, "s1", train)) == {"rent_model", "demand_model"} and trained == [1]
+    folder = MD.published(spark, root, "s1")
+    MD.load_or_retrain(spark, root, "s1", train)
+    assert trained == [1] and MD.published(spark, root, "s1") == folder  # there already
+    MD.load_or_retrain(spark, root, "s2", train)  # fitted on other rows
+    assert trained == [1, 1] and MD.published(spark, root, "s1") == folder
+
+    def dies(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(MD, "save_models", dies)
+        with pytest.raises(RuntimeError):
+            MD.publish_models(*train(), root, "s1")
+    assert MD.published(spark, root, "s1") == folder
+    spark.createDataFrame([("s1", "v-gone", 99)], "state string, version string, seq long").write.mode("append").parquet(f"{root}/published")
+    n = len(trained)
+    MD.load_or_retrain(spark, root, "s1", train)  # the newest cannot be read
+    assert len(trained) == n + 1 and MD.published(spark, root, "s1") not in (folder, f"{root}/v-gone")
+
+
+def test_rejects_keep_file_and_line(spark, tmp_path):
+    names = [f.name for f in L.CSV_SCHEMA.fields]
+    good = "2024-01-01,2,{rent},800,1 out of 3,Super Area,\"Some, place\",Mumbai,Furnished,Family,2,Owner"
+    bad = {17: good.format(rent="n/a"), 40: "only,three,fields", 41: good.format(rent=9) + ",one too many",
+           333: good.format(rent="12x"), 500: good.format(rent=1).replace("2024-01-01,2", "2024-01-01,two")}
+    lines = [",".join(names)] + [bad.get(i, good.format(rent=1000 + i)) for i in range(2, 502)]
+    path = tmp_path / "csv"
+    path.mkdir()
+    (path / "one.csv").write_text("\n".join(lines) + "\n\n")
+    (path / "two.csv").write_text("\n".join([lines[0]] + lines[50:90]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many pieces of a file
+        listings, rejects = L.read_listings_checked(spark, str(path))
+        got = {(r["file"].rsplit("/", 1)[1], r["line"]): r["text"] for r in rejects.collect()}
+        assert got == {("one.csv", i): t for i, t in bad.items()}
+        assert listings.count() == 495 + 40
+        report = L.checked_report(listings, rejects).first()
+        assert (report["rows"], report["rejects"], report["cities"]) == (535, 5, 1)
+        assert listings.agg(F.min("rent")).first()[0] == 1002
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
