@@ -12,11 +12,10 @@ Plan (blocked nested loop, exact):
      and emits only its k best items per query (score desc, id asc);
   5. a ``row_number`` per query over its ≤ ni·k candidates gives the final k.
 
-Block keys come from a hash of the id, so no facet value (a city holding a third
-of all listings) can make one cell large; the same-facet restriction is a mask
-inside the cell. Shuffle volume is Q·ni + N·nq rows, against Q·N score
-evaluations that any exact method must do; nothing is collected to the driver
-except the two counts.
+Block keys come from the facet (when matches are restricted to equal facets) and a hash of the id, with as many
+blocks as the facet's own rows need, so no facet value (a city holding a third of all listings) can make one cell
+large and no product is spent on pairs of different facets. Shuffle volume is Q·ni + N·nq rows per facet; the
+number of blocks of each facet is a written table, joined to the rows.
 
 ``topk_few`` is the plan for a search form's few queries: their vectors go to the tasks, items are scored where
 they lie, and each task gives back at most k per query. Items are not shuffled at all.
@@ -27,8 +26,6 @@ that engines with another order of summation must repeat.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rentlens.functions.features import add_vectors
-from rentlens.session import ship_package
+from rentlens.session import materialize, ship_package
 
 MAX_ITEM_BLOCK = 1 << 18  # item rows per cell at most (vectors of one cell stay well under 1 GB)
 
@@ -86,16 +83,22 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                       (F.col(i_facet).cast("string") if facet else F.lit(None).cast("string")).alias("if_"))
     # Blocks bound each cell's score matrix to block_rows² entries: few queries
     # give few, tall item blocks (less per-cell overhead), many queries give
-    # square blocks.
-    q_n, i_n = q.count(), it.count()
-    nq = max(1, math.ceil(q_n / block_rows))
-    q_per = max(1, math.ceil(q_n / nq))
-    i_per = min(max(block_rows, (block_rows * block_rows) // q_per), MAX_ITEM_BLOCK)
-    ni = max(1, math.ceil(i_n / i_per))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")) \
-          .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    ib = it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ni)).cast("int")) \
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # square blocks. With a facet every facet has blocks of its own, sized from its own counts, so a query meets
+    # the items of its facet alone; rows without a facet match nothing.
+    if facet:
+        q, it = q.where(F.col("qf").isNotNull()), it.where(F.col("if_").isNotNull())
+    sizes = (q.select(F.col("qf").alias("f"), F.lit(1).alias("q"), F.lit(0).alias("i"))
+             .unionByName(it.select(F.col("if_").alias("f"), F.lit(0).alias("q"), F.lit(1).alias("i")))
+             .groupBy("f").agg(F.sum("q").alias("q"), F.sum("i").alias("i")).where("q > 0 AND i > 0"))
+    nq = F.ceil(F.col("q") / block_rows)
+    q_per = F.greatest(F.ceil(F.col("q") / nq), F.lit(1))
+    i_per = F.least(F.greatest(F.lit(block_rows), F.floor(F.lit(block_rows * block_rows) / q_per)), F.lit(MAX_ITEM_BLOCK))
+    sizes = materialize(sizes.select("f", nq.cast("int").alias("nq"), F.greatest(F.ceil(F.col("i") / i_per), F.lit(1)).cast("int").alias("ni")))
+    # (the concatenations give the joined facet a column of its own on each side)
+    qb = (q.join(sizes, F.expr("qf <=> f")).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
+          .withColumn("ib", F.explode(F.expr("sequence(0, ni - 1)"))).select("qid", "qv", F.concat("f", F.lit("")).alias("f"), "qb", "ib"))
+    ib = (it.join(sizes, F.expr("if_ <=> f")).withColumn("ib", F.pmod(F.xxhash64("iid"), F.col("ni")).cast("int"))
+          .withColumn("qb", F.explode(F.expr("sequence(0, nq - 1)"))).select("iid", "iv", F.concat("f", F.lit("")).alias("f"), "qb", "ib"))
 
     out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()),
                                T.StructField("score", T.DoubleType())])
@@ -110,17 +113,11 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
         S = Q @ I.T if decimals is None else np.round(Q @ I.T, decimals)
         qids = qpdf["qid"].to_numpy(np.int64)
         iids = ipdf["iid"].to_numpy(np.int64)
-        valid = np.ones(S.shape, dtype=bool)
-        if facet:
-            qf = qpdf["qf"].to_numpy(object)
-            itf = ipdf["if_"].to_numpy(object)
-            valid &= (qf[:, None] == itf[None, :]) & pd.notna(qf)[:, None]
         if exclude_self:
-            valid &= qids[:, None] != iids[None, :]
-        S = np.where(valid, S, -np.inf)
+            S = np.where(qids[:, None] != iids[None, :], S, -np.inf)
         return _top_per_row(S, qids, iids, min(k, S.shape[1]))
 
-    cand = (qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib"))
+    cand = (qb.groupBy("f", "qb", "ib").cogroup(ib.groupBy("f", "qb", "ib"))
             .applyInPandas(cell, schema=out_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

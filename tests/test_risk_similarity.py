@@ -230,3 +230,29 @@ def test_insight_rules(spark, row, said):
                                       " predicted_rent double, risk string, risk_prob double, price_per_sqft double,"
                                       " dl_rent double, city_median double")
     assert list(df.select(IN.insights(dl_rent="dl_rent", city_median="city_median").alias("i")).first()["i"]) == said
+
+
+def test_facets_have_cells_of_their_own(spark, monkeypatch):
+    """Of ten facets only pairs within one are multiplied, also where a facet holds a third of the rows."""
+    rng = np.random.default_rng(9)
+    n = 900
+    facet = [0 if i % 3 == 0 else 1 + i % 9 for i in range(n)]
+    vecs = rng.normal(size=(n, 5))
+    df = spark.createDataFrame([(i, vecs[i].tolist(), str(facet[i]) if i % 50 else None) for i in range(n)], "id long, v array<double>, f string")
+    sizes = []
+    old = SIM.materialize
+    monkeypatch.setattr(SIM, "materialize", lambda d: sizes.append(old(d)) or sizes[-1])
+    got = SIM.topk_similar(df, df, 4, q_id="id", q_vec="v", i_id="id", i_vec="v", q_facet="f", i_facet="f", exclude_self=True, block_rows=60)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    for i in range(n):
+        own = [j for j in range(n) if j != i and facet[j] == facet[i] and j % 50 and i % 50]
+        want = sorted(own, key=lambda j: (-cos[i, j], j))[:4]
+        assert [j for _, j in sorted(found.get(i, []))] == want
+    blocks = {r["f"]: (r["nq"], r["ni"]) for r in sizes[0].collect()}
+    held = {f: sum(1 for i in range(n) if i % 50 and str(facet[i]) == f) for f in blocks}
+    pairs = sum(held[f] ** 2 for f in blocks)
+    assert pairs < n * n / 5 and blocks["0"][0] == -(-held["0"] // 60) and None not in blocks
