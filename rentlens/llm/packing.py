@@ -23,13 +23,15 @@ from rentlens.llm import tokens
 from rentlens.llm.common import ids_like, saved, workers
 
 NODE_ITEMS, FAN_IN, CARRY = 65_536, 8, 2048
+#: Words whose ids a worker keeps (some 150 bytes each).
+KEPT_WORDS = 1 << 20
 
 
 def _pieces(content, capacity: int, end_id: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(content, special=True)
+        encoder = tokens.encoder(content, special=True, kept=KEPT_WORDS)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, last in tokens.runs(texts):

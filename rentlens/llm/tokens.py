@@ -20,7 +20,7 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Words that a worker keeps; beyond that it starts anew, with the short ones if these are few.
+#: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 1 << 19
 MARKS = b".,!?;:"
 NO_RANK = np.int32(2 ** 31 - 1)
@@ -89,12 +89,13 @@ class Merges:
 
 
 class WordEncoder:
-    def __init__(self, content: str, special: bool = False):
+    def __init__(self, content: str, special: bool = False, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.kept = kept
         self.marks = None
         if special:
             self.whole = Tokenizer.from_str(content)
@@ -143,9 +144,8 @@ class WordEncoder:
     def _words(self, texts: list[str]) -> list[bytes]:
         cut = [t.encode("utf-8", "replace") for t in texts]
         cut = [(t.lower() if self.merges else t).split() for t in cut]
-        if len(self.known) > KEPT_WORDS:  # short words come again most often
-            short = {w: ids for w, ids in self.known.items() if len(w) <= 9}
-            self.known = short if len(short) < KEPT_WORDS // 2 else {}
+        if len(self.known) > self.kept:
+            self.known = {}
         new: set[bytes] = set().union(*cut).difference(self.known) if cut else set()
         if new:
             self._learn(new)
@@ -159,12 +159,12 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(content: Broadcast, special: bool = False) -> WordEncoder:
+def encoder(content: Broadcast, special: bool = False, kept: int = KEPT_WORDS) -> WordEncoder:
     """This worker's encoder, made once."""
     key = hash((content.value, special))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(content.value, special)
+        _encoders[key] = WordEncoder(content.value, special, kept)
     return _encoders[key]
 
 
