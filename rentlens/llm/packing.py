@@ -23,15 +23,13 @@ from rentlens.llm import tokens
 from rentlens.llm.common import ids_like, saved, workers
 
 NODE_ITEMS, FAN_IN, CARRY = 65_536, 8, 2048
-#: Words whose ids a worker keeps (some 150 bytes each).
-KEPT_WORDS = 1 << 20
 
 
-def _pieces(content, capacity: int, end_id: int, with_ids: bool):
+def _pieces(content, capacity: int, end_id: int, with_ids: bool, kept_words: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(content, special=True, kept=KEPT_WORDS)
+        encoder = tokens.encoder(content, special=True, kept=kept_words)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, last in tokens.runs(texts):
@@ -54,14 +52,14 @@ def _pieces(content, capacity: int, end_id: int, with_ids: bool):
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id",
-                 text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 text_col: str = "text", with_ids: bool = False, kept_words: int = tokens.KEPT_WORDS) -> DataFrame:
     """Each text's ids and ``end_id`` after them, cut into pieces of ``capacity`` where it is longer: id, piece,
     start, length, ids_crc32, ids (little-endian unsigned 32-bit; null unless ``with_ids``). Null is empty. Strings of
     special tokens in a text give these tokens' ids, as the tokenizers library does by default."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     content = tokens.shipped(docs.sparkSession, tokenizer_path)
     return workers(slim).mapInArrow(
-        _pieces(content, capacity, end_id, with_ids), f"id {ids_like(slim, 'id')}, piece int, start long, length long, ids_crc32 long, ids binary")
+        _pieces(content, capacity, end_id, with_ids, kept_words), f"id {ids_like(slim, 'id')}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_fit(fills: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -127,13 +125,15 @@ def packed(items: DataFrame, capacity: int, node_items: int = NODE_ITEMS, fan_in
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
-                     text_col: str = "text", with_ids: bool = False, node_items: int = NODE_ITEMS) -> DataFrame:
+                     text_col: str = "text", with_ids: bool = False, node_items: int = NODE_ITEMS,
+                     kept_words: int = tokens.KEPT_WORDS) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Each row of ``docs`` is a document of its own, also where ids repeat or are null. A null or empty text
-    is its end id alone. An empty table gives an empty result; other columns are ignored.
+    is its end id alone. An empty table gives an empty result; other columns are ignored. ``kept_words``: words whose
+    ids a worker keeps, also for later jobs (some 150 bytes each).
     """
-    pieces = saved(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids)
+    pieces = saved(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids, kept_words)
                    .withColumn("rid", F.monotonically_increasing_id()))
     out = pieces.join(packed(pieces.select("rid", "length"), capacity, node_items), "rid")
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",

@@ -63,7 +63,8 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     """All documents' tokens in sequences of at most 4096."""
     import public_tokenizers
-    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                    kept_words=1 << 20)
 
 
 @query("op8_secrets")
