@@ -98,7 +98,6 @@ class WordEncoder:
         self.kept = kept
         self.marks = None
         if special:
-            self.whole = Tokenizer.from_str(content)
             names = [t["content"].lower() for t in json.loads(content).get("added_tokens", [])]
             self.marks = re.compile("|".join(map(re.escape, names))) if names else None
             self.sign = re.match(r"[^\w]*", os.path.commonprefix(names))[0]  # what all begin with, as far as it has no case
@@ -136,8 +135,10 @@ class WordEncoder:
         if self.marks and (held := [i for i, t in enumerate(texts) if self.sign in t and self.marks.search(t.lower())]):
             rest = set(range(len(texts))).difference(held)
             out = self._words([t if i in rest else "" for i, t in enumerate(texts)])
-            for i, e in zip(held, self.whole.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+            self.tokenizer.encode_special_tokens = False  # one instance for both ways: it is large
+            for i, ids in zip(held, self._library([texts[i] for i in held])):
+                out[i] = ids
+            self.tokenizer.encode_special_tokens = True
             return out
         return self._words(texts)
 
