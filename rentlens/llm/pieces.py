@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,32 @@ class Vocabulary:
 
 def plain_bpe(text: str, scores: dict[str, float]) -> list[str]:
     """BPE as SentencePiece does it: again and again the neighbours whose joint piece scores best, the first of
-    equal ones."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            s = scores.get(parts[i] + parts[i + 1])
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if best is None:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    equal ones. A heap holds the joints; those whose parts have gone are passed over, so n characters take about
+    n log n steps, whatever they are."""
+    n = len(text)
+    parts: list[str] = list(text)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, str, str]] = []
+
+    def joint(i: int) -> None:
+        j = after[i]
+        if j < n and (s := scores.get(parts[i] + parts[j])) is not None:
+            heappush(heap, (-s, i, parts[i], parts[j]))
+    for i in range(n - 1):
+        joint(i)
+    while heap:
+        _, i, left, right = heappop(heap)
+        j = after[i]
+        if parts[i] != left or j >= n or parts[j] != right:
+            continue
+        parts[i], parts[j] = left + right, ""
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        joint(i)
+        if before[i] >= 0:
+            joint(before[i])
+    return [p for p in parts if p]
 
 
 def _hashes(words: np.ndarray) -> np.ndarray:

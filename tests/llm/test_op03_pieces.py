@@ -59,3 +59,29 @@ def test_query_and_edges(spark, sf_small, edge, clashing, empty):
     assert pieces.encoded(empty, PATH).count() == pieces.round_trips(empty, PATH).count() == 0
     with pytest.raises(ValueError):
         pieces.Vocabulary(PATH, "other")
+
+
+def scanned_bpe(text, scores):
+    """Merge by merge, the whole list looked at each time."""
+    parts = list(text)
+    while True:
+        near = [(scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
+        if not near:
+            return parts
+        i = -max(near)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_of_any_order_and_long_runs():
+    import random
+    import time
+    rng = random.Random(5)
+    for _ in range(300):
+        known = ["".join(rng.choices("ab", k=rng.randint(2, 5))) for _ in range(8)]
+        scores = {t: rng.randint(-4, 0) / 2 for t in known}
+        text = "".join(rng.choices("ab", k=rng.randint(0, 40)))
+        assert pieces.plain_bpe(text, scores) == scanned_bpe(text, scores)
+    scores = pieces.Vocabulary(PATH).scores
+    began = time.perf_counter()
+    out = pieces.plain_bpe(pieces.MARK * 200_000, scores)
+    assert "".join(out) == pieces.MARK * 200_000 and time.perf_counter() - began < 10
