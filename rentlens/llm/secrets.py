@@ -16,6 +16,7 @@ covers every document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property
 from math import erfc, exp, lgamma, log, sqrt
@@ -334,11 +335,22 @@ def spans(text: str | None, cuts: Cuts | dict) -> tuple[list[tuple[int, int, int
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
+    starts: list[int] = []  # the stretches that base spans cover, in order
+    ends: list[int] = []
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     more = []
     for a, b, size, found in judged(text, cuts.model) if cuts else ():
-        if found >= cuts.get(size, STEPS) and not any(s < b and a < e for s, _, e in base):
-            more.append((a, 3, b))
-    return sorted(base), sorted(base + more)
+        if found >= cuts.get(size, STEPS):
+            i = bisect_right(ends, a)
+            if i == len(starts) or starts[i] >= b:
+                more.append((a, 3, b))
+    return base, sorted(base + more)
 
 
 def redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> str:

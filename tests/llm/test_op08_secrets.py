@@ -134,3 +134,24 @@ def test_edges_and_redaction(spark, edge, clashing, empty):
     assert secrets.redact_secrets(clashing).columns == clashing.columns
     assert secrets.redact_secrets(edge).subtract(edge).count() == 0
     assert secrets.redacted("abcdefghij", [(1, 0, 4), (2, 2, 3), (3, 3, 6), (8, 0, 10)], "#") == "a#gh#"
+
+
+def test_many_spans_in_one_text():
+    """Candidates and base spans are walked in order: none that overlaps a base span, 80,000 strings in seconds."""
+    import time
+    cuts = secrets.Cuts(np.ones((secrets.CODES, secrets.CODES)))
+    for c in {secrets.length_class(n) for n in range(20, 400)}:
+        cuts[c] = 0  # every candidate is a discovery
+    rng = random.Random(6)
+    letters = string.ascii_letters + string.digits
+    words = ["".join(rng.choices(letters, k=rng.randint(20, 60))) for _ in range(300)]
+    words += [f"token={w}" for w in words[:100]] + [f"{i:040x}" for i in range(200)] + [f"key={w}" for w in words[100:200]]
+    rng.shuffle(words)
+    text = " ".join(words)
+    base, every = secrets.spans(text, cuts)
+    more = [(a, 3, b) for a, b, _, _ in secrets.judged(text, cuts.model) if not any(s < b and a < e for s, _, e in base)]
+    assert len(more) > 200 and base == base_of(text) and every == sorted(base + more)
+    many = " ".join(f"{i:040x}" for i in range(80_000))
+    began = time.perf_counter()
+    base, every = secrets.spans(many, cuts)
+    assert len(base) == 80_000 and every == base and time.perf_counter() - began < 60
