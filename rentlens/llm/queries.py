@@ -101,7 +101,7 @@ def op10(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flat/{uuid.uuid4().hex}"
     end = 49407  # <|endoftext|>, which no text gives
     token_files.write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end, path)
-    out = token_files.document_tokens(token_files.read_blocks(spark, path), end)
+    out = token_files.file_tokens(spark, path, end)
     return out.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 

@@ -59,3 +59,20 @@ def test_null_data_and_clashing_names(spark):
     rows = [("a", 0, bytearray(np.array([1, 2], "<u2").tobytes())), ("a", 1, None), ("a", 2, bytearray(np.array([9, 4], "<u2").tobytes()))]
     blocks = spark.createDataFrame(rows, "file string, block long, data binary").withColumns({c: F.lit(1) for c in ("n", "at", "base", "docs", "open")})
     assert sorted(map(tuple, token_files.document_tokens(blocks, 9).collect())) == [("a", 0, 0, 2, True), ("a", 1, 3, 1, False)]
+
+
+def test_files_larger_than_a_range(spark, tmp_path):
+    """One file of many ranges, one document across more than three of them, is read by many tasks."""
+    rng = np.random.default_rng(4)
+    ids = rng.choice([5, 6, 7, 9], 6000, p=[0.5, 0.3, 0.15, 0.05]).tolist()
+    ids[1000:1400] = [5] * 400  # ranges hold 64 ids
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    (folder / "big.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    (folder / "none.bin").write_bytes(b"")
+    want = [x[1:] for x in brute({"big": ids}, 9)]
+    got = token_files.file_tokens(spark, str(folder), 9, 128)
+    assert sorted(r[1:] for r in map(tuple, got.collect())) == want
+    blocks = token_files.read_blocks(spark, str(folder), 128)
+    assert blocks.count() == -(-12000 // 128) and blocks.rdd.getNumPartitions() > 1
+    assert sorted(r[1:] for r in map(tuple, token_files.document_tokens(blocks, 9).collect())) == want
