@@ -1,15 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled texts is the collection (``EXAMPLES`` of each label, a parameter; of near copies
-one). Its terms are
-words and their first four to six letters; those that toxic texts have far more often (G-test) are the
-vocabulary, at most ``TERMS``. Document frequencies come from all documents. Examples and texts are TF-IDF
-vectors over the vocabulary, of unit length. The examples' inverted index is cut into blocks of ``BLOCK``
-examples with each term's greatest weight in the block: the sum of these bounds the cosine of any example
-there, so blocks are read in order of their bounds until no bound reaches the k-th best cosine. The k
-neighbours are exact, the first of equal ones by place. They vote with weight 1 / (distance + 0.05); the
-vote is calibrated on the examples' own votes, each without itself, by isotonic regression with the labels
-weighted as they are among all labelled rows. Texts without any term take the share among such examples.
+one). Every word that two examples hold is a term. Document frequencies come from all documents. Examples and
+texts are TF-IDF vectors over all terms, of unit length, with a term's weight 1 + log(count) times log(documents
+/ documents with it) times the root of how far it depends on the examples' labels (G statistic); no term is left
+out. The examples' inverted index is cut into blocks of ``BLOCK`` examples with each term's greatest weight in
+the block: the sum of these bounds the cosine of any example there, so blocks are read in order of their bounds
+until no bound reaches the k-th best cosine. The k neighbours are exact, and all that tie with the k-th vote too.
+They vote with weight 1 / (distance + 0.05); the vote is calibrated on the examples' own votes, each without
+itself, by isotonic regression with the labels weighted as they are among all labelled rows. Texts without any
+term take the share among such examples.
 """
 
 from __future__ import annotations
@@ -21,20 +21,18 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm import shingles
-from rentlens.llm.common import ids_like, saved, slices, workers
-from rentlens.llm.near_dedup import signatures
+from rentlens.llm.common import ids_like, saved, workers
+from rentlens.llm.near_dedup import near_groups
 
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 3000, 2048, 64, 15
-#: G statistic from which a term depends on the label, and how many times as frequent it is with toxic texts as with
-#: clean ones (common words depend on it a little); least number of examples with the term, and as a share of the
-#: toxic ones (below it, the chance words of a few copies of one text pass the test).
-DEPENDS, TIMES, LEAST_DF, LEAST_SHARE = 20.0, 3.0, 5, 0.02
+EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 31
+#: How many times the examples are drawn, so that copies among them can be replaced.
+DRAWN = 2
+#: G statistic that a term has at least, so that none is without weight.
+LEAST_G = 0.1
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
 REJECT = 0.7
 
 
@@ -43,73 +41,46 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def terms_of(spelling: str) -> list[str]:
-    out = []
-    for w in WORD.findall(spelling.lower()):
-        out += [w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)]
-    return out
+def terms_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column("label").to_pylist()
         counts: Counter = Counter()
-        for text, y in zip(batch.column("text").to_pylist(), labels):
-            counts.update((t, y) for t in {t for s in set((text or "").split()) for t in terms_of(s)})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()),
-             pa.array(list(counts.values()), pa.int64())], ["term", "label", "n"])
-
-
-def _letter(c: str) -> bool:
-    return c.isalnum() and not c.isdecimal()
+        for text in batch.column("text").to_pylist():
+            counts.update(set(terms_of(text or "")))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                         ["term", "n"])
 
 
 class Vectors:
-    """Counts of the vocabulary's terms in texts, found by one Aho-Corasick automaton of all terms."""
+    """Counts of the vocabulary's terms in texts."""
 
     def __init__(self, vocabulary: list[str]):
-        import ahocorasick
-        at: dict[str, list[int]] = {}
-        for i, t in enumerate(vocabulary):
-            at.setdefault(t.rstrip("*"), [-1, -1])[t.endswith("*")] = i  # as a word, as the beginning of a longer one
-        self.automaton = ahocorasick.Automaton()
-        for t, (word, prefix) in at.items():
-            self.automaton.add_word(t, (len(t), word, prefix))
-        self.automaton.make_automaton()
-        self.empty = not vocabulary
+        self.at = {t: i for i, t in enumerate(vocabulary)}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if self.empty or not text:
-            return out
-        low = text.lower()
-        last = len(low) - 1
-        for end, (size, word, prefix) in self.automaton.iter(low):
-            start = end - size
-            if start >= 0 and _letter(low[start]):
-                continue
-            t = prefix if end < last and _letter(low[end + 1]) else word
-            if t >= 0:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-
-def _df_rows(vocabulary: list[str]):
+        at = self.at
+        return {at[t]: n for t, n in Counter(terms_of(text)).items() if t in at} if text and at else {}
+
+
+def _df_rows(vocabulary):
     def run(batches):
-        vectors = Vectors(vocabulary)
-        df = np.zeros(len(vocabulary) + 1, np.int64)
+        vectors = Vectors(vocabulary.value)
+        df = np.zeros(len(vocabulary.value) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 df[-1] += 1
                 df[list(vectors.counts(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int64()), pa.array(df)], ["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some])], ["term", "n"])
     return run
 
 
-def _count_rows(vocabulary: list[str]):
+def _count_rows(vocabulary):
     def run(batches):
-        vectors = Vectors(vocabulary)
+        vectors = Vectors(vocabulary.value)
         for batch in batches:
             got = [vectors.counts(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -118,76 +89,85 @@ def _count_rows(vocabulary: list[str]):
     return run
 
 
-#: MinHash values by which copies among the examples are found.
-COPY_SYMBOLS = 4
-
-
-def _copy_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offs in slices(batch.column("text"), shingles.SLICE):
-            sig = signatures(shingles.shingle_sets(data, offs, 5))[:, :COPY_SYMBOLS].astype(np.int32)
-            own = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, sig.T)],
-                                             [*batch.schema.names, *(f"s{i}" for i in range(COPY_SYMBOLS))])
+def without_copies(texts: DataFrame) -> DataFrame:
+    """Of examples (id, label, text) of one label that are near copies (80 % of their five-word shingles, confirmed on
+    full sets, and links of links) one stays: the chance words of a text copied fifty times would look telling."""
+    group = near_groups(texts.select(F.struct("id", "label").cast("string").alias("doc_id"), "text"), words=5, percent=80)
+    group = group.select(F.col("doc_id").alias("member"), "component_id").distinct()
+    keyed = texts.withColumn("member", F.struct("id", "label").cast("string")).join(group, "member")
+    return (keyed.groupBy("label", "component_id").agg(F.min_by(F.struct("id", "text"), F.struct(F.xxhash64(F.col("id").cast("string")), "id")).alias("r"))
+            .select("r.id", "label", "r.text"))
 
 
-def without_copies(texts: DataFrame) -> DataFrame:
-    """Of examples (id, label, text) with a MinHash value of their five-word shingles in common one stays: copies and
-    near copies of one text would make its chance words look telling. Texts shorter than that count as one shingle."""
-    marks = [f"s{i}" for i in range(COPY_SYMBOLS)]
-    out = workers(texts).mapInArrow(_copy_marks, f"id {ids_like(texts, 'id')}, label int, text string, " + ", ".join(f"{m} int" for m in marks))
-    for m in marks:
-        out = out.groupBy("label", m).agg(F.min(F.struct("id", "text", *[x for x in marks if x != m])).alias("r")).select("label", m, "r.*")
-    return out.select("id", "label", "text")
+def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers low[i] to low[i] + n[i] - 1 for each i, joined."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
     """Unit vectors as postings by term, with each term's greatest weight in each block of vectors."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.block, self.blocks = block, -(-len(vectors) // block)
+        self.block, self.blocks, self.size = block, -(-len(vectors) // block), len(vectors)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[order], weight[order], term[order]
-        self.block_of = self.doc // block
-        self.of_term = np.searchsorted(term, np.arange(n_terms + 1)).tolist()
-        cell = term * max(1, self.blocks) + self.block_of
+        self.doc, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
+        cell = term * max(1, self.blocks) + self.doc // block
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_block = self.block_of[starts]
+        self.start = np.append(starts, len(cell))  # the postings of each cell, a term in a block
+        self.cell_block = self.doc[starts] // block
         self.top = np.maximum.reduceat(self.weight, starts) if len(cell) else np.zeros(0)
-        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1)).tolist()
+        self.cells = np.searchsorted(term[starts], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k vectors with the greatest cosines over 0 (the first of equal ones), and the cosines. Blocks are read
-        in order of their bounds, 4 and then twice as many each time."""
-        query = list(zip(terms.tolist(), weights.tolist()))
-        bound = np.zeros(self.blocks)
-        for t, w in query:
-            at = slice(self.cells[t], self.cells[t + 1])
-            bound[self.cell_block[at]] += w * self.top[at]
+        """The k vectors with the greatest cosines over 0 and all that tie with the last of them (to 9 digits), and the
+        cosines, the greatest first. Blocks are read in order of their bounds, 8 and then twice as many each time."""
+        n = self.cells[terms + 1] - self.cells[terms]
+        cells, q = _spread(self.cells[terms], n), np.repeat(weights, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, q * self.top[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score = np.zeros(self.blocks * self.block)
-        read, most, kth = 0, 4, 0.0
-        while read < len(order) and bound[order[read]] + 1e-9 >= kth:
+        score = np.zeros(self.size)
+        read, most, kth = 0, 8, 0.0
+        while read < len(order) and bound[order[read]] + 2e-9 >= kth:
             now = np.zeros(self.blocks, bool)
             now[order[read:read + most]] = True
-            for t, w in query:
-                at = slice(self.of_term[t], self.of_term[t + 1])
-                own = now[self.block_of[at]]
-                score[self.doc[at][own]] += w * self.weight[at][own]
+            own = now[block]
+            c = cells[own]
+            m = self.start[c + 1] - self.start[c]
+            at = _spread(self.start[c], m)
+            score += np.bincount(self.doc[at], np.repeat(q[own], m) * self.weight[at], self.size)
             if without >= 0:
                 score[without] = 0
             read, most = read + most, most * 2
-            if np.count_nonzero(score) >= k:
+            if self.size >= k:
                 kth = np.partition(score, -k)[-k]
+        score = np.round(score, 9)
         hit = np.flatnonzero(score > 0)
-        best = hit[np.lexsort((hit, -np.round(score[hit], 9)))[:k]]
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        best = hit[np.lexsort((hit, -score[hit]))]
         return best, score[best]
 
 
+def dependence(n_terms: int, labels: list[int], counts: list[dict[int, int]]) -> np.ndarray:
+    """How far each term depends on the examples' labels: the G statistic of its 2 x 2 table, at least LEAST_G, over
+    the number of examples."""
+    y = np.array(labels, bool)
+    with_ = [np.bincount(np.array([t for c, own in zip(counts, y) if own == want for t in c], np.int64), minlength=n_terms)
+             for want in (True, False)]
+    total, n = with_[0] + with_[1], len(labels)
+    g = np.zeros(n_terms)
+    for got, size in zip(with_, (int(y.sum()), int((~y).sum()))):
+        for seen, all_of in ((got, total), (size - got, n - total)):
+            some = seen > 0
+            g[some] += 2 * seen[some] * np.log(seen[some] * n / (all_of[some] * size))
+    return np.maximum(g, LEAST_G) / max(1, n)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the increasing function nearest to y: least x of each step, value. Each step is mixed with ``prior``
     examples that have the mean label and weigh as the step's own do on average, so that a few examples alone do not
@@ -206,19 +186,21 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 10
 
 
 class Model:
-    """What workers score with; its size is bounded by EXAMPLES, TERMS and the terms of an example."""
+    """What workers score with; its size is bounded by EXAMPLES and the terms of an example."""
 
     def __init__(self, vocabulary, idf, ids, labels, counts, share: dict[int, float], k: int = NEIGHBOURS):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        some = sorted((i for i in range(len(ids)) if counts[i]), key=lambda i: (min(counts[i]), labels[i], str(ids[i])))
+        self.vocabulary, self.k = vocabulary, k
+        self.idf = idf * np.sqrt(dependence(len(vocabulary), labels, counts)) if ids else idf
+        # examples with the same heaviest terms are neighbours, so that blocks' bounds differ; places change no vote
+        vectors = {i: self.vector(counts[i]) for i in range(len(ids)) if counts[i]}
+        some = sorted(vectors, key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), str(ids[i])))
         self.ids, self.labels = [str(ids[i]) for i in some], np.array([labels[i] for i in some], float)
         self.weight = np.array([share[labels[i]] for i in some])
-        vectors = [self.vector(counts[i]) for i in some]
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+        self.index = BlockMaxIndex([vectors[i] for i in some], len(vocabulary))
         blank = [labels[i] for i in range(len(ids)) if not counts[i]]
         toxic, all_ = (sum(share[y] for y in blank if y or not one) for one in (True, False))
         self.blank = toxic / all_ if all_ else 0.0
-        raw = np.array([self.vote(*self.index.nearest(*v, k, i)) for i, v in enumerate(vectors)])
+        raw = np.array([self.vote(*self.index.nearest(*vectors[i], k, place)) for place, i in enumerate(some)])
         self.steps, self.values = isotonic(raw, self.labels, self.weight) if some else (np.zeros(1), np.zeros(1))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,46 +223,37 @@ class Model:
                                        for d, c in zip(docs[:3], cosines)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES,
-        terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """Learns from labelled rows that are not held out. ``labels``: ``id_col``, toxic (null: no label; of several
-    labels of an id the greatest counts). Without examples of both labels, every score is the labels' mean."""
+    labels of an id the greatest counts). Of DRAWN x ``examples`` rows of a label, in the order of their ids' hashes,
+    near copies go and the first ``examples`` stay. Without examples of both labels, every score is the labels' mean."""
     known = (labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
              .groupBy(id_col).agg(F.max("toxic").cast("int").alias("label")))
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64(F.col(id_col).cast("string"))
-    drawn = [r for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(order, id_col).limit(examples).collect()]
+    drawn = [r for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(order, id_col).limit(DRAWN * examples).collect()]
     spark = docs.sparkSession
-    sample = spark.createDataFrame([(r[0], r[1]) for r in drawn], known.schema).toDF("id", "label")  # 2 x examples rows
-    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(sample), "id").select("id", "label", "text"))
-    texts = saved(without_copies(texts))  # at most 2 x examples rows
+    sample = spark.createDataFrame([(r[0], r[1]) for r in drawn], known.schema).toDF("id", "label")  # 2 x DRAWN x examples rows
+    texts = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+                  .join(F.broadcast(sample), "id").select("id", "label", "text"))
+    single = without_copies(texts)
+    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")  # 2 groups of that bound
+    texts = saved(single.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= examples).drop("place"))
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     vocabulary: list[str] = []
     if n.get(0) and n.get(1):
-        seen = (workers(texts).mapInArrow(_term_rows, "term string, label int, n long").groupBy("term")
-                .agg(F.sum(F.expr("if(label = 1, n, 0L)")).alias("t"), F.sum(F.expr("if(label = 1, 0L, n)")).alias("c"))
-                .filter(F.col("t") + F.col("c") >= max(LEAST_DF, LEAST_SHARE * n[1])))
-        nt, nc = float(n[1]), float(n[0])
-
-        def part(got, all_of, share):
-            want = all_of * share
-            return F.when(got > 0, got * F.log(got / want)).otherwise(0.0)
-        with_, without = F.col("t") + F.col("c"), nt + nc - F.col("t") - F.col("c")
-        g = 2 * (part(F.col("t"), with_, nt / (nt + nc)) + part(F.col("c"), with_, nc / (nt + nc))
-                 + part(nt - F.col("t"), without, nt / (nt + nc)) + part(nc - F.col("c"), without, nc / (nt + nc)))
-        apart = F.col("t") / nt >= TIMES * F.col("c") / nc
-        vocabulary = [r["term"] for r in seen.withColumn("g", g).filter((F.col("g") >= DEPENDS) & apart)
-                      .orderBy(F.desc("g"), "term").limit(terms).collect()]
+        vocabulary = [r["term"] for r in workers(texts).mapInArrow(_term_rows, "term string, n long").groupBy("term")
+                      .agg(F.sum("n").alias("n")).filter("n >= 2").select("term").orderBy("term").collect()]
     if not vocabulary:
         model = Model([], np.zeros(0), [], [], [], {})
         model.blank = total.get(1, 0) / max(1, sum(total.values()))
         return model
+    sent = spark.sparkContext.broadcast(vocabulary)  # bounded by the examples' words
     every = docs.select(F.col(text_col).cast("string").alias("text"))
-    df = dict(map(tuple, workers(every).mapInArrow(_df_rows(vocabulary), "term long, n long").groupBy("term")
+    df = dict(map(tuple, workers(every).mapInArrow(_df_rows(sent), "term long, n long").groupBy("term")
                   .agg(F.sum("n")).collect()))  # a row per term
-    idf = np.array([log((1 + df[len(vocabulary)]) / (1 + df[i])) + 1 for i in range(len(vocabulary))])
-    rows = texts.mapInArrow(_count_rows(vocabulary), f"id {ids_like(texts, 'id')}, label int, terms array<int>, counts array<int>").collect()
+    idf = np.array([log((1 + df[len(vocabulary)]) / (1 + df[i])) + 1e-3 for i in range(len(vocabulary))])
+    rows = texts.mapInArrow(_count_rows(sent), f"id {ids_like(texts, 'id')}, label int, terms array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: str(r["id"]))
     return Model(vocabulary, idf, [r["id"] for r in rows], [r["label"] for r in rows],
                  [dict(zip(r["terms"], r["counts"])) for r in rows], {y: total[y] / n[y] for y in n})
@@ -289,17 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score_rows(model):
     def run(batches):
         m = model.value
-        vectors, known = Vectors(m.vocabulary), {}
+        vectors = Vectors(m.vocabulary)
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column("text").to_pylist():
-                counts = vectors.counts(text)
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = m.score(counts)
-                s, near = known[key]
+                s, near = m.score(vectors.counts(text))
                 scores.append(s)
                 evidence.append([{"id": i, "toxic": y, "cosine": c} for i, y, c in near])
             kind = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))

@@ -17,8 +17,8 @@ def test_held_out_labels_are_predicted(spark):
     q = p.join(y, how="inner")
     q = q[q.held_out]
     toxic, clean = q[q.toxic == 1], q[q.toxic == 0]
-    assert len(toxic) > 100 and clean.predicted.mean() <= 0.01  # words of three languages are telling in part only
-    assert toxic.predicted.mean() >= 0.7 and (q.predicted == q.toxic).mean() >= 0.96
+    assert len(toxic) > 100 and clean.predicted.mean() <= 0.005
+    assert toxic.predicted.mean() >= 0.8 and (p.evidence.str.len() > 0).mean() >= 0.95 and (q.predicted == q.toxic).mean() >= 0.96
     ranks = q.score.rank()
     assert (ranks[q.toxic == 1].sum() - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean)) >= 0.95
 
@@ -37,7 +37,8 @@ def test_block_max_search_is_exact():
     for i in range(0, 700, 7):
         cos = np.round(dense @ dense[i], 9)
         cos[i] = -1
-        want = [d for d in np.lexsort((np.arange(700), -cos))[:15] if cos[d] > 0]
+        kth = np.sort(cos)[-15]  # all that tie with the 15th are neighbours
+        want = [d for d in np.lexsort((np.arange(700), -cos)) if cos[d] > 0 and cos[d] >= kth]
         docs, scores = index.nearest(*vectors[i], 15, i)
         assert docs.tolist() == want and np.allclose(scores, cos[want])
 
