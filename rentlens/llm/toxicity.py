@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ from rentlens.llm.near_dedup import near_groups
 EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 31
 #: How many times the examples are drawn, so that copies among them can be replaced.
 DRAWN = 2
+#: Frequent terms whose weights are kept as a matrix, and queries multiplied with it at once.
+DENSE, TOGETHER = 512, 128
 #: G statistic that a term has at least, so that none is without weight.
 LEAST_G = 0.1
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,9 +71,14 @@ def _df_rows(vocabulary):
         vectors = Vectors(vocabulary.value)
         df = np.zeros(len(vocabulary.value) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[-1] += 1
-                df[list(vectors.counts(text))] += 1
+            at, seen = vectors.at, []
+            for text in batch.column(0):
+                seen += [at[t] for t in set(terms_of(text.as_py() or "")) if t in at]
+                if len(seen) > 1 << 16:
+                    df += np.bincount(seen, minlength=len(df))
+                    seen = []
+            df += np.bincount(np.array(seen, np.int64), minlength=len(df))
+            df[-1] += len(batch)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some])], ["term", "n"])
     return run
@@ -82,10 +88,10 @@ def _count_rows(vocabulary):
     def run(batches):
         vectors = Vectors(vocabulary.value)
         for batch in batches:
-            got = [vectors.counts(t) for t in batch.column("text").to_pylist()]
+            got = [_arrays(vectors.counts(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([list(g) for g in got], pa.list_(pa.int32())),
-                 pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
+                [batch.column("id"), batch.column("label"), *(pa.array([x.astype(np.int32).tobytes() for x in side], pa.binary())
+                                                                       for side in (zip(*got) if got else ((), ())))], ["id", "label", "terms", "counts"])
     return run
 
 
@@ -105,13 +111,23 @@ def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors as postings by term, with each term's greatest weight in each block of vectors."""
+    """Unit vectors as postings by term, with each term's greatest weight in each block of vectors. The postings of the
+    ``DENSE`` terms that most vectors have are rows of a matrix."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.block, self.blocks, self.size = block, -(-len(vectors) // block), len(vectors)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        held = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-held, kind="stable")[:DENSE]
+        often = often[held[often] * 16 > self.size]
+        self.row = np.full(n_terms, -1, np.int32)  # in the matrix
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.blocks * block))
+        own = self.row[term] >= 0
+        self.matrix[self.row[term[own]], doc[own]] = weight[own]
+        term, weight, doc = term[~own], weight[~own], doc[~own]
         order = np.lexsort((doc, term))
         self.doc, self.weight, term = doc[order].astype(np.int32), weight[order], term[order]
         cell = term * max(1, self.blocks) + self.doc // block
@@ -123,14 +139,37 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k vectors with the greatest cosines over 0 and all that tie with the last of them (to 9 digits), and the
-        cosines, the greatest first. Blocks are read in order of their bounds, 8 and then twice as many each time."""
+        cosines, the greatest first."""
+        return self.all_nearest([(terms, weights)], k, [without])[0]
+
+    def all_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None):
+        """``nearest`` of each query; what frequent terms add is one matrix product of ``TOGETHER`` queries."""
+        out = []
+        for a in range(0, len(queries), TOGETHER):
+            some = queries[a:a + TOGETHER]
+            q = np.zeros((len(some), len(self.matrix)))
+            rest = []
+            for i, (terms, weights) in enumerate(some):
+                row = self.row[terms]
+                q[i, row[row >= 0]] = weights[row >= 0]
+                rest.append((terms[row < 0], weights[row < 0]))
+            scores = q @ self.matrix
+            out += [self._rest(scores[i], *rest[i], k, without[a + i] if without else -1) for i in range(len(some))]
+        return out
+
+    def _rest(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int):
+        """Adds the other terms' part to the scores, block by block in order of their bounds, 8 and then twice as many
+        each time: a block's bound is its best score so far and each term's greatest weight there."""
         n = self.cells[terms + 1] - self.cells[terms]
         cells, q = _spread(self.cells[terms], n), np.repeat(weights, n)
         block = self.cell_block[cells]
-        bound = np.bincount(block, q * self.top[cells], self.blocks)
+        more = np.bincount(block, q * self.top[cells], self.blocks)
+        if without >= 0:
+            score[without] = -1e9
+        bound = score.reshape(-1, self.block).max(1) + more
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score = np.zeros(self.size)
+        done = np.zeros(len(score))
         read, most, kth = 0, 8, 0.0
         while read < len(order) and bound[order[read]] + 2e-9 >= kth:
             now = np.zeros(self.blocks, bool)
@@ -139,26 +178,37 @@ class BlockMaxIndex:
             c = cells[own]
             m = self.start[c + 1] - self.start[c]
             at = _spread(self.start[c], m)
-            score += np.bincount(self.doc[at], np.repeat(q[own], m) * self.weight[at], self.size)
-            if without >= 0:
-                score[without] = 0
+            here = np.repeat(now, self.block)
+            done[here] = (score + np.bincount(self.doc[at], np.repeat(q[own], m) * self.weight[at], len(score)))[here]
             read, most = read + most, most * 2
-            if self.size >= k:
-                kth = np.partition(score, -k)[-k]
-        score = np.round(score, 9)
-        hit = np.flatnonzero(score > 0)
+            if len(done) >= k:
+                kth = np.partition(done, -k)[-k]
+        done = np.round(done, 9)
+        hit = np.flatnonzero(done > 0)
         if len(hit) > k:
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-        best = hit[np.lexsort((hit, -score[hit]))]
-        return best, score[best]
+            hit = hit[done[hit] >= np.partition(done[hit], -k)[-k]]
+        best = hit[np.lexsort((hit, -done[hit]))]
+        return best, done[best]
 
 
-def dependence(n_terms: int, labels: list[int], counts: list[dict[int, int]]) -> np.ndarray:
+Counts = dict[int, int] | tuple[np.ndarray, np.ndarray]
+
+
+def _arrays(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order, and their counts."""
+    if isinstance(counts, dict):
+        t, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(t)
+        return t[order], n[order]
+    return counts
+
+
+def dependence(n_terms: int, labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """How far each term depends on the examples' labels: the G statistic of its 2 x 2 table, at least LEAST_G, over
     the number of examples."""
     y = np.array(labels, bool)
-    with_ = [np.bincount(np.array([t for c, own in zip(counts, y) if own == want for t in c], np.int64), minlength=n_terms)
-             for want in (True, False)]
+    with_ = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), own in zip(counts, y) if own == want)]),
+                         minlength=n_terms) for want in (True, False)]
     total, n = with_[0] + with_[1], len(labels)
     g = np.zeros(n_terms)
     for got, size in zip(with_, (int(y.sum()), int((~y).sum()))):
@@ -190,22 +240,24 @@ class Model:
 
     def __init__(self, vocabulary, idf, ids, labels, counts, share: dict[int, float], k: int = NEIGHBOURS):
         self.vocabulary, self.k = vocabulary, k
+        counts = [_arrays(c) for c in counts]
         self.idf = idf * np.sqrt(dependence(len(vocabulary), labels, counts)) if ids else idf
         # examples with the same heaviest terms are neighbours, so that blocks' bounds differ; places change no vote
-        vectors = {i: self.vector(counts[i]) for i in range(len(ids)) if counts[i]}
+        vectors = {i: self.vector(counts[i]) for i in range(len(ids)) if len(counts[i][0])}
         some = sorted(vectors, key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:8]].tolist(), str(ids[i])))
         self.ids, self.labels = [str(ids[i]) for i in some], np.array([labels[i] for i in some], float)
         self.weight = np.array([share[labels[i]] for i in some])
         self.index = BlockMaxIndex([vectors[i] for i in some], len(vocabulary))
-        blank = [labels[i] for i in range(len(ids)) if not counts[i]]
+        blank = [labels[i] for i in range(len(ids)) if not len(counts[i][0])]
         toxic, all_ = (sum(share[y] for y in blank if y or not one) for one in (True, False))
         self.blank = toxic / all_ if all_ else 0.0
-        raw = np.array([self.vote(*self.index.nearest(*vectors[i], k, place)) for place, i in enumerate(some)])
+        near = self.index.all_nearest([vectors[i] for i in some], k, list(range(len(some))))
+        raw = np.array([self.vote(*x) for x in near])
         self.steps, self.values = isotonic(raw, self.labels, self.weight) if some else (np.zeros(1), np.zeros(1))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = np.array([1 + log(counts[i]) for i in t.tolist()]) * self.idf[t]
+    def vector(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        t, n = _arrays(counts)
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> float:
@@ -214,13 +266,17 @@ class Model:
         w = self.weight[docs] / (1.05 - np.minimum(cosines, 1))
         return float((w * self.labels[docs]).sum() / w.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[str, int, float]]]:
-        if not counts:
-            return self.blank, []
-        docs, cosines = self.index.nearest(*self.vector(counts), self.k)
-        i = max(0, int(np.searchsorted(self.steps, self.vote(docs, cosines) + 1e-12)) - 1)
-        return float(self.values[i]), [(self.ids[d], int(self.labels[d]), round(float(c), 6))
-                                       for d, c in zip(docs[:3], cosines)]
+    def score(self, counts: Counts) -> tuple[float, list[tuple[str, int, float]]]:
+        return self.scores([counts])[0]
+
+    def scores(self, counts: list[Counts]) -> list[tuple[float, list[tuple[str, int, float]]]]:
+        """Each text's score and evidence."""
+        some = [i for i, c in enumerate(counts) if len(_arrays(c)[0])]
+        out: list = [(self.blank, [])] * len(counts)
+        for i, (docs, cosines) in zip(some, self.index.all_nearest([self.vector(counts[i]) for i in some], self.k)):
+            at = max(0, int(np.searchsorted(self.steps, self.vote(docs, cosines) + 1e-12)) - 1)
+            out[i] = float(self.values[at]), [(self.ids[d], int(self.labels[d]), round(float(c), 6)) for d, c in zip(docs[:3], cosines)]
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
@@ -242,21 +298,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     vocabulary: list[str] = []
     if n.get(0) and n.get(1):
-        vocabulary = [r["term"] for r in workers(texts).mapInArrow(_term_rows, "term string, n long").groupBy("term")
-                      .agg(F.sum("n").alias("n")).filter("n >= 2").select("term").orderBy("term").collect()]
+        vocabulary = (workers(texts).mapInArrow(_term_rows, "term string, n long").groupBy("term")
+                      .agg(F.sum("n").alias("n")).filter("n >= 2").select("term").orderBy("term").toArrow()["term"].to_pylist())
     if not vocabulary:
         model = Model([], np.zeros(0), [], [], [], {})
         model.blank = total.get(1, 0) / max(1, sum(total.values()))
         return model
     sent = spark.sparkContext.broadcast(vocabulary)  # bounded by the examples' words
     every = docs.select(F.col(text_col).cast("string").alias("text"))
-    df = dict(map(tuple, workers(every).mapInArrow(_df_rows(sent), "term long, n long").groupBy("term")
-                  .agg(F.sum("n")).collect()))  # a row per term
-    idf = np.array([log((1 + df[len(vocabulary)]) / (1 + df[i])) + 1e-3 for i in range(len(vocabulary))])
-    rows = texts.mapInArrow(_count_rows(sent), f"id {ids_like(texts, 'id')}, label int, terms array<int>, counts array<int>").collect()
+    found = (workers(every).mapInArrow(_df_rows(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+             .toArrow())  # a row per term
+    df = np.zeros(len(vocabulary) + 1)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
+    rows = texts.mapInArrow(_count_rows(sent), f"id {ids_like(texts, 'id')}, label int, terms binary, counts binary").collect()
     rows.sort(key=lambda r: str(r["id"]))
     return Model(vocabulary, idf, [r["id"] for r in rows], [r["label"] for r in rows],
-                 [dict(zip(r["terms"], r["counts"])) for r in rows], {y: total[y] / n[y] for y in n})
+                 [tuple(np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("terms", "counts")) for r in rows], {y: total[y] / n[y] for y in n})
+
+
+def _scores(model: Model, vectors: Vectors, texts: pa.Array) -> Iterator[tuple[float, list]]:
+    """Each text's score and evidence, TOGETHER texts at a time."""
+    for a in range(0, len(texts), TOGETHER):
+        yield from model.scores([vectors.counts(t.as_py()) for t in texts.slice(a, TOGETHER)])
 
 
 def _score_rows(model):
@@ -265,8 +329,7 @@ def _score_rows(model):
         vectors = Vectors(m.vocabulary)
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column("text").to_pylist():
-                s, near = m.score(vectors.counts(text))
+            for s, near in _scores(m, vectors, batch.column("text")):
                 scores.append(s)
                 evidence.append([{"id": i, "toxic": y, "cosine": c} for i, y, c in near])
             kind = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
@@ -292,7 +355,7 @@ def _keep_rows(model, text_at: int):
         m = model.value
         vectors = Vectors(m.vocabulary)
         for batch in batches:
-            keep = [m.score(vectors.counts(t))[0] < REJECT for t in batch.column(text_at).to_pylist()]
+            keep = [s < REJECT for s, _ in _scores(m, vectors, batch.column(text_at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return run
 
