@@ -14,6 +14,8 @@ from rentlens.llm.common import saved, table
 
 #: Tokens of a sequence, the id that ends a document, the tokenizer's file.
 CAPACITY, END_ID, TOKENIZER = 4096, 1, public_tokenizers.path("word_bpe_49k.json")
+#: Words whose ids a worker keeps: few, since workers live through all stages.
+KEPT_WORDS = 1 << 17
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 4096: one row per piece, with its place."""
-    return packing.packed_documents(docs, TOKENIZER, CAPACITY, END_ID)
+    return packing.packed_documents(docs, TOKENIZER, CAPACITY, END_ID, kept_words=KEPT_WORDS)
 
 
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
