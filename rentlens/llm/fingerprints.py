@@ -11,8 +11,11 @@ without words has none.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rentlens.llm.common import text_or_empty
 
@@ -77,31 +80,57 @@ def digest(a: Column) -> Column:
                               F.array_join(a["hashes"].cast("array<string>"), ",")), 256)
 
 
+def _order_key(docs: DataFrame, order: str, low, high) -> Column:
+    """A double that never falls when ``order`` rises (numbers: themselves; strings: six bytes after what all begin
+    with), nulls before all."""
+    key = F.col(order)
+    if isinstance(docs.schema[order].dataType, StringType):
+        rest = F.substring(key, len(commonprefix([low or "", high or ""])) + 1, 6)
+        key = F.conv(F.rpad(F.substring(F.hex(F.encode(rest, "UTF-8")), 1, 12), 12, "0"), 16, 10)
+    return F.coalesce(key.cast("double"), F.lit(float("-inf")))
+
+
+def with_buckets(docs: DataFrame, order: str) -> DataFrame:
+    """``docs`` and __bucket, which never falls when ``order`` rises: about BUCKET_ROWS rows each however the values are
+    spread, for the cuts are quantiles (within a quarter of a bucket). Equal values share a bucket."""
+    low, high, n = docs.agg(F.min(order), F.max(order), F.count("*")).first()
+    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
+    key = _order_key(docs, order, low, high)
+    cuts = docs.select(key.alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
+    cuts = sorted({c for c in cuts if c > float("-inf")})
+    if not cuts:
+        return docs.withColumn("__bucket", F.lit(0))
+    limits = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    # the number of cuts that the key reaches, found by halving
+    reached = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) <= F.col("__key"), at + step).otherwise(at))
+    return docs.withColumn("__key", key).withColumn("__bucket", reached).drop("__key")
+
+
 def with_next(docs: DataFrame, order: str, ties: str, carry: list[str], there=lambda df: df) -> DataFrame:
-    """``docs`` and the columns next_<c> for c in ``carry``, of the next row by the integer ``order`` (nulls first,
-    then by ``ties``); after the last row comes the first. The ids' range is cut into equal buckets; the first
+    """``docs`` and the columns next_<c> for c in ``carry``, of the next row by ``order`` (numbers or strings; nulls first,
+    then by ``ties``); after the last row comes the first. The rows are cut into buckets of neighbours; the first
     row of each bucket is also sent to the bucket before it, so no task sees more than a bucket. ``there`` adds
     columns where rows have arrived, so that they need not be shuffled."""
-    low, high, n = docs.agg(F.min(order), F.max(order), F.count("*")).first()
-    low, high = (0, 0) if low is None else (int(low) - 1, int(high))
-    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    width = (high - low) // buckets + 1
-    at = F.coalesce(F.col(order).cast("long"), F.lit(low))
-    placed = docs.withColumn("__at", at).withColumn("__bucket", F.expr(f"(__at - ({low}L)) div {width}L"))
-    firsts = {r[0]: r[1] for r in placed.groupBy("__bucket").agg(F.min("__at")).collect()}  # at most MOST_BUCKETS
+    placed = with_buckets(docs, order)
+    text = isinstance(docs.schema[order].dataType, StringType)
+
+    def shown(c: Column) -> Column:  # without commas
+        return F.coalesce(F.hex(F.encode(c, "UTF-8")) if text else c.cast("string"), F.lit("null"))
+    least = F.when(F.count(F.when(F.col(order).isNull(), 1)) == 0, F.min(order))
+    firsts = dict(map(tuple, placed.groupBy("__bucket").agg(shown(least)).collect()))  # at most MOST_BUCKETS
     filled = sorted(firsts)
     before = dict(zip(filled, filled[-1:] + filled[:-1]))
     lists = [",".join(str(d.get(b, "")) for b in range(max(filled, default=0) + 1)) for d in (firsts, before)]
     first_at, send_to = (F.split(F.lit(s), ",") for s in lists)
-    here = F.col("__bucket").cast("int")
-    is_first = F.get(first_at, here).cast("long") == F.col("__at")
+    is_first = F.get(first_at, F.col("__bucket")) == shown(F.col(order))
     own = F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("sent"))
-    sent = F.struct(F.get(send_to, here).cast("long").alias("bucket"), F.lit(True).alias("sent"))
+    sent = F.struct(F.get(send_to, F.col("__bucket")).cast("int").alias("bucket"), F.lit(True).alias("sent"))
     dealt = placed.withColumn("__to", F.explode(F.when(is_first, F.array(own, sent)).otherwise(F.array(own))))
     dealt = dealt.withColumns({"__bucket": F.col("__to.bucket"), "__sent": F.col("__to.sent")}).drop("__to")
-    w = Window.partitionBy("__bucket").orderBy("__sent", "__at", ties)
+    w = Window.partitionBy("__bucket").orderBy("__sent", order, ties)
     return (there(dealt.repartition("__bucket")).withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
-            .filter("not __sent").drop("__at", "__bucket", "__sent"))
+            .filter("not __sent").drop("__bucket", "__sent"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -109,7 +138,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the text's fingerprint to that of its edited text and that of the next document.
 
     The edited text has its last n_chars / 4 (rounded down) code points replaced by the first as many, or all, of
-    the next document's by ascending id. Null counts as empty; null ids come first; rows with the same id follow
+    the next document's by ascending id (a number or a string). Null counts as empty; null ids come first; rows with the same id follow
     each other by text. One row alone is its own next. An empty table gives an empty result; other columns are
     ignored.
     """

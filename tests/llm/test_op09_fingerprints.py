@@ -4,6 +4,7 @@ import re
 import string
 import struct
 
+import pytest
 import xxhash
 
 from rentlens.llm import fingerprints, queries
@@ -123,3 +124,19 @@ def test_a_long_line_takes_time_in_proportion(spark):
     rows = [(1, "".join(rng.choices(string.ascii_lowercase, k=100_000)))]
     got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got[0].fingerprint.positions) > 30_000
+
+
+@pytest.mark.parametrize("kind", ["outlier", "string"])
+def test_next_rows_of_ids_of_any_spread(spark, monkeypatch, kind):
+    """Outliers, the least and the greatest long, nulls, ids that are no numbers: buckets stay near their size."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 100)
+    ids = [None, *range(2000), 2 ** 61, 2 ** 63 - 1, -2 ** 63]
+    if kind == "string":
+        ids = [None if i is None else f"doc,{i:x}é" for i in ids] + ["", "doc,"]
+    rows = [(i, f"text of {i}") for i in ids]
+    df = spark.createDataFrame(rows, f"id {'string' if kind == 'string' else 'long'}, text string").repartition(5)
+    got = {r.id: r.next_text for r in fingerprints.with_next(df, "id", "text", ["text"]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0].encode() if isinstance(r[0], str) else r[0] or 0))
+    assert got == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    sizes = [r["count"] for r in fingerprints.with_buckets(df, "id").groupBy("__bucket").count().collect()]
+    assert max(sizes) <= (400 if kind == "outlier" else 1200)
