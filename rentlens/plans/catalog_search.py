@@ -47,6 +47,15 @@ def q_similar_vectors_same_label(spark, sf):
     return _run(spark, sf, True)
 
 
+@register("similar_vectors_lsh", None)
+def q_similar_vectors_lsh(spark, sf):
+    """K1 approximate: the top-8 neighbours of every fiftieth vector among all, by random projections."""
+    emb = table(spark, sf, "embeddings", "vec_id", "embedding")
+    top = SIM.topk_lsh(emb.filter("vec_id % 50 = 0"), emb, K, q_id="vec_id", q_vec="embedding", i_id="vec_id", i_vec="embedding",
+                       exclude_self=True, decimals=9)
+    return top.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
 # ------------------------------------------------------ listings (K1 + J5) ---
 
 def _key_id(cols=("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")):
