@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import ids_like, saved, workers
-from rentlens.llm.near_dedup import near_groups
+from rentlens.llm import shingles
+from rentlens.llm.common import ids_like, saved, slices, workers
+from rentlens.llm.near_dedup import signatures
 
 EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 31
 #: How many times the examples are drawn, so that copies among them can be replaced.
@@ -95,14 +96,44 @@ def _count_rows(vocabulary):
     return run
 
 
+def first_of_copies(sets: list[np.ndarray], sigs: np.ndarray, percent: int = 80) -> list[int]:
+    """The rows that stay, in order: of near copies (``percent`` of their shingle sets, confirmed), and rows linked through
+    near copies, the first. Rows that share four neighbouring MinHash values are compared. Empty sets stay."""
+    group = np.arange(len(sets))
+    for at in range(0, sigs.shape[1], 4):
+        buckets: dict[bytes, list[int]] = {}
+        for row in range(len(sets)):
+            if len(sets[row]):
+                buckets.setdefault(sigs[row, at:at + 4].tobytes(), []).append(row)
+        for rows in (np.array(b) for b in buckets.values() if len(b) > 1):
+            for j in range(1, len(rows)):
+                row, apart = rows[j], rows[:j][group[rows[:j]] != group[rows[j]]]
+                # values agree in five standard errors less than the share, or the sets need not be looked at
+                near = apart[np.count_nonzero(sigs[apart] == sigs[row], axis=1) * 100 >= (percent - 18) * sigs.shape[1]]
+                for other in near.tolist():
+                    if group[other] != group[row]:
+                        both = shingles.shared(sets[other], sets[row])
+                        if both * 100 >= percent * (len(sets[other]) + len(sets[row]) - both):
+                            low, high = sorted((group[other], group[row]))
+                            group[group == high] = low
+    return np.flatnonzero(group == np.arange(len(sets))).tolist()
+
+
+def _single(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("place", "ascending")])
+    sets, sigs = [], [np.zeros((0, 4), np.uint16)]
+    for _, _, data, offs in slices(table.column("text"), shingles.SLICE):
+        some = shingles.shingle_sets(data, offs, 5)
+        sets += some
+        sigs.append(signatures(some))
+    return table.select(["id", "label"]).take(first_of_copies(sets, np.concatenate(sigs[1:] or sigs)))
+
+
 def without_copies(texts: DataFrame) -> DataFrame:
-    """Of examples (id, label, text) of one label that are near copies (80 % of their five-word shingles, confirmed on
-    full sets, and links of links) one stays: the chance words of a text copied fifty times would look telling."""
-    group = near_groups(texts.select(F.struct("id", "label").cast("string").alias("doc_id"), "text"), words=5, percent=80)
-    group = group.select(F.col("doc_id").alias("member"), "component_id").distinct()
-    keyed = texts.withColumn("member", F.struct("id", "label").cast("string")).join(group, "member")
-    return (keyed.groupBy("label", "component_id").agg(F.min_by(F.struct("id", "text"), F.struct(F.xxhash64(F.col("id").cast("string")), "id")).alias("r"))
-            .select("r.id", "label", "r.text"))
+    """Of the examples drawn (id, label, text), those (id, label) that stay when near copies of one label count once: the
+    chance words of a text copied fifty times would look telling. A label's examples, bounded in number, are one task."""
+    placed = texts.withColumn("place", F.xxhash64(F.col("id").cast("string")))
+    return workers(placed).groupBy("label").applyInArrow(_single, f"id {ids_like(texts, 'id')}, label int")
 
 
 def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -292,9 +323,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = spark.createDataFrame([(r[0], r[1]) for r in drawn], known.schema).toDF("id", "label")  # 2 x DRAWN x examples rows
     texts = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
                   .join(F.broadcast(sample), "id").select("id", "label", "text"))
-    single = without_copies(texts)
-    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")  # 2 groups of that bound
-    texts = saved(single.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= examples).drop("place"))
+    kept = {tuple(r) for r in without_copies(texts).collect()}
+    chosen = [(i, y) for y in (0, 1) for i in [r[0] for r in drawn if (r[0], y) in kept][:examples]]
+    chosen = spark.createDataFrame(chosen, known.schema).toDF("id", "label")
+    texts = saved(texts.join(F.broadcast(chosen), ["id", "label"], "left_semi"))
     n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     vocabulary: list[str] = []
     if n.get(0) and n.get(1):
