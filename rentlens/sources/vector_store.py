@@ -3,7 +3,8 @@
 A store is a folder with ``data/load=<id>/part=<city>`` (Parquet files that never change) and ``manifest/version=<n>``
 (one row per city: the load that holds it). An upsert rewrites only the cities it touches, as a new load: their rows
 without the batch's keys, and the batch. Its manifest is one file, written last, so readers, who follow the greatest
-version, see either the old or the new state: a writer that dies before has changed nothing (its load is never read).
+version, see either the old or the new state. Tasks write their rows of each city where they are, without a shuffle to
+fewer files: a writer that dies before has changed nothing (its load is never read).
 One writer at a time; each has its own load id.
 """
 
@@ -65,23 +66,46 @@ def _publish(spark: SparkSession, root: str, version: int, held: list[tuple[str,
     spark.createDataFrame(rows, "part string, load string, version long").coalesce(1).write.mode("append").partitionBy("version").parquet(f"{root}/manifest")
 
 
+def _one_per_key(batch: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row of each key. Hashes of the keys are counted first, so that only rows whose key comes again (or shares its
+    hash) are grouped: whole rows of keys that come once are not shuffled."""
+    hashed = batch.withColumn("_h", F.xxhash64(key))
+    again = materialize(hashed.groupBy("_h").count().filter("count > 1").select("_h"))
+    if again.isEmpty():
+        return batch
+    others = [c for c in batch.columns if c != key]
+    pick = F.max_by(F.struct(*others), F.col(order)) if order else F.first(F.struct(*others))
+    picked = hashed.join(again, "_h", "left_semi").groupBy(key).agg(pick.alias("_r")).select(
+        key, *[F.col("_r")[c].alias(c) for c in others]).select(*batch.columns)
+    return hashed.join(again, "_h", "left_anti").select(*batch.columns).unionByName(picked)
+
+
 def upsert(batch: DataFrame, root: str, key: str = "listing_key", city: str = "city", order: str | None = None) -> int:
     """Rows of ``batch`` replace those with the same key, whatever their city; the others stay. Of several rows of a key
     in the batch the one with the greatest ``order`` counts (any one without ``order``). Returns the new version."""
     spark, schema = batch.sparkSession, batch.schema
     version, held = _manifest(spark, root)
-    others = [c for c in batch.columns if c != key]
-    pick = F.max_by(F.struct(*others), F.col(order)) if order else F.first(F.struct(*others))
-    new = materialize(batch.groupBy(key).agg(pick.alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*batch.columns))
-    part = F.coalesce(F.col(city).cast("string"), F.lit(NO_CITY))
-    old = _rows(spark, root, held, schema)
-    # cities of the batch, and those that hold its keys now: a listing may have moved
-    touched = {r[0] for r in new.select(part).distinct().collect()}
-    touched |= {r[0] for r in old.select(key, part.alias("p")).join(new.select(key), key, "left_semi").select("p").distinct().collect()}
-    kept = _rows(spark, root, [(p, x) for p, x in held if p in touched], schema).join(new.select(key), key, "left_anti").select(*batch.columns)
     load = uuid.uuid4().hex
-    rows = kept.unionByName(new).withColumn("part", part)
-    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("part").parquet(f"{root}/data/load={load}")
-    filled = {r[0] for r in rows.select("part").distinct().collect()}
+    part = F.coalesce(F.nullif(F.col(city).cast("string"), F.lit("")), F.lit(NO_CITY))
+
+    def write(rows: DataFrame) -> None:
+        rows.withColumn("part", part).write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{root}/data/load={load}")
+
+    def written() -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        return spark.read.schema(f"{kinds}, part string").parquet(f"{root}/data/load={load}")
+    write(_one_per_key(batch, key, order))
+    new = written().select(key)
+    if not held:
+        filled = {r[0] for r in written().select("part").distinct().collect()}
+        _publish(spark, root, version + 1, [(p, load) for p in filled])
+        return version + 1
+    # cities of the batch, and of the others those that hold its keys now: a listing may have moved
+    touched = {r[0] for r in written().select("part").distinct().collect()}
+    if others := [(p, x) for p, x in held if p not in touched]:
+        old = _rows(spark, root, others, schema).select(key, part.alias("p"))
+        touched |= {r[0] for r in old.join(new, key, "left_semi").select("p").distinct().collect()}
+    write(_rows(spark, root, [(p, x) for p, x in held if p in touched], schema).join(new, key, "left_anti").select(*batch.columns))
+    filled = {r[0] for r in written().select("part").distinct().collect()}
     _publish(spark, root, version + 1, [(p, x) for p, x in held if p not in touched] + [(p, load) for p in filled])
     return version + 1

@@ -114,3 +114,13 @@ def test_rejects_keep_file_and_line(spark, tmp_path):
         assert listings.agg(F.min("rent")).first()[0] == 1002
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_only_rows_of_repeated_keys_are_grouped(spark, tmp_path):
+    data = [(f"k{i}", "Pune", i, 1) for i in range(50)]
+    once = VS._one_per_key(batch(spark, data), "listing_key", None)
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == 50
+    twice = batch(spark, [*data, ("k3", "Goa", 99, 2), (None, "Goa", 1, 1), (None, "Goa", 2, 2), ("e", "", 7, 1)])
+    VS.upsert(twice, str(tmp_path / "store"), order="at")
+    got = rows(spark, str(tmp_path / "store"))
+    assert len(got) == 52 and ("k3", "Goa", 99) in got and (None, "Goa", 2) in got and ("e", "", 7) in got
