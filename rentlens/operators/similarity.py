@@ -115,10 +115,14 @@ def _cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, q_vec: str,
     q_per = F.greatest(F.ceil(F.col("q") / nq), F.lit(1))
     i_per = F.least(F.greatest(F.lit(block_rows), F.floor(F.lit(block_rows * block_rows) / q_per)), F.lit(MAX_ITEM_BLOCK))
     sizes = materialize(sizes.select("f", nq.cast("int").alias("nq"), F.greatest(F.ceil(F.col("i") / i_per), F.lit(1)).cast("int").alias("ni")))
-    # (the concatenations give the joined facet a column of its own on each side)
-    qb = (q.join(sizes, F.expr("qf <=> f")).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
+    # (the concatenations give the joined facet a column of its own on each side; without one the counts are one row)
+    def sized(df: DataFrame, own: str) -> DataFrame:
+        if facet:
+            return df.join(sizes, F.col(own) == F.col("f"))
+        return df.withColumns({"f": F.col(own), "nq": sizes.select("nq").scalar(), "ni": sizes.select("ni").scalar()})
+    qb = (sized(q, "qf").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
           .withColumn("ib", F.explode(F.expr("sequence(0, ni - 1)"))).select("qid", "qv", F.concat("f", F.lit("")).alias("f"), "qb", "ib"))
-    ib = (it.join(sizes, F.expr("if_ <=> f")).withColumn("ib", F.pmod(F.xxhash64("iid"), F.col("ni")).cast("int"))
+    ib = (sized(it, "if_").withColumn("ib", F.pmod(F.xxhash64("iid"), F.col("ni")).cast("int"))
           .withColumn("qb", F.explode(F.expr("sequence(0, nq - 1)"))).select("iid", "iv", F.concat("f", F.lit("")).alias("f"), "qb", "ib"))
 
     out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()),

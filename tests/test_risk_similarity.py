@@ -279,3 +279,13 @@ def test_projection_index_recall_and_buckets(spark):
     near = {(r.query_id, r.rank): r.item_id for r in SIM.topk_lsh(few, df, 5, tables=4, bits=6, **kw).collect()}
     assert len(near) == len(exact) and sum(near[x] == exact[x] for x in exact) >= 0.95 * len(exact)
     assert SIM.topk_lsh(few, df.limit(0), 5, **kw).count() == 0
+
+
+def test_cells_without_a_facet_need_no_nested_loop(spark):
+    from rentlens.operators import similarity as SIM
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, v array<double>")
+    top = SIM.topk_similar(df, df, 2, q_id="id", q_vec="v", i_id="id", i_vec="v", exclude_self=True)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and top.count() == 12
+    none = SIM.topk_similar(df.filter("id < 0"), df, 2, q_id="id", q_vec="v", i_id="id", i_vec="v", exclude_self=True)
+    assert none.count() == 0
