@@ -3,7 +3,7 @@
 * batch twin — a key's events are cut where the state is known without looking back (a full bucket, a
   success after any lock has ended), so a key with a third of all events runs as many pieces; pieces are
   sorted by time and id, and ``mapInPandas`` walks the Arrow batches carrying the current piece's state.
-* streaming — ``applyInPandasWithState`` keyed by user. Rows wait in the state until the watermark has passed
+* streaming — ``applyInPandasWithState`` over groups of users. Rows wait in the state until the watermark has passed
   them and are then applied in order of (time, id), so batches may overlap in time by the watermark's delay.
   Rows later than that get no verdict; ``reconcile`` finds the events without a verdict and computes
   their users anew with the batch twin.
@@ -171,47 +171,73 @@ def _stream_out_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([f if f.name != "ts" else T.StructField("ts", T.TimestampType()) for f in schema.fields])
 
 
-def _in_order(src: DataFrame, schema: T.StructType, carry_sql: str, apply, idle_ms) -> DataFrame:
+#: Groups that the streams' users are dealt to by hash. A call for a group costs milliseconds whatever it holds, so
+#: users share groups; the state of one group is its share of the users and of the rows that wait. More groups suit more
+#: users. As with the number of shuffle partitions, a stream keeps the number it began with.
+USER_GROUPS = 512
+#: Stands for a null event id in a group's state.
+NO_ID = -(1 << 63)
+
+
+def _in_order(src: DataFrame, schema: T.StructType, carry_sql: list[str], apply, idle_ms, groups: int) -> DataFrame:
     """Runs ``apply(carry, micros, flag) -> (carry, output fields)`` over each user's rows (event_id, user_id, ts,
     flag) in order of (ts, event_id), each as soon as the watermark has passed it. ``carry`` is a tuple, or None
-    for a user without state; ``idle_ms(carry)`` is the time from which it equals None (None: already now; inf: never)."""
+    for a user without state; ``idle_ms(carry)`` is the time from which it equals None (inf: never). ``carry_sql``:
+    its fields. The state of a group holds its users' carries and the rows that wait, as arrays; null is a user in a
+    group of its own."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     ship_package(src.sparkSession)
-    n = carry_sql.count(",") + 1
+    n = len(carry_sql)
+    fields = [f.name for f in schema.fields]
 
     def fn(key, pdfs, state):
-        held = list(state.get) if state.exists else [None] * n + [[], [], []]
-        carry = tuple(held[:n]) if held[0] is not None else None
-        waiting = list(zip(*held[n:]))
+        held = [list(c) for c in state.get] if state.exists else [[] for _ in range(n + 5)]
+        carries = dict(zip(held[0], zip(*held[1:n + 1])))
+        waiting = list(zip(*held[n + 1:]))
         now = state.getCurrentWatermarkMs()
         for p in pdfs:  # rows behind the watermark that Spark still lets through get no verdict either
-            waiting += (r for r in zip(_micros(p["ts"]).tolist(), p["event_id"].tolist(), p["flag"].tolist())
-                        if r[0] > now * 1000)
-        waiting.sort()
-        rows, k = [], 0
-        while k < len(waiting) and waiting[k][0] <= now * 1000:
-            t, event, flag = waiting[k]
-            carry, out = apply(carry, t, flag)
-            rows.append((event, key[0], pd.Timestamp(t, unit="us"), *out))
-            k += 1
-        waiting = waiting[k:]
-        wake = -(-waiting[0][0] // 1000) if waiting else (idle_ms(carry) if carry is not None else None)
-        if wake is None or (not waiting and wake <= now):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*(carry or (None,) * n), *([list(c) for c in zip(*waiting)] or [[], [], []])))
-            if wake != float("inf"):
-                state.setTimeoutTimestamp(max(wake, now + 1))
-        yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return src.groupBy("user_id").applyInPandasWithState(
-        fn, _stream_out_schema(schema), f"{carry_sql}, ts array<long>, ids array<long>, flags array<boolean>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+            t = _micros(p["ts"])
+            p, t = p[t > now * 1000], t[t > now * 1000]
+            waiting += zip(p["user_id"].tolist(), t.tolist(), p["event_id"].tolist(), p["flag"].tolist())
+        due = sorted(r for r in waiting if r[1] <= now * 1000)
+        waiting = [r for r in waiting if r[1] > now * 1000]
+        outs = []
+        for user, t, _, flag in due:
+            carry, out = apply(carries.get(user), t, flag)
+            outs.append(out)
+            if carry is None:
+                carries.pop(user, None)
+            else:
+                carries[user] = carry
+        wake = {user: idle_ms(c) for user, c in carries.items()}
+        carries = {user: c for user, c in carries.items() if wake[user] > now}
+        if carries or waiting:
+            state.update((list(carries), *([list(c) for c in zip(*carries.values())] or [[]] * n),
+                          *([list(c) for c in zip(*waiting)] or [[]] * 4)))
+            first = min([-(-r[1] // 1000) for r in waiting] + [wake[user] for user in carries])
+            if first != float("inf"):
+                state.setTimeoutTimestamp(max(first, now + 1))
+        elif state.exists:
+            state.remove()
+        if due:
+            users, times, ids, _ = zip(*due)
+            own = [pd.Series([None if e == NO_ID else e for e in ids], dtype="Int64" if NO_ID in ids else "int64"),
+                   pd.Series([None] * len(users), dtype="object") if key[0] < 0 else pd.Series(users),
+                   pd.to_datetime(pd.Series(times), unit="us")]
+            own += [pd.Series(c, dtype="float64" if f.dataType == T.DoubleType() else None) for c, f in zip(zip(*outs), schema.fields[3:])]
+            yield pd.DataFrame(dict(zip(fields, own)))
+
+    user = F.col("user_id")
+    group = F.when(user.isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(groups)).cast("int"))
+    dealt = src.select(group.alias("user_group"), F.coalesce(user, F.lit(0)).cast("long").alias("user_id"),
+                       F.coalesce("event_id", F.lit(NO_ID)).alias("event_id"), "ts", "flag")
+    kept = ["users array<long>", *carry_sql, "owners array<long>", "ts array<long>", "ids array<long>", "flags array<boolean>"]
+    return dealt.groupBy("user_group").applyInPandasWithState(
+        fn, _stream_out_schema(schema), ", ".join(kept), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_stream(events: DataFrame, watermark: str, capacity: float = C.BUCKET_CAPACITY,
-                    rate: float = C.BUCKET_RATE, cost: float = C.BUCKET_COST) -> DataFrame:
+                    rate: float = C.BUCKET_RATE, cost: float = C.BUCKET_COST, groups: int = USER_GROUPS) -> DataFrame:
     """T2 on a stream whose rows are late by at most ``watermark``. A bucket that is full again is no state."""
     src = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
                         F.lit(True).alias("flag")).withWatermark("ts", watermark)
@@ -219,23 +245,21 @@ def throttle_stream(events: DataFrame, watermark: str, capacity: float = C.BUCKE
     def apply(carry, t, _):
         carry, ok, retry, tokens = bucket_step(carry, t, capacity, rate, cost)
         return (float(carry[0]), int(carry[1])), (ok, retry, tokens)
-    return _in_order(src, THROTTLE_SCHEMA, "tokens double, last long", apply,
-                     lambda c: c[1] // 1000 + int(capacity / rate * 1000) + 1)
+    return _in_order(src, THROTTLE_SCHEMA, ["tokens array<double>", "last array<long>"], apply,
+                     lambda c: c[1] // 1000 + int(capacity / rate * 1000) + 1, groups)
 
 
 def lockout_stream(attempts: DataFrame, watermark: str, max_attempts: int = C.MAX_LOGIN_ATTEMPTS,
-                   lock_s: float = C.LOCK_SECONDS) -> DataFrame:
+                   lock_s: float = C.LOCK_SECONDS, groups: int = USER_GROUPS) -> DataFrame:
     """T3 on a stream whose rows are late by at most ``watermark``. Only a user without failures and lock has no
     state; failures are kept for ever, as they count until a success."""
     src = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
                           F.col("success").alias("flag")).withWatermark("ts", watermark)
 
     def apply(carry, t, success):
-        if carry is not None:
-            carry = (int(carry[0]), None if carry[1] is None or pd.isna(carry[1]) else int(carry[1]))
         carry, outcome, failures, locked = lockout_step(carry, t, success, max_attempts, lock_s)
         return (None if carry == (0, None) else carry), (success, outcome, failures, _secs_or_none(locked))
-    return _in_order(src, LOCKOUT_SCHEMA, "failures int, locked_until long", apply, lambda c: float("inf"))
+    return _in_order(src, LOCKOUT_SCHEMA, ["failures array<int>", "locked_until array<long>"], apply, lambda c: float("inf"), groups)
 
 
 #: Sink rows with this id belong to a closing row.

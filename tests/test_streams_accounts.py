@@ -90,6 +90,22 @@ def test_overlapping_micro_batches_give_the_batch_verdicts(spark, form):
         assert all(0 <= r[5] <= C.BUCKET_CAPACITY for r in exp.values())
 
 
+@pytest.mark.parametrize("form", ["throttle", "lockout"])
+def test_users_share_groups_of_the_state(spark, form):
+    """Sixty users, some without an id, in five groups: as many states, and the verdicts of each user alone."""
+    rows = sorted((r for r in _events(seed=3, users=60, n=900, hot_share=0.1) if r[3] in ("error", "signup")), key=lambda r: r[1])
+    rows = [(i, t, u + (1 << 40), kind) for i, t, u, kind in rows]
+    unknown = 9 + (1 << 40)
+    given = [(i, t, None if u == unknown else u, kind) for i, t, u, kind in rows]
+    end = [(-1, T0 + dt.timedelta(days=30), 1 << 40, "signup")]
+    stream, twin = {"throttle": (LS.throttle_stream, LS.throttle), "lockout": (LS.lockout_stream, LS.lockout)}[form]
+    sink, q = _streamed(spark, [given[:400], given[400:], end], lambda s: stream(s, "1 hour", groups=5), form)
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 6  # null has its own
+    df = LS.login_attempts(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    exp = {(r[0], None if r[1] == unknown else r[1], *r[2:]) for r in twin(df).collect()}
+    assert {tuple(r) for r in sink.collect()} == exp and len(exp) > 400
+
+
 def test_clock_does_not_run_back():
     state = LS.bucket_step(None, 12 * 3600 * 10 ** 6, 10, 0.5, 1)[0]
     state, ok, retry, tokens = LS.bucket_step(state, 11 * 3600 * 10 ** 6, 10, 0.5, 1)
