@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rentlens import constants as C
 from rentlens.functions.features import with_floor
-from rentlens.functions.text import compact, fixed, grouped, percent, py_round, py_str, signed
+from rentlens.functions.text import apart, compact, fixed, grouped, percent, py_round, py_str, signed
 from rentlens.operators import lookups as LK
 
 WEIGHTS = {name: w for name, _, w in C.FACTORS}
@@ -98,7 +98,7 @@ def property_signals() -> tuple[Column, Column]:
     bath = _d("bathroom") / bhk1
     fl = F.col("_fl")
     ratio = fl["ratio"]
-    furnished = F.col("furnishing") == "Furnished"
+    furnished = apart("furnishing") == "Furnished"  # all five factors are one projection
     score = (F.when(spb < 200, 25).when(spb < 300, 12).otherwise(0)
              + F.when(bath < 0.5, 15).when(bath >= 1.5, 5).otherwise(0)
              + F.when(ratio == 0, 10).when(ratio > 0.85, 8).otherwise(0)
@@ -176,7 +176,7 @@ def add_report(df: DataFrame, clf_risk: str | None = None, clf_prob: str | None
         F.struct(F.col(f"{n}_score").alias("s"), F.lit(-i).alias("o"), F.lit(LABELS[n].lower()).alias("label"))
         for i, n in enumerate(NAMES)]))["label"]
     level = level_of(comp, 1)
-    city = py_str("city")
+    city = py_str(apart("city"))
     summary = None
     for lvl, tpl in C.SUMMARY_TEMPLATES.items():
         pre, _, rest = tpl.partition("{city}")
@@ -206,7 +206,7 @@ def add_report(df: DataFrame, clf_risk: str | None = None, clf_prob: str | None
         level_of(F.col(f"{n}_score"), 1).alias("level"), level_of(F.col(f"{n}_score"), 2).alias("color"),
         level_of(F.col(f"{n}_score"), 3).alias("icon")) for n in NAMES])
     report = F.struct(
-        py_round(comp, 1).alias("composite"), F.col("risk_level").alias("level"),
+        py_round(apart("composite"), 1).alias("composite"), F.col("risk_level").alias("level"),
         F.col("risk_color").alias("color"), F.col("risk_icon").alias("icon"), F.col("summary"),
         F.col("actions"),
         (F.col(clf_risk) if clf_risk else F.lit("Low")).alias("demand_risk"),

@@ -289,3 +289,39 @@ def test_cells_without_a_facet_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and top.count() == 12
     none = SIM.topk_similar(df.filter("id < 0"), df, 2, q_id="id", q_vec="v", i_id="id", i_vec="v", exclude_self=True)
     assert none.count() == 0
+
+
+def test_wide_risk_projections_are_not_fused(spark):
+    """Five factors, texts and report in one method of a stage would be too long for HotSpot to compile."""
+    rows = [("Mumbai", 2, 800, 2, "Furnished", "9 out of 10", 95000.0, 118.75, 85.0)]
+    df = spark.createDataFrame(rows, "city string, bhk int, size int, bathroom int, furnishing string, floor_txt string,"
+                                     " predicted_rent double, price_per_sqft double, vs_median_pct double")
+    bench = spark.createDataFrame([("Mumbai", *BENCH["Mumbai"].values())],
+                                  "city string, rent_p25 double, rent_p50 double, rent_p75 double, rent_p90 double,"
+                                  " psf_p50 double, psf_p75 double, n_listings long")
+    meds = spark.createDataFrame([("Mumbai", 2, 45000.0)], "city string, bhk int, median_rent double")
+    for out, made in ((RK.score_risk(df, bench, meds, report=False).select(*[f"{n}_score" for n in RK.NAMES], "composite", "risk_level"),
+                       ["price_anomaly_score"]),
+                      (RK.score_risk(df, bench, meds).select("summary", "actions", "property_signals"),
+                       ["price_anomaly_score", "property_signals", "actions"]),
+                      (RK.score_risk(df, bench, meds).select("report_json"), ["price_anomaly_score", "report_json"])):
+        spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+        try:
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        finally:
+            spark.conf.unset("spark.sql.debug.maxToStringFields")
+        for name in made:
+            own = [line for line in plan if f"AS {name}#" in line and "Project" in line]
+            assert own and not any("*(" in line.split("Project")[0] for line in own), name
+
+
+def test_messages_and_rounding(spark):
+    from rentlens.functions.text import compact, py_round
+    got = spark.range(1).select(compact([F.lit("a"), F.lit(None).cast("string"), F.lit(""), F.lit("a")]).alias("m")).first()
+    assert got["m"] == ["a", "", "a"]
+    xs = [0.25, 0.35, -0.04, -0.25, 12.35, 2.5, 1e8 + 0.05, 123456789.25, 1e300, -7.0, 0.0, -0.0, 0.05, 0.15, 99.95,
+          *np.random.default_rng(3).normal(0, 1000, 500).tolist()]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", py_round("x", 1).alias("a"), py_round("x", 2).alias("b"))
+    for r in rows.collect():
+        assert (repr(r["a"]), repr(r["b"])) == (repr(round(r["x"], 1)), repr(round(r["x"], 2)))
