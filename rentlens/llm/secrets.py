@@ -210,6 +210,12 @@ def _between(mark: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
+def parts(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some with about COUNT_BYTES of text at a time: so much is held as Python strings."""
+    for first, last, _, _ in slices(batch.column(text_at), COUNT_BYTES):
+        yield batch.slice(first, last - first)
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(2 * CODES * CODES, np.int64)
     for batch in batches:
@@ -278,9 +284,10 @@ def _tested(pairs: np.ndarray):
         model = Ordinary(pairs)
         for batch in batches:
             seen: dict[tuple[int, int], int] = {}
-            for text in batch.column(0).to_pylist():
-                for _, _, *at in judged(text or "", model):
-                    seen[tuple(at)] = seen.get(tuple(at), 0) + 1
+            for part in parts(batch, 0):
+                for text in part.column(0).to_pylist():
+                    for _, _, *at in judged(text or "", model):
+                        seen[tuple(at)] = seen.get(tuple(at), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array(
                 [k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["class", "step", "n"])
     return run
@@ -366,7 +373,7 @@ def redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
 def _scan(cuts: Cuts):
     def run(batches):
         kinds = [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))] * 2
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 1)):
             got = [spans(t, cuts) for t in batch.column(1).to_pylist()]
             cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in pick] for pick in side], t)
                     for side, t in zip(zip(*got) if got else ((), ()), kinds)]
@@ -387,7 +394,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _redact(cuts: Cuts, text_at: int, count_at: int, mark: str):
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, text_at)):
             texts, cols = batch.column(text_at).to_pylist(), list(batch.columns)
             counts = batch.column(count_at).to_pylist() if count_at >= 0 else []
             for i, t in enumerate(texts):

@@ -155,3 +155,20 @@ def test_many_spans_in_one_text():
     began = time.perf_counter()
     base, every = secrets.spans(many, cuts)
     assert len(base) == 80_000 and every == base and time.perf_counter() - began < 60
+
+
+def test_texts_are_scanned_some_at_a_time():
+    """A batch's texts are never all Python strings at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rentlens.llm import secrets
+    texts = ["x" * 300_000 + " password=abcdefgh1" if i % 2 else None for i in range(20)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(texts, pa.string()), pa.array([7] * 21, pa.int32())],
+                                       ["doc_id", "text", "n_chars"])
+    cuts = secrets.Cuts(np.zeros((secrets.CODES, secrets.CODES)))
+    got = list(secrets._redact(cuts, 1, 2, "[SECRET]")(iter([batch])))
+    assert all(b.column("text").nbytes < 2 * secrets.COUNT_BYTES for b in got) and len(got) > 2
+    rows = pa.Table.from_batches(got).to_pylist()
+    want = ["x" * 300_000 + " [SECRET]" if t else t for t in texts]
+    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in rows] == [(i, t, len(t) if t else 7) for i, t in enumerate(want)]
