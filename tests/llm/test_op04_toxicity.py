@@ -43,6 +43,43 @@ def test_block_max_search_is_exact():
         assert docs.tolist() == want and np.allclose(scores, cos[want])
 
 
+def test_block_max_search_reads_no_posting_twice(monkeypatch):
+    """Frequent terms are a matrix, middling ones have bounds, rare ones are read: never more than all postings."""
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 1201) ** 0.7
+    vectors = []
+    for i in range(1500):  # texts of ten kinds, each with words of its own
+        t = np.unique(np.r_[rng.choice(1200, 30, p=share / share.sum()), 1200 + i // 150 * 10 + rng.choice(10, 4)])
+        w = rng.integers(1, 4, len(t)).astype(float)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(vectors, 1300, 64)
+    dense = np.zeros((1500, 1300))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    held = (dense > 0).sum(0)
+    read, spread = [], toxicity._spread
+    monkeypatch.setattr(toxicity, "_spread", lambda low, n: read.append(int(n.sum())) or spread(low, n))
+    most = 0
+    for i in range(0, 1500, 11):
+        cos = np.round(dense @ dense[i], 9)
+        cos[i] = -1
+        kth = np.sort(cos)[-31]
+        want = [d for d in np.lexsort((np.arange(1500), -cos)) if cos[d] > 0 and cos[d] >= kth]
+        docs, scores = index.nearest(*vectors[i], 31, i)
+        assert docs.tolist() == want and np.allclose(scores, cos[want])
+        most += int(held[[t for t in vectors[i][0] if index.row[t] < 0]].sum())
+    assert 0 < sum(read) <= most
+    empty = toxicity.BlockMaxIndex([], 3)
+    assert [x.tolist() for x in empty.nearest(np.array([1]), np.ones(1), 31)] == [[], []]
+
+
+def test_terms_are_runs_of_letters():
+    texts = ["".join(map(chr, range(a, a + 97))) for a in range(0, 0x30000, 97)]
+    texts += ["", "_a_b1c", "A\x00B\x1fC\x85D\u2028E\u3000F", "ΣΑΣ ΟΔΟΣ İI ß", "ab²c½d٣e", "x" * 5000, "caf\u0301e", "\ud800a"]
+    for text in texts:
+        assert toxicity.terms_of(text) == toxicity.WORD.findall(text.lower())
+
+
 def test_terms_are_counted_as_they_are_learnt():
     texts = ["Idiot, idiots! an IDIOT_1 idiot2", "lowei Loweisch loweixx9lowei", "", None, "x²idiot ½ idiot½", "ÉCLAIRS éclair eclairs",
              "straße Straßen STRASSE", "the therein thereinafter"]
