@@ -52,7 +52,7 @@ def held_out(id_col: str) -> Column:
 def _letters() -> np.ndarray:
     """Which code points are part of a WORD."""
     letter = np.zeros(sys.maxunicode + 1, bool)
-    for run in WORD.finditer("".join(map(chr, range(len(letter))))):
+    for run in WORD.finditer(np.arange(len(letter), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")):
         letter[run.start():run.end()] = True
     return letter
 
