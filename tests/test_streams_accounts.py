@@ -334,3 +334,47 @@ def test_late_records_are_appended_only_once(spark, tmp_path):
     assert sorted(r["id"] for r in PS.append_late(landing, log, late).collect()) == ["0", "1"]
     assert PS.append_late(landing, log, late).count() == 0
     assert sorted(r["id"] for r in PS.read_log(spark, landing.schema, log, late).collect()) == list("012345")
+
+
+def _landed(spark, base, *batches):
+    """Lands batches of (id, hour, value), a file each."""
+    for rows in batches:
+        data = [(i, T0 + dt.timedelta(hours=h) if h is not None else None, x) for i, h, x in rows]
+        spark.createDataFrame(data, "id string, timestamp timestamp, x int").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+
+
+def _run_log(spark, base, **kw):
+    schema = "id string, timestamp timestamp, x int"
+    PS.run_to_table(PS.log_stream(spark, f"{base}/landing", schema, **kw), f"{base}/log", f"{base}/ck")
+    return sorted((r["id"] or "", r["x"]) for r in PS.read_log(spark, schema, f"{base}/log").collect())
+
+
+def test_the_log_does_not_depend_on_the_number_of_micro_batches(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    batches = [[(f"k{i}", 100 - 10 * i, i), ("a", 50, 7), (f"n{i}", None, i)] for i in range(5)]  # ever older records
+
+    def log(files):
+        _landed(spark, f"{tmp_path}/{files}", *batches)
+        return _run_log(spark, f"{tmp_path}/{files}", max_files_per_trigger=files)
+    with ThreadPoolExecutor(2) as pool:
+        one, all_at_once = pool.map(log, (1, 100))
+    assert one == all_at_once == sorted([("a", 7)] + [(f"{k}{i}", i) for k in "kn" for i in range(5)])
+
+
+def test_a_run_drops_what_is_late_and_what_landed_before(spark, tmp_path):
+    base = str(tmp_path)
+    _landed(spark, base, [("a", 10, 1), ("b", 11, 2), (None, 10, 3)])
+    assert _run_log(spark, base) == [("", 3), ("a", 1), ("b", 2)]
+    _landed(spark, base, [("late", 10, 4), ("c", 12, 5), ("a", 10, 1), ("b", 11, 2), (None, 12, 6), ("c", 12, 5)])
+    want = [("", 3), ("a", 1), ("b", 2), ("c", 5)]
+    assert _run_log(spark, base) == want == _run_log(spark, base)  # the second time nothing new has landed
+    landing = spark.read.parquet(f"{base}/landing")
+    for n in (1, 0):
+        assert PS.append_late(landing, f"{base}/log", f"{base}/late").count() == n
+    assert sorted((r["id"] or "", r["x"]) for r in PS.read_log(spark, landing.schema, f"{base}/log", f"{base}/late").collect()) == sorted([*want, ("late", 4)])
+
+
+def test_records_that_land_once_are_not_shuffled(spark, tmp_path):
+    _landed(spark, str(tmp_path), [("a", 1, 1)], [("b", 2, 2)])
+    stream = PS.log_stream(spark, f"{tmp_path}/landing", "id string, timestamp timestamp, x int")
+    assert "Deduplicate" not in stream._jdf.queryExecution().analyzed().toString() and "Join" not in stream._jdf.queryExecution().analyzed().toString()
