@@ -15,9 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.session import materialize
+from rentlens.session import materialize, shuffles_cleaned
 from rentlens.sources.listings import KEY_COLS
 
+#: Rows that an upsert keeps are found in so many passes, by a hash of the key: shuffle files hold one pass's share of them.
+PASSES = 4
 #: The folder of rows without a city.
 NO_CITY = "(none)"
 
@@ -89,13 +91,14 @@ def upsert(batch: DataFrame, root: str, key: str = "listing_key", city: str = "c
     part = F.coalesce(F.nullif(F.col(city).cast("string"), F.lit("")), F.lit(NO_CITY))
 
     def write(rows: DataFrame) -> None:
-        rows.withColumn("part", part).write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{root}/data/load={load}")
+        with shuffles_cleaned(spark):
+            rows.withColumn("part", part).write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{root}/data/load={load}")
 
     def written() -> DataFrame:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         return spark.read.schema(f"{kinds}, part string").parquet(f"{root}/data/load={load}")
     write(_one_per_key(batch, key, order))
-    new = written().select(key)
+    new = written().select(key)  # of the batch's files: those written later are not in its list
     if not held:
         filled = {r[0] for r in written().select("part").distinct().collect()}
         _publish(spark, root, version + 1, [(p, load) for p in filled])
@@ -105,7 +108,9 @@ def upsert(batch: DataFrame, root: str, key: str = "listing_key", city: str = "c
     if others := [(p, x) for p, x in held if p not in touched]:
         old = _rows(spark, root, others, schema).select(key, part.alias("p"))
         touched |= {r[0] for r in old.join(new, key, "left_semi").select("p").distinct().collect()}
-    write(_rows(spark, root, [(p, x) for p, x in held if p in touched], schema).join(new, key, "left_anti").select(*batch.columns))
+    old, share = _rows(spark, root, [(p, x) for p, x in held if p in touched], schema), F.pmod(F.hash(key), F.lit(PASSES))
+    for i in range(PASSES):
+        write(old.filter(share == i).join(new.filter(share == i), key, "left_anti").select(*batch.columns))
     filled = {r[0] for r in written().select("part").distinct().collect()}
     _publish(spark, root, version + 1, [(p, x) for p, x in held if p not in touched] + [(p, load) for p in filled])
     return version + 1

@@ -124,3 +124,31 @@ def test_only_rows_of_repeated_keys_are_grouped(spark, tmp_path):
     VS.upsert(twice, str(tmp_path / "store"), order="at")
     got = rows(spark, str(tmp_path / "store"))
     assert len(got) == 52 and ("k3", "Goa", 99) in got and (None, "Goa", 2) in got and ("e", "", 7) in got
+
+
+def test_kept_rows_are_written_in_passes(spark, tmp_path):
+    root = str(tmp_path / "store")
+    VS.upsert(batch(spark, [(f"k{i}", "Pune", i, 1) for i in range(200)]), root)
+    VS.upsert(batch(spark, [(f"k{i}", "Pune", -i, 2) for i in range(0, 200, 2)] + [("new", "Goa", 7, 2)]), root)
+    want = sorted([(f"k{i}", "Pune", i if i % 2 else -i) for i in range(200)] + [("new", "Goa", 7)], key=repr)
+    assert rows(spark, root) == want
+    load = dict(VS._manifest(spark, root)[1])["Pune"]
+    jobs = {f.name[11:47] for f in (tmp_path / "store" / "data" / f"load={load}" / "part=Pune").glob("*.parquet")}
+    assert len(jobs) == 1 + VS.PASSES  # the batch, and a job for each share of the keys
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+    from rentlens.session import materialize
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {str(f) for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in str(f)}
+    before, conf = names(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    table = materialize(spark.range(5000).groupBy(F.col("id") % 50).count())
+    for _ in range(50):
+        if not names() - before:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError(names() - before)
+    assert table.count() == 50
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == conf
