@@ -216,10 +216,14 @@ def add_report(df: DataFrame, clf_risk: str | None = None, clf_prob: str | None
 
 
 def score_risk(df: DataFrame, benchmarks: DataFrame, bhk_medians: DataFrame,
-               clf_risk: str | None = None, clf_prob: str | None = None, report: bool = True) -> DataFrame:
+               clf_risk: str | None = None, clf_prob: str | None = None, report: bool = True,
+               neighbours: list[str] | None = None) -> DataFrame:
     """R1–R11 end to end: J1–J3 lookups, factor scores and the report.
-    ``report=False`` stops at the scores, the composite and its level (R1–R7)."""
+    ``report=False`` stops at the scores, the composite and its level (R1–R7). Listings with equal ``neighbours`` columns
+    come next to each other within a task: sorted before the texts are made, reports that are alike compress better."""
     j = LK.with_bhk_median(LK.with_benchmarks(LK.with_city_constants(df), benchmarks), bhk_medians)
+    if neighbours:
+        j = j.sortWithinPartitions(*neighbours)
     scored = add_factor_scores(j)
     if not report:
         return scored.withColumn("risk_level", level_of(F.col("composite"), 1))

@@ -173,11 +173,12 @@ lv AS (SELECT *, CASE WHEN composite >= 80 THEN 'Critical' WHEN composite >= 60
                       WHEN composite >= 35 THEN 'Medium' ELSE 'Low' END AS risk_level FROM comp)"""
 
 
-def _scored(spark, sf, report: bool = True):
+def _scored(spark, sf, report: bool = True, neighbours=None):
     df = clean_shared(spark, sf)
     counts = counts_shared(spark, sf)
     priced = PR.rent_band(df, "rent", ST.city_medians(counts, weight="n"))
-    return RK.score_risk(priced, ST.city_benchmarks(counts, weight="n"), ST.bhk_city_medians_all(counts, weight="n"), report=report)
+    return RK.score_risk(priced, ST.city_benchmarks(counts, weight="n"), ST.bhk_city_medians_all(counts, weight="n"), report=report,
+                         neighbours=neighbours)
 
 
 SCORE_COLS = [f"{n}_score" for n in RK.NAMES]
@@ -303,7 +304,7 @@ def q_risk_reports(spark, sf):
 @register("risk_report_json", _report_json_sql())
 def q_risk_report_json(spark, sf):
     """The nested report (struct with arrays of factor structs) as JSON text."""
-    return _scored(spark, sf).select(*KEY_COLS, "report_json")
+    return _scored(spark, sf, neighbours=["city", "rent"]).select(*KEY_COLS, "report_json")
 
 
 # ------------------------------------------------------------------ insights ---

@@ -325,3 +325,30 @@ def test_messages_and_rounding(spark):
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", py_round("x", 1).alias("a"), py_round("x", 2).alias("b"))
     for r in rows.collect():
         assert (repr(r["a"]), repr(r["b"])) == (repr(round(r["x"], 1)), repr(round(r["x"], 2)))
+
+
+def test_measured_lookups_do_not_shuffle_the_listings(spark):
+    from rentlens.operators import lookups as LK
+    big = spark.range(200000).select((F.col("id") % 7).cast("string").alias("city"), (F.col("id") % 3).cast("int").alias("bhk"), F.col("id").alias("rent"))
+    medians = big.groupBy("city").agg(F.avg("rent").alias("median_rent"))
+    both = big.groupBy("city", "bhk").agg(F.avg("rent").alias("median_rent"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")  # below the estimate of the aggregates, above what they are
+    try:
+        for out in (LK.with_city_median(big, medians), LK.with_bhk_median(big, both)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert LK.with_city_median(big, medians).filter("city_median IS NULL").isEmpty()
+
+
+def test_like_reports_are_neighbours(spark):
+    df = spark.createDataFrame([(i, "Pune" if i % 2 else "Delhi", float(i % 5)) for i in range(40)], "id long, city string, rent double").coalesce(1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(RK.LK, "with_city_constants", lambda d: d)
+        m.setattr(RK.LK, "with_benchmarks", lambda d, _: d)
+        m.setattr(RK.LK, "with_bhk_median", lambda d, _: d)
+        m.setattr(RK, "add_factor_scores", lambda d: d.withColumn("composite", F.lit(1.0)))
+        got = [(r["city"], r["rent"]) for r in RK.score_risk(df, None, None, report=False, neighbours=["city", "rent"]).collect()]
+    assert got == sorted(got)
