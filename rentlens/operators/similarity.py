@@ -5,10 +5,10 @@ Plan (blocked nested loop, exact):
   2. optional item filters (rent limits) run before anything else, so they push
      into the scan — the reference's "filter first, exact" path;
   3. queries are hashed into ``nq`` blocks and items into ``ni`` blocks, sized from
-     their counts so one block holds at most ``block_rows`` rows; each query row
+     their counts (``BLOCKS`` of them while a block's vectors are few enough for a task's memory); each query row
      is replicated to the ``ni`` item blocks and each item to the ``nq`` query
      blocks, and the (query block, item block) cells are co-grouped;
-  4. each cell is one numpy matrix product (Arrow batches in, no per-row Python),
+  4. each cell is numpy matrix products of at most ``block_rows``² scores (Arrow batches in, no per-row Python),
      and emits only its k best items per query (score desc, id asc);
   5. a ``row_number`` per query over its ≤ ni·k candidates gives the final k.
 
@@ -40,6 +40,8 @@ from rentlens.functions.features import add_vectors
 from rentlens.session import materialize, ship_package
 
 MAX_ITEM_BLOCK = 1 << 18  # item rows per cell at most (vectors of one cell stay well under 1 GB)
+#: Blocks on each side that many rows are dealt into, as long as a block's vectors, as doubles, stay below so many bytes.
+BLOCKS, BLOCK_BYTES = 16, 1 << 25
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -68,6 +70,33 @@ def _top_per_row(S: np.ndarray, qids: np.ndarray, iids: np.ndarray, kk: int) ->
     return pd.DataFrame({"query_id": qids[rows[keep]], "item_id": ids[keep], "score": sc[keep]})
 
 
+def _best_of_cell(Q: np.ndarray, I: np.ndarray, qids: np.ndarray, iids: np.ndarray, k: int, exclude_self: bool,
+                  decimals: int | None, tile: int) -> pd.DataFrame:
+    """k best items of each row of ``Q``, from score matrices of at most ``tile``² entries: a score below the k-th best of
+    the items before is not looked at again (equal scores are, as ids break ties)."""
+    out = []
+    for a in range(0, len(Q), tile):
+        q, qi = Q[a:a + tile], qids[a:a + tile]
+        step = max(tile, tile * tile // len(q))
+        rows, ids, sc, kth = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(q), -np.inf)
+        for b in range(0, len(I), step):
+            S = q @ I[b:b + step].T
+            S, ii = S if decimals is None else np.round(S, decimals), iids[b:b + step]
+            if exclude_self:
+                S = np.where(qi[:, None] != ii[None, :], S, -np.inf)
+            if b == 0 and S.shape[1] > k:
+                kth = np.nan_to_num(-np.partition(-S, k - 1, axis=1)[:, k - 1], nan=-np.inf, neginf=-np.inf)
+            r, c = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
+            rows, ids, sc = np.concatenate([rows, r]), np.concatenate([ids, ii[c]]), np.concatenate([sc, S[r, c]])
+            order = np.lexsort((ids, -sc, rows))
+            rows, ids, sc = rows[order], ids[order], sc[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(q)))[rows]
+            rows, ids, sc, rank = (x[rank < k] for x in (rows, ids, sc, rank))
+            kth[rows[rank == k - 1]] = sc[rank == k - 1]
+        out.append(pd.DataFrame({"query_id": qi[rows], "item_id": ids, "score": sc}))
+    return pd.concat(out)
+
+
 def topk_similar(queries: DataFrame, items: DataFrame, k: int = 8, *,
                  q_id: str = "query_id", q_vec: str = "vector",
                  i_id: str = "item_id", i_vec: str = "vector",
@@ -98,22 +127,27 @@ def _cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, q_vec: str,
     """The k best items of each query in each cell: query_id, item_id, score."""
     ship_package(queries.sparkSession)
     facet = q_facet is not None and i_facet is not None
-    q = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"),
+
+    def vec(df: DataFrame, c: str):  # floats are shuffled as they are and become doubles in the cells
+        return F.col(c) if df.schema[c].dataType == T.ArrayType(T.FloatType(), df.schema[c].dataType.containsNull) else F.col(c).cast("array<double>")
+    q = queries.select(F.col(q_id).cast("long").alias("qid"), vec(queries, q_vec).alias("qv"),
                        (F.col(q_facet).cast("string") if facet else F.lit(None).cast("string")).alias("qf"))
-    it = items.select(F.col(i_id).cast("long").alias("iid"), F.col(i_vec).cast("array<double>").alias("iv"),
+    it = items.select(F.col(i_id).cast("long").alias("iid"), vec(items, i_vec).alias("iv"),
                       (F.col(i_facet).cast("string") if facet else F.lit(None).cast("string")).alias("if_"))
-    # Blocks bound each cell's score matrix to block_rows² entries: few queries
-    # give few, tall item blocks (less per-cell overhead), many queries give
-    # square blocks. With a facet every facet has blocks of its own, sized from its own counts, so a query meets
-    # the items of its facet alone; rows without a facet match nothing.
+    # Rows are copied once for each block of the other side: many rows are dealt into few, large blocks, bounded by the
+    # bytes of their vectors, and a cell goes through its scores by tiles of block_rows² entries; few queries
+    # give few, tall item blocks (less per-cell overhead). With a facet every facet has blocks of its own, sized from
+    # its own counts, so a query meets the items of its facet alone; rows without a facet match nothing.
     if facet:
         q, it = q.where(F.col("qf").isNotNull()), it.where(F.col("if_").isNotNull())
-    sizes = (q.select(F.col("qf").alias("f"), F.lit(1).alias("q"), F.lit(0).alias("i"))
-             .unionByName(it.select(F.col("if_").alias("f"), F.lit(0).alias("q"), F.lit(1).alias("i")))
-             .groupBy("f").agg(F.sum("q").alias("q"), F.sum("i").alias("i")).where("q > 0 AND i > 0"))
-    nq = F.ceil(F.col("q") / block_rows)
+    sizes = (q.select(F.col("qf").alias("f"), F.lit(1).alias("q"), F.lit(0).alias("i"), F.size("qv").alias("d"))
+             .unionByName(it.select(F.col("if_").alias("f"), F.lit(0).alias("q"), F.lit(1).alias("i"), F.size("iv").alias("d")))
+             .groupBy("f").agg(F.sum("q").alias("q"), F.sum("i").alias("i"), F.max("d").alias("d")).where("q > 0 AND i > 0"))
+    most = F.greatest(F.lit(block_rows), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.col("d"), F.lit(1)))))
+    nq = F.ceil(F.col("q") / F.least(F.greatest(F.lit(block_rows), F.ceil(F.col("q") / BLOCKS)), most))
     q_per = F.greatest(F.ceil(F.col("q") / nq), F.lit(1))
-    i_per = F.least(F.greatest(F.lit(block_rows), F.floor(F.lit(block_rows * block_rows) / q_per)), F.lit(MAX_ITEM_BLOCK))
+    tall = F.greatest(F.lit(block_rows), F.floor(F.lit(block_rows * block_rows) / q_per))
+    i_per = F.least(F.greatest(tall, F.least(F.ceil(F.col("i") / BLOCKS), most)), F.lit(MAX_ITEM_BLOCK))
     sizes = materialize(sizes.select("f", nq.cast("int").alias("nq"), F.greatest(F.ceil(F.col("i") / i_per), F.lit(1)).cast("int").alias("ni")))
     # (the concatenations give the joined facet a column of its own on each side; without one the counts are one row)
     def sized(df: DataFrame, own: str) -> DataFrame:
@@ -135,12 +169,7 @@ def _cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, q_vec: str,
                                  "score": pd.Series([], dtype="float64")})
         Q = _unit_rows(np.stack(qpdf["qv"].to_numpy()).astype(np.float64))
         I = _unit_rows(np.stack(ipdf["iv"].to_numpy()).astype(np.float64))
-        S = Q @ I.T if decimals is None else np.round(Q @ I.T, decimals)
-        qids = qpdf["qid"].to_numpy(np.int64)
-        iids = ipdf["iid"].to_numpy(np.int64)
-        if exclude_self:
-            S = np.where(qids[:, None] != iids[None, :], S, -np.inf)
-        return _top_per_row(S, qids, iids, min(k, S.shape[1]))
+        return _best_of_cell(Q, I, qpdf["qid"].to_numpy(np.int64), ipdf["iid"].to_numpy(np.int64), k, exclude_self, decimals, block_rows)
 
     return (qb.groupBy("f", "qb", "ib").cogroup(ib.groupBy("f", "qb", "ib"))
             .applyInPandas(cell, schema=out_schema))

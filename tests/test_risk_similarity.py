@@ -352,3 +352,31 @@ def test_like_reports_are_neighbours(spark):
         m.setattr(RK, "add_factor_scores", lambda d: d.withColumn("composite", F.lit(1.0)))
         got = [(r["city"], r["rent"]) for r in RK.score_risk(df, None, None, report=False, neighbours=["city", "rent"]).collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("tile", [3, 8, 64])
+def test_cells_go_through_their_scores_by_tiles(tile):
+    rng = np.random.default_rng(tile)
+    Q, I = (SIM._unit_rows(rng.integers(-2, 3, size=(n, 4)).astype(float)) for n in (37, 50))  # many equal scores
+    qids, iids = np.arange(37), rng.permutation(50)
+    S = np.where(qids[:, None] != iids[None, :], np.round(Q @ I.T, 9), -np.inf)
+    for k in (1, 5, 60):
+        got = SIM._best_of_cell(Q, I, qids, iids, k, True, 9, tile)
+        want = SIM._top_per_row(S, qids, iids, min(k, 50))
+        key = ["query_id", "score", "item_id"]
+        assert got.sort_values(key).reset_index(drop=True).equals(want.sort_values(key).reset_index(drop=True).astype(got.dtypes))
+
+
+def test_many_rows_are_dealt_into_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "id long, v array<float>")
+    kw = dict(q_id="id", q_vec="v", i_id="id", i_vec="v", exclude_self=True, decimals=9, block_rows=10)
+    got = []
+    for blocks in (1, 3):
+        monkeypatch.setattr(SIM, "BLOCKS", blocks)
+        top = SIM.topk_similar(df, df, 4, **kw)
+        assert "array<double>" not in top._jdf.queryExecution().optimizedPlan().toString()  # floats are shuffled as floats
+        cells = SIM._cells(df, df, 4, "id", "v", "id", "v", None, None, True, 10, 9)
+        assert cells.count() == 300 * 4 * blocks  # a query has k candidates in each item block
+        got.append(sorted(map(tuple, top.collect())))
+    assert got[0] == got[1] and len(got[0]) == 1200
