@@ -363,10 +363,10 @@ def test_the_log_does_not_depend_on_the_number_of_micro_batches(spark, tmp_path)
 
 def test_a_run_drops_what_is_late_and_what_landed_before(spark, tmp_path):
     base = str(tmp_path)
-    _landed(spark, base, [("a", 10, 1), ("b", 11, 2), (None, 10, 3)])
-    assert _run_log(spark, base) == [("", 3), ("a", 1), ("b", 2)]
-    _landed(spark, base, [("late", 10, 4), ("c", 12, 5), ("a", 10, 1), ("b", 11, 2), (None, 12, 6), ("c", 12, 5)])
-    want = [("", 3), ("a", 1), ("b", 2), ("c", 5)]
+    _landed(spark, base, [("a", 10, 1), ("b", 11, 2), (None, 10, 3), ("timeless", None, 8)])
+    assert _run_log(spark, base) == [("", 3), ("a", 1), ("b", 2), ("timeless", 8)]
+    _landed(spark, base, [("late", 10, 4), ("c", 12, 5), ("a", 10, 1), ("b", 11, 2), (None, 12, 6), ("c", 12, 5), ("timeless", None, 8)])
+    want = [("", 3), ("a", 1), ("b", 2), ("c", 5), ("timeless", 8)]
     assert _run_log(spark, base) == want == _run_log(spark, base)  # the second time nothing new has landed
     landing = spark.read.parquet(f"{base}/landing")
     for n in (1, 0):
